@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import op4_packing, op5_bpe
+from factloom.llm import op4_packing, op5_bpe, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -25,6 +26,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    found = op10_language.identify(docs, fold != 2)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.cross_entropy", "language.accepted")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
