@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op4_packing, op5_bpe, op10_language
+from factloom.llm import op4_packing, op5_bpe, op9_quality, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -26,6 +26,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op9_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = op9_quality.scored(docs, labels, fold != 0)
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
