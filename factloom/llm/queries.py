@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op2_pii, op4_packing, op5_bpe, op9_quality, op10_language
+from factloom.llm import op2_pii, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op8_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
 def op9_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
