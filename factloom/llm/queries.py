@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op2_pii, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
+from factloom.llm import op2_pii, op3_near_dedup, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -22,6 +22,10 @@ def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_bayes_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_near_dedup.groups(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
