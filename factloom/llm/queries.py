@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op2_pii, op3_near_dedup, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
+from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_substring_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_substring_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_pii.detect(table(spark, sf_dir, "documents"))
 
