@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op5_bpe, op8_fingerprint, op9_quality, op10_language
+from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op5_bpe, op6_lm_score, op7_topk, op8_fingerprint, op9_quality, op10_language
 from factloom.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -38,6 +38,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_lm_score.against_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_minhash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprint.edited(table(spark, sf_dir, "documents"))
 
