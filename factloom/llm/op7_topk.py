@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Vectors of a shard, queries of a block, entries of a leaf page and of a routing page.
 SHARD, BLOCK = 8192, 4096
-LEAF, FAN = 256, 16
+LEAF, FAN = 1024, 16
 
 
 @dataclass
@@ -36,6 +36,7 @@ class Page:
 
     rows: np.ndarray
     to_parent: np.ndarray
+    vectors: np.ndarray
     radii: np.ndarray | None = None
     children: list[Page] = field(default_factory=list)
 
@@ -59,7 +60,7 @@ class MTree:
     def _page(self, rows: np.ndarray, to_object: np.ndarray) -> Page:
         """The page of these vectors, whose distances to the page's own routing object are given."""
         if len(rows) <= LEAF:
-            return Page(rows, to_object)
+            return Page(rows, to_object, self.real[rows])
         chosen = rows[np.linspace(0, len(rows) - 1, FAN).astype(int)]
         full, pivots = self._full(rows), self._full(chosen)
         square = (full**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * full @ pivots.T
@@ -76,7 +77,7 @@ class MTree:
                 distances.append(to_object[at])
                 radii.append(away.max())
                 children.append(self._page(rows[own], away))
-        return Page(np.array(kept), np.array(distances), np.array(radii), children)
+        return Page(np.array(kept), np.array(distances), self.real[kept], np.array(radii), children)
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), best first, without rows of the query's own id."""
@@ -102,8 +103,9 @@ class MTree:
                 near = np.flatnonzero(most(gap) >= floor)
                 rows = page.rows[near]
                 self.computed += len(rows)
-                scores = (self.real[rows] @ q).astype(np.int64) if exact else np.array([int(s) for s in self.vectors[rows].astype(object) @ query.astype(object)], dtype=object)
-                for i in np.flatnonzero(scores >= floor):
+                near_vectors = page.vectors if len(near) == len(page.rows) else page.vectors[near]
+                scores = (near_vectors @ q).astype(np.int64) if exact else np.array([int(s) for s in self.vectors[rows].astype(object) @ query.astype(object)], dtype=object)
+                for i in np.flatnonzero(scores >= floor) if len(best) == k else range(len(scores)):
                     entry = (int(scores[i]), -int(self.ids[rows[i]]))
                     if entry[1] == -own:
                         continue
@@ -115,7 +117,7 @@ class MTree:
             near = np.flatnonzero(most(gap - page.radii) >= floor)
             rows = page.rows[near]
             self.computed += len(rows)
-            away = np.sqrt(np.maximum(total - 2 * (self.real[rows] @ q), 0))
+            away = np.sqrt(np.maximum(total - 2 * (page.vectors[near] @ q), 0))
             bounds = most(away - page.radii[near])
             for i, b, d in zip(near.tolist(), bounds.tolist(), away.tolist(), strict=True):
                 if b >= floor:
