@@ -4,10 +4,11 @@
 2. Nodes that agree on a whole band of the signature are candidates. Each node is first paired with the least node of its
    bucket only.
 3. Pairs compare their signatures batch by batch; a pair goes as soon as the posterior probability (uniform prior on the
-   similarity) that it reaches the threshold falls below MISS. Survivors are confirmed on the full sets.
-4. Components of the links are found. Buckets that still hold several components are paired across those components, and only
-   across; these pairs go through step 3 too. No pair within a bucket is left undecided, and no bucket is paired in full
-   once its nodes hang together.
+   similarity) that it reaches the threshold falls below MISS. Survivors are confirmed on the full sets. Nodes of buckets
+   with more than two members are compared with their head in any case, for step 4.
+4. Components of the links are found. Two nodes that meet in a bucket may be similar though one misses the head: what both
+   changed against the head tells exactly (see _around_heads). They are compared in blocks, and only components that do not
+   hang together yet. No pair within a bucket is left undecided, and no pairs of a bucket are made as rows.
 
 A pair at the threshold itself shares no band with a probability of (1 - 0.8**6)**40, about 5e-6, and less beyond it.
 Full sets are made anew for the documents in surviving pairs; a bitmap of fixed size tells the scan which those are.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, mixed, parts, stored, tune
+from factloom.llm.common import documents, mixed, parts, ragged, stored, tune
 from factloom.llm.components import components
 from factloom.llm.shingles import distinct_shingles, signatures
 
@@ -38,6 +39,8 @@ BANDS, WIDE = 40, 6
 BATCH, MISS = 24, 1e-7
 #: Bits of the bitmap of documents whose sets are made anew.
 BITS = 1 << 26
+#: Nodes on either side that meet in one block around a head.
+BLOCK = 256
 
 
 @lru_cache(maxsize=64)
@@ -95,15 +98,17 @@ def _kept_by_signature(pairs: DataFrame, known: DataFrame, percent: int) -> Data
         for frame in frames:
             left, right = (np.frombuffer(b"".join(frame[c]), np.uint16).reshape(len(frame), -1) for c in ("left", "right"))
             alive = survive(left, right, percent)
-            yield frame.iloc[alive][["a", "b"]]
+            keep = frame.members.to_numpy() > 2
+            keep[alive] = True
+            yield frame[["a", "b"]][keep]
 
     left = known.select(F.col("node").alias("a"), F.col("signature").alias("left"))
     right = known.select(F.col("node").alias("b"), F.col("signature").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b", "members").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar."""
+def _full_sets(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the nodes in pairs (a, b), made anew from their texts."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = ends.join(known.select("node", "doc_id"), "node").select("doc_id")
@@ -124,10 +129,61 @@ def _confirmed(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int, p
 
     rows = documents(docs).where("doc_id is not null").select("text", bit.alias("bit"))
     sets = rows.mapInPandas(run, "node long, shingles array<long>").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets, "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = F.size(F.array_intersect("left", "right")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
+    return stored(sets, "sets")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the sizes of a and b, whether they are similar, and what a has beyond b, then b beyond a."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("others"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumns({"added": F.array_except("own", "others"), "missing": F.array_except("others", "own")})
+    added, missing, size = F.size("added").cast("long"), F.size("missing").cast("long"), F.size("others").cast("long")
+    return joined.select(
+        "a", "b", size.alias("size"), (100 * (size - missing) >= percent * (size + added)).alias("similar"),
+        (100 * missing + percent * added).alias("cost"), F.concat("added", "missing").alias("changes"),
+    )
+
+
+def _common(s: pd.Series, x: pd.Series) -> np.ndarray:
+    """How many members each of the lists s shares with each of the lists x."""
+    left, right = (np.concatenate([np.asarray(v, np.int64) for v in c]) if len(c) else np.zeros(0, np.int64) for c in (s, x))
+    left_row, right_row = (np.repeat(np.arange(len(c)), [len(v) for v in c]) for c in (s, x))
+    order = np.argsort(right, kind="stable")
+    right, right_row = right[order], right_row[order]
+    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    pairs = np.repeat(left_row, high - low) * len(x) + right_row[ragged(low, high - low)]
+    return np.bincount(pairs, minlength=len(s) * len(x)).reshape(len(s), len(x))
+
+
+def _around_heads(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, of nodes that were compared with one head and of which one at least is not similar to it.
+
+    Of nodes s and x with changes against a head of size h, the sets share h - missing(s) - missing(x) + o members, where o is
+    how many changes they have in common; so they are similar exactly if cost(s) + cost(x) - (100 + percent) * o is at most
+    (100 - percent) * h. Nodes around a head meet in blocks of about BLOCK by BLOCK, whatever their number, and each block
+    gives one link for two components at most.
+    """
+    rooted = compared.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", "b", "size", "similar", "cost", "changes", F.coalesce("root", "a").alias("root"))
+    # Without two components around it, a head has nothing to add.
+    heads = rooted.groupBy("b").agg(F.count("*").alias("around"), F.count_if(~F.col("similar")).alias("far"), F.min("root").alias("low"), F.max("root").alias("high")).where("far > 0 and around > 1 and low < high")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = rooted.join(heads.select("b", blocks("around").alias("x_blocks"), blocks("far").alias("s_blocks")), "b")
+    far = own.where(~F.col("similar")).withColumns({"s_block": F.pmod(F.xxhash64("a"), "s_blocks").cast("int"), "x_block": F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))})
+    every = own.withColumns({"x_block": F.pmod(F.xxhash64("a"), "x_blocks").cast("int"), "s_block": F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1))})
+    columns = ["b", "s_block", "x_block", "a", "root", "cost", "changes"]
+
+    def meet(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(s) or not len(x):
+            return pd.DataFrame({"a": [], "b": []})
+        room = (100 - percent) * int(s["size"].iloc[0])
+        near = s.cost.to_numpy()[:, None] + x.cost.to_numpy() - (100 + percent) * _common(s.changes, x.changes) <= room
+        near &= s.root.to_numpy()[:, None] != x.root.to_numpy()
+        i, j = np.nonzero(near)
+        found = pd.DataFrame({"a": s.a.to_numpy()[i], "b": x.a.to_numpy()[j], "ra": s.root.to_numpy()[i], "rb": x.root.to_numpy()[j]})
+        return found.drop_duplicates(["ra", "rb"])[["a", "b"]]
+
+    keys = ["b", "s_block", "x_block"]
+    left, right = far.select(*columns, "size").toDF(*columns, "size"), every.select(*columns).toDF(*columns)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -143,21 +199,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
     shared = stored(bands.join(heads, "key"), "buckets")
-    star = stored(shared.where(F.col("node") != F.col("head.node")).where(near(F.col("n"), F.col("head.n"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "pairs")
-    links = stored(_confirmed(stored(_kept_by_signature(star, known, percent), "pairs"), known, docs, size, percent), "links")
+    met = shared.where(F.col("node") != F.col("head.node")).where(near(F.col("n"), F.col("head.n")) | (F.col("members") > 2))
+    star = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max("members").alias("members"))
+    star = stored(_kept_by_signature(stored(star, "pairs"), known, percent), "pairs")
+    compared = stored(_compared(star, _full_sets(star, known, docs, size), percent), "compared")
+    links = compared.where("similar").select("a", "b")
     roots = components(links)
-    # What hangs together needs no further look; the rest of each bucket is paired across components.
-    placed = shared.where("members > 2").select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = stored(placed.join(open_keys, "key", "left_semi"), "open")
-    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root")]) for x in "ab")
-    across = one.join(two, "key").where("root_a < root_b").where(near(F.col("n_a"), F.col("n_b"))).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    across = stored(across.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = stored(_kept_by_signature(across, known, percent), "pairs")
+    more = stored(_around_heads(compared, roots, percent), "links")
     if not more.isEmpty():
-        more = stored(_confirmed(more, known, docs, size, percent), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+        roots = components(links.union(more))
     labels = roots.join(known.select("node", "doc_id"), "node")
     least = labels.groupBy("root").agg(F.min("doc_id").alias("least_id"))
     labels = labels.join(least, "root").select("node", F.col("least_id").alias("component_id"))
