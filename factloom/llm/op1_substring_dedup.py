@@ -133,5 +133,6 @@ def without_repeats(docs: DataFrame, least: int = RUN) -> DataFrame:
                 out.append(text if a is None else "".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)))
             yield pd.Series(out, dtype=object)
 
-    joined = docs.join(lost, (F.col("doc_id").cast("long") == F.col("_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
+    # Always a sort-merge join: what is lost grows with the corpus, so it is never broadcast.
+    joined = docs.join(lost.hint("merge"), (F.col("doc_id").cast("long") == F.col("_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
     return joined.withColumn("text", cut(F.col("text").cast("string"), "_starts", "_ends")).select(*docs.columns)
