@@ -33,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay; of rows that repeat id and text one stays.
     """
     found = stored(op3_near_dedup.groups(docs, size=5, percent=80), "groups")
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # Always a sort-merge join: what goes grows with the corpus, so it is never broadcast.
+    kept = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if twice.isEmpty():
         return kept
