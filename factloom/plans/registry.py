@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from factloom.plans import aggregates, claims, experiments, relational, retrieval, texts  # noqa: F401
+    from factloom.plans import aggregates, claims, experiments, more, relational, retrieval, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
