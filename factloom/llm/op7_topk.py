@@ -11,7 +11,7 @@ The query set is a stated part of all rows. Blocks of queries meet every shard,
 SHARD vectors and BLOCK queries.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no part; vectors of fewer
-components count as zero beyond them; a query does not find rows of its own id; of repeated rows each is found; ties go to
+components count as zero beyond them; a query does not find rows of its own id; of repeated rows each is found, and they ask once; ties go to
 the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -144,7 +144,8 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: int = 256, shard
     size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     shards, blocks = max(1, -(-size["n"] // shard)), max(1, -(-size["q"] // block))
     data = rows.select("vec_id", "vector", F.pmod("place", F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "vector", F.pmod("place", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    # Rows that repeat id and vector ask once; rows of one id with different vectors ask each.
+    asked = rows.where("asks").dropDuplicates(["vec_id", "place"]).select(F.col("vec_id").alias("query_id"), F.col("place").alias("asked"), "vector", F.pmod("place", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def run(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -152,10 +153,10 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: int = 256, shard
             width = max(data.vector.map(len).max(), asked.vector.map(len).max())
             order = np.argsort(data.vec_id.to_numpy(), kind="stable")
             tree = MTree(data.vec_id.to_numpy()[order], _matrix(data.vector, width)[order])
-            for query, vector in zip(asked.query_id.tolist(), _matrix(asked.vector, width), strict=True):
-                found += [(query, vec, score) for score, vec in tree.search(vector, query, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            for query, place, vector in zip(asked.query_id.tolist(), asked.asked.tolist(), _matrix(asked.vector, width), strict=True):
+                found += [(query, place, vec, score) for score, vec in tree.search(vector, query, k)]
+        return pd.DataFrame(found, columns=["query_id", "asked", "vec_id", "score"])
 
-    part = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    part = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query_id long, asked long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
