@@ -77,30 +77,43 @@ def planned(queries: DataFrame, column: str = "query") -> DataFrame:
 # --- lexical channel -------------------------------------------------------------------------------------------------
 
 
-def postings(documents: DataFrame, key: str = "memory_id", weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, term, weighted frequency, document length): the index, built once and kept."""
+def _fields(weights: dict[str, float]) -> list[Column]:
+    return [text.terms(F.coalesce(F.col(f), F.lit(""))) for f in weights]
+
+
+def postings(documents: DataFrame, key: str = "memory_id", weights: dict[str, float] | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, weighted frequency, document length): the index, built once and kept; or only its rows of the asked terms.
+
+    Other terms go before the shuffle, so that a batch of queries moves its own terms only.
+    """
     weights = weights or FIELD_WEIGHTS
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), text.terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f, w in weights.items()])
-    length = sum((F.size(text.terms(F.coalesce(F.col(f), F.lit("")))) for f in weights), F.lit(0))
-    each = documents.select(key, length.alias("length"), F.inline(fields)).select(key, "length", "weight", F.explode("terms").alias("term"))
+    split = documents.select(key, F.array(*_fields(weights)).alias("fields"))
+    length = F.aggregate("fields", F.lit(0), lambda s, f: s + F.size(f))
+    weighted = F.arrays_zip(F.array(*[F.lit(w) for w in weights.values()]).alias("weight"), F.col("fields").alias("terms"))
+    each = split.select(key, length.alias("length"), F.inline(weighted).alias("weight", "terms")).select(key, "length", "weight", F.explode("terms").alias("term"))
+    if asked is not None:
+        each = each.join(asked.select("term").distinct(), "term", "left_semi")
     return each.groupBy(key, "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
 
 
+def collection(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row: documents and their average length."""
+    length = sum((F.size(f) for f in _fields(weights or FIELD_WEIGHTS)), F.lit(0))
+    return documents.agg(F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("average"))
+
+
 def query_terms(queries: DataFrame, most: int = QUERY_TOKENS) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.slice(text.terms(F.col("query")), 1, most))).alias("term"))
 
 
-def bm25(index: DataFrame, documents: DataFrame, asked: DataFrame, key: str = "memory_id") -> DataFrame:
+def bm25(index: DataFrame, whole: DataFrame, asked: DataFrame, key: str = "memory_id") -> DataFrame:
     """(query_id, key, score, matched): OR over the query's terms; the plan joins terms, never documents with queries.
 
-    documents: one row of `key` each (also those without a term). Inverse document frequency is at least 1e-6.
+    whole: the row of `collection`. Inverse document frequency is at least 1e-6.
     """
-    size = documents.agg(F.count("*").alias("n"))
-    length = index.dropDuplicates([key]).agg(F.sum("length").alias("total"))
     df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    stats = df.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(length))  # two single rows
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    stats = stats.select("term", idf.alias("idf"), (F.col("total") / F.col("n")).alias("average"))
+    stats = df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "average")  # one row
     part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("average")))
     return asked.join(stats, "term").join(index, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 

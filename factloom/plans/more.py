@@ -413,3 +413,56 @@ def s19(t: Store) -> DataFrame:
 def x11(t: Store) -> DataFrame:
     rows = [(i, plain.settled_payload("x" * n, 10)["used"]) for i, n in ((1, 2), (2, 1001))]
     return t.spark.createDataFrame(rows, "id int, used int")
+
+
+@query("S3_index_scan", "select memory_id, sum(weight) as tf from (select memory_id, unnest([5.0, 2.5])::double as weight, unnest([regexp_extract_all(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+'), regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')]) as words from memories), lateral (select unnest(words) as term) where term = 'tion' group by memory_id")
+def s3(t: Store) -> DataFrame:
+    return retrieval.postings(t.memories, weights={"title": 5.0, "content": 2.5}).where("term = 'tion'").select("memory_id", "tf")
+
+
+@query("S12_partitioned_read", "select count(*) as rows, sum(length(content)) as chars from memories")
+def s12(t: Store) -> DataFrame:
+    """Each task counts its own rows batch by batch; only the counts meet."""
+
+    def run(batches):
+        rows = chars = 0
+        for batch in batches:
+            rows, chars = rows + len(batch), chars + int(batch.content.str.len().sum())
+        import pandas as pd
+
+        yield pd.DataFrame({"rows": [rows], "chars": [chars]})
+
+    return t.memories.select("content").mapInPandas(run, "rows long, chars long").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
+
+
+@query("S13_tail_tolerant_lines", "select id from (values (1), (2)) v(id)")
+def s13(t: Store) -> DataFrame:
+    lines = t.spark.createDataFrame([('{"id": 1}',), ('{"id": 2}',), ('{"id": 3, "te',)], "value string")
+    return lines.select(F.try_variant_get(F.try_parse_json("value"), "$.id", "int").alias("id")).where("id is not null")
+
+
+@query("S17_task_adapter", "select item_id as task_id, regexp_extract(text, '^[^\\s]+', 0) as repository, length(text) as size from benchmark")
+def s17(t: Store) -> DataFrame:
+    return t.raw("benchmark").select(F.col("item_id").alias("task_id"), F.regexp_extract("text", r"^[^\s]+", 0).alias("repository"), F.length("text").cast("long").alias("size"))
+
+
+@query("S18_report", "select '{\"condition\":\"' || condition || '\",\"runs\":' || count(*) || '}' as line from usage group by condition")
+def s18(t: Store) -> DataFrame:
+    return t.usage.groupBy("condition").agg(F.count("*").alias("runs")).select(F.to_json(F.struct("condition", "runs")).alias("line"))
+
+
+@query("K5_selection_limit", "select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by memory_id) as n from judged) where n > 5 and n <= 15")
+def k5(t: Store) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("memory_id"))
+    return t.judged.withColumn("n", rank).where("n <= 15").where("n > 5").select("query_id", "memory_id")
+
+
+@query("ST2_expiry", "select memory_id from memories where ttl_seconds is not null and created_at + to_seconds(ttl_seconds) <= timestamp '2024-06-01'")
+def st2(t: Store) -> DataFrame:
+    return t.memories.where("ttl_seconds is not null").where(~intervals.lives(F.col("created_at"), F.col("ttl_seconds"), intervals.moment("2024-06-01 00:00:00"))).select("memory_id")
+
+
+@query("ST5_late_knowledge", "select identity_id, count(*) filter (recorded_at > valid_from + interval 2 day) as late from claims group by identity_id")
+def st5(t: Store) -> DataFrame:
+    late = F.col("recorded_at") > F.col("valid_from") + F.make_dt_interval(F.lit(2))
+    return t.claims.groupBy("identity_id").agg(F.count_if(late).alias("late"))

@@ -28,7 +28,8 @@ COSINE = """cosines as (select a.query_id, b.memory_id, (list_cosine_similarity(
 
 def scored(t: Store) -> DataFrame:
     asked = retrieval.query_terms(t.asks)
-    return retrieval.bm25(retrieval.postings(t.memories), t.memories, asked).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+    index = retrieval.postings(t.memories, asked=asked)
+    return retrieval.bm25(index, retrieval.collection(t.memories), asked).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
 
 
 def lexical(t: Store, k: int) -> DataFrame:

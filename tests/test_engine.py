@@ -41,7 +41,7 @@ def test_containment_comes_before_contradiction(spark):
 def test_target_is_found_among_decoys(spark):
     memories = spark.range(3000).select(F.col("id").alias("memory_id"), F.when(F.col("id") == 1234, "rare pangolin note").otherwise("common note").alias("title"), F.lit("common text").alias("content"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("memory_key"), F.lit("note").alias("category"))
     asked = retrieval.query_terms(spark.createDataFrame([(1, "pangolin note")], "query_id long, query string"))
-    assert retrieval.best(retrieval.bm25(retrieval.postings(memories), memories, asked), 1).first()["memory_id"] == 1234
+    assert retrieval.best(retrieval.bm25(retrieval.postings(memories), retrieval.collection(memories), asked), 1).first()["memory_id"] == 1234
 
 
 def test_fusion_and_its_ceiling(spark):
