@@ -11,7 +11,12 @@ from factloom.plans.registry import query
 from factloom.sources.model import Store
 
 MOMENT, EVENTS = "1997-06-01 00:00:00", "2024-01-20 00:00:00"
-at = intervals.moment(MOMENT)
+
+
+def at():
+    return intervals.moment(MOMENT)
+
+
 VISIBLE = f"""visible as (select * from (select *, row_number() over (partition by claim_id order by transaction_from desc, version_number desc, identity_id) as visibility from claim_versions
     where transaction_from <= timestamp '{MOMENT}' and (transaction_to is null or timestamp '{MOMENT}' < transaction_to) and valid_from <= timestamp '{MOMENT}' and (valid_to is null or timestamp '{MOMENT}' < valid_to)) where visibility = 1)"""
 SINGLE = "(predicate = 'prefers' or (predicate = 'uses' and regexp_matches(subject, 'database|framework|package_manager|current|primary')))"
@@ -58,18 +63,18 @@ def c9(t: Store) -> DataFrame:
 
 @query("C10_visible_versions", f"with {VISIBLE} select claim_id, identity_id, status from visible")
 def c10(t: Store) -> DataFrame:
-    return truth.visible_versions(t.claim_versions, at, at).select("claim_id", "identity_id", "status")
+    return truth.visible_versions(t.claim_versions, at(), at()).select("claim_id", "identity_id", "status")
 
 
 @query("C11_current_truth", f"""with {VISIBLE}, gone as (select memory_id from (select memory_id, arg_max(action, (ts, event_id)) as action from audit_events where action <> 'other' and ts <= timestamp '{EVENTS}' group by memory_id) where action = 'health_archive'),
     grouped as (select identity_id, predicate, normalized_name as subject, count(*) as versions, count(*) filter (status in ('accepted', 'contested') and stale_state <> 'stale') as live, count(distinct case when status in ('accepted', 'contested') and stale_state <> 'stale' then object_value end) as objects, bool_or(status = 'contested') as c from visible v join entities e on e.entity_id = v.subject_entity_id
     where memory_id not in (select memory_id from gone) group by identity_id, predicate, normalized_name) select identity_id, versions, live, objects, case when c or ({SINGLE} and objects > 1) then 'contested' when live = 0 then 'stale' else 'resolved' end as state from grouped""")
 def c11(t: Store) -> DataFrame:
-    rows = truth.visible_versions(t.claim_versions, at, at)
+    rows = truth.visible_versions(t.claim_versions, at(), at())
     # Events have a clock of their own here, so archived memories are taken at the events' moment.
     gone = truth.archived_at(t.audit_events, intervals.moment(EVENTS))
     none = t.audit_events.limit(0)
-    return truth.current_truth(rows.join(gone, "memory_id", "left_anti"), t.entities, none, at, at).select("identity_id", "versions", "live", "objects", "state")
+    return truth.current_truth(rows.join(gone, "memory_id", "left_anti"), t.entities, none, at(), at()).select("identity_id", "versions", "live", "objects", "state")
 
 
 @query("C14_alias_union", "select entity_type, list_aggregate(list_sort(list_distinct(list(c_nationkey))), 'string_agg', ',') as aliases from entities group by entity_type")

@@ -12,7 +12,12 @@ from factloom.plans.registry import query
 from factloom.plans.retrieval import candidates, scored, semantic
 from factloom.sources.model import Store
 
-VALID = intervals.moment("1997-06-01 00:00:00")
+
+
+def valid():
+    return intervals.moment("1997-06-01 00:00:00")
+
+
 
 
 @query("J1_hits_memories_health", "select m.memory_id, h.temperature from memories m left join health h using (memory_id) where contains(lower(title), 'tion')")
@@ -331,7 +336,7 @@ def l6(t: Store) -> DataFrame:
 
 @query("L9_visibility_suite", "select (claim_id % 4) as family, count(*) filter (recorded_at <= timestamp '1997-06-01' and valid_from <= timestamp '1997-06-01' and (valid_to is null or timestamp '1997-06-01' < valid_to)) as seen, count(*) as cases from claims group by claim_id % 4")
 def l9(t: Store) -> DataFrame:
-    seen = intervals.known_at(F.col("recorded_at"), VALID) & intervals.holds_at(F.col("valid_from"), F.col("valid_to"), VALID)
+    seen = intervals.known_at(F.col("recorded_at"), valid()) & intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid())
     return t.claims.groupBy((F.col("claim_id") % 4).alias("family")).agg(F.count_if(seen).alias("seen"), F.count("*").alias("cases"))
 
 

@@ -12,7 +12,20 @@ from factloom.plans.registry import query
 from factloom.sources.model import Store
 
 AT, KNOWN, VALID = "2024-02-10 00:00:00", "2024-02-01 00:00:00", "1997-06-01 00:00:00"
-at, known, valid = (intervals.moment(x) for x in (AT, KNOWN, VALID))
+
+
+def at():
+    return intervals.moment(AT)
+
+
+def known():
+    return intervals.moment(KNOWN)
+
+
+def valid():
+    return intervals.moment(VALID)
+
+
 ALIVE = f"(valid_from is null or valid_from <= timestamp '{AT}') and (valid_to is null or timestamp '{AT}' < valid_to) and (ttl_seconds is null or created_at + to_seconds(ttl_seconds) > timestamp '{AT}')"
 
 
@@ -107,17 +120,17 @@ def p2(t: Store) -> DataFrame:
 
 @query("P3_valid_at", f"select claim_id from claims where (valid_from is null or valid_from <= timestamp '{VALID}') and (valid_to is null or timestamp '{VALID}' < valid_to)")
 def p3(t: Store) -> DataFrame:
-    return t.claims.where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid)).select("claim_id")
+    return t.claims.where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid())).select("claim_id")
 
 
 @query("P4_ttl", f"select memory_id from memories where ttl_seconds is null or created_at + to_seconds(ttl_seconds) > timestamp '{AT}'")
 def p4(t: Store) -> DataFrame:
-    return t.memories.where(intervals.lives(F.col("created_at"), F.col("ttl_seconds"), at)).select("memory_id")
+    return t.memories.where(intervals.lives(F.col("created_at"), F.col("ttl_seconds"), at())).select("memory_id")
 
 
 @query("P5_known_at", f"select claim_id from claims where recorded_at <= timestamp '{VALID}'")
 def p5(t: Store) -> DataFrame:
-    return t.claims.where(intervals.known_at(F.col("recorded_at"), valid)).select("claim_id")
+    return t.claims.where(intervals.known_at(F.col("recorded_at"), valid())).select("claim_id")
 
 
 @query("P6_interval_overlap", """select a.identity_id, count(*) as overlapping from claims a join claims b on a.identity_id = b.identity_id and a.claim_id < b.claim_id
@@ -130,18 +143,18 @@ def p6(t: Store) -> DataFrame:
 
 @query("P7_allowed_scopes", f"select memory_id from memories m where {ALIVE} and created_at <= timestamp '{KNOWN}' and ((scope_type = 'user') or (scope_type = 'task' and scope_key = 'en')) and status = 'active' and memory_id not in (select memory_id from health where temperature = 'archived')")
 def p7(t: Store) -> DataFrame:
-    return retrieval.visible(t.memories, t.health, at, known, [("user", None), ("task", "en")]).select("memory_id")
+    return retrieval.visible(t.memories, t.health, at(), known(), [("user", None), ("task", "en")]).select("memory_id")
 
 
 @query("P8_row_eligibility", f"select memory_id from memories where {ALIVE} and status = 'active' and memory_type <> 'procedural' and memory_id not in (select memory_id from health where temperature = 'archived')")
 def p8(t: Store) -> DataFrame:
-    return retrieval.visible(t.memories, t.health, at).where("memory_type <> 'procedural'").select("memory_id")
+    return retrieval.visible(t.memories, t.health, at()).where("memory_type <> 'procedural'").select("memory_id")
 
 
 @query("P9_claim_eligibility", f"""select c.claim_id from claims c join entities e on e.entity_id = c.subject_entity_id join memories m on m.memory_id = c.memory_id left join health h on h.memory_id = m.memory_id
     where m.status = 'active' and (h.memory_id is null or h.temperature <> 'archived') and c.status in ('accepted', 'contested') and c.stale_state <> 'stale' and (c.valid_from is null or c.valid_from <= timestamp '{VALID}') and (c.valid_to is null or timestamp '{VALID}' < c.valid_to)""")
 def p9(t: Store) -> DataFrame:
-    usable = t.claims.where("status in ('accepted', 'contested') and stale_state <> 'stale'").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid)).select("claim_id", "memory_id", F.col("subject_entity_id").alias("entity_id"))
+    usable = t.claims.where("status in ('accepted', 'contested') and stale_state <> 'stale'").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid())).select("claim_id", "memory_id", F.col("subject_entity_id").alias("entity_id"))
     return usable.join(t.entities.select("entity_id"), "entity_id", "left_semi").join(t.memories.where("status = 'active'").select("memory_id"), "memory_id", "left_semi").join(t.health.where("temperature = 'archived'"), "memory_id", "left_anti").select("claim_id")
 
 
@@ -182,19 +195,19 @@ def p15(t: Store) -> DataFrame:
 
 @query("P16_due_for_expiry", f"select memory_id, case when valid_to is not null and valid_to <= timestamp '{AT}' then 'valid_to' else 'ttl' end as reason from memories where status in ('active', 'candidate') and ((valid_to is not null and valid_to <= timestamp '{AT}') or (ttl_seconds is not null and created_at + to_seconds(ttl_seconds) <= timestamp '{AT}'))")
 def p16(t: Store) -> DataFrame:
-    return health.due(t.memories, at)
+    return health.due(t.memories, at())
 
 
 @query("P17_current_version", f"select claim_id, version_number from claim_versions where stale_state <> 'stale' and transaction_to is null and valid_from <= timestamp '{VALID}' and (valid_to is null or timestamp '{VALID}' < valid_to)")
 def p17(t: Store) -> DataFrame:
-    rows = t.claim_versions.where("stale_state <> 'stale' and transaction_to is null").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid))
+    rows = t.claim_versions.where("stale_state <> 'stale' and transaction_to is null").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid()))
     return rows.select("claim_id", F.col("version_number").cast("long").alias("version_number"))
 
 
 @query("P18_calibration_guards", "select memory_id from memories where length(title) >= 12 and regexp_extract(lower(title), '^[a-z]+', 0) not in ('the', 'and', 'of', '') and created_at <= timestamp '2024-02-01'")
 def p18(t: Store) -> DataFrame:
     first = F.regexp_extract(F.lower("title"), "^[a-z]+", 0)
-    return t.memories.where((F.length("title") >= 12) & ~first.isin("the", "and", "of", "") & (F.col("created_at") <= known)).select("memory_id")
+    return t.memories.where((F.length("title") >= 12) & ~first.isin("the", "and", "of", "") & (F.col("created_at") <= known())).select("memory_id")
 
 
 @query("J2_claims_evidence_anchors", "select c.memory_id, count(*) as n, min(a.path) as first_path from claims c join claim_evidence e using (claim_id) join anchors a using (anchor_id) where a.freshness_state = 'fresh' group by c.memory_id")
@@ -287,7 +300,7 @@ def j21(t: Store) -> DataFrame:
 @query("W1_latest_version", f"select identity_id, claim_id, version_number from (select *, row_number() over (partition by identity_id order by transaction_from desc, version_number desc, claim_id) as n from claim_versions where transaction_from <= timestamp '{VALID}') where n = 1")
 def w1(t: Store) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("identity_id").orderBy(F.desc("transaction_from"), F.desc("version_number"), "claim_id"))
-    return t.claim_versions.where(F.col("transaction_from") <= valid).withColumn("n", rank).where("n = 1").select("identity_id", "claim_id", F.col("version_number").cast("long").alias("version_number"))
+    return t.claim_versions.where(F.col("transaction_from") <= valid()).withColumn("n", rank).where("n = 1").select("identity_id", "claim_id", F.col("version_number").cast("long").alias("version_number"))
 
 
 @query("W5_lookback_100", "select task_id, run_id, count(*) over (partition by task_id order by run_id rows between 100 preceding and 1 preceding) as earlier from usage")

@@ -11,7 +11,12 @@ from factloom.operators import context, retrieval
 from factloom.plans.registry import query
 from factloom.sources.model import Store
 
-AT = intervals.moment("2024-06-01 00:00:00")
+
+
+def at():
+    return intervals.moment("2024-06-01 00:00:00")
+
+
 FOLD = f"translate(lower({{0}}), '{text.ACCENTED}', '{text.PLAIN}')"
 TERMS = "regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{N}}]+')"
 #: DuckDB text of the lexical channel, scored rows of all queries.
@@ -101,7 +106,7 @@ SCOPES = "case scope_type when 'task' then 1.0 when 'branch' then 0.92 when 'rep
 
 @query("R7_blended_score", f"select memory_id, round(0.35 * 0.32 + {SCOPES} * 0.18 + importance * 0.12 + exp(-greatest(0, epoch_us(timestamp '2024-06-01') - epoch_us(created_at)) / 86400000000.0::double / 90) * 0.08 + confidence * 0.08, 6) as score from memories")
 def r7(t: Store) -> DataFrame:
-    return retrieval.blended(t.memories.withColumns({"lexical": F.lit(0.35), "semantic": F.lit(None).cast("double")}), AT).select("memory_id", F.round("score", 6).alias("score"))
+    return retrieval.blended(t.memories.withColumns({"lexical": F.lit(0.35), "semantic": F.lit(None).cast("double")}), at()).select("memory_id", F.round("score", 6).alias("score"))
 
 
 @query("R8_source_anchor_channel", """with w as (select * from (values (1, 'brand#12'), (1, 'steel'), (2, 'brand#3'), (3, 'tin')) v(query_id, term)), hit as (select query_id, memory_id, max((symbol = term)::int * 8 + (path = term)::int * 4 + ends_with(symbol, term)::int * 2 + ends_with(path, term)::int) as m from
@@ -238,4 +243,4 @@ def x10(t: Store) -> DataFrame:
 @query("X12_snapshot_validity", "select memory_id, case when created_at + to_days(30) <= timestamp '2024-06-01' then 'expired' when scope_type <> 'task' then 'scope_changed' when scope_key <> 'en' then 'tokenizer_changed' end as fallback_reason from memories")
 def x12(t: Store) -> DataFrame:
     rows = t.memories.select("memory_id", (F.col("created_at") + F.make_dt_interval(F.lit(30))).alias("expires_at"), F.col("scope_type").alias("scope"), F.col("scope_key").alias("tokenizer"), F.lit("p").alias("policy"))
-    return context.snapshot_state(rows, AT, "task", "en", "p").select("memory_id", "fallback_reason")
+    return context.snapshot_state(rows, at(), "task", "en", "p").select("memory_id", "fallback_reason")
