@@ -30,6 +30,8 @@ ROWS = 1500
 #: Rounds of training and relabelling, steps of each, and the penalty on weights.
 ROUNDS, STEPS, PENALTY = 3, 150, 1e-3
 GOOD = 1
+#: Code points' worth of belief in the share of good rows that every document starts with, so that a few characters decide nothing.
+PRIOR = 12
 
 
 @dataclass
@@ -177,18 +179,18 @@ def _train(x: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray,
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def _quality(odds: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Length-weighted share of good lines; NaN for documents without a line."""
+def _quality(odds: np.ndarray, length: np.ndarray, at: np.ndarray, share: float) -> np.ndarray:
+    """Length-weighted share of good lines, from the prior share on; NaN for documents without a line."""
     weight = sums(length, at)
-    return np.where(weight > 0, sums(_sigmoid(odds) * length, at) / np.maximum(weight, 1), np.nan)
+    return np.where(weight > 0, (sums(_sigmoid(odds) * length, at) + PRIOR * share) / (weight + PRIOR), np.nan)
 
 
-def learn(sample: pd.DataFrame) -> Field | None:
-    """The field from rows of text and quality."""
+def learn(sample: pd.DataFrame, share: float | None = None) -> Field:
+    """The field from rows of text and quality; share: that of good rows among all labelled ones, if the sample's is another."""
     sample = sample.sort_values(["doc_id", "text"], kind="stable")
     y = sample.quality.to_numpy().astype(int)
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
+        share = share if share is not None else float(y.mean()) if len(y) else 0.5
         return Field(np.zeros(39), np.ones(39), np.zeros(40), np.zeros((2, 2)), (0.0, 0.0), share)
     x, length, at = lines(sample.text.tolist())
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -205,8 +207,8 @@ def learn(sample: pd.DataFrame) -> Field | None:
         for rows in np.split(bad, np.flatnonzero(np.diff(document[bad])) + 1):  # a bad document has a bad line
             if len(rows):
                 label[rows[odds[rows].argmin()]] = 1 - GOOD
-    value = _quality(odds, length, at)
-    share = float(y.mean())
+    share = float(y.mean()) if share is None else share
+    value = _quality(odds, length, at, share)
     full = ~np.isnan(value)
     return Field(mean, scale, found[0], found[1], _calibrate(value[full], y[full]), share)
 
@@ -226,7 +228,7 @@ def score(texts: list[str], field: Field) -> np.ndarray:
         return np.full(len(texts), field.share)
     x, length, at = lines(texts)
     odds, _ = marginals(((x - field.mean) / field.scale) @ field.weights[:-1] + field.weights[-1], field.moves, at)
-    value = _quality(odds, length, at)
+    value = _quality(odds, length, at, field.share)
     return np.where(np.isnan(value), field.share, _sigmoid(field.curve[0] * np.nan_to_num(value) + field.curve[1]))
 
 
@@ -238,11 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Field:
     share = F.when(F.col("quality") == 1, min(1.0, rows / max(1, kinds.get(1, 0)))).otherwise(min(1.0, rows / max(1, kinds.get(0, 0))))
     chosen = marked.where(place < share)  # about 2 * rows rows
     sample = documents(docs).join(F.broadcast(chosen), "doc_id").toPandas()
-    field = learn(sample[["doc_id", "text", "quality"]])
+    field = learn(sample[["doc_id", "text", "quality"]], kinds.get(1, 0) / sum(kinds.values()) if kinds else None)
     if len(kinds) == 2:  # the sample is balanced; the score is for the rows as they are
         odds = np.log(kinds[1] / kinds[0]) - np.log(max(1, (sample.quality == 1).sum()) / max(1, (sample.quality == 0).sum()))
         field.curve = (field.curve[0], field.curve[1] + float(odds)) if field.curve != (0.0, 0.0) else field.curve
-        field.share = kinds[1] / (kinds[0] + kinds[1])
     return field
 
 
