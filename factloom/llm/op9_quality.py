@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import BATCH_CHARS, code_points, documents, sums, tune
 from factloom.llm.pretokens import LETTER, NUMBER, SPACE, classes
 
-#: Bound of the sample of each label.
-ROWS = 1500
+#: Bounds of the sample: rows of each label, and code points of a row.
+ROWS, LONGEST = 1500, 200_000
+#: Lines after which a chain is cut in learning; scoring never cuts.
+CHAIN = 256
 #: Rounds of training and relabelling, steps of each, and the penalty on weights.
 ROUNDS, STEPS, PENALTY = 3, 150, 1e-3
 GOOD = 1
@@ -197,11 +199,12 @@ def learn(sample: pd.DataFrame, share: float | None = None) -> Field:
     x = np.concatenate(((x - mean) / scale, np.ones((len(x), 1))), axis=1)
     document = np.repeat(np.arange(len(y)), np.diff(at))
     label, found = y[document], None
+    chains = np.unique(np.concatenate([at, *[np.arange(a, b, CHAIN) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > CHAIN]]))
     weight = np.sqrt(length / length.mean())
     for _ in range(ROUNDS):
         balance = np.where(label == GOOD, 0.5 / max(1, (weight * label).sum()), 0.5 / max(1, (weight * (1 - label)).sum())) * weight
-        found = _train(x, at, label, balance * len(label), found)
-        odds, _ = marginals(x @ found[0], found[1], at)
+        found = _train(x, chains, label, balance * len(label), found)
+        odds, _ = marginals(x @ found[0], found[1], chains)
         label = np.where(y[document] == GOOD, GOOD, (odds > 0).astype(int))
         bad = np.flatnonzero(y[document] != GOOD)
         for rows in np.split(bad, np.flatnonzero(np.diff(document[bad])) + 1):  # a bad document has a bad line
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Field:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("quality") == 1, min(1.0, rows / max(1, kinds.get(1, 0)))).otherwise(min(1.0, rows / max(1, kinds.get(0, 0))))
     chosen = marked.where(place < share)  # about 2 * rows rows
-    sample = documents(docs).join(F.broadcast(chosen), "doc_id").toPandas()
+    sample = documents(docs).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").toPandas()
     field = learn(sample[["doc_id", "text", "quality"]], kinds.get(1, 0) / sum(kinds.values()) if kinds else None)
     if len(kinds) == 2:  # the sample is balanced; the score is for the rows as they are
         odds = np.log(kinds[1] / kinds[0]) - np.log(max(1, (sample.quality == 1).sum()) / max(1, (sample.quality == 0).sum()))
