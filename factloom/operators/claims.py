@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import intervals, text
+from factloom.operators.graph import with_checkpoints
 
 #: Predicates that hold one value for any subject, and subjects for which `uses` holds one.
 SINGLE = ["prefers"]
@@ -119,6 +120,7 @@ def consolidated(claims: DataFrame, evidence: DataFrame, sources: DataFrame, min
 
 def resolved_redirects(redirects: DataFrame, rounds: int = 20) -> DataFrame:
     """(entity_id, target_id) with every redirect followed to its end; a cycle is an error. redirects: entity_id, target_id."""
+    with_checkpoints(redirects.sparkSession)
     now = redirects.select("entity_id", "target_id")
     for _ in range(rounds):
         further = redirects.select(F.col("entity_id").alias("target_id"), F.col("target_id").alias("next_id"))

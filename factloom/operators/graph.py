@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges: columns a, b. Each round every node takes the least label around it and follows its label's own."""
-    spark = edges.sparkSession
+def with_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """edges: columns a, b. Each round every node takes the least label around it and follows its label's own."""
+    with_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")).checkpoint()
     for _ in range(rounds):

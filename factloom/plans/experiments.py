@@ -31,7 +31,7 @@ def a26(t: Store) -> DataFrame:
     return metrics.graded(rows).select("query_id", F.round("ndcg", 6).alias("ndcg"), F.round("required_recall", 6).alias("required_recall"))
 
 
-@query("A27_classification", "with c as (select first_relevance as e, second_relevance as p, count(*) as n from reviews group by e, p), l as (select unnest([0, 1, 2, 3]) as label), s as (select label, sum(n) filter (e = label and p = label) as tp, sum(n) filter (p = label) as pp, sum(n) filter (e = label) as ep from l, c group by label) select label, round(coalesce(tp, 0) / pp, 6) as precision, round(coalesce(tp, 0) / ep, 6) as recall, round(2 * coalesce(tp, 0) / (pp + ep), 6) as f1 from s")
+@query("A27_classification", "with c as (select first_relevance as e, second_relevance as p, count(*) as n from reviews group by e, p), l as (select unnest([0, 1, 2, 3]) as label), s as (select label, sum(n) filter (e = label and p = label) as tp, sum(n) filter (p = label) as pp, sum(n) filter (e = label) as ep from l, c group by label) select cast(label as bigint) as label, round(coalesce(tp, 0) / pp, 6) as precision, round(coalesce(tp, 0) / ep, 6) as recall, round(2 * coalesce(tp, 0) / (pp + ep), 6) as f1 from s")
 def a27(t: Store) -> DataFrame:
     return metrics.classification(t.reviews, "first_relevance", "second_relevance").select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -182,7 +182,7 @@ def m12(t: Store) -> DataFrame:
     return out.withColumn("change", F.round(F.try_divide("after", "before") - 1, 6))
 
 
-@query("M13_usage_mapping", "select id, hit, miss from (values (1, 40, 60), (2, null, null), (3, 10, 90)) v(id, hit, miss)")
+@query("M13_usage_mapping", "select id, hit::bigint as hit, miss::bigint as miss from (values (1, 40, 60), (2, null, null), (3, 10, 90)) v(id, hit, miss)")
 def m13(t: Store) -> DataFrame:
     rows = [(1, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40, "prompt_cache_miss_tokens": 60}'), (2, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40}'), (3, '{"input_tokens": 100, "cache_read": 10, "prompt_cache_miss_tokens": 90}')]
     number = lambda *names: F.coalesce(*[F.get_json_object("payload", f"$.{n}").cast("long") for n in names])

@@ -425,7 +425,7 @@ def s3(t: Store) -> DataFrame:
     return retrieval.postings(t.memories, weights={"title": 5.0, "content": 2.5}).where("term = 'tion'").select("memory_id", "tf")
 
 
-@query("S12_partitioned_read", "select count(*) as rows, sum(length(content)) as chars from memories")
+@query("S12_partitioned_read", "select count(*) as rows, sum(length(content))::bigint as chars from memories")
 def s12(t: Store) -> DataFrame:
     """Each task counts its own rows batch by batch; only the counts meet."""
 

@@ -74,7 +74,7 @@ def s8(t: Store) -> DataFrame:
     return t.memories.select("memory_id").join(t.vectors.select("memory_id"), "memory_id", "left_anti")
 
 
-@query("S9_export_manifest", "select 'memories' as kind, count(*) as rows, sum(length(content)) as chars from memories union all select 'claims', count(*), sum(length(object_value)) from claims union all select 'sources', count(*), sum(length(source_ref)) from sources")
+@query("S9_export_manifest", "select 'memories' as kind, count(*) as rows, sum(length(content))::bigint as chars from memories union all select 'claims', count(*), sum(length(object_value))::bigint from claims union all select 'sources', count(*), sum(length(source_ref))::bigint from sources")
 def s9(t: Store) -> DataFrame:
     size = lambda kind, df, c: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.length(c)).alias("chars"))
     return size("memories", t.memories, "content").union(size("claims", t.claims, "object_value")).union(size("sources", t.sources, "source_ref"))
