@@ -41,14 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors. `clear` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that this process stored, once their results are written; how many there were."""
+    paths, made = spark._jvm.org.apache.hadoop.fs.Path, len(_stored)
+    while _stored:
+        path = paths(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return made
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text (null: empty) and the named further columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
