@@ -129,9 +129,18 @@ def relaxed(scored: DataFrame, asked: DataFrame, needed: int) -> DataFrame:
 # --- vector channel --------------------------------------------------------------------------------------------------
 
 
+def dot(left: Column, right: Column) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(vector: Column) -> Column:
+    """The vector in double at length one; null where its norm is zero."""
+    norm = F.sqrt(dot(vector, vector))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
 def cosine(left: Column, right: Column) -> Column:
     """In double; null where a norm is zero or sizes differ."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
     return F.when((F.size(left) == F.size(right)) & (norms > 0), dot(left, right) / norms)
 
@@ -142,9 +151,10 @@ def cosine_top(vectors: DataFrame, asked: DataFrame, k: int, key: str = "memory_
     A stated query set meets all vectors block by block: the queries are copied to each block of vectors by an equi-join.
     """
     blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = asked.select("query_id", F.col("embedding").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = vectors.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    scored = left.join(right, "block").withColumn("score", (cosine(F.col("asked"), F.col("embedding")) + 1) / 2).where("score is not null")
+    left = asked.select("query_id", unit(F.col("embedding")).alias("asked")).where("asked is not null").select("query_id", "asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = vectors.select(key, unit(F.col("embedding")).alias("vector"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    # Lengths are one, so that a pair costs one product.
+    scored = left.join(right.where("vector is not null"), "block").where(F.size("asked") == F.size("vector")).select("query_id", key, ((dot(F.col("asked"), F.col("vector")) + 1) / 2).alias("score"))
     return best(scored, k, key).select("query_id", key, "score")
 
 
