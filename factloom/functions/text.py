@@ -33,9 +33,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+TERM = r"[\p{L}\p{N}]+"
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the diacritics of Latin letters; plain ASCII texts need no look at each letter."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+
+
 def terms(text: Column) -> Column:
-    """Index terms: letters and digits only, lower case, without the diacritics of Latin letters."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Index terms: letters and digits only, folded."""
+    return F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0))
+
+
+def term_count(text: Column) -> Column:
+    """How many index terms there are, without making them (folding changes no letter into another kind)."""
+    return F.regexp_count(text, F.lit(TERM))
 
 
 def jaccard(left: Column, right: Column) -> Column:

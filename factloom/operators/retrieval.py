@@ -98,7 +98,7 @@ def postings(documents: DataFrame, key: str = "memory_id", weights: dict[str, fl
 
 def collection(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One row: documents and their average length."""
-    length = sum((F.size(f) for f in _fields(weights or FIELD_WEIGHTS)), F.lit(0))
+    length = sum((text.term_count(F.coalesce(F.col(f), F.lit(""))) for f in weights or FIELD_WEIGHTS), F.lit(0))
     return documents.agg(F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("average"))
 
 
