@@ -213,6 +213,25 @@ def test_cross_entropy_difference_equals_brute_force(spark):
     assert op6_lm_score.difference(cases.frame(spark, []), target).count() == 0
 
 
+def test_cross_entropy_difference_tells_all_code_points_apart(spark):
+    scripts = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz"]
+    rng = random.Random(9)
+    filler = [(i, " ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(60))) for i, s in enumerate(scripts * 3)]
+    pairs = [(100, "語彙"), (101, "語彙"), (102, "別物"), (103, "1111 +"), (104, "2222 +"), (105, "1111 ="), (106, "1111 +")]
+    target = spark.createDataFrame([(100,), (103,)], "doc_id long")
+    out = {r["doc_id"]: r for r in op6_lm_score.difference(cases.texts(spark, filler + pairs), target).collect()}
+    assert out[100]["score"] == out[101]["score"] and out[103]["score"] == out[106]["score"]
+    assert out[102]["score"] > out[100]["score"] + 0.1 and min(out[104]["score"], out[105]["score"]) > out[103]["score"] + 0.1
+
+
+def test_cross_entropy_difference_is_the_same_in_many_blocks(spark, monkeypatch):
+    docs, target = cases.frame(spark), spark.createDataFrame([(1,), (10,), (22,)], "doc_id long")
+    seen = lambda: sorted((r["doc_id"] or -1, r["n_tokens"], round(r["target_loss"] or 0, 9), round(r["score"] or 0, 9)) for r in op6_lm_score.difference(docs, target).collect())
+    one = seen()
+    monkeypatch.setattr(op6_lm_score, "BLOCK", 3000)
+    assert seen() == one and len(one) == len(cases.rows())
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(6)
     docs, labels = [], []
