@@ -28,18 +28,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of least id.
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): that of least id, and least text hash.
 
-    Rows without an id stay; of rows that repeat id and text one stays.
+    Groups are decided by id and text, as an id may have several texts. Rows without an id stay; of rows that repeat id and
+    text one stays.
     """
-    found = stored(op3_near_dedup.groups(docs, size=5, percent=80), "groups")
+    found = stored(op3_near_dedup.by_text(docs, size=5, percent=80), "groups")
+    keys = [F.col("doc_id").alias("_of"), F.col("text_key").alias("_key")]
+    same = (F.col("doc_id").cast("long") == F.col("_of")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_key"))
     # Always a sort-merge join: what goes grows with the corpus, so it is never broadcast.
-    kept = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(found.where("not least and doc_id is not null").select(*keys).distinct().hint("merge"), same, "left_anti").select(*docs.columns)
+    twice = found.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("_of", "_key")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    again = kept.join(twice, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").select(*docs.columns).unionByName(again)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def survive(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MIS
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (shingles), node (digest of the set; null if empty) and signature."""
+    """doc_id, text_key (a hash of the text, as rows of one id may differ), n (shingles), node (digest of the set; null if empty) and signature."""
     number = BANDS * WIDE
 
     def run(frames):
@@ -77,9 +77,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             hashes, at = distinct_shingles(frame.text.tolist(), size)
             n = np.diff(at)
             signature = signatures(hashes, at, number)
-            yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64"), "n": n, "node": pd.array(np.where(n > 0, nodes(hashes, at), 0), dtype="Int64").astype(object), "signature": [s.tobytes() for s in signature]}).assign(node=lambda f: f.node.where(f.n > 0, None))
+            yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64"), "text_key": frame.text_key, "n": n, "node": pd.array(np.where(n > 0, nodes(hashes, at), 0), dtype="Int64").astype(object), "signature": [s.tobytes() for s in signature]}).assign(node=lambda f: f.node.where(f.n > 0, None))
 
-    return documents(docs).mapInPandas(run, "doc_id long, n long, node long, signature binary")
+    return documents(docs).withColumn("text_key", F.xxhash64("text")).mapInPandas(run, "doc_id long, text_key long, n long, node long, signature binary")
 
 
 def nodes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -188,11 +188,22 @@ def _around_heads(compared: DataFrame, roots: DataFrame, percent: int) -> DataFr
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
+    return by_text(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def by_text(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """As `groups`, with text_key (xxhash64 of the text), and least: whether no row of the group has a smaller (doc_id, text_key).
+
+    Each group whose rows have ids so has a least text, though its id may have others. Rows without an id are never least
+    among rows with one; texts without a word are least of their own.
+    """
     spark = docs.sparkSession
     tune(spark)
     made = stored(_sets(docs, size), "sets")
-    classes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
-    known = stored(made.where("node is not null").join(classes.select("node", "least_id"), "node").where("doc_id <=> least_id").dropDuplicates(["node"]).select("node", "doc_id", "n", "signature"), "nodes")
+    least_row = lambda: F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least_row")
+    classes = made.where("node is not null").groupBy("node").agg(least_row(), F.first("n").alias("n"))
+    known = made.where("node is not null").join(classes.select("node", "least_row"), "node").where("doc_id <=> least_row.doc_id").dropDuplicates(["node"])
+    known = stored(known.select("node", "doc_id", F.col("least_row.text_key").alias("text_key"), "n", "signature"), "nodes")
     # Bands: two nodes of sizes below percent of each other can't be similar.
     width = 2 * WIDE
     bands = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(BANDS)])).alias("key"))
@@ -208,9 +219,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = stored(_around_heads(compared, roots, percent), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
-    labels = roots.join(known.select("node", "doc_id"), "node")
-    least = labels.groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    labels = labels.join(least, "root").select("node", F.col("least_id").alias("component_id"))
-    own = known.select("node", F.col("doc_id").alias("own_id")).join(labels, "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
-    out = made.select("doc_id", "n", "node").join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = roots.join(known.select("node", "doc_id", "text_key"), "node")
+    least = labels.groupBy("root").agg(least_row())
+    labels = labels.join(least, "root").select("node", "least_row")
+    alone = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
+    own = known.select("node", alone.alias("own_row")).join(labels, "node", "left").select("node", F.coalesce("least_row", "own_row").alias("least_row"))
+    out = made.select("doc_id", "text_key", "n", "node").join(own, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_row.doc_id")).alias("component_id"), "text_key",
+        F.coalesce((F.col("doc_id") == F.col("least_row.doc_id")) & (F.col("text_key") == F.col("least_row.text_key")), F.col("least_row").isNull()).alias("least"),
+    )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -61,6 +61,15 @@ def test_stages_keep_columns_and_clean_rows(stages):
     assert sorted({r["doc_id"] for r in stages["packing"].collect()}) == near
 
 
+def test_near_dedup_leaves_a_text_of_each_group(spark):
+    a, b, c = (" ".join(cases.words(k, 80)) for k in (61, 62, 63))
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (11, f"{c} more"), (11, None), (12, c), (13, ""), (13, "")]
+    out = corpus_pipeline.near_dedup(spark, cases.texts(spark, rows), "").collect()
+    found = sorted((r["doc_id"], r["text"] or "") for r in out)
+    assert [f for f in found if f[0] < 11] == [(3, a), (5, b)] and found.count((13, "")) == 1 and (11, "") in found
+    assert len([f for f in found if f[0] in (11, 12) and f[1]]) == 1 and len(found) == 5
+
+
 def test_pipeline_over_empty_documents(spark):
     docs = cases.frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
