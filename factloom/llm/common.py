@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; whole texts make larger batches heavy.
 ARROW_ROWS = 256
 #: Code points that a Python step holds as arrays at once; one longer text is still taken whole.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -33,9 +33,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session on one machine that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,29 +46,105 @@ def shared_dir(spark: SparkSession) -> str:
 _stored: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors. `clear` removes it."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-    _stored.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    For what a returned DataFrame still reads; `clear` removes it. What is done with before a function returns is a Scratch's.
+    """
+    out, path = _written(df, name)
+    _stored.append(path)
+    return out
 
 
 def clear(spark: SparkSession) -> int:
     """Removes the tables that this process stored, once their results are written; how many there were."""
-    paths, made = spark._jvm.org.apache.hadoop.fs.Path, len(_stored)
+    made = len(_stored)
     while _stored:
-        path = paths(_stored.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(spark, _stored.pop())
     return made
 
 
+class Scratch:
+    """Stored tables that go at the end of a with block, or before by `drop`; nothing returned may read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _deleted(self.spark, self.paths.pop(id(table))[1])
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.paths.values():
+            _deleted(self.spark, path)
+        self.paths = {}
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text (null: empty) and the named further columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of the bitmap that a Marks holds.
+MARK_BITS = 1 << 26
+
+
+class Marks:
+    """A bitmap of fixed size, broadcast, that marks the texts of some keys: tells a scan which texts may be meant.
+
+    A text that isn't marked is surely not meant; whoever needs to be sure of the others joins on the key.
+    """
+
+    def __init__(self, keys: DataFrame):
+        """keys: one column of longs, hashes of texts as `key` gives them."""
+        bit = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(MARK_BITS)).alias("bit"))
+        pages = bit.groupBy((F.col("bit") / 32768).cast("long").alias("page")).agg(F.expr("bitmap_construct_agg(cast(bit % 32768 as int))").alias("bits"))
+        held = np.zeros(MARK_BITS // 8, np.uint8)
+        for row in pages.toLocalIterator():  # at most MARK_BITS / 8 bytes, whatever the input
+            held[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    @staticmethod
+    def key() -> Column:
+        return F.xxhash64("text")
+
+    @staticmethod
+    def within(shared, keys: np.ndarray) -> np.ndarray:
+        place = keys.astype(np.int64) & (MARK_BITS - 1)
+        return (shared.value[place >> 3] >> (place & 7) & 1).astype(bool)
+
+
 def parts(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     """The rows in pieces whose texts hold about so many code points."""
     for frame in frames:
@@ -98,10 +176,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of values between starts[i] and starts[i + 1]; empty ranges give 0."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Sums of values between starts[i] and starts[i + 1]; empty ranges give 0. A range's sum doesn't depend on the others."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(np.diff(starts) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0, dtype=out.dtype)
+    return out
 
 
 #: Base of the polynomial hashes (odd, so that its powers have inverses modulo 2**64).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored
+from factloom.llm.common import Scratch, stored
 
 #: Rounds at most; stars need about the logarithm of the longest path.
 ROUNDS = 60
@@ -27,14 +27,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node of its component. edges: columns a, b of longs."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(ROUNDS):
-        now = stored(_small_star(_large_star(now)), "edges")
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()  # one row
-        if (new["n"], new["s"]) == mark:
-            break
-        mark = (new["n"], new["s"])
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    with Scratch(edges.sparkSession) as held:
+        now = held.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = None
+        for _ in range(ROUNDS):
+            before, now = now, held.stored(_small_star(_large_star(now)), "edges")
+            held.drop(before)
+            new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()  # one row
+            if (new["n"], new["s"]) == mark:
+                break
+            mark = (new["n"], new["s"])
+        else:
+            raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+        return stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "roots")
