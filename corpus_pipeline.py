@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op10_language
-from factloom.llm.common import stored, tune
+from factloom.llm.common import fresh, stored, tune
 from factloom.llm.queries import vocabulary
 
 
@@ -23,8 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language a model accepts; texts without a letter and outliers of every language go."""
     tune(spark)
     models = op10_language.fit(docs)
-    judged = docs.withColumn("_language", op10_language.language(models, spark))
-    return judged.where("_language.accepted").select(*docs.columns)
+    return docs.where(op10_language.language(models, spark)["accepted"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +33,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text one stays.
     """
     found = stored(op3_near_dedup.by_text(docs, size=5, percent=80), "groups")
-    keys = [F.col("doc_id").alias("_of"), F.col("text_key").alias("_key")]
-    same = (F.col("doc_id").cast("long") == F.col("_of")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_key"))
+    of, key = fresh(docs, "of", "of_text")
+    keys = [F.col("doc_id").alias(of), F.col("text_key").alias(key)]
+    same = (F.col("doc_id").cast("long") == F.col(of)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(key))
     # Always a sort-merge join: what goes grows with the corpus, so it is never broadcast.
     kept = docs.join(found.where("not least and doc_id is not null").select(*keys).distinct().hint("merge"), same, "left_anti").select(*docs.columns)
-    twice = found.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("_of", "_key")
+    twice = found.where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(of, key)
     if twice.isEmpty():
         return kept
     again = kept.join(twice, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
