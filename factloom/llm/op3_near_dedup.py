@@ -4,19 +4,19 @@
 2. Nodes that agree on a whole band of the signature are candidates. Each node is first paired with the least node of its
    bucket only.
 3. Pairs compare their signatures batch by batch; a pair goes as soon as the posterior probability (uniform prior on the
-   similarity) that it reaches the threshold falls below MISS. Survivors are confirmed on the full sets. Nodes of buckets
-   with more than two members are compared with their head in any case, for step 4.
-4. Components of the links are found. Two nodes that meet in a bucket may be similar though one misses the head: what both
-   changed against the head tells exactly (see _around_heads). They are compared in blocks, and only components that do not
-   hang together yet. No pair within a bucket is left undecided, and no pairs of a bucket are made as rows.
+   similarity) that it reaches the threshold falls below MISS. Survivors are confirmed on the full sets.
+4. Components of the links are found. Two nodes that meet in a bucket may be similar though one misses the head. Around heads
+   with such nodes, and only there, the nodes meet in blocks bounded by rows and by members of their sets: pairs of different
+   components compare signatures as in step 3, survivors their full sets, and a block gives one link at most for two
+   components (see _around_heads). No pair within a bucket is left undecided, and no pairs of a bucket are made as rows.
 
 A pair at the threshold itself shares no band with a probability of (1 - 0.8**6)**40, about 5e-6, and less beyond it.
-Full sets are made anew for the documents in surviving pairs; a bitmap of fixed size tells the scan which those are.
+Full sets are made anew for the nodes that need them; a bitmap of fixed size tells the scan which texts those are.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and are linked with nothing; a null id
-is nobody's smallest id, and its row is its own component (null) unless linked with others; rows of one id are nodes of
-their own by content, and stay or go together with their id; ties go to the smallest id; an empty table gives an empty
-result; other columns are ignored.
+is nobody's smallest id, and its row links others like any row; it is its own component (null) unless linked with others;
+rows of one id are nodes of their own by content; ties go to the smallest id; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, mixed, parts, ragged, stored, tune
+from factloom.llm.common import Marks, Scratch, documents, mixed, parts, ragged, salted_left_join, stored, tune
 from factloom.llm.components import components
 from factloom.llm.shingles import distinct_shingles, signatures
 
@@ -37,10 +37,12 @@ from factloom.llm.shingles import distinct_shingles, signatures
 BANDS, WIDE = 40, 6
 #: Hash functions that are compared before each decision, and the probability of losing a true pair at a decision.
 BATCH, MISS = 24, 1e-7
-#: Bits of the bitmap of documents whose sets are made anew.
-BITS = 1 << 26
-#: Nodes on either side that meet in one block around a head.
-BLOCK = 256
+#: Nodes on either side that meet in one block around a head, and members of their sets in all.
+BLOCK, MEMBERS = 1024, 500_000
+#: Pairs of signatures that are compared at once.
+PAIRS = 100_000
+#: Nodes that meet one copy of their head's set.
+STAR = 512
 
 
 @lru_cache(maxsize=64)
@@ -58,14 +60,20 @@ def least_matches(compared: int, percent: int, miss: float) -> int:
     return compared
 
 
-def survive(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MISS, batch: int = BATCH) -> np.ndarray:
-    """Which pairs of signature rows outlast all batches."""
-    alive = np.arange(len(left))
-    matches = np.zeros(len(left), int)
-    for end in range(batch, left.shape[1] + 1, batch):
-        matches[alive] += (left[alive, end - batch : end] == right[alive, end - batch : end]).sum(axis=1)
-        alive = alive[matches[alive] >= least_matches(end, percent, miss)]
-    return alive
+def survive(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MISS, batch: int = BATCH, i: np.ndarray | None = None, j: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of signature rows (i of left with j of right; by default row by row) outlast all batches."""
+    i = np.arange(len(left)) if i is None else i
+    j = np.arange(len(right)) if j is None else j
+    out = []
+    for first in range(0, len(i), PAIRS):
+        alive = np.arange(first, min(first + PAIRS, len(i)))
+        matches = np.zeros(len(alive), np.int64)
+        for end in range(batch, left.shape[1] + 1, batch):
+            matches += (left[i[alive], end - batch : end] == right[j[alive], end - batch : end]).sum(axis=1)
+            keep = matches >= least_matches(end, percent, miss)
+            alive, matches = alive[keep], matches[keep]
+        out.append(alive)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -97,93 +105,109 @@ def _kept_by_signature(pairs: DataFrame, known: DataFrame, percent: int) -> Data
     def run(frames):
         for frame in frames:
             left, right = (np.frombuffer(b"".join(frame[c]), np.uint16).reshape(len(frame), -1) for c in ("left", "right"))
-            alive = survive(left, right, percent)
-            keep = frame.members.to_numpy() > 2
-            keep[alive] = True
-            yield frame[["a", "b"]][keep]
+            yield frame[["a", "b"]].iloc[survive(left, right, percent)]
 
     left = known.select(F.col("node").alias("a"), F.col("signature").alias("left"))
     right = known.select(F.col("node").alias("b"), F.col("signature").alias("right"))
-    return pairs.select("a", "b", "members").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
-def _full_sets(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the nodes in pairs (a, b), made anew from their texts."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(known.select("node", "doc_id"), "node").select("doc_id")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    pages = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("long").alias("page")).agg(F.expr("bitmap_construct_agg(cast(bit % 32768 as int))").alias("bits"))
-    held = np.zeros(BITS // 8, np.uint8)
-    for row in pages.toLocalIterator():  # at most BITS / 8 bytes, whatever the input
-        held[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(held)
+def _full_sets(ends: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the nodes of ends, made anew from their texts."""
+    shared = Marks(ends.join(known.select("node", "text_key"), "node").select("text_key")).shared
 
     def run(frames):
         for frame in frames:
-            place = frame.bit.to_numpy()
-            frame = frame[(shared.value[place >> 3] >> (place & 7) & 1).astype(bool)]
-            for part in parts([frame]):
+            for part in parts([frame[Marks.within(shared, frame.text_key.to_numpy())]]):
                 hashes, at = distinct_shingles(part.text.tolist(), size)
                 yield pd.DataFrame({"node": nodes(hashes, at), "shingles": np.split(hashes.view(np.int64), at[1:-1])})[np.diff(at) > 0]
 
-    rows = documents(docs).where("doc_id is not null").select("text", bit.alias("bit"))
-    sets = rows.mapInPandas(run, "node long, shingles array<long>").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    return stored(sets, "sets")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with the sizes of a and b, whether they are similar, and what a has beyond b, then b beyond a."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("others"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumns({"added": F.array_except("own", "others"), "missing": F.array_except("others", "own")})
-    added, missing, size = F.size("added").cast("long"), F.size("missing").cast("long"), F.size("others").cast("long")
-    return joined.select(
-        "a", "b", size.alias("size"), (100 * (size - missing) >= percent * (size + added)).alias("similar"),
-        (100 * missing + percent * added).alias("cost"), F.concat("added", "missing").alias("changes"),
-    )
-
-
-def _common(s: pd.Series, x: pd.Series) -> np.ndarray:
-    """How many members each of the lists s shares with each of the lists x."""
-    left, right = (np.concatenate([np.asarray(v, np.int64) for v in c]) if len(c) else np.zeros(0, np.int64) for c in (s, x))
-    left_row, right_row = (np.repeat(np.arange(len(c)), [len(v) for v in c]) for c in (s, x))
-    order = np.argsort(right, kind="stable")
-    right, right_row = right[order], right_row[order]
-    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-    pairs = np.repeat(left_row, high - low) * len(x) + right_row[ragged(low, high - low)]
-    return np.bincount(pairs, minlength=len(s) * len(x)).reshape(len(s), len(x))
-
-
-def _around_heads(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, of nodes that were compared with one head and of which one at least is not similar to it.
-
-    Of nodes s and x with changes against a head of size h, the sets share h - missing(s) - missing(x) + o members, where o is
-    how many changes they have in common; so they are similar exactly if cost(s) + cost(x) - (100 + percent) * o is at most
-    (100 - percent) * h. Nodes around a head meet in blocks of about BLOCK by BLOCK, whatever their number, and each block
-    gives one link for two components at most.
+    rows = documents(docs).select("text", Marks.key().alias("text_key"))
+    return rows.mapInPandas(run, "node long, shingles array<long>").join(ends, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets are similar. A head b of many pairs is repeated once for each STAR of them."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
+    dealt = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy"))
+    heads = copies.join(sets, copies["b"] == sets["node"]).select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("others"))
+    own = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
+    both = F.size(F.array_intersect("own", "others")).cast("long")
+    found = own.join(heads, ["b", "copy"]).select("a", "b", F.size("own").alias("n"), F.size("others").alias("m"), both.alias("both"))
+    return found.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+
+
+def _flat(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all sets side by side, and how many each set has."""
+    sets = [np.asarray(r, np.int64) for r in rows]
+    return np.concatenate(sets), np.array([len(r) for r in sets])
+
+
+def meet(s: pd.DataFrame, x: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of s and x (columns node, root, signature, shingles): similar nodes, at most one pair for two
+    components that hang together otherwise."""
+    left, right = (np.frombuffer(b"".join(f.signature), np.uint16).reshape(len(f), -1) for f in (s, x))
+    _, root = np.unique(np.concatenate((s.root.to_numpy(), x.root.to_numpy())), return_inverse=True)
+    left_root, right_root = root[: len(s)], root[len(s) :]
+    (own, n), (other, m) = _flat(s.shingles), _flat(x.shingles)
+    order = np.argsort(other, kind="stable")
+    row = np.repeat(np.arange(len(x)), m)[order]
+    other = other[order]
+    own_at = np.cumsum(n) - n
+    parent = np.arange(root.max() + 1)
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    links = []
+    for i in range(len(s)):
+        now = find(left_root[i])
+        top = np.array([find(k) for k in range(len(parent))]) if i % 64 == 0 else top
+        j = np.flatnonzero((top[right_root] != now) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)))
+        j = j[survive(left, right, percent, i=np.full(len(j), i), j=j)]
+        if not len(j):
+            continue
+        mine = own[own_at[i] : own_at[i] + n[i]]
+        low, high = np.searchsorted(other, mine, "left"), np.searchsorted(other, mine, "right")
+        both = np.bincount(row[ragged(low, high - low)], minlength=len(x))[j]
+        for k in j[100 * both >= percent * (n[i] + m[j] - both)].tolist():
+            a, b = find(left_root[i]), find(right_root[k])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(s.node.iloc[i]), int(x.node.iloc[k])))
+    return links
+
+
+def _around_heads(star: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, of nodes that met one head and of which one at least is not similar to it.
+
+    star: all pairs (a, b) of a node and a head. Nodes around a head meet in blocks, whatever their number.
     """
-    rooted = compared.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", "b", "size", "similar", "cost", "changes", F.coalesce("root", "a").alias("root"))
+    near = links.withColumn("similar", F.lit(True))
+    rooted = star.select("a", "b").join(near, ["a", "b"], "left").join(roots.withColumnRenamed("node", "a"), "a", "left").join(known.select(F.col("node").alias("a"), "n"), "a")
+    rooted = rooted.select("a", "b", "n", F.col("similar").isNull().alias("far"), F.coalesce("root", "a").alias("root"))
+    weight = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     # Without two components around it, a head has nothing to add.
-    heads = rooted.groupBy("b").agg(F.count("*").alias("around"), F.count_if(~F.col("similar")).alias("far"), F.min("root").alias("low"), F.max("root").alias("high")).where("far > 0 and around > 1 and low < high")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    own = rooted.join(heads.select("b", blocks("around").alias("x_blocks"), blocks("far").alias("s_blocks")), "b")
-    far = own.where(~F.col("similar")).withColumns({"s_block": F.pmod(F.xxhash64("a"), "s_blocks").cast("int"), "x_block": F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))})
+    heads = rooted.groupBy("b").agg(
+        F.count("*").alias("around"), weight(F.lit(True)).alias("members"), F.count_if("far").alias("n_far"), weight(F.col("far")).alias("far_members"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).where("n_far > 0 and around > 1 and low < high")
+    blocks = lambda rows, members: F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(members) / MEMBERS)).cast("int")
+    own = rooted.join(heads.select("b", blocks("around", "members").alias("x_blocks"), blocks("n_far", "far_members").alias("s_blocks")), "b")
+    own = own.join(known.select(F.col("node").alias("a"), "signature"), "a").join(sets.withColumnRenamed("node", "a"), "a")
+    far = own.where("far").withColumns({"s_block": F.pmod(F.xxhash64("a"), "s_blocks").cast("int"), "x_block": F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))})
     every = own.withColumns({"x_block": F.pmod(F.xxhash64("a"), "x_blocks").cast("int"), "s_block": F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1))})
-    columns = ["b", "s_block", "x_block", "a", "root", "cost", "changes"]
-
-    def meet(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(s) or not len(x):
-            return pd.DataFrame({"a": [], "b": []})
-        room = (100 - percent) * int(s["size"].iloc[0])
-        near = s.cost.to_numpy()[:, None] + x.cost.to_numpy() - (100 + percent) * _common(s.changes, x.changes) <= room
-        near &= s.root.to_numpy()[:, None] != x.root.to_numpy()
-        i, j = np.nonzero(near)
-        found = pd.DataFrame({"a": s.a.to_numpy()[i], "b": x.a.to_numpy()[j], "ra": s.root.to_numpy()[i], "rb": x.root.to_numpy()[j]})
-        return found.drop_duplicates(["ra", "rb"])[["a", "b"]]
-
     keys = ["b", "s_block", "x_block"]
-    left, right = far.select(*columns, "size").toDF(*columns, "size"), every.select(*columns).toDF(*columns)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long")
+    columns = [*keys, F.col("a").alias("node"), "root", "signature", "shingles"]
+
+    def run(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(meet(s, x, percent) if len(s) and len(x) else [], columns=["a", "b"]).astype("int64")
+
+    names = [*keys, "node", "root", "signature", "shingles"]
+    left, right = (side.select(*columns).toDF(*names).groupBy(*keys) for side in (far, every))
+    return left.cogroup(right).applyInPandas(run, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -197,35 +221,34 @@ def by_text(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Each group whose rows have ids so has a least text, though its id may have others. Rows without an id are never least
     among rows with one; texts without a word are least of their own.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    made = stored(_sets(docs, size), "sets")
-    least_row = lambda: F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least_row")
-    classes = made.where("node is not null").groupBy("node").agg(least_row(), F.first("n").alias("n"))
-    known = made.where("node is not null").join(classes.select("node", "least_row"), "node").where("doc_id <=> least_row.doc_id").dropDuplicates(["node"])
-    known = stored(known.select("node", "doc_id", F.col("least_row.text_key").alias("text_key"), "n", "signature"), "nodes")
-    # Bands: two nodes of sizes below percent of each other can't be similar.
-    width = 2 * WIDE
-    bands = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(BANDS)])).alias("key"))
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(bands.join(heads, "key"), "buckets")
-    met = shared.where(F.col("node") != F.col("head.node")).where(near(F.col("n"), F.col("head.n")) | (F.col("members") > 2))
-    star = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max("members").alias("members"))
-    star = stored(_kept_by_signature(stored(star, "pairs"), known, percent), "pairs")
-    compared = stored(_compared(star, _full_sets(star, known, docs, size), percent), "compared")
-    links = compared.where("similar").select("a", "b")
-    roots = components(links)
-    more = stored(_around_heads(compared, roots, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    labels = roots.join(known.select("node", "doc_id", "text_key"), "node")
-    least = labels.groupBy("root").agg(least_row())
-    labels = labels.join(least, "root").select("node", "least_row")
-    alone = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))
-    own = known.select("node", alone.alias("own_row")).join(labels, "node", "left").select("node", F.coalesce("least_row", "own_row").alias("least_row"))
-    out = made.select("doc_id", "text_key", "n", "node").join(own, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_row.doc_id")).alias("component_id"), "text_key",
-        F.coalesce((F.col("doc_id") == F.col("least_row.doc_id")) & (F.col("text_key") == F.col("least_row.text_key")), F.col("least_row").isNull()).alias("least"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    tune(docs.sparkSession)
+    with Scratch(docs.sparkSession) as held:
+        made = held.stored(_sets(docs, size), "sets")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n", "signature")).alias("first")
+        known = held.stored(made.where("node is not null").groupBy("node").agg(first).select("node", "first.*"), "nodes")
+        # Bands: two nodes of sizes below percent of each other can't be similar.
+        width = 2 * WIDE
+        bands = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(BANDS)])).alias("key"))
+        near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+        heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
+        fits = near(F.col("n"), F.col("head.n"))
+        met = bands.join(heads, "key").where(F.col("node") != F.col("head.node")).where(fits | (F.col("members") > 2))
+        star = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max(F.col("members") > 2).alias("more"), F.max(fits).alias("fits"))
+        star = held.stored(star, "pairs")
+        close = held.stored(_kept_by_signature(star.where("fits"), known, percent), "close")
+        ends = star.where("more").select("a", "b").union(close.select("a", "b"))
+        sets = held.stored(_full_sets(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct(), known, docs, size), "sets")
+        links = held.stored(_confirmed(close, sets, percent), "links")
+        roots = components(links)
+        more = held.stored(_around_heads(star.where("more"), links, roots, sets, known, percent), "links")
+        if not more.isEmpty():
+            roots = components(links.union(more))
+        own_row = F.when(~F.col("no_id"), F.struct("doc_id", "text_key"))
+        labels = roots.join(known.select("node", own_row.alias("own_row")), "node")
+        labels = labels.join(labels.groupBy("root").agg(F.min("own_row").alias("least_row")), "root").select("node", "least_row")
+        own = known.select("node", own_row.alias("own_row")).join(labels, "node", "left").select("node", F.coalesce("least_row", "own_row").alias("least_row"))
+        out = salted_left_join(made.select("doc_id", "text_key", "n", "node"), own, ["node"]).select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_row.doc_id")).alias("component_id"), "text_key",
+            F.coalesce((F.col("doc_id") == F.col("least_row.doc_id")) & (F.col("text_key") == F.col("least_row.text_key")), F.col("least_row").isNull()).alias("least"),
+        )
+        return stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())), "groups")
