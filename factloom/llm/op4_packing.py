@@ -3,8 +3,9 @@
 Texts become token ids, and only texts beyond the capacity are cut. What is packed are counts of lengths: at most
 `capacity` of them, however many texts there are, so the search runs on the driver at any scale. Best-fit decreasing gives
 the first incumbent. Branch and bound then looks for one sequence less: around the largest length left it enumerates
-undominated fillings, least waste first, applies one as often as the counts allow, and prunes when the waste so far exceeds
-what one sequence less leaves. It ends at the lower bound, or after `nodes` nodes with the incumbent.
+undominated fillings, least waste first, applies one as often as the counts allow or once, and prunes when the waste so far
+exceeds what one sequence less leaves. A search that ends without a packing goes on with more fillings at each node. It ends
+at the lower bound (of all partial sums of large lengths), or after NODES nodes with the incumbent: that is its only limit.
 
 Each piece then finds its place by its rank among the pieces of its length: ranks come from counts by task, without a
 shuffle of a length to one task.
@@ -33,6 +34,8 @@ CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
+#: Nodes of the search for one packing less; fillings of a node and steps to find them in the first search (later ones have more).
+NODES, FILLINGS, STEPS = 20_000, 4, 400
 Run = tuple[tuple[int, ...], int]
 
 
@@ -81,7 +84,7 @@ def fillings(counts: dict[int, int], space: int, most_waste: int, steps: int, ke
 
     def dominated(items: tuple[int, ...], waste: int) -> bool:
         used = Counter(items)
-        free = lambda low, high: any(counts[x] > used.get(x, 0) for x in rising[bisect_left(rising, low) : bisect_right(rising, high)][:8])
+        free = lambda low, high: any(counts[x] > used.get(x, 0) for x in rising[bisect_left(rising, low) : bisect_right(rising, high)])
         return any(free(a + 1, a + waste) for a in set(items)) or any(free(a + b, a + b + waste) for a, b in set(combinations(items, 2)))
 
     def grow(at: int, room: int, items: tuple[int, ...]) -> bool:
@@ -104,20 +107,21 @@ def fillings(counts: dict[int, int], space: int, most_waste: int, steps: int, ke
     return sorted(set(found))[:keep]
 
 
-def complete(counts: dict[int, int], capacity: int, most_waste: int, nodes: int) -> list[Run] | None:
-    """Bin completion with at most so much waste in all, or None if none was found."""
+def complete(counts: dict[int, int], capacity: int, most_waste: int, nodes: int, keep: int = FILLINGS, steps: int = STEPS) -> tuple[list[Run] | None, int]:
+    """Bin completion with at most so much waste in all (None if none was found), and the nodes that are left."""
     counts = dict(counts)
 
-    def options(waste: int) -> list[tuple[int, tuple[int, ...]]]:
+    def options(waste: int) -> list[tuple[int, tuple[int, ...], bool]]:
+        """Fillings, the best last; each as often as the counts allow (True) before once (False)."""
         largest = max(x for x, n in counts.items() if n)
         counts[largest] -= 1
-        out = [(w, (largest, *items)) for w, items in fillings(counts, capacity - largest, most_waste - waste, 400, 4)]
+        out = [(w, (largest, *items)) for w, items in fillings(counts, capacity - largest, most_waste - waste, steps, keep)]
         counts[largest] += 1
-        return out[::-1]
+        return [(w, items, often) for w, items in out[::-1] for often in (False, True)]
 
     total = sum(counts.values())
     if not total:
-        return []
+        return [], nodes
     path: list[Run] = []
     stack = [(options(0), 0)]
     while stack and nodes:
@@ -131,29 +135,52 @@ def complete(counts: dict[int, int], capacity: int, most_waste: int, nodes: int)
                 total += times * len(items)
             continue
         nodes -= 1
-        w, items = choices.pop()
+        w, items, often = choices.pop()
         times = min(counts[x] // n for x, n in Counter(items).items())
         if w:
             times = min(times, (most_waste - waste) // w)
+        if not often:
+            if times == 1:  # tried already
+                continue
+            times = 1
         for x in items:
             counts[x] -= times
         total -= times * len(items)
         path.append((items, times))
         if not total:
-            return path
+            return path, nodes
         stack.append((options(waste + w * times), waste + w * times))
-    return None
+    return None, nodes
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: for every k, lengths beyond capacity - k stand alone among those of k or more, and the others of more than
+    half need a bin each, whose room the lengths from k to half may not exceed."""
+    number = np.zeros(capacity + 2, np.int64)
+    for x, n in counts.items():
+        number[x] += n
+    upto, weight = np.cumsum(number), np.cumsum(number * np.arange(capacity + 2))
+    best, half = -(-int(weight[-1]) // capacity), capacity // 2
+    for k in range(half + 1):
+        alone, large = int(upto[capacity] - upto[capacity - k]), int(upto[capacity - k] - upto[half])
+        room = large * capacity - int(weight[capacity - k] - weight[half])
+        small = int(weight[half] - (weight[k - 1] if k else 0))
+        best = max(best, alone + large + max(0, -(-(small - room) // capacity)))
+    return best
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000) -> list[Run]:
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Run]:
     """As few bins as found for so many pieces of each length."""
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
-    best = best_fit(counts, capacity)
-    halves = sum(n for x, n in counts.items() if 2 * x > capacity)  # no two of these share a bin
-    lower = max(-(-total // capacity), halves)
+    best, lower = best_fit(counts, capacity), least_bins(counts, capacity)
     while (bins := sum(n for _, n in best)) > lower:
-        better = complete(counts, capacity, (bins - 1) * capacity - total, nodes)
+        better, left, keep = None, nodes, FILLINGS
+        while better is None and left:
+            better, left = complete(counts, capacity, (bins - 1) * capacity - total, left, keep, STEPS * keep // FILLINGS)
+            if better is None and keep > capacity:
+                break
+            keep *= 4
         if better is None:
             break
         best = better
@@ -167,7 +194,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 2
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(bpe.located(path))
 
 
 def token_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
