@@ -1,15 +1,15 @@
 """Byte-pair encoding of whole batches in padded numpy matrices.
 
 Distinct words are put in buckets by length. In each round every row merges its leftmost pair of minimum rank; pairs are
-looked up in a hashed table, and rows without a further merge leave the matrix. Words beyond the widest bucket are merged
-with a heap over linked pairs, in n log n steps, with the same order of merges.
+looked up in a hashed table, and rows without a further merge leave the matrix. A word beyond the widest bucket is a matrix of
+one row, in which a round does at once the rounds that would merge the same pair one after another (see merge_wide).
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -26,6 +26,15 @@ KNOWN = 200_000
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, WIDEST)
 
 
+def located(path: str) -> str:
+    """A vocabulary file: a path, or the name of one of the public tokenizers, looked up where the task runs."""
+    if os.path.dirname(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 class Pairs:
     """(left, right) -> (rank, merged id)."""
 
@@ -60,7 +69,7 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def rank_vocabulary(path: str) -> Vocabulary:
     """A file of base64 tokens with ranks: any two tokens whose bytes together are a token may merge, at that token's rank."""
-    with open(path, "rb") as file:
+    with open(located(path), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     found = [(ranks[token[:k]], ranks[token[k:]], rank, rank) for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
     single = [ranks[bytes([b])] for b in range(256)]
@@ -83,7 +92,7 @@ def byte_letters() -> list[str]:
 @lru_cache(maxsize=2)
 def word_vocabulary(path: str) -> Vocabulary:
     """A file of merges with word ends."""
-    with open(path, encoding="utf-8") as file:
+    with open(located(path), encoding="utf-8") as file:
         model = json.load(file)["model"]
     ids, end = model["vocab"], model["end_of_word_suffix"]
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -92,38 +101,34 @@ def word_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pairs, [ids[c] for c in letters], [ids[c + end] for c in letters], spaced=False)
 
 
-def merge_long(ids: list[int], pairs: Pairs) -> list[int]:
-    """One long word: the leftmost pair of minimum rank, again and again, from a heap."""
-    n = len(ids)
-    ids = list(ids)
-    after, before, gone = [*range(1, n), -1], [-1, *range(n - 1)], [False] * n
-    rank, merged = pairs.find(np.array(ids[:-1]), np.array(ids[1:]))
-    heap = [(int(r), i, ids[i], ids[i + 1], int(m)) for i, (r, m) in enumerate(zip(rank, merged, strict=True)) if r != NO_RANK]
-    heapq.heapify(heap)
-    known: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def push(i: int) -> None:
-        j = after[i]
-        pair = (ids[i], ids[j])
-        if pair not in known:
-            r, m = pairs.find(np.array(pair[:1]), np.array(pair[1:]))
-            known[pair] = int(r[0]), int(m[0])
-        r, m = known[pair]
-        if r != NO_RANK:
-            heapq.heappush(heap, (r, i, *pair, m))
-
-    while heap:
-        _, i, a, b, m = heapq.heappop(heap)
-        j = after[i]
-        if gone[i] or j < 0 or ids[i] != a or ids[j] != b:
-            continue
-        ids[i], gone[j], after[i] = m, True, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-            push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return [x for x, out in zip(ids, gone, strict=True) if not out]
+def merge_wide(ids: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """One wide row: in each round its pairs of minimum rank merge from the left, up to the first that makes a pair of lower rank.
+
+    So many rounds of one merge each would have done the same: until then the leftmost of these pairs has the minimum rank.
+    """
+    rank, merged = pairs.find(ids[:-1], ids[1:])
+    while len(rank) and (best := rank.min()) != NO_RANK:
+        at = np.flatnonzero(rank == best)
+        run = np.concatenate(([True], np.diff(at) > 1))  # of pairs that overlap every second one merges
+        head = np.flatnonzero(run)[np.cumsum(run) - 1]
+        at = at[(np.arange(len(at)) - head) % 2 == 0]
+        made = merged[at]
+        left = np.where(np.concatenate(([False], at[:-1] + 2 == at[1:])), np.concatenate((made[:1], made[:-1])), ids[np.maximum(at - 1, 0)])
+        after = np.minimum(at + 2, len(ids) - 1)
+        lower = ((at > 0) & (pairs.find(left, made)[0] < best)) | ((at + 2 < len(ids)) & (pairs.find(made, ids[after])[0] < best))
+        if lower.any():
+            last = int(lower.argmax()) + 1
+            at, made = at[:last], made[:last]
+        ids = ids.copy()
+        ids[at] = made
+        ids = np.delete(ids, at + 1)
+        place = at - np.arange(len(at))
+        gone = np.minimum(at + 1, len(rank) - 1)  # the pair that began with the second half, or the last one
+        rank, merged = np.delete(rank, gone), np.delete(merged, gone)
+        fresh = np.unique(np.concatenate((place - 1, place)))
+        fresh = fresh[(fresh >= 0) & (fresh < len(ids) - 1)]
+        rank[fresh], merged[fresh] = pairs.find(ids[fresh], ids[fresh + 1])
+    return ids
 
 
 def merge_rows(ids: np.ndarray, width: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +196,7 @@ def encode_words(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray
             counts[piece], begins[piece] = width, used + np.cumsum(width) - width
             used += len(found[-1])
     for row in np.flatnonzero(size > WIDEST):
-        ids = np.array(merge_long(first[start[row] : start[row] + size[row]].tolist(), vocabulary.pairs), np.int32)
+        ids = merge_wide(first[start[row] : start[row] + size[row]], vocabulary.pairs)
         found.append(ids)
         counts[row], begins[row] = len(ids), used
         used += len(ids)
