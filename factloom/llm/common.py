@@ -116,6 +116,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key counts as hot from this share of the rows on; so there are at most as many hot keys. Parts that each is dealt to.
+HOT, SALTS = 200, 64
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left.join(right, keys, "left") by sort-merge, where hot keys of left are dealt to SALTS parts and right's rows of them repeated.
+
+    right has few rows of each key. At most HOT keys are broadcast, whatever the input.
+    """
+    total = left.count()
+    hot_name, salt = fresh(left, "hot", "salt")
+    hot = left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias(hot_name)).limit(HOT)
+    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)  # at most HOT rows
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(hot_name), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop(hot_name)
+    copies = F.when(F.col(hot_name), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(copies)).drop(hot_name)
+    return dealt.join(repeated.hint("merge"), [*keys, salt], "left").drop(salt)
+
+
 #: Bits of the bitmap that a Marks holds.
 MARK_BITS = 1 << 26
 

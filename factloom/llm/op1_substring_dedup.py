@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from factloom.llm.common import BASE, Marks, Scratch, code_points, documents, fresh, mixed, parts, range_hashes, stored, tune
+from factloom.llm.common import BASE, Marks, Scratch, code_points, documents, fresh, mixed, parts, range_hashes, salted_left_join, stored, tune
 
 #: Top bits that are zero at a border (one place in 32), and code points before a border that must hold no other.
 BORDER_BITS, CLEAR = 5, 8
@@ -214,7 +214,7 @@ def repeats(docs: DataFrame, least: int = WORDS) -> DataFrame:
         # Always sort-merge joins: all sides grow with the corpus.
         asks = held.stored(texts.join(runs.hint("merge"), ["doc_id", "text_key"]).mapInPandas(_neighbours, ASKS), "asks")
         offers = asks.where("run < 0").groupBy("holder", "digest", "side").agg(F.min("near").alias("offered"))
-        other = asks.where("run >= 0 and doc_id <> holder").join(offers.hint("merge"), ["holder", "digest", "side"], "left")
+        other = salted_left_join(asks.where("run >= 0 and doc_id <> holder"), offers, ["holder", "digest", "side"])
         other = held.stored(other.withColumn("extension", _extension("side", "near", "offered")).select(*asks.columns, "extension.*"), "ends")
         # A holder's own passage reaches as far as those of the others.
         most = other.groupBy("holder", "digest", "side").agg(F.max("chars").alias("chars"), F.max("more").alias("more"))

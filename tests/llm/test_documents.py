@@ -315,7 +315,19 @@ def test_quality_on_held_out_documents(spark):
     assert op9_quality.scored(cases.frame(spark, []), marked).count() == 0
 
 
-def test_chain_marginals_equal_brute_force():
+def test_a_quality_score_is_a_function_of_its_text(spark):
+    rng = np.random.default_rng(5)
+    texts = [t or "" for _, t, *_ in cases.rows()] + ["\n".join(" ".join(cases.words(50 * k + j, 9)) + ("!!" if j % 3 else ".") for j in range(1 + 40 * k)) for k in range(9)]
+    field = op9_quality.Field(rng.normal(size=39), rng.random(39) + 0.5, rng.normal(size=40), rng.normal(size=(2, 2)), (3.0, -1.0), 0.6)
+    alone = [float(op9_quality.score([t], field)[0]) for t in texts]
+    assert op9_quality.score(texts, field).tolist() == alone and op9_quality.score(texts[::-1], field).tolist() == alone[::-1]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for dealt in (rows.coalesce(1), rows.repartition(7)):
+        assert {r["i"]: r["s"] for r in dealt.select("i", op9_quality.quality(field, spark).alias("s")).collect()} == dict(enumerate(alone))
+
+
+def test_chain_marginals_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(op9_quality, "SEGMENT", 2)
     rng = np.random.default_rng(3)
     at = np.array([0, 0, 3, 4, 9])
     score, moves = rng.normal(size=9), rng.normal(size=(2, 2))

@@ -5,6 +5,8 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -13,15 +15,14 @@ from factloom.llm import bpe, op4_packing, op5_bpe
 from factloom.llm.queries import vocabulary
 from tests.llm import cases
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS, WORDS = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
 def library():
-    with open(RANKS, "rb") as f:
+    with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def noise(n):
@@ -34,11 +35,28 @@ def test_ids_equal_those_of_the_libraries(library):
     texts = noise(600)
     ids, at = bpe.encode(texts, bpe.rank_vocabulary(RANKS))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
-    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(WORDS))
     ids, at = op4_packing.token_ids([*texts, "a <|endoftext|> b"], WORDS)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, "a <|endoftext|> b"]]
 
 
+def test_wide_words_equal_the_libraries(library):
+    rng = random.Random(7)
+    alphabets = ["ab", "the", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "éßaü"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (257, 300, 999, 2500)] + ["a" * 5000, "=" * 3001, "the" * 900]
+    ids, at = bpe.encode(texts, bpe.rank_vocabulary(RANKS))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    ids, at = op4_packing.token_ids(texts, WORDS)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_whole_documents_equal_the_library(library):
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    ids, at = bpe.encode(texts, bpe.rank_vocabulary(RANKS))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library.encode_ordinary_batch(texts)
+
+
 def test_encoding_and_decoding_of_awkward_rows(spark, library):
     out = {r["doc_id"]: r for r in op5_bpe.digests(cases.frame(spark), RANKS).collect()}
     for doc_id, text, *_ in cases.rows():
@@ -50,7 +68,7 @@ def test_encoding_and_decoding_of_awkward_rows(spark, library):
 
 
 def test_packing_places_every_piece(spark):
-    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(WORDS))
     out = op4_packing.pack(cases.frame(spark), WORDS).collect()
     wanted = Counter()
     for doc_id, text, *_ in cases.rows():

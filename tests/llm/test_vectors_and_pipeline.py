@@ -30,10 +30,19 @@ def test_the_tree_leaves_pages_closed():
     centers = rng.normal(size=(40, 6)) * 50
     vectors = np.floor(np.repeat(centers, 150, axis=0) + rng.normal(size=(6000, 6))).astype(np.int64)
     tree = op7_topk.MTree(np.arange(6000), vectors)
-    found = tree.search(vectors[10], 10, 5)
-    scores = vectors @ vectors[10]
-    assert [s for s, _ in found] == sorted(np.delete(scores, 10).tolist(), reverse=True)[:5]
-    assert tree.computed < 3000
+    asked = np.arange(0, 6000, 50)
+    best, ids = tree.search(vectors[asked], asked, 5)
+    scores = vectors @ vectors[asked].T
+    for j, q in enumerate(asked.tolist()):
+        wanted = [i for i in np.lexsort((np.arange(6000), -scores[:, j])).tolist() if i != q][:5]
+        assert ids[j].tolist() == wanted and best[j].tolist() == scores[wanted, j].tolist()
+    assert tree.computed < 0.5 * 6000 * len(asked)
+
+
+def test_scores_beyond_doubles_are_exact():
+    vectors = np.array([[3_000_000_001, 7], [3_000_000_001, 8], [2, 1], [3_000_000_000, 9]], np.int64)
+    best, ids = op7_topk.MTree(np.array([4, 3, 2, 1]), vectors).search(vectors[:1], np.array([4]), 5)
+    assert ids[0].tolist()[:3] == [3, 1, 2] and best[0].tolist()[0] == 3_000_000_001**2 + 56 and ids[0][3] == op7_topk.NO_ID
 
 
 @pytest.fixture(scope="module")
