@@ -179,7 +179,8 @@ def test_base_spans_equal_the_patterns():
 def test_personal_data_of_awkward_rows_and_additions(spark):
     rows = [(i, t) for i, (_, t, *_) in enumerate(cases.rows())]
     rows += [(100 + i, f"call +1 (514) 555-{1000 + i} now, card 4111111111111111 ok, mail a{i}@b.com") for i in range(60)]
-    rows += [(200, "a +1 (514) 555-8389 23.102.220.119 b"), (201, "x 7536784127813050 4845168114407329 y"), (202, "long 1234567890123456 number")]
+    rows += [(200, "a +1 (514) 555-8389 23.102.220.119 b"), (201, "x 7536784127813050 4845168114407329 y"), (202, "long 1234567890123456 number"), (203, f"here token='{'0a1b2c3d4e' * 4}' ends"), (204, "see https://example.org/a/long/path/of/words and title=introduction")]
+    rows += [(300 + i, f'with token = "{hashlib.sha1(bytes([i])).hexdigest()}" set') for i in range(40)]
     docs = cases.texts(spark, rows)
     out = {r["doc_id"]: r for r in op2_pii.detect(docs).collect()}
     for i, text in rows:
@@ -188,12 +189,22 @@ def test_personal_data_of_awkward_rows_and_additions(spark):
         assert out[i]["base_sha256"] == hashlib.sha256(spelled.encode()).hexdigest()
         assert [out[i][f"n_{k}"] for k in op2_pii.KINDS] == [len(base[k]) for k in op2_pii.KINDS]
         assert set(filter(None, spelled.split(","))) <= set(out[i]["spans"].split(","))
+    assert out[203]["spans"] == "secret:12:52" and out[203]["n_secret"] == 1 and out[204]["spans"] == ""
     assert "phone:2:19" in out[200]["spans"] and "card:19:35" in out[201]["spans"] and out[202]["spans"] == ""
     text = {r["doc_id"]: r["text"] for r in op2_pii.redact(docs).collect()}
     assert text[200] == "a [PHONE] [IP] b" and text[201] == "x 7536784127813050 [CARD] y" and text[3] is None
     assert op2_pii.detect(cases.frame(spark, [])).count() == 0
 
 
+def test_long_numbers_and_texts_are_searched():
+    for text in ("0" * 5000 + "1.2.3.4", "1." * 3000, "9" * 20000, "+1 " * 2000, "a@b." * 500, "x" * 5000 + "=" + "y" * 5000, "ab:" * 3000):
+        found = op2_pii.base_spans(text)
+        if text[0] not in "09":
+            assert found == plain_spans(text)
+        op2_pii.candidates(text, found)
+    assert op2_pii.base_spans("0" * 5000 + "1.2.3.4")["ip"] == [(0, 5007)]
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.3
