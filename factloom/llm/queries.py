@@ -70,10 +70,10 @@ def queries() -> dict:
 
 TOP_K_SQL = """
 with whole as (
-  select cast(vec_id as bigint) as vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as vector
+  select cast(vec_id as bigint) as vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as vector
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(cast(x as double)) or isinf(cast(x as double)))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(cast(x as double)) or isinf(cast(x as double)))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.vector, c.vector) as score
   from whole q join whole c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
