@@ -131,8 +131,23 @@ def canonical_predicate(predicate: Column) -> Column:
     return F.when(out == "", F.lit("states")).otherwise(out)
 
 
+#: The patterns of code terms, each with its group.
+CODE_TERMS = [
+    (r"`([^`]+)`", 1),
+    (r"\b(?:[\w.-]+[\\/])*[\w.-]+\.(?i:py|pyi|js|jsx|ts|tsx|rs|go|java|cpp|c|h|toml|yaml|yml|json)\b", 0),
+    (r"(?<![\w.-])(?:[A-Za-z]:)?[\\/][\w.\\/-]+", 0),
+    (r"\b([A-Za-z_][A-Za-z0-9_.]*)\(\)", 1),
+    (r"\b[A-Z][A-Z0-9_]{2,}\b", 0),
+]
+
+
 def exact_terms(query: Column) -> Column:
-    """Distinct code terms: back-ticked text, file names, paths, calls and upper-case names."""
-    patterns = [(r"`([^`]+)`", 1), (r"\b(?:[\w.-]+[\\/])*[\w.-]+\.(?i:py|pyi|js|jsx|ts|tsx|rs|go|java|cpp|c|h|toml|yaml|yml|json)\b", 0), (r"(?<![\w.-])(?:[A-Za-z]:)?[\\/][\w.\\/-]+", 0), (r"\b([A-Za-z_][A-Za-z0-9_.]*)\(\)", 1), (r"\b[A-Z][A-Z0-9_]{2,}\b", 0)]
-    found = F.flatten(F.array(*[F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in patterns]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda t: F.translate(F.lower(F.trim(t)), "\\", "/")), lambda t: t != "")))
+    """Distinct code terms of at most 1000 characters, in lower case without quotes around them."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in CODE_TERMS]))
+    bare = F.transform(found, lambda t: F.translate(F.lower(F.regexp_replace(t, r"^[\s\"'`]+|[\s\"'`]+$", "")), "\\", "/"))
+    return F.array_sort(F.array_distinct(F.filter(bare, lambda t: (t != "") & (F.length(t) <= 1000))))
+
+
+def entity_words(query: Column) -> Column:
+    """Distinct words that may name an entity: runs of letters, digits and . + # / - in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_.+#/-]+"), F.lit(0)))

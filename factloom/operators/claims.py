@@ -88,11 +88,16 @@ def classified_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def graph_seeds(claims: DataFrame, entities: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, memory_id, claim_id, priority): each memory's best claim about a word; exact entity names come first. words: query_id, word."""
-    rows = claims.join(entities.select(F.col("entity_id").alias("subject_entity_id"), "entity_type"), "subject_entity_id")
-    hit = rows.join(words, rows["entity_type"] == words["word"]).withColumn("priority", F.lit(2))
-    rank = F.row_number().over(Window.partitionBy("query_id", "memory_id").orderBy(F.desc("priority"), F.desc("recorded_at"), "claim_id"))
-    return hit.withColumn("memory_rank", rank).where("memory_rank = 1").select("query_id", "memory_id", "claim_id", "priority", "recorded_at")
+    """(query_id, memory_id, claim_id, priority, recorded_at): each memory's best claim about a word's entity.
+
+    An entity's own name (priority 2) comes before its type (1). words: query_id, word.
+    """
+    named = words.join(entities.select(F.col("normalized_name").alias("word"), "entity_id"), "word").select("query_id", "entity_id", F.lit(2).alias("priority"))
+    typed = words.join(entities.select(F.col("entity_type").alias("word"), "entity_id"), "word").select("query_id", "entity_id", F.lit(1).alias("priority"))
+    found = named.union(typed).groupBy("query_id", F.col("entity_id").alias("subject_entity_id")).agg(F.max("priority").alias("priority"))
+    rows = claims.select("claim_id", "memory_id", "subject_entity_id", "recorded_at").join(found, "subject_entity_id")
+    best = rows.groupBy("query_id", "memory_id").agg(F.min_by(F.struct("claim_id", "priority", "recorded_at"), F.struct(-F.col("priority"), -F.unix_micros(F.col("recorded_at").cast("timestamp")), F.col("claim_id"))).alias("best"))
+    return best.select("query_id", "memory_id", "best.claim_id", "best.priority", "best.recorded_at")
 
 
 def one_hop(seeds: DataFrame, relations: DataFrame) -> DataFrame:
@@ -102,6 +107,17 @@ def one_hop(seeds: DataFrame, relations: DataFrame) -> DataFrame:
     return forward.union(back).distinct()
 
 
+def graph_channel(claims: DataFrame, entities: DataFrame, relations: DataFrame, words: DataFrame, limit: int) -> DataFrame:
+    """(query_id, memory_id, rank): memories of the seeds, then those one relation away, at most `limit` of each query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("priority"), F.desc("recorded_at"), "claim_id")
+    seeds = graph_seeds(claims, entities, words).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    held = seeds.groupBy("query_id").agg(F.count("*").alias("seeds"))
+    near = one_hop(seeds.select("query_id", "claim_id"), relations).join(claims.select("claim_id", "memory_id"), "claim_id")
+    near = near.groupBy("query_id", "memory_id").agg(F.min("claim_id").alias("claim_id")).join(seeds.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("claim_id"))).join(held, "query_id").withColumn("rank", F.col("seeds") + F.col("place"))
+    return seeds.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank")).union(near.where(F.col("rank") <= limit).select("query_id", "memory_id", "rank"))
+
+
 def consolidated(claims: DataFrame, evidence: DataFrame, sources: DataFrame, minimum_sources: int = 3, minimum_days: float = 7) -> DataFrame:
     """Per (subject, predicate): the dominant assertion, independent sources, span of days, and none, candidate or contested."""
     usable = claims.where("status in ('accepted', 'contested') and stale_state <> 'stale'")
@@ -155,14 +171,16 @@ def mutation_state(exists: Column, same_blob: Column, moved: Column, symbol: Col
 
 
 def anchor_matches(claims: DataFrame, evidence: DataFrame, anchors: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, memory_id, rank) by the best match of a term: exact symbol, exact path, symbol end, path end, containment. wanted: query_id, term."""
-    rows = claims.select("claim_id", "memory_id").join(evidence.select("claim_id", "anchor_id"), "claim_id").join(anchors.select("anchor_id", F.lower("path").alias("path"), F.lower("symbol_fqn").alias("symbol")), "anchor_id")
-    rows = rows.select("memory_id", "path", "symbol").distinct()
-    small = F.broadcast(wanted.select("query_id", "term"))  # the terms of a stated query set
-    hit = rows.join(small, F.contains(F.col("path"), F.col("term")) | F.contains(F.col("symbol"), F.col("term")))
+    """(query_id, memory_id, rank) by the best match of a term: exact symbol, exact path, symbol end, path end, containment. wanted: query_id, term.
+
+    Terms meet the anchors, as containment has no key; only anchors that match one are joined with evidence and claims.
+    """
+    own = anchors.select("anchor_id", F.lower("path").alias("path"), F.lower("symbol_fqn").alias("symbol"))
+    hit = own.join(wanted.select("query_id", "term").distinct(), F.contains(F.col("path"), F.col("term")) | F.contains(F.col("symbol"), F.col("term")))
     flag = lambda c: c.cast("int")
     match = F.struct(flag(F.col("symbol") == F.col("term")), flag(F.col("path") == F.col("term")), flag(F.endswith(F.col("symbol"), F.col("term"))), flag(F.endswith(F.col("path"), F.col("term"))))
-    best = hit.groupBy("query_id", "memory_id").agg(F.max(match).alias("match"))
+    best = hit.groupBy("query_id", "anchor_id").agg(F.max(match).alias("match")).join(evidence.select("anchor_id", "claim_id"), "anchor_id").join(claims.select("claim_id", "memory_id"), "claim_id")
+    best = best.groupBy("query_id", "memory_id").agg(F.max("match").alias("match"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("match"), "memory_id"))).select("query_id", "memory_id", "rank")
 
 

@@ -199,6 +199,17 @@ def merged(lists: list[DataFrame], key: str = "memory_id") -> DataFrame:
     return out.groupBy("query_id", key).agg(F.max("score").alias("score"))
 
 
+def channel_status(counts: DataFrame, requested: Column, applicable: Column, available: Column, fell_back: Column) -> DataFrame:
+    """counts (a row a query and channel, with `eligible` rows found) with the status of the channel's execution.
+
+    not_requested, not_applicable (nothing in the query for it), unavailable, provider_fallback, executed_empty or executed.
+    """
+    status = (
+        F.when(~requested, "not_requested").when(~applicable, "not_applicable").when(~available, "unavailable").when(fell_back, "provider_fallback").when(F.col("eligible") == 0, "executed_empty").otherwise("executed")
+    )
+    return counts.withColumn("status", status)
+
+
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import intervals, text
@@ -17,18 +17,22 @@ def at():
     return intervals.moment("2024-06-01 00:00:00")
 
 
+AT = "timestamp '2024-06-01'"
+#: Memories that a search may return.
+ELIGIBLE = f"""elig as (select memory_id from memories where status = 'active' and (valid_from is null or valid_from <= {AT}) and (valid_to is null or {AT} < valid_to) and (ttl_seconds is null or {AT} < created_at + to_seconds(ttl_seconds))
+    and memory_id not in (select memory_id from health where temperature = 'archived'))"""
 FOLD = f"translate(lower({{0}}), '{text.ACCENTED}', '{text.PLAIN}')"
 TERMS = "regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{N}}]+')"
 #: DuckDB text of the lexical channel, scored rows of all queries.
-BM25 = f"""fields as (select memory_id, unnest([5.0, 2.5, 1.0, 2.0, 1.0])::double as weight, unnest([{', '.join(TERMS.format(f"coalesce({c}, '')") for c in retrieval.FIELD_WEIGHTS)}]) as terms from memories),
+BM25 = f"""{ELIGIBLE}, fields as (select memory_id, unnest([5.0, 2.5, 1.0, 2.0, 1.0])::double as weight, unnest([{', '.join(TERMS.format(f"coalesce({c}, '')") for c in retrieval.FIELD_WEIGHTS)}]) as terms from memories),
     lengths as (select memory_id, sum(len(terms)) as length from fields group by memory_id), words as (select memory_id, weight, unnest(terms) as term from fields),
     postings as (select memory_id, term, sum(weight) as tf from words group by memory_id, term), q as (select distinct query_id, unnest(list_slice({TERMS.format('query')}, 1, 24)) as term from asks),
     df as (select term, count(*) as df from postings group by term), n as (select (select count(*) from memories) as n, (select sum(length) from lengths) as total),
     bm25 as (select query_id, p.memory_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (total / n)))) as score, count(*) as matched
         from q join df using (term) join postings p using (term) join lengths l on l.memory_id = p.memory_id cross join n group by query_id, p.memory_id),
-    fts as (select query_id, memory_id, score, row_number() over (partition by query_id order by round(score, 9) desc, memory_id) as rank from bm25)"""
+    fts as (select query_id, memory_id, score, row_number() over (partition by query_id order by round(score, 9) desc, memory_id) as rank from bm25 join elig using (memory_id))"""
 COSINE = """cosines as (select a.query_id, b.memory_id, (list_cosine_similarity(a.embedding::double[], b.embedding::double[]) + 1) / 2 as score from (select query_id, embedding from asks join vectors on memory_id = query_id) a, vectors b),
-    vec as (select query_id, memory_id, score, row_number() over (partition by query_id order by round(score, 9) desc, memory_id) as rank from cosines)"""
+    vec as (select query_id, memory_id, score, row_number() over (partition by query_id order by round(score, 9) desc, memory_id) as rank from cosines join elig using (memory_id))"""
 
 
 def scored(t: Store) -> DataFrame:
@@ -37,33 +41,64 @@ def scored(t: Store) -> DataFrame:
     return retrieval.bm25(index, retrieval.collection(t.memories), asked).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
 
 
+def eligible(t: Store) -> DataFrame:
+    return retrieval.visible(t.memories, t.health, at()).select("memory_id")
+
+
 def lexical(t: Store, k: int) -> DataFrame:
-    return retrieval.best(scored(t), k)
+    return retrieval.best(scored(t).join(eligible(t), "memory_id", "left_semi"), k)
 
 
-def semantic(t: Store, k: int) -> DataFrame:
+def semantic(t: Store, k: int, only: DataFrame | None = None) -> DataFrame:
     asked = t.asks.join(t.vectors.select(F.col("memory_id").alias("query_id"), "embedding"), "query_id")
-    rows = retrieval.cosine_top(t.vectors, asked, k).withColumn("score", F.round("score", 9))
+    vectors = t.vectors.join(only, "memory_id", "left_semi") if only is not None else t.vectors
+    rows = retrieval.cosine_top(vectors, asked, k).withColumn("score", F.round("score", 9))
     return retrieval.best(rows, k)
 
 
 def recent_claims(t: Store, k: int) -> DataFrame:
     """The temporal channel: newest claims' memories, the same list for every query."""
-    newest = t.claims.where("status in ('accepted', 'superseded')").groupBy("memory_id").agg(F.max("recorded_at").alias("recorded_at"))
+    newest = t.claims.where("status in ('accepted', 'superseded')").join(eligible(t), "memory_id", "left_semi").groupBy("memory_id").agg(F.max("recorded_at").alias("recorded_at"))
     ranked = newest.orderBy(F.desc("recorded_at"), "memory_id").limit(k)
-    from pyspark.sql import Window
-
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("recorded_at"), "memory_id")))  # at most k rows
     return t.asks.select("query_id").join(F.broadcast(ranked.select("memory_id", "rank")))
 
 
-TEMPORAL = "temporal as (select query_id, memory_id, rank from asks, (select memory_id, row_number() over (order by recorded_at desc, memory_id) as rank from (select memory_id, max(recorded_at) as recorded_at from claims where status in ('accepted', 'superseded') group by memory_id)) where rank <= 30)"
-FUSED = """every as (select query_id, memory_id, 'fts' as channel, rank, 1.0::double as weight from fts where rank <= 50 union all select query_id, memory_id, 'vector', rank, 1.0 from vec where rank <= 50 union all select query_id, memory_id, 'temporal', rank, 0.9 from temporal),
-    fused as (select query_id, memory_id, sum(weight / (60 + rank)) as score, min(case when channel = 'fts' then rank end) as fts_rank, min(case when channel = 'vector' then rank end) as vector_rank, min(case when channel = 'temporal' then rank end) as temporal_rank from every group by query_id, memory_id)"""
+def source_anchors(t: Store, k: int) -> DataFrame:
+    """Memories whose evidence lies in code that a query names."""
+    wanted = t.asks.select("query_id", F.explode(text.exact_terms(F.col("query"))).alias("term"))
+    claims = t.claims.join(eligible(t), "memory_id", "left_semi")
+    return truth.anchor_matches(claims, t.claim_evidence, t.anchors, wanted).where(F.col("rank") <= k)
+
+
+def graph(t: Store, k: int) -> DataFrame:
+    """Memories with claims about entities that a query names, and those one relation away."""
+    words = t.asks.select("query_id", F.explode(text.entity_words(F.col("query"))).alias("word"))
+    claims = t.claims.where("status in ('accepted', 'contested')").join(eligible(t), "memory_id", "left_semi")
+    return truth.graph_channel(claims, t.entities, t.claim_relations, words, k)
+
+
+TEMPORAL = f"temporal as (select query_id, memory_id, rank from asks, (select memory_id, row_number() over (order by recorded_at desc, memory_id) as rank from (select memory_id, max(recorded_at) as recorded_at from claims join elig using (memory_id) where status in ('accepted', 'superseded') group by memory_id)) where rank <= 30)"
+ANCHORED = """named as (select distinct query_id, term from (select query_id, unnest(list_concat(regexp_extract_all(query, '`([^`]+)`', 1), regexp_extract_all(query, '[a-z_]+[.]py'))) as term from asks)),
+    code as (select query_id, memory_id, max((symbol = term)::int * 8 + (path = term)::int * 4 + ends_with(symbol, term)::int * 2 + ends_with(path, term)::int) as m from (select c.memory_id, lower(a.path) as path, lower(a.symbol_fqn) as symbol from claims c join elig using (memory_id) join claim_evidence e using (claim_id) join anchors a using (anchor_id)) r
+        join named on contains(path, term) or contains(symbol, term) group by query_id, memory_id), anchored as (select * from (select query_id, memory_id, row_number() over (partition by query_id order by m desc, memory_id) as rank from code) where rank <= 50)"""
+GRAPH = """topic_words as (select query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_.+#/-]+'))) as word from asks), usable as (select c.* from claims c join elig using (memory_id) where status in ('accepted', 'contested')),
+    topics as (select query_id, entity_id, max(case when normalized_name = word then 2 else 1 end) as priority from topic_words join entities on normalized_name = word or entity_type = word group by query_id, entity_id),
+    seeds as (select * from (select *, row_number() over (partition by query_id order by priority desc, recorded_at desc, claim_id) as rank from (select query_id, u.memory_id, claim_id, recorded_at, priority, row_number() over (partition by query_id, u.memory_id order by priority desc, recorded_at desc, claim_id) as n from usable u join topics on entity_id = subject_entity_id) where n = 1) where rank <= 30),
+    hops as (select query_id, u.memory_id, min(u.claim_id) as claim_id from (select query_id, to_id as claim_id from seeds join claim_relations on from_id = claim_id union select query_id, from_id from seeds join claim_relations on to_id = claim_id) h join usable u using (claim_id) where not exists (select 1 from seeds s where s.query_id = h.query_id and s.memory_id = u.memory_id) group by query_id, u.memory_id),
+    graph as (select query_id, memory_id, rank from seeds union all select * from (select query_id, memory_id, (select count(*) from seeds s where s.query_id = hops.query_id) + row_number() over (partition by query_id order by claim_id) as rank from hops) where rank <= 30)"""
+CHANNELS = ["fts", "vector", "source_anchor", "graph", "temporal"]
+FUSED = f"""{TEMPORAL}, {ANCHORED}, {GRAPH}, every as (select query_id, memory_id, 'fts' as channel, rank, 1.0::double as weight from fts where rank <= 50 union all select query_id, memory_id, 'vector', rank, 1.0 from vec where rank <= 50 union all select query_id, memory_id, 'source_anchor', rank, 1.0 from anchored
+    union all select query_id, memory_id, 'graph', rank, 0.82 from graph union all select query_id, memory_id, 'temporal', rank, 0.9 from temporal),
+    fused as (select query_id, memory_id, sum(weight / (60 + rank)) as score, {', '.join(f"min(case when channel = '{c}' then rank end) as {c}_rank" for c in CHANNELS)} from every group by query_id, memory_id)"""
+
+
+def channels(t: Store) -> dict[str, DataFrame]:
+    return {"fts": lexical(t, 50), "vector": semantic(t, 50, eligible(t)), "source_anchor": source_anchors(t, 50), "graph": graph(t, 30), "temporal": recent_claims(t, 30)}
 
 
 def fused(t: Store) -> DataFrame:
-    return retrieval.fuse({"fts": lexical(t, 50), "vector": semantic(t, 50), "temporal": recent_claims(t, 30)})
+    return retrieval.fuse(channels(t))
 
 
 @query("R1_query_plan", f"""select query_id, case {' '.join(f"when {' or '.join(f"contains(lower(query), '{w}')" for w in words)} then '{name}'" for name, _, words in retrieval.INTENTS)} else 'broad_search' end as intent,
@@ -96,9 +131,9 @@ def r4(t: Store) -> DataFrame:
     return pairs.select("id", F.round(text.cjk_similarity(F.col("query"), F.col("document")), 6).alias("score"))
 
 
-@query("R5_cosine_top", f"with {COSINE} select query_id, memory_id, round(score, 6) as score, rank from vec where rank <= 5")
+@query("R5_cosine_top", f"with {ELIGIBLE}, {COSINE} select query_id, memory_id, round(score, 6) as score, rank from vec where rank <= 5")
 def r5(t: Store) -> DataFrame:
-    return semantic(t, 5).select("query_id", "memory_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return semantic(t, 5, eligible(t)).select("query_id", "memory_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 SCOPES = "case scope_type when 'task' then 1.0 when 'branch' then 0.92 when 'repository' then 0.84 when 'workspace' then 0.72 when 'user' then 0.62 else 0.5 end::double"
@@ -109,33 +144,29 @@ def r7(t: Store) -> DataFrame:
     return retrieval.blended(t.memories.withColumns({"lexical": F.lit(0.35), "semantic": F.lit(None).cast("double")}), at()).select("memory_id", F.round("score", 6).alias("score"))
 
 
-@query("R8_source_anchor_channel", """with w as (select * from (values (1, 'brand#12'), (1, 'steel'), (2, 'brand#3'), (3, 'tin')) v(query_id, term)), hit as (select query_id, memory_id, max((symbol = term)::int * 8 + (path = term)::int * 4 + ends_with(symbol, term)::int * 2 + ends_with(path, term)::int) as m from
-    (select distinct c.memory_id, lower(a.path) as path, lower(a.symbol_fqn) as symbol from claims c join claim_evidence e using (claim_id) join anchors a using (anchor_id)) r join w on contains(path, term) or contains(symbol, term) group by query_id, memory_id)
-    select query_id, memory_id, rank from (select query_id, memory_id, row_number() over (partition by query_id order by m desc, memory_id) as rank from hit) where rank <= 20""")
+@query("R8_source_anchor_channel", f"with {ELIGIBLE}, {ANCHORED} select query_id, memory_id, rank from anchored")
 def r8(t: Store) -> DataFrame:
-    wanted = t.spark.createDataFrame([(1, "brand#12"), (1, "steel"), (2, "brand#3"), (3, "tin")], "query_id int, term string")
-    return truth.anchor_matches(t.claims, t.claim_evidence, t.anchors, wanted).where("rank <= 20").select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+    return source_anchors(t, 50).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("R9_graph_channel", "with w as (select * from (values (1, 'building'), (2, 'machinery')) v(query_id, word)) select query_id, memory_id, claim_id from (select query_id, memory_id, claim_id, row_number() over (partition by query_id, memory_id order by recorded_at desc, claim_id) as n from claims c join entities e on e.entity_id = c.subject_entity_id join w on w.word = e.entity_type) where n = 1")
+@query("R9_graph_channel", f"with {ELIGIBLE}, {GRAPH} select query_id, memory_id, rank from graph")
 def r9(t: Store) -> DataFrame:
-    words = t.spark.createDataFrame([(1, "building"), (2, "machinery")], "query_id int, word string")
-    return truth.graph_seeds(t.claims, t.entities, words).select("query_id", "memory_id", "claim_id")
+    return graph(t, 30)
 
 
-@query("R9b_temporal_channel", f"with {TEMPORAL} select query_id, memory_id, rank from temporal")
+@query("R9b_temporal_channel", f"with {ELIGIBLE}, {TEMPORAL} select query_id, memory_id, rank from temporal")
 def r9b(t: Store) -> DataFrame:
     return recent_claims(t, 30).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("R10_weighted_rrf", f"with {BM25}, {COSINE}, {TEMPORAL}, {FUSED} select query_id, memory_id, round(score, 6) as score, fts_rank, vector_rank, temporal_rank from fused")
+@query("R10_weighted_rrf", f"with {BM25}, {COSINE}, {FUSED} select query_id, memory_id, round(score, 6) as score, fts_rank, vector_rank, source_anchor_rank, graph_rank, temporal_rank from fused")
 def r10(t: Store) -> DataFrame:
-    return fused(t).select("query_id", "memory_id", F.round("score", 6).alias("score"), *[F.col(f"{c}_rank").cast("long").alias(f"{c}_rank") for c in ("fts", "vector", "temporal")])
+    return fused(t).select("query_id", "memory_id", F.round("score", 6).alias("score"), *[F.col(f"{c}_rank").cast("long").alias(f"{c}_rank") for c in CHANNELS])
 
 
-@query("R11_normalised_rrf", f"with {BM25}, {COSINE}, {TEMPORAL}, {FUSED} select query_id, memory_id, round(least(1, score / (max(case when fts_rank is not null then 1.0 / 61 else 0 end) over w + max(case when vector_rank is not null then 1.0 / 61 else 0 end) over w + max(case when temporal_rank is not null then 0.9 / 61 else 0 end) over w)), 6) as normalised from fused window w as (partition by query_id)")
+@query("R11_normalised_rrf", f"with {BM25}, {COSINE}, {FUSED} select query_id, memory_id, round(least(1, score / ({' + '.join(f'max(case when {c}_rank is not null then {retrieval.CHANNEL_WEIGHTS[c]}::double / 61 else 0 end) over w' for c in CHANNELS)})), 6) as normalised from fused window w as (partition by query_id)")
 def r11(t: Store) -> DataFrame:
-    return retrieval.normalised(fused(t), ["fts", "vector", "temporal"]).select("query_id", "memory_id", F.round("normalised", 6).alias("normalised"))
+    return retrieval.normalised(fused(t), CHANNELS).select("query_id", "memory_id", F.round("normalised", 6).alias("normalised"))
 
 
 GOVERNED = f"""fresh as (select memory_id, case when bool_or(stale_state = 'stale') then 'stale' when bool_or(stale_state = 'suspect') then 'suspect' when bool_or(stale_state = 'fresh') then 'fresh' else 'unknown' end as freshness from claims group by memory_id),
@@ -148,7 +179,7 @@ def governed(t: Store) -> DataFrame:
     return retrieval.governed(fused(t), t.memories, t.claims, t.feedback)
 
 
-@query("R12_hybrid_search", f"with {BM25}, {COSINE}, {TEMPORAL}, {FUSED}, {GOVERNED} select query_id, memory_id, freshness, round(final_score, 6) as final_score, rank from (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed) where rank <= 10")
+@query("R12_hybrid_search", f"with {BM25}, {COSINE}, {FUSED}, {GOVERNED} select query_id, memory_id, freshness, round(final_score, 6) as final_score, rank from (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed) where rank <= 10")
 def r12(t: Store) -> DataFrame:
     rows = governed(t).withColumn("score", F.round("final_score", 9))
     return retrieval.best(rows, 10).select("query_id", "memory_id", "freshness", F.round("final_score", 6).alias("final_score"), F.col("rank").cast("long").alias("rank"))
@@ -160,7 +191,7 @@ def r13(t: Store) -> DataFrame:
     return retrieval.logistic_score(rows, {"importance": 1.2, "confidence": 0.8}, -0.4).select("memory_id", F.round("shadow_score", 6).alias("shadow_score"))
 
 
-@query("R14_rerank", f"with {BM25}, {COSINE}, {TEMPORAL}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed) select query_id, memory_id, round(case when rank <= 40 then 0.7 * round(final_score, 9) + 0.3 * ((memory_id % 10) / 10.0::double) else round(final_score, 9) end, 6) as final_score from placed")
+@query("R14_rerank", f"with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed) select query_id, memory_id, round(case when rank <= 40 then 0.7 * round(final_score, 9) + 0.3 * ((memory_id % 10) / 10.0::double) else round(final_score, 9) end, 6) as final_score from placed")
 def r14(t: Store) -> DataFrame:
     rows = governed(t).withColumn("final_score", F.round("final_score", 9))
     return retrieval.reranked(rows, (F.col("memory_id") % 10) / 10).select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"))
@@ -172,9 +203,25 @@ def r15(t: Store) -> DataFrame:
     return retrieval.diversified(rows, 8).withColumn("mmr_score", F.round("mmr_score", 6))
 
 
-@query("R16_channel_telemetry", f"with {BM25}, {COSINE}, {TEMPORAL}, {FUSED} select query_id, count(fts_rank) as fts, count(vector_rank) as vector, count(temporal_rank) as temporal, case when count(vector_rank) = 0 then 'empty' else 'contributed' end as vector_status from fused group by query_id")
+@query("R16_channel_telemetry", f"""with {BM25}, {COSINE}, {FUSED}, slots as (select query_id, query, channel from asks, (select unnest({CHANNELS}) as channel)), found as (select query_id, channel, count(*) as eligible from every group by query_id, channel)
+    select s.query_id, s.channel, coalesce(eligible, 0) as eligible, case when s.query_id % 10 = 0 and s.channel not in ('fts', 'vector') then 'not_requested' when s.channel = 'source_anchor' and s.query_id not in (select query_id from named) or s.channel = 'graph' and s.query_id not in (select query_id from topics) then 'not_applicable'
+    when s.channel = 'vector' and s.query_id not in (select memory_id from vectors) then 'unavailable' when s.channel = 'vector' and s.query_id % 7 = 0 then 'provider_fallback' when coalesce(eligible, 0) = 0 then 'executed_empty' else 'executed' end as status
+    from slots s left join found f on f.query_id = s.query_id and f.channel = s.channel""")
 def r16(t: Store) -> DataFrame:
-    return fused(t).groupBy("query_id").agg(F.count("fts_rank").alias("fts"), F.count("vector_rank").alias("vector"), F.count("temporal_rank").alias("temporal"), F.when(F.count("vector_rank") == 0, "empty").otherwise("contributed").alias("vector_status"))
+    found = None
+    for name, rows in channels(t).items():
+        part = rows.groupBy("query_id").agg(F.count("*").alias("eligible")).withColumn("channel", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    topics = t.asks.select("query_id", F.explode(text.entity_words(F.col("query"))).alias("word"))
+    names = t.entities.select(F.explode(F.array("normalized_name", "entity_type")).alias("word")).distinct()
+    slots = t.asks.select("query_id", (F.size(text.exact_terms(F.col("query"))) > 0).alias("named"), F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
+    slots = slots.join(topics.join(names, "word", "left_semi").select("query_id").distinct().withColumn("topical", F.lit(True)), "query_id", "left")
+    slots = slots.join(t.vectors.select(F.col("memory_id").alias("query_id"), F.lit(True).alias("embedded")), "query_id", "left")
+    counts = slots.join(found, ["query_id", "channel"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
+    is_ = lambda name: F.col("channel") == name
+    applicable = F.when(is_("source_anchor"), F.col("named")).when(is_("graph"), F.coalesce("topical", F.lit(False))).otherwise(True)
+    out = retrieval.channel_status(counts, (F.col("query_id") % 10 != 0) | F.col("channel").isin("fts", "vector"), applicable, ~is_("vector") | F.coalesce("embedded", F.lit(False)), is_("vector") & (F.col("query_id") % 7 == 0))
+    return out.select("query_id", "channel", "eligible", "status")
 
 
 @query("R17_retrieval_counts", f"with {BM25} select memory_id, count(*) as retrieved from fts where rank <= 10 group by memory_id")
@@ -185,8 +232,6 @@ def r17(t: Store) -> DataFrame:
 
 @query("R19_flat_baseline", "select query_id, memory_id, round(share, 6) as share from (select a.query_id, m.memory_id, share, row_number() over (partition by a.query_id order by share desc, importance desc, m.memory_id) as n from (select query_id, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}\\p{M}_.]+')) as w from asks) a, (select memory_id, importance, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_.]+')) as d from memories) m, lateral (select len(list_intersect(w, d)) / len(w) as share)) where n <= 5 and share > 0")
 def r19(t: Store) -> DataFrame:
-    from pyspark.sql import Window
-
     asked = t.asks.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("words")).withColumn("size", F.size("words"))
     own = t.memories.select("memory_id", "importance", F.explode(F.array_distinct(text.tokens(F.col("title")))).alias("word"))
     shared = asked.select("query_id", "size", F.explode("words").alias("word")).join(own, "word").groupBy("query_id", "memory_id", "importance").agg((F.count("*") / F.max("size")).alias("share"))
@@ -202,11 +247,11 @@ def m17(t: Store) -> DataFrame:
 def candidates(t: Store) -> DataFrame:
     best = retrieval.best(governed(t).withColumn("score", F.round("final_score", 9)), 30)
     counts = retrieval.evidence_counts(t.claims, t.claim_evidence)
-    rows = best.join(counts, "memory_id", "left").withColumns({"evidence_count": F.coalesce("evidence_count", F.lit(0)), "source_ref": F.col("subject"), "content": F.substring("content", 1, 120), "final_score": F.round("final_score", 9)})
+    rows = best.join(counts, "memory_id", "left").withColumns({"evidence_count": F.coalesce("evidence_count", F.lit(0)), "source_ref": F.col("subject"), "final_score": F.round("final_score", 9)})
     return context.prepared(rows)
 
 
-@query("X1_utility_and_cost", f"""with {BM25}, {COSINE}, {TEMPORAL}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed),
+@query("X1_utility_and_cost", f"""with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed),
     ev as (select memory_id, count(*) as n from claims join claim_evidence using (claim_id) group by memory_id)
     select query_id, p.memory_id, round(greatest(round(final_score, 9), 1e-6) * confidence * (1 + 0.05 * least(coalesce(n, 0), 3)) * case freshness when 'fresh' then 1.0 when 'unknown' then 0.82 when 'suspect' then 0.3 else 0 end, 6) as utility from placed p join memories m on m.memory_id = p.memory_id left join ev on ev.memory_id = p.memory_id where rank <= 30""")
 def x1(t: Store) -> DataFrame:

@@ -8,9 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Memories that claims and events can refer to: the driver always makes this many documents.
-MEMORIES = 200
-
 _SCOPE = "case {0} % 5 when 0 then 'task' when 1 then 'branch' when 2 then 'repository' when 3 then 'workspace' else 'user' end"
 _CATEGORY = "case doc_id % 6 when 0 then 'decision' when 1 then 'constraint' when 2 then 'failure' when 3 then 'preference' when 4 then 'state' else 'note' end"
 _TYPE = "case doc_id % 4 when 0 then 'episodic' when 1 then 'project' when 2 then 'procedural' else 'preference' end"
@@ -18,6 +15,8 @@ _STATUS = "case when doc_id % 11 = 0 then 'superseded' when doc_id % 17 = 0 then
 _PREDICATE = "case o_custkey % 6 when 0 then 'uses' when 1 then 'forbidden' when 2 then 'implemented_in' when 3 then 'prefers' when 4 then 'failed_because' else 'states' end"
 _CLAIM_STATUS = "case o_orderstatus when 'F' then 'accepted' when 'P' then 'contested' else 'superseded' end"
 _STALE = "case o_orderkey % 4 when 0 then 'fresh' when 1 then 'unknown' when 2 then 'suspect' else 'stale' end"
+#: What a query names besides its words: code, an entity, a type of entities and a time, or nothing.
+_SUFFIX = "case item_id % 4 when 1 then ' see `economy` and red_widget.py' when 2 then ' for customer#00000' || lpad({0}, 4, '0') when 3 then ' about machinery as of then' else '' end"
 
 #: DuckDB text of each model table, over the driver's views and earlier model tables.
 SQL = {
@@ -29,7 +28,7 @@ SQL = {
         case when doc_id % 13 = 0 then timestamp '2024-01-01' + to_hours(doc_id + 1440) end as valid_to from documents""",
     "health": """select doc_id as memory_id, case when doc_id % 19 = 0 then 'archived' when doc_id % 4 = 0 then 'hot' else 'warm' end as temperature, doc_id % 23 as retrieval_count,
         case when doc_id % 2 = 0 then timestamp '2024-01-01' + to_hours(doc_id + 240) end as last_retrieved_at from documents where doc_id % 3 <> 1""",
-    "claims": f"""select o_orderkey as claim_id, o_custkey as identity_id, o_custkey as subject_entity_id, o_orderkey % {MEMORIES} as memory_id, {_PREDICATE} as predicate, lower(o_orderpriority) as object_value,
+    "claims": f"""select o_orderkey as claim_id, o_custkey as identity_id, o_custkey as subject_entity_id, o_orderkey % (select count(*) from documents) as memory_id, {_PREDICATE} as predicate, lower(o_orderpriority) as object_value,
         case when o_orderkey % 7 = 0 then 'negative' else 'positive' end as polarity, {_CLAIM_STATUS} as status, {_STALE} as stale_state, {_SCOPE.format('o_custkey')} as scope_type, 'scope' || (o_custkey % 3) as scope_key,
         o_orderdate as valid_from, case when o_orderkey % 10 <> 0 then o_orderdate + to_days((o_orderkey % 60)::integer) end as valid_to, o_orderdate + to_days((o_orderkey % 5)::integer) as recorded_at,
         0.5 + (o_orderkey % 5) / 10.0::double as confidence from orders""",
@@ -43,7 +42,7 @@ SQL = {
     "claim_relations": "select distinct from_id, to_id from (select l_orderkey as to_id, lag(l_orderkey) over (partition by l_partkey order by l_orderkey, l_linenumber) as from_id from lineitem) where from_id is not null and from_id <> to_id",
     "audit_events": "select event_id, user_id as memory_id, case event_type when 'signup' then 'health_archive' when 'purchase' then 'health_restore' else 'other' end as action, ts from events",
     "feedback": "select event_id, user_id as memory_id, case event_type when 'click' then 'yes' when 'error' then 'no' when 'view' then 'unknown' end as verdict, ts from events where event_type in ('click', 'error', 'view')",
-    "asks": "select item_id as query_id, text as query from benchmark",
+    "asks": f"select item_id as query_id, text || {_SUFFIX.format('(item_id % 150)::varchar')} as query from benchmark",
     "judged": "select doc_id as memory_id, doc_id % 20 as query_id, quality, toxic from labels",
     "usage": "select o_orderkey as run_id, o_custkey as task_id, case o_orderkey % 2 when 0 then 'baseline' else 'treatment' end as condition, case o_orderkey % 3 when 0 then 'cold' else 'warm' end as cache_phase, case o_custkey % 3 when 0 then 'alpha' when 1 then 'beta' else 'gamma' end as provider, cast(floor(o_totalprice) as bigint) as input_tokens, case when o_orderkey % 9 <> 0 then cast(floor(o_totalprice / 3) as bigint) end as cache_hit_tokens, cast(o_orderkey % 700 as bigint) as output_tokens, o_totalprice / 1000 as latency_seconds, o_orderstatus = 'F' as success from orders",
     "vectors": "select vec_id as memory_id, embedding, label from embeddings",
@@ -100,10 +99,15 @@ class Store:
             "case when doc_id % 2 = 0 then timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id + 240 as int)) end as last_retrieved_at",
         )
 
+    @cached_property
+    def size(self) -> int:
+        """How many memories there are: claims are dealt to all of them."""
+        return max(1, self.raw("documents").count())
+
     @cached_property
     def claims(self) -> DataFrame:
         return self.raw("orders").selectExpr(
-            "o_orderkey as claim_id", "o_custkey as identity_id", "o_custkey as subject_entity_id", f"o_orderkey % {MEMORIES} as memory_id", f"{_PREDICATE} as predicate", "lower(o_orderpriority) as object_value",
+            "o_orderkey as claim_id", "o_custkey as identity_id", "o_custkey as subject_entity_id", f"o_orderkey % {self.size} as memory_id", f"{_PREDICATE} as predicate", "lower(o_orderpriority) as object_value",
             "case when o_orderkey % 7 = 0 then 'negative' else 'positive' end as polarity", f"{_CLAIM_STATUS} as status", f"{_STALE} as stale_state", f"{_SCOPE.format('o_custkey')} as scope_type", "'scope' || (o_custkey % 3) as scope_key",
             "o_orderdate as valid_from", "case when o_orderkey % 10 <> 0 then o_orderdate + make_dt_interval(cast(o_orderkey % 60 as int)) end as valid_to", "o_orderdate + make_dt_interval(cast(o_orderkey % 5 as int)) as recorded_at",
             "0.5D + (o_orderkey % 5) / 10D as confidence",
@@ -151,7 +155,7 @@ class Store:
 
     @cached_property
     def asks(self) -> DataFrame:
-        return self.raw("benchmark").selectExpr("item_id as query_id", "text as query")
+        return self.raw("benchmark").selectExpr("item_id as query_id", f"text || {_SUFFIX.format('cast(item_id % 150 as string)')} as query")
 
     @cached_property
     def judged(self) -> DataFrame:
