@@ -18,11 +18,12 @@ def scored(memories: DataFrame, health: DataFrame, claims: DataFrame, feedback:
     votes = feedback.groupBy("memory_id").agg(F.count_if(F.col("verdict") == "yes").alias("yes"), F.count_if(F.col("verdict") == "no").alias("no"))
     rows = memories.join(health, "memory_id", "left").join(fresh, "memory_id", "left").join(votes, "memory_id", "left").na.fill(0, ["yes", "no", "retrieval_count"])
     rows = rows.withColumns({
-        "recency": F.round(F.exp(-intervals.age_days(F.col("created_at"), at) / 90), 6),
-        "usage": F.round(F.least(F.lit(1.0), F.log1p("retrieval_count") / F.log(F.lit(21.0))), 6),
-        "feedback": F.round((F.col("yes") + 1) / (F.col("yes") + F.col("no") + 2), 6),
+        "recency": F.exp(-intervals.age_days(F.col("created_at"), at) / 90),
+        "usage": F.least(F.lit(1.0), F.log1p("retrieval_count") / F.log(F.lit(21.0))),
+        "feedback": (F.col("yes") + 1) / (F.col("yes") + F.col("no") + 2),
         "freshness": F.coalesce("freshness", F.lit(0.55)),
     })
+    # Rounded once: rounded parts would make exact halves of the last place.
     rows = rows.withColumn("health_score", F.round(sum((F.col(c) * w for c, w in PARTS.items()), F.lit(0.0)), 6))
     recent = F.col("last_retrieved_at").isNotNull() & (F.floor(intervals.age_days(F.col("last_retrieved_at"), at)) <= 7)
     warmth = F.when(F.col("temperature") == "archived", "archived").when((F.col("health_score") >= 0.75) | recent, "hot").when(F.col("health_score") >= 0.45, "warm").otherwise("cold")

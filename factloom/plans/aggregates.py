@@ -68,7 +68,7 @@ def a11(t: Store) -> DataFrame:
     return first.groupBy("predicate").agg(F.count("*").alias("sources"), F.round((micros(F.max("first")) - micros(F.min("first"))) / 86_400_000_000.0, 6).alias("span_days"))
 
 
-HEALTH = f"""with parts as (select m.memory_id, round(exp(-greatest(0, epoch_us(timestamp '{AT}') - epoch_us(created_at)) / 86400000000.0::double / 90), 6) as recency, round(least(1, ln(1 + coalesce(retrieval_count, 0)) / ln(21)), 6) as usage_score, round((coalesce(yes, 0) + 1) / (coalesce(yes, 0) + coalesce(no, 0) + 2), 6) as votes, coalesce(freshness, 0.55)::double as freshness, importance, confidence, temperature, last_retrieved_at
+HEALTH = f"""with parts as (select m.memory_id, exp(-greatest(0, epoch_us(timestamp '{AT}') - epoch_us(created_at)) / 86400000000.0::double / 90) as recency, least(1, ln(1 + coalesce(retrieval_count, 0)) / ln(21)) as usage_score, (coalesce(yes, 0) + 1)::double / (coalesce(yes, 0) + coalesce(no, 0) + 2) as votes, coalesce(freshness, 0.55)::double as freshness, importance, confidence, temperature, last_retrieved_at
     from memories m left join health h using (memory_id) left join (select memory_id, case when bool_or(stale_state = 'stale') then 0.0 when bool_or(stale_state = 'suspect') then 0.3 when bool_or(stale_state = 'fresh') then 1.0 else 0.55 end as freshness from claims group by memory_id) f using (memory_id)
     left join (select memory_id, count(*) filter (verdict = 'yes') as yes, count(*) filter (verdict = 'no') as no from feedback group by memory_id) v using (memory_id)), scored as (select *, recency * 0.25 + usage_score * 0.2 + votes * 0.2 + freshness * 0.15 + importance * 0.1 + confidence * 0.1 as score from parts)"""
 

@@ -138,11 +138,6 @@ def d5(t: Store) -> DataFrame:
     return t.claims.groupBy("identity_id").agg(F.min("claim_id").alias("first_claim"))
 
 
-@query("D6_bulk_transition", "select claim_id from claims where memory_id % 9 = 0 and status <> 'superseded'")
-def d6(t: Store) -> DataFrame:
-    return t.claims.where("memory_id % 9 = 0 and status <> 'superseded'").select("claim_id")
-
-
 @query("D8_review_queue", "select m.memory_id from memories m where status = 'candidate' and exists (select 1 from memories o where o.memory_key = m.memory_key and o.memory_id <> m.memory_id)")
 def d8(t: Store) -> DataFrame:
     keys = t.memories.where("memory_key is not null").groupBy("memory_key").agg(F.count("*").alias("n")).where("n > 1")

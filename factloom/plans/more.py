@@ -13,13 +13,10 @@ from factloom.plans.retrieval import candidates, scored, semantic
 from factloom.sources.model import Store
 
 
-
 def valid():
     return intervals.moment("1997-06-01 00:00:00")
 
 
-
-
 @query("J1_hits_memories_health", "select m.memory_id, h.temperature from memories m left join health h using (memory_id) where contains(lower(title), 'tion')")
 def j1(t: Store) -> DataFrame:
     hits = t.memories.where(F.lower("title").contains("tion")).select("memory_id")
@@ -51,13 +48,6 @@ def a9(t: Store) -> DataFrame:
     return t.claims.where("stale_state <> 'stale'").groupBy("identity_id").agg(F.count_distinct("object_value").alias("objects"), F.bool_or(F.col("status") == "contested").alias("any_contested"))
 
 
-@query("A12_cluster_labels", "select label, count(*) as n from (select subject_entity_id, case when count(distinct source_id) < 3 then 'small' else 'large' end as label from claims join claim_evidence using (claim_id) group by subject_entity_id) group by label")
-def a12(t: Store) -> DataFrame:
-    rows = t.claims.select("claim_id", "subject_entity_id").join(t.claim_evidence.select("claim_id", "source_id"), "claim_id")
-    sized = rows.groupBy("subject_entity_id").agg(F.count_distinct("source_id").alias("sources"))
-    return sized.groupBy(F.when(F.col("sources") < 3, "small").otherwise("large").alias("label")).agg(F.count("*").alias("n"))
-
-
 @query("A13_cluster_keys", "select subject_entity_id, predicate, count(*) as claims from claims group by subject_entity_id, predicate")
 def a13(t: Store) -> DataFrame:
     return t.claims.groupBy("subject_entity_id", "predicate").agg(F.count("*").alias("claims"))
@@ -159,18 +149,6 @@ def c7(t: Store) -> DataFrame:
     return both.where("p = q").agg(F.count("*").alias("eligible"))
 
 
-@query("C12_supersede", "select claim_id, case when n = 1 then status when predicate = 'prefers' then 'superseded' else status end as status from (select claim_id, predicate, status, row_number() over (partition by identity_id order by recorded_at desc, claim_id desc) as n from claims where status = 'accepted')")
-def c12(t: Store) -> DataFrame:
-    latest = F.row_number().over(Window.partitionBy("identity_id").orderBy(F.desc("recorded_at"), F.desc("claim_id")))
-    rows = t.claims.where("status = 'accepted'").withColumn("n", latest)
-    return rows.select("claim_id", F.when((F.col("n") > 1) & (F.col("predicate") == "prefers"), "superseded").otherwise(F.col("status")).alias("status"))
-
-
-@query("C13_status_fold", "select memory_id, arg_max(verdict, (ts, event_id)) as status from feedback group by memory_id")
-def c13(t: Store) -> DataFrame:
-    return t.feedback.groupBy("memory_id").agg(F.max_by("verdict", F.struct("ts", "event_id")).alias("status"))
-
-
 @query("C15_merge_candidates")
 def c15(t: Store) -> DataFrame:
     """Entities whose names are alike but not equal; names are blocked by type and length, so that no whole group is paired."""
@@ -188,46 +166,17 @@ def c21(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, code string").select("id", F.array_join(found, ",").alias("symbols"))
 
 
-@query("D4_lazy_claims", "select memory_id from memories where memory_id not in (select memory_id from claims where status in ('accepted', 'contested'))")
-def d4(t: Store) -> DataFrame:
-    return t.memories.select("memory_id").join(t.claims.where("status in ('accepted', 'contested')").select("memory_id"), "memory_id", "left_anti")
-
-
-@query("D7_conflict_resolution", "select c.claim_id from claims c join memories m using (memory_id) where c.status = 'accepted' and m.status = 'active' and c.claim_id % 11 = 0")
-def d7(t: Store) -> DataFrame:
-    return t.claims.where("status = 'accepted' and claim_id % 11 = 0").join(t.memories.where("status = 'active'").select("memory_id"), "memory_id", "left_semi").select("claim_id")
-
-
 @query("D9_relations_of_claims", "select from_id, to_id from claim_relations where from_id % 40 = 0 or to_id % 40 = 0")
 def d9(t: Store) -> DataFrame:
     return t.claim_relations.where("from_id % 40 = 0 or to_id % 40 = 0")
 
 
-@query("D11_grounding", "select identity_id, bool_and(claim_id >= 0) and count(*) = count(distinct claim_id) as grounded from claims group by identity_id")
-def d11(t: Store) -> DataFrame:
-    got = t.claims.groupBy("identity_id").agg(F.collect_list("claim_id").alias("ids"))
-    return got.select("identity_id", (F.forall("ids", lambda i: i >= 0) & (F.size("ids") == F.size(F.array_distinct("ids")))).alias("grounded"))
-
-
-@query("D15_older_context")
-def d15(t: Store) -> DataFrame:
-    rows = t.memories.where("status = 'active'").select((F.col("memory_id") % 10).alias("query_id"), "memory_id", "category", "importance", (F.length("title") + 10).alias("cost"), F.lit(None).cast("long").alias("bundle"), F.col("importance").alias("utility"))
-    return context.packed(rows, 800, ["constraint"])
-
-
 @query("D16_fingerprints", "select query_id, sha256('{\"budget\":2000,\"query\":' || query_id || '}') as fingerprint from asks")
 def d16(t: Store) -> DataFrame:
     body = F.to_json(F.struct(F.col("query_id").alias("query"), F.lit(2000).alias("budget")))
     return t.asks.select("query_id", F.sha2(plain.canonical_json(body), 256).alias("fingerprint"))
 
 
-@query("D17_manifest", "select memory_id, case when status <> 'active' then 'stale' when memory_id > first_id then 'duplicate' when length(content) > 4000 then 'budget' else 'included' end as reason from (select memory_id, status, content, min(memory_id) over (partition by title) as first_id from memories)")
-def d17(t: Store) -> DataFrame:
-    first = F.min("memory_id").over(Window.partitionBy("title"))
-    reason = F.when(F.col("status") != "active", "stale").when(F.col("memory_id") > F.col("first_id"), "duplicate").when(F.length("content") > 4000, "budget").otherwise("included")
-    return t.memories.withColumn("first_id", first).select("memory_id", reason.alias("reason"))
-
-
 @query("D18_run_lookup", "select run_id, condition, input_tokens from usage where run_id in (7, 8, 9)")
 def d18(t: Store) -> DataFrame:
     return t.usage.where(F.col("run_id").isin(7, 8, 9)).select("run_id", "condition", "input_tokens")
@@ -250,28 +199,6 @@ def x2(t: Store) -> DataFrame:
     return components(edges).groupBy("root").agg(F.count("*").alias("members"))
 
 
-@query("X5_inclusion_manifest", "select memory_id, case when memory_id % 3 = 0 then 'selected' else 'over_budget' end as decision from memories")
-def x5(t: Store) -> DataFrame:
-    chosen = t.memories.where("memory_id % 3 = 0").select("memory_id", F.lit("selected").alias("decision"))
-    return t.memories.select("memory_id").join(chosen, "memory_id", "left").select("memory_id", F.coalesce("decision", F.lit("over_budget")).alias("decision"))
-
-
-@query("X6_atom_digest", "select memory_id, sha256('{\"category\":\"' || category || '\",\"id\":' || memory_id || '}') as atom from memories")
-def x6(t: Store) -> DataFrame:
-    return t.memories.select("memory_id", F.sha2(plain.canonical_json(F.to_json(F.struct(F.col("memory_id").alias("id"), "category"))), 256).alias("atom"))
-
-
-@query("X8_bundles", "select case when status = 'contested' then 'group ' || identity_id else 'own ' || claim_id end as bundle, count(*) as atoms, bool_or(status = 'contested') as safety from claims group by 1")
-def x8(t: Store) -> DataFrame:
-    key = F.when(F.col("status") == "contested", F.concat(F.lit("group "), F.col("identity_id").cast("string"))).otherwise(F.concat(F.lit("own "), F.col("claim_id").cast("string")))
-    return t.claims.groupBy(key.alias("bundle")).agg(F.count("*").alias("atoms"), F.bool_or(F.col("status") == "contested").alias("safety"))
-
-
-@query("X9_budget_profiles", "select memory_id, case when length(content) < 1000 then 'tight' when length(content) < 4000 then 'standard' else 'wide' end as profile from memories")
-def x9(t: Store) -> DataFrame:
-    return t.memories.select("memory_id", context.budget_profile(F.length("content")).alias("profile"))
-
-
 @query("X13_delta_choice", "select query_id, changed < 0.8 * total as send_delta from (select query_id, sum(case when memory_id % 3 = 0 then length(title) else 0 end) as changed, sum(length(title)) as total from judged join memories using (memory_id) group by query_id)")
 def x13(t: Store) -> DataFrame:
     rows = t.judged.join(t.memories.select("memory_id", "title"), "memory_id").withColumn("size", F.length("title"))
@@ -346,11 +273,6 @@ def m1(t: Store) -> DataFrame:
     return t.memories.join(after, "memory_id").select("memory_id", F.round(F.col("importance") - F.col("i"), 6).alias("importance"), F.round(F.col("confidence") - F.col("c"), 6).alias("confidence"))
 
 
-@query("M2_training_rows", "select query_id, count(*) as rows from judged join memories using (memory_id) where quality <> toxic group by query_id")
-def m2(t: Store) -> DataFrame:
-    return t.judged.where("quality <> toxic").join(t.memories.select("memory_id"), "memory_id").groupBy("query_id").agg(F.count("*").alias("rows"))
-
-
 @query("M3_task_means", "select task_id, round(avg(latency_seconds), 6) as mean from usage group by task_id")
 def m3(t: Store) -> DataFrame:
     return t.usage.groupBy("task_id").agg(F.round(F.avg("latency_seconds"), 6).alias("mean"))
@@ -389,12 +311,6 @@ def m15(t: Store) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("pool"), F.round(F.max(retrieval.cosine(F.col("embedding"), F.col("asked"))), 6).alias("best"))
 
 
-@query("M16_hard_negatives", "select quality, count(*) as n, count(*) filter (contains(lower(title), 'the')) as retrieved from judged join memories using (memory_id) group by quality")
-def m16(t: Store) -> DataFrame:
-    rows = t.judged.join(t.memories.select("memory_id", "title"), "memory_id")
-    return rows.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.lower("title").contains("the")).alias("retrieved"))
-
-
 @query("S15_history_records", "select id, subject, files from (values (1, 'fix parser', 2), (2, 'add docs', 0)) v(id, subject, files)")
 def s15(t: Store) -> DataFrame:
     rows = [(1, "abc\x1f2024-01-01\x1ffix parser\na.py\nb.py"), (2, "def\x1f2024-01-02\x1fadd docs")]

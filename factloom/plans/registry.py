@@ -24,8 +24,13 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
-    from factloom.plans import aggregates, claims, experiments, more, relational, retrieval, streams, texts  # noqa: F401
+    from factloom.plans import aggregates, claims, contexts, experiments, lifecycle, more, relational, retrieval, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,6 @@ from factloom.plans.registry import query
 from factloom.sources.model import Store
 
 
-
 def at():
     return intervals.moment("2024-06-01 00:00:00")
 
@@ -258,22 +257,6 @@ def x1(t: Store) -> DataFrame:
     return candidates(t).select("query_id", "memory_id", F.round("utility", 6).alias("utility"))
 
 
-def packed(t: Store) -> DataFrame:
-    rows = candidates(t).withColumn("bundle", F.when(F.col("truth_state") == "contested", F.col("memory_id") % 7))
-    return context.packed(rows, 2000, ["decision", "constraint", "failure"])
-
-
-@query("X3_budgeted_context")
-def x3(t: Store) -> DataFrame:
-    return packed(t)
-
-
-@query("X4_rendered_context")
-def x4(t: Store) -> DataFrame:
-    rows = candidates(t).select("query_id", "memory_id", "section", "line").join(packed(t), ["query_id", "memory_id"])
-    return context.rendered(rows)
-
-
 @query("X7_exact_dedup", "select category, memory_type, arg_max(memory_id, (importance, -memory_id)) as memory_id, count(*) as merged from memories group by category, memory_type")
 def x7(t: Store) -> DataFrame:
     atoms = t.memories.select("category", "memory_type", "memory_id", F.col("importance").alias("score"), F.col("subject").alias("source_ref"))

@@ -57,13 +57,6 @@ def f8(t: Store) -> DataFrame:
     return rows.select("id", F.array_join(text.exact_terms(F.col("line")), ",").alias("terms"))
 
 
-@query("F9_similarity", "select a.memory_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from (select memory_id, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_.]+')) as x from memories) a join (select memory_id + 1 as memory_id, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_.]+')) as y from memories) b using (memory_id) where len(x) + len(y) > 0")
-def f9(t: Store) -> DataFrame:
-    a = t.memories.select("memory_id", text.tokens(F.col("title")).alias("x"))
-    b = t.memories.select((F.col("memory_id") + 1).alias("memory_id"), text.tokens(F.col("title")).alias("y"))
-    return a.join(b, "memory_id").where(F.size("x") + F.size("y") > 0).select("memory_id", F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
-
-
 @query("F10_sentence_rules", "select id, category from (values (1, 'preference'), (2, 'decision'), (3, 'constraint'), (4, 'failure'), (5, 'state'), (6, null)) v(id, category)")
 def f10(t: Store) -> DataFrame:
     lines = ["I prefer tabs", "We decided on it", "You must not push", "The build failed", "working on the parser", "plain words"]
@@ -81,13 +74,6 @@ def f17(t: Store) -> DataFrame:
     return t.memories.select("memory_id", F.substring(F.sha2(F.concat(F.lit("seed:"), F.col("memory_id").cast("string")), 256), 1, 8).alias("head"))
 
 
-@query("C1_claim_extraction", "select memory_id, count(*) as sentences from (select memory_id, unnest(regexp_split_to_array(content, '[\\r\\n]+')) as s from memories) where length(trim(s, ' -\t')) >= 8 group by memory_id")
-def c1(t: Store) -> DataFrame:
-    lines = F.split(F.col("content"), r"[\r\n]+")
-    rows = t.memories.select("memory_id", F.explode(lines).alias("s")).where(F.length(F.regexp_replace("s", r"^[ \t-]+|[ \t-]+$", "")) >= 8)
-    return rows.groupBy("memory_id").agg(F.count("*").alias("sentences"))
-
-
 @query("C2_evidence_spans", "select memory_id, substr(content, 11, 20) = quote as exact from (select memory_id, content, case when memory_id % 4 = 0 then 'x' || substr(content, 12, 19) else substr(content, 11, 20) end as quote from memories)")
 def c2(t: Store) -> DataFrame:
     quote = F.when(F.col("memory_id") % 4 == 0, F.concat(F.lit("x"), F.substring("content", 12, 19))).otherwise(F.substring("content", 11, 20))

@@ -67,10 +67,21 @@ def test_diversity_equals_brute_force(spark):
 
 
 def test_bundles_are_packed_whole(spark):
-    rows = [(1, 1, 9.0, 50, "decision", None), (1, 2, 8.0, 40, "note", 7), (1, 3, 0.1, 60, "note", 7), (1, 4, 1.0, 30, "note", None)]
-    frame = spark.createDataFrame(rows, "query_id long, memory_id long, utility double, cost long, category string, bundle long")
-    picked = lambda budget: {r["memory_id"] for r in context.packed(frame, budget, ["decision"]).collect()}
-    assert picked(1000) == {1, 2, 3, 4} and picked(23 + 50 + 99) == {1, 4} and picked(23 + 40) == {4}
+    rows = [(1, 1, 9.0, 50, "decision", "resolved", "own 1"), (1, 2, 8.0, 40, "note", "contested", "group 7"), (1, 3, 0.1, 60, "note", "contested", "group 7"), (1, 4, 1.0, 30, "note", "resolved", "own 4")]
+    frame = spark.createDataFrame(rows, "query_id long, memory_id long, utility double, cost long, category string, truth_state string, bundle string")
+    bundles = context.bundled(frame, ["decision"])
+    assert {r["bundle"]: (r["safety"], r["required"], r["place"]) for r in bundles.collect()} == {"own 1": (False, True, 1), "group 7": (True, True, 2), "own 4": (False, False, 3)}
+    picked = lambda budget: {r["bundle"] for r in context.filled(bundles, spark.createDataFrame([(1, budget)], "query_id long, budget long")).collect()}
+    assert picked(1000) == {"own 1", "group 7", "own 4"} and picked(6 + 50 + 99) == {"own 1", "own 4"} and picked(6 + 40) == {"own 4"}
+
+
+def test_hard_budgets_below_the_floor_fail(spark):
+    request = lambda hard: spark.createDataFrame([(1, "broad_search", 1, False, 900, 500, hard)], "query_id long, intent string, coverage long, contested boolean, safe_cost long, asked int, hard boolean")
+    limits = {"tiny": 1, "small": 2, "medium": 3, "large": 4}
+    row = context.budget_plan(request(False), limits).first()
+    assert row["profile"] == "custom" and row["budget"] == 900 and row["floor_raised"]
+    with pytest.raises(Exception, match="below what safety needs"):
+        context.budget_plan(request(True), limits, counts_exactly=True).collect()
 
 
 def test_missing_values_poison_a_sum(spark):
