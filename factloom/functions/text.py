@@ -151,3 +151,12 @@ def exact_terms(query: Column) -> Column:
 def entity_words(query: Column) -> Column:
     """Distinct words that may name an entity: runs of letters, digits and . + # / - in lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_.+#/-]+"), F.lit(0)))
+
+
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+
+
+def clean_url(url: Column) -> Column:
+    """The address without user, password, query and fragment."""
+    return F.regexp_replace(F.regexp_replace(url, r"^([a-zA-Z]+://)[^/@]*@", "$1"), r"[?#].*$", "")

@@ -87,6 +87,12 @@ def classified_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.withColumn("relation", relation).select("left_claim_id", "right_claim_id", "relation.relationship", "relation.certainty", (F.col("relation.relationship") == "uncertain").alias("model_eligible"))
 
 
+def judged_conflicts(pairs: DataFrame, conflict: Column, confidence: Column, least: float = 0.7) -> DataFrame:
+    """(left_claim_id, right_claim_id, decision) of pairs that a judge was asked about: below `least` it abstains, and that is kept."""
+    decision = F.when(confidence < least, "abstained").when(conflict, "conflict").otherwise("no_conflict")
+    return pairs.select("left_claim_id", "right_claim_id", decision.alias("decision"))
+
+
 def graph_seeds(claims: DataFrame, entities: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, memory_id, claim_id, priority, recorded_at): each memory's best claim about a word's entity.
 
@@ -138,8 +144,8 @@ def resolved_redirects(redirects: DataFrame, rounds: int = 20) -> DataFrame:
     """(entity_id, target_id) with every redirect followed to its end; a cycle is an error. redirects: entity_id, target_id."""
     with_checkpoints(redirects.sparkSession)
     now = redirects.select("entity_id", "target_id")
-    for _ in range(rounds):
-        further = redirects.select(F.col("entity_id").alias("target_id"), F.col("target_id").alias("next_id"))
+    for _ in range(rounds):  # each round doubles how far every redirect has been followed
+        further = now.select(F.col("entity_id").alias("target_id"), F.col("target_id").alias("next_id"))
         joined = now.join(further, "target_id", "left")
         if joined.where("next_id is not null").isEmpty():
             return now

@@ -170,7 +170,9 @@ def bradley_terry(results: DataFrame, rounds: int = 200) -> DataFrame:
             u -= u.mean()
         return pd.DataFrame({"query_id": frame.query_id.iloc[0], "candidate_id": ids, "utility": u})
 
-    return results.groupBy("query_id").applyInPandas(run, "query_id long, candidate_id long, utility double")
+    # Results of one pair are one row, so that a group has as many rows as pairs of candidates.
+    pairs = results.groupBy("query_id", "a_id", "b_id").agg((F.sum(F.col("p_a") * F.col("weight")) / F.sum("weight")).alias("p_a"), F.sum("weight").alias("weight"))
+    return pairs.groupBy("query_id").applyInPandas(run, "query_id long, candidate_id long, utility double")
 
 
 def pairwise_fit(pairs: DataFrame, features: list[str], penalty: float = 0.1, signs: list[int] | None = None, rounds: int = 25) -> list[float]:
@@ -219,3 +221,11 @@ def hash_sample(rows: DataFrame, by: str, key: str, seed: str, n: int) -> DataFr
     """n rows of each group in the order of a keyed hash."""
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(by).cast("string"), F.col(key).cast("string")), 256)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order, key))).where(F.col("place") <= n)
+
+
+def ranked_split(groups: DataFrame, column: str, seed: str) -> DataFrame:
+    """groups (distinct values of a column, few of them) with split: 60, 20 and 20 of a hundred by the order of their digests."""
+    order = Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column)), 256))
+    placed = groups.withColumns({"place": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy())})
+    edge = lambda share: F.bround(F.col("n") * share, 0)
+    return placed.select(column, F.when(F.col("place") < edge(0.6), "train").when(F.col("place") < edge(0.8), "dev").otherwise("test").alias("split"))

@@ -33,11 +33,6 @@ def a4(t: Store) -> DataFrame:
     return health.provenance_rate(t.memories, t.claims).withColumn("provenance_rate", F.round("provenance_rate", 6))
 
 
-@query("A5_latest", "select memory_id, max(event_id) as last_event, count(distinct action) as actions from audit_events group by memory_id")
-def a5(t: Store) -> DataFrame:
-    return t.audit_events.groupBy("memory_id").agg(F.max("event_id").alias("last_event"), F.count_distinct("action").alias("actions"))
-
-
 @query("A6_dimensions", "select distinct len(embedding) as dimensions from vectors")
 def a6(t: Store) -> DataFrame:
     return t.vectors.select(F.size("embedding").cast("long").alias("dimensions")).distinct()
@@ -107,12 +102,6 @@ def a18(t: Store) -> DataFrame:
     return metrics.costed(t.usage, prices).select("run_id", F.round(F.col("cost_usd").cast("double"), 9).alias("cost_usd"))
 
 
-@query("J19_price_lookup", "select provider, count(*) as runs, count(*) filter (provider in ('alpha', 'beta')) as priced from usage group by provider")
-def j19(t: Store) -> DataFrame:
-    prices = t.spark.createDataFrame([("alpha", 1.0), ("beta", 2.0)], "provider string, price double")
-    return t.usage.join(F.broadcast(prices), "provider", "left").groupBy("provider").agg(F.count("*").alias("runs"), F.count("price").alias("priced"))
-
-
 @query("A19_condition_summary", "select condition, count(*) as runs, round(avg(input_tokens), 6) as mean_input, count(*) filter (success) as successes from usage group by condition")
 def a19(t: Store) -> DataFrame:
     return t.usage.groupBy("condition").agg(F.count("*").alias("runs"), F.round(F.avg("input_tokens"), 6).alias("mean_input"), F.count_if("success").alias("successes"))
@@ -170,3 +159,21 @@ def m18(t: Store) -> DataFrame:
 @query("D1_feedback_guard", "select verdict, count(*) as accepted from feedback where memory_id in (select memory_id from memories where status = 'active') group by verdict")
 def d1(t: Store) -> DataFrame:
     return t.feedback.join(t.memories.where("status = 'active'"), "memory_id", "left_semi").groupBy("verdict").agg(F.count("*").alias("accepted"))
+
+
+@query("A5_latest", "select a.memory_id, last_event, last_at, coalesce(version, 0) as version from (select memory_id, max(event_id) as last_event, max(ts) as last_at from audit_events group by memory_id) a left join (select memory_id, max(version_number) as version from claim_versions group by memory_id) v using (memory_id)")
+def a5(t: Store) -> DataFrame:
+    events = t.audit_events.groupBy("memory_id").agg(F.max("event_id").alias("last_event"), F.max("ts").alias("last_at"))
+    versions = t.claim_versions.groupBy("memory_id").agg(F.max("version_number").cast("long").alias("version"))
+    return events.join(versions, "memory_id", "left").na.fill(0, ["version"])
+
+
+PRICE_LIST = [("alpha", "m0", 1.0), ("alpha", "m1", 1.5), ("beta", "m0", 2.0), ("gamma", "m2", 3.0)]
+
+
+@query("J19_price_lookup", f"with prices as (select * from (values {', '.join(f"('{p}', '{m}', {x}::double)" for p, m, x in PRICE_LIST)}) v(provider, model, price)), runs as (select provider, 'm' || (run_id % 3) as model from usage) select r.provider, r.model, count(*) as runs, count(price) as priced, max(price) as price from runs r left join prices p on p.provider = r.provider and p.model = r.model group by r.provider, r.model")
+def j19(t: Store) -> DataFrame:
+    """Prices by provider and model; what the list doesn't have stays without one."""
+    prices = t.spark.createDataFrame(PRICE_LIST, "provider string, model string, price double")
+    runs = t.usage.select("provider", F.concat(F.lit("m"), (F.col("run_id") % 3).cast("string")).alias("model"))
+    return runs.join(prices, ["provider", "model"], "left").groupBy("provider", "model").agg(F.count("*").alias("runs"), F.count("price").alias("priced"), F.max("price").alias("price"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import intervals, text
 from factloom.operators import claims as truth
-from factloom.plans.registry import query
+from factloom.plans.registry import query, sql_of
 from factloom.sources.model import Store
 
 MOMENT, EVENTS = "1997-06-01 00:00:00", "2024-01-20 00:00:00"
@@ -35,14 +35,6 @@ def c5(t: Store) -> DataFrame:
     return truth.classified_pairs(rows, rows).select("left_claim_id", "right_claim_id", "relationship")
 
 
-@query("D14_symmetric_comparison", "select identity_id, count(*) filter (same) as agreeing, count(*) filter (not same) as differing from (select a.identity_id, a.object_value = b.object_value as same from claims a join claims b on a.identity_id = b.identity_id and a.claim_id < b.claim_id where a.predicate = 'prefers') group by identity_id")
-def d14(t: Store) -> DataFrame:
-    # Pairs are counted by value, not made.
-    counts = t.claims.where("predicate = 'prefers'").groupBy("identity_id", "object_value").agg(F.count("*").alias("n"))
-    out = counts.groupBy("identity_id").agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).cast("long").alias("agreeing"), F.sum("n").alias("total"))
-    return out.select("identity_id", "agreeing", (F.col("total") * (F.col("total") - 1) / 2 - F.col("agreeing")).cast("long").alias("differing")).where("agreeing + differing > 0")
-
-
 @query("C6_cardinality", f"select entity_id, predicate, {SINGLE.replace('subject', 'normalized_name')} as single from (select entity_id, normalized_name, unnest(['uses', 'prefers', 'forbidden']) as predicate from (select entity_id, case when entity_id % 5 = 0 then 'primary ' else '' end || normalized_name as normalized_name from entities))")
 def c6(t: Store) -> DataFrame:
     name = F.concat(F.when(F.col("entity_id") % 5 == 0, "primary ").otherwise(""), F.col("normalized_name"))
@@ -102,42 +94,12 @@ def c18(t: Store) -> DataFrame:
     return r.select(F.col("from_id").alias("node")).union(r.select("to_id")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-@query("C19_timeline", "select event_id, action from audit_events where memory_id = 17 order by ts desc, event_id limit 50")
-def c19(t: Store) -> DataFrame:
-    return t.audit_events.where("memory_id = 17").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "action")
-
-
 @query("C20_freshness_machine", "select anchor_id, case when p_size % 7 = 0 then 'stale' when p_size % 3 = 0 or (p_size % 2 = 0 and p_size % 5 = 0) then case when p_size % 4 = 0 then 'moved' else 'fresh' end when p_size % 2 = 0 and p_size / 50.0 >= 0.35 then 'suspect' else 'stale' end as state from anchors")
 def c20(t: Store) -> DataFrame:
     n = F.col("p_size")
     return t.anchors.select("anchor_id", truth.mutation_state(n % 7 != 0, n % 3 == 0, n % 4 == 0, n % 2 == 0, n % 5 == 0, n / 50).alias("state"))
 
 
-@query("C22_distillation", "select scope_type, string_agg(memory_id::varchar, ',' order by memory_id) as members from memories join health using (memory_id) where temperature = 'archived' group by scope_type")
-def c22(t: Store) -> DataFrame:
-    rows = t.memories.join(t.health.where("temperature = 'archived'"), "memory_id")
-    return rows.groupBy("scope_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("memory_id")), lambda x: x.cast("string")), ",").alias("members"))
-
-
-@query("C23_explain", "select c.claim_id, count(distinct e.evidence_id) as evidence, count(distinct r.to_id) as related from claims c left join claim_evidence e using (claim_id) left join claim_relations r on r.from_id = c.claim_id where c.claim_id % 97 = 0 group by c.claim_id")
-def c23(t: Store) -> DataFrame:
-    asked = t.claims.where("claim_id % 97 = 0").select("claim_id")
-    evidence = t.claim_evidence.groupBy("claim_id").agg(F.count_distinct("evidence_id").alias("evidence"))
-    related = t.claim_relations.groupBy(F.col("from_id").alias("claim_id")).agg(F.count_distinct("to_id").alias("related"))
-    return asked.join(evidence, "claim_id", "left").join(related, "claim_id", "left").na.fill(0, ["evidence", "related"])
-
-
-@query("D2_archive_restore", "select event_id, memory_id, action, lag(action) over (partition by memory_id order by ts, event_id) as previous from audit_events where action <> 'other'")
-def d2(t: Store) -> DataFrame:
-    own = t.audit_events.where("action <> 'other'")
-    return own.select("event_id", "memory_id", "action", F.lag("action").over(Window.partitionBy("memory_id").orderBy("ts", "event_id")).alias("previous"))
-
-
-@query("D5_identity_find_or_create", "select identity_id, min(claim_id) as first_claim from claims group by identity_id")
-def d5(t: Store) -> DataFrame:
-    return t.claims.groupBy("identity_id").agg(F.min("claim_id").alias("first_claim"))
-
-
 @query("D8_review_queue", "select m.memory_id from memories m where status = 'candidate' and exists (select 1 from memories o where o.memory_key = m.memory_key and o.memory_id <> m.memory_id)")
 def d8(t: Store) -> DataFrame:
     keys = t.memories.where("memory_key is not null").groupBy("memory_key").agg(F.count("*").alias("n")).where("n > 1")
@@ -150,11 +112,6 @@ def d10(t: Store) -> DataFrame:
     return t.claim_relations.union(new.join(t.claim_relations, ["from_id", "to_id"], "left_anti").dropDuplicates())
 
 
-@query("D12_context_hash", "select memory_id, sha256(substr(content, 1, 200)) as context_hash from memories")
-def d12(t: Store) -> DataFrame:
-    return t.memories.select("memory_id", F.sha2(F.substring("content", 1, 200), 256).alias("context_hash"))
-
-
 @query("D13_rename_detection", "select id, old_path, new_path from (values (1, 'a.py', 'b.py')) v(id, old_path, new_path)")
 def d13(t: Store) -> DataFrame:
     lines = t.spark.createDataFrame([(1, "R096\ta.py\tb.py"), (2, "M\tc.py"), (3, "D\td.py")], "id int, line string")
@@ -170,3 +127,91 @@ def d19(t: Store) -> DataFrame:
 @query("A16_worst_freshness", "select path_group, arg_max(freshness_state, severity) as freshness_state, count(*) as anchors from (select regexp_extract(path, '^(.*)/[^/]*$', 1) as path_group, freshness_state, case freshness_state when 'fresh' then 0 when 'moved' then 1 when 'unknown' then 2 when 'suspect' then 3 else 4 end as severity from anchors) group by path_group")
 def a16(t: Store) -> DataFrame:
     return truth.worst_freshness(t.anchors.withColumn("path_group", text.path_parts(F.col("path"))["parent"]), ["path_group"])
+
+
+@query("C19_timeline", "select memory_id, event_id, action, place from (select memory_id, event_id, action, row_number() over (partition by memory_id order by ts desc, event_id) as place from audit_events) where place <= 50")
+def c19(t: Store) -> DataFrame:
+    """The last fifty events of every memory."""
+    place = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("ts"), "event_id"))
+    return t.audit_events.withColumn("place", place).where("place <= 50").select("memory_id", "event_id", "action", F.col("place").cast("long").alias("place"))
+
+
+@query("C22_distillation", "select scope_type, part, count(*) as members, sha256(string_agg(title, chr(10) order by memory_id)) as digest from (select scope_type, memory_id, title, (row_number() over (partition by scope_type order by memory_id) - 1) // 50 as part from memories join health using (memory_id) where temperature = 'archived') group by scope_type, part")
+def c22(t: Store) -> DataFrame:
+    """Candidates of distillation: the titles of archived memories in order, fifty to a text, so that no list grows with a scope."""
+    part = F.floor((F.row_number().over(Window.partitionBy("scope_type").orderBy("memory_id")) - 1) / 50)
+    rows = t.memories.select("memory_id", "scope_type", "title").join(t.health.where("temperature = 'archived'").select("memory_id"), "memory_id").withColumn("part", part)
+    titles = F.array_sort(F.collect_list(F.struct("memory_id", "title")))
+    out = rows.groupBy("scope_type", "part").agg(F.count("*").alias("members"), titles.alias("titles"))
+    return out.select("scope_type", "part", "members", F.sha2(F.array_join(F.transform("titles", lambda x: x["title"]), "\n"), 256).alias("digest"))
+
+
+@query("C23_explain", "select c.claim_id, coalesce(evidence, 0) as evidence, coalesce(related, 0) as related, versions, history from claims c left join (select claim_id, count(distinct evidence_id) as evidence from claim_evidence group by claim_id) e using (claim_id) left join (select from_id as claim_id, count(distinct to_id) as related from claim_relations group by from_id) r using (claim_id) left join (select claim_id, count(*) as versions, max(version_number) as history from claim_versions group by claim_id) v using (claim_id)")
+def c23(t: Store) -> DataFrame:
+    """Every claim with how much evidence, how many relations and what history it has."""
+    evidence = t.claim_evidence.groupBy("claim_id").agg(F.count_distinct("evidence_id").alias("evidence"))
+    related = t.claim_relations.groupBy(F.col("from_id").alias("claim_id")).agg(F.count_distinct("to_id").alias("related"))
+    versions = t.claim_versions.groupBy("claim_id").agg(F.count("*").alias("versions"), F.max("version_number").cast("long").alias("history"))
+    return t.claims.select("claim_id").join(evidence, "claim_id", "left").join(related, "claim_id", "left").join(versions, "claim_id", "left").na.fill(0, ["evidence", "related"])
+
+
+@query("D2_archive_restore", "select event_id, memory_id, action, lag(action) over w as previous, ts + to_microseconds(row_number() over (partition by memory_id, ts order by event_id) - 1) as at from audit_events where action <> 'other' window w as (partition by memory_id order by ts, event_id)")
+def d2(t: Store) -> DataFrame:
+    """Each event with the state before it, and at a time of its own: events of one moment follow each other by microseconds."""
+    own = t.audit_events.where("action <> 'other'")
+    later = F.row_number().over(Window.partitionBy("memory_id", "ts").orderBy("event_id")) - 1
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + later).cast("timestamp_ntz")
+    return own.select("event_id", "memory_id", "action", F.lag("action").over(Window.partitionBy("memory_id").orderBy("ts", "event_id")).alias("previous"), at.alias("at"))
+
+
+@query("D5_identity_find_or_create", """with keyed as (select claim_id, sha256(concat_ws('|', scope_type, scope_key, subject_entity_id::varchar, predicate)) as identity_key from claims), held as (select distinct identity_key from keyed where claim_id % 2 = 0)
+    select k.identity_key, min(claim_id) as first_claim, count(*) as claims, bool_or(h.identity_key is not null) as found from keyed k left join held h on h.identity_key = k.identity_key group by k.identity_key""")
+def d5(t: Store) -> DataFrame:
+    """Identities by their stable key: found among those that are held, or created with their first claim."""
+    key = truth.stable_identity(F.col("scope_type"), F.col("scope_key"), F.col("subject_entity_id").cast("string"), F.col("predicate"))
+    keyed = t.claims.select("claim_id", key.alias("identity_key"))
+    held = keyed.where("claim_id % 2 = 0").select("identity_key").distinct().withColumn("held", F.lit(True))
+    out = keyed.groupBy("identity_key").agg(F.min("claim_id").alias("first_claim"), F.count("*").alias("claims"))
+    return out.join(held, "identity_key", "left").select("identity_key", "first_claim", "claims", F.coalesce("held", F.lit(False)).alias("found"))
+
+
+@query("D12_context_hash", "with cut as (select memory_id, string_split(content, chr(10)) as lines from memories), placed as (select memory_id, lines, memory_id % len(lines) + 1 as line from cut) select memory_id, line, substr(lines[line], 1, 400) as excerpt, sha256(array_to_string(list_slice(lines, greatest(1, line - 3), line + 3), chr(10))) as context_hash from placed")
+def d12(t: Store) -> DataFrame:
+    """An anchor at a line: a bounded excerpt of the line, and the digest of it with three lines on either side."""
+    rows = t.memories.select("memory_id", F.split("content", "\n").alias("lines")).withColumn("at", F.col("memory_id") % F.size("lines") + 1)
+    first = F.greatest(F.lit(1).cast("long"), F.col("at") - 3)
+    around = F.slice("lines", first.cast("int"), (F.col("at") + 3 - first + 1).cast("int"))
+    line = F.element_at("lines", F.col("at").cast("int"))
+    return rows.select("memory_id", F.col("at").alias("line"), F.substring(line, 1, 400).alias("excerpt"), F.sha2(F.array_join(around, "\n"), 256).alias("context_hash"))
+
+
+@query("D14_symmetric_comparison", f"with pairs as ({sql_of('C5_claim_pairs')}) select case when relationship = 'uncertain' then 'independent' else relationship end as relationship, count(*) as pairs from pairs group by 1")
+def d14(t: Store) -> DataFrame:
+    """What pairs come to when nobody judges: the uncertain are independent."""
+    kind = F.when(F.col("relationship") == "uncertain", "independent").otherwise(F.col("relationship"))
+    return c5(t).groupBy(kind.alias("relationship")).agg(F.count("*").alias("pairs"))
+
+
+@query("C7_judged_conflicts", f"with pairs as ({sql_of('C5_claim_pairs')}), judged_pairs as (select left_claim_id, right_claim_id, ((left_claim_id + right_claim_id) % 10) / 10.0::double as confidence, (left_claim_id * 7 + right_claim_id) % 3 <> 0 as says from pairs where relationship = 'uncertain') select left_claim_id, right_claim_id, case when confidence < 0.7 then 'abstained' when says then 'conflict' else 'no_conflict' end as decision from judged_pairs")
+def c7(t: Store) -> DataFrame:
+    """Only uncertain pairs are judged; a judgement below 0.7 is kept as an abstention."""
+    rows = c5(t).where("relationship = 'uncertain'")
+    confidence, says = ((F.col("left_claim_id") + F.col("right_claim_id")) % 10) / 10, (F.col("left_claim_id") * 7 + F.col("right_claim_id")) % 3 != 0
+    return truth.judged_conflicts(rows, says, confidence)
+
+
+@query("A9_truth_groups", f"with grouped as (select identity_id, predicate, normalized_name as subject, count(distinct object_value) as objects, bool_or(status = 'contested') as any_contested from claims join entities on entity_id = subject_entity_id where stale_state <> 'stale' group by identity_id, predicate, normalized_name) select identity_id, predicate, objects, any_contested or ({SINGLE} and objects > 1) as contested from grouped")
+def a9(t: Store) -> DataFrame:
+    rows = t.claims.where("stale_state <> 'stale'").join(t.entities.select(F.col("entity_id").alias("subject_entity_id"), "normalized_name"), "subject_entity_id")
+    grouped = rows.groupBy("identity_id", "predicate", "normalized_name").agg(F.count_distinct("object_value").alias("objects"), F.bool_or(F.col("status") == "contested").alias("any"))
+    single = truth.single_valued(F.col("predicate"), F.col("normalized_name")) & (F.col("objects") > 1)
+    return grouped.select("identity_id", "predicate", "objects", (F.col("any") | single).alias("contested"))
+
+
+@query("D9_relations_of_claims", f"select c.claim_id, coalesce(leaving, 0) as leaving, coalesce(arriving, 0) as arriving, coalesce(known, 0) as known from claims c left join (select from_id as claim_id, count(*) as leaving from claim_relations group by 1) using (claim_id) left join (select to_id as claim_id, count(*) as arriving from claim_relations group by 1) using (claim_id) left join (select claim_id, count(*) as known from claim_versions where transaction_from <= timestamp '{MOMENT}' group by 1) using (claim_id)")
+def d9(t: Store) -> DataFrame:
+    """Every claim's relations at either end, and its versions that were known at a moment."""
+    ends = lambda end, name: t.claim_relations.groupBy(F.col(end).alias("claim_id")).agg(F.count("*").alias(name))
+    known = t.claim_versions.where(F.col("transaction_from") <= at()).groupBy("claim_id").agg(F.count("*").alias("known"))
+    out = t.claims.select("claim_id").join(ends("from_id", "leaving"), "claim_id", "left").join(ends("to_id", "arriving"), "claim_id", "left").join(known, "claim_id", "left")
+    return out.na.fill(0, ["leaving", "arriving", "known"])

@@ -127,28 +127,12 @@ def l3(t: Store) -> DataFrame:
     return metrics.probability_losses(rows, "p", "quality", "w", ["query_id"]).select("query_id", *[F.round(c, 6).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 
-@query("L4_bradley_terry")
-def l4(t: Store) -> DataFrame:
-    results = t.claims.where("claim_id < 600").select((F.col("claim_id") % 5).alias("query_id"), (F.col("claim_id") % 7).alias("a_id"), ((F.col("claim_id") * 3 + 1) % 7).alias("b_id"), (F.col("confidence") - 0.2).alias("p_a"), F.lit(1.0).alias("weight")).where("a_id <> b_id")
-    return metrics.bradley_terry(results).withColumn("utility", F.round("utility", 6))
-
-
 @query("L5_gates", "select provider, concat_ws(',', case when runs < 100 then 'enough_runs' end, case when rate < 0.3 then 'success_rate' end) as failed from (select provider, count(*) as runs, avg(success::int) as rate from usage group by provider)")
 def l5(t: Store) -> DataFrame:
     rows = t.usage.groupBy("provider").agg(F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("rate"))
     return metrics.gate(rows, {"enough_runs": F.col("runs") >= 100, "success_rate": F.col("rate") >= 0.3}).select("provider", "failed")
 
 
-@query("L7_hash_split", "select memory_id, case when h < 0.6 then 'train' when h < 0.8 then 'dev' else 'test' end as split from (select memory_id, ('0x' || substr(sha256('split:' || memory_id), 1, 8))::bigint / 4294967296.0::double as h from memories)")
-def l7(t: Store) -> DataFrame:
-    return metrics.hash_split(t.memories.select("memory_id"), "memory_id", "split")
-
-
-@query("L8_adjudication", "select case_id, candidate_id, least(first_relevance, second_relevance) as relevance, greatest(first_label, second_label) as label, first_relevance > 1 and second_relevance > 1 as required from reviews")
-def l8(t: Store) -> DataFrame:
-    return t.reviews.select("case_id", "candidate_id", F.least("first_relevance", "second_relevance").alias("relevance"), F.greatest("first_label", "second_label").alias("label"), ((F.col("first_relevance") > 1) & (F.col("second_relevance") > 1)).alias("required"))
-
-
 @query("L10_usage_guard", "select task_id, alpha > 1.3 * greatest(beta, gamma) as over from (select task_id % 50 as task_id, sum(input_tokens) filter (provider = 'alpha') as alpha, sum(input_tokens) filter (provider = 'beta') as beta, sum(input_tokens) filter (provider = 'gamma') as gamma from usage group by task_id % 50) where alpha is not null and beta is not null and gamma is not null")
 def l10(t: Store) -> DataFrame:
     arm = lambda p: F.sum(F.when(F.col("provider") == p, F.col("input_tokens"))).alias(p)
@@ -162,14 +146,6 @@ def m5(t: Store) -> DataFrame:
     return t.reviews.where(~same).select("case_id", "candidate_id")
 
 
-@query("M7_blind_assignment", "select case_id, candidate_id, row_number() over (partition by case_id order by sha256('r1:' || candidate_id), candidate_id) as place from (select distinct case_id, candidate_id from reviews)")
-def m7(t: Store) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("case_id").orderBy(F.sha2(F.concat(F.lit("r1:"), F.col("candidate_id").cast("string")), 256), "candidate_id")
-    return t.reviews.select("case_id", "candidate_id").distinct().withColumn("place", F.row_number().over(order).cast("long"))
-
-
 @query("M9_protocol", "select task_id, count(distinct condition) = 2 as complete, count(distinct provider) = 1 as one_provider from usage group by task_id")
 def m9(t: Store) -> DataFrame:
     return t.usage.groupBy("task_id").agg((F.count_distinct("condition") == 2).alias("complete"), (F.count_distinct("provider") == 1).alias("one_provider"))
@@ -194,3 +170,45 @@ def m13(t: Store) -> DataFrame:
 @query("M14_rank_direction", f"with {RANKED} select query_id, memory_id, cast(sign(rank - memory_id % 10) as int) as direction from ranked where toxic = 1")
 def m14(t: Store) -> DataFrame:
     return ranked(t).where("toxic = 1").select("query_id", "memory_id", F.signum(F.col("rank") - F.col("memory_id") % 10).cast("int").alias("direction"))
+
+
+@query("L4_bradley_terry")
+def l4(t: Store) -> DataFrame:
+    results = t.claims.select((F.col("claim_id") % 5).alias("query_id"), (F.col("claim_id") % 7).alias("a_id"), ((F.col("claim_id") * 3 + 1) % 7).alias("b_id"), (F.col("confidence") - 0.2).alias("p_a"), F.lit(1.0).alias("weight")).where("a_id <> b_id")
+    return metrics.bradley_terry(results).withColumn("utility", F.round("utility", 6))
+
+
+@query("L7_hash_split", "with ranked as (select subject, row_number() over (order by sha256('split:' || subject)) - 1 as place, count(*) over () as n from (select distinct subject from memories)) select memory_id, case when place < round_even(n * 0.6::double, 0) then 'train' when place < round_even(n * 0.8::double, 0) then 'dev' else 'test' end as split from memories join ranked using (subject)")
+def l7(t: Store) -> DataFrame:
+    """Whole repositories go to train, dev and test, by the order of their digests."""
+    return t.memories.select("memory_id", "subject").join(metrics.ranked_split(t.memories.select("subject").distinct(), "subject", "split"), "subject").select("memory_id", "split")
+
+
+@query("L8_adjudication", "with marked as (select *, case first_label when 'N' then 0 when 'A' then 1 else 2 end as x, case second_label when 'O' then 0 else 2 end as y from reviews) select case_id, candidate_id, least(first_relevance, second_relevance) as relevance, ['clear', 'caution', 'unsafe'][greatest(x, y) + 1] as label, first_relevance > 1 and second_relevance > 1 as required from marked")
+def l8(t: Store) -> DataFrame:
+    """The lower relevance, the graver label by a stated order, and required only if both say so."""
+    first = F.when(F.col("first_label") == "N", 0).when(F.col("first_label") == "A", 1).otherwise(2)
+    second = F.when(F.col("second_label") == "O", 0).otherwise(2)
+    label = F.array(F.lit("clear"), F.lit("caution"), F.lit("unsafe"))[F.greatest(first, second)]
+    return t.reviews.select("case_id", "candidate_id", F.least("first_relevance", "second_relevance").alias("relevance"), label.alias("label"), ((F.col("first_relevance") > 1) & (F.col("second_relevance") > 1)).alias("required"))
+
+
+@query("M7_blind_assignment", """with own as (select distinct case_id, candidate_id from reviews), placed as (select *, count(*) over (partition by case_id) as n, row_number() over (partition by case_id order by sha256('r1:' || candidate_id), candidate_id) as first, row_number() over (partition by case_id order by sha256('r2:' || candidate_id), candidate_id) as other from own),
+    same as (select case_id, bool_and(first = other) as same from placed group by case_id) select case_id, candidate_id, first as first_place, case when same and n > 1 then other % n + 1 else other end as second_place from placed join same using (case_id)""")
+def m7(t: Store) -> DataFrame:
+    """Each reviewer has an order of their own; where both are the same, the second is turned by one."""
+    from pyspark.sql import Window
+
+    order = lambda who: F.row_number().over(Window.partitionBy("case_id").orderBy(F.sha2(F.concat(F.lit(f"{who}:"), F.col("candidate_id").cast("string")), 256), "candidate_id"))
+    case = Window.partitionBy("case_id")
+    rows = t.reviews.select("case_id", "candidate_id").distinct().select("case_id", "candidate_id", order("r1").alias("first"), order("r2").alias("other"), F.count("*").over(case).alias("n"))
+    rows = rows.withColumn("same", F.bool_and(F.col("first") == F.col("other")).over(case))
+    second = F.when(F.col("same") & (F.col("n") > 1), F.col("other") % F.col("n") + 1).otherwise(F.col("other"))
+    return rows.select("case_id", "candidate_id", F.col("first").cast("long").alias("first_place"), second.cast("long").alias("second_place"))
+
+
+@query("M4_swap_agreement", f"with {JUDGES} select comparison_id, judge_id, count(*) as orders, count(distinct presentation) = 2 and min(preference) = max(preference) as agrees from votes group by comparison_id, judge_id")
+def m4(t: Store) -> DataFrame:
+    """A judge agrees with itself if it prefers the same when the two are shown the other way round."""
+    agrees = (F.count_distinct("presentation") == 2) & (F.min("preference") == F.max("preference"))
+    return votes(t).groupBy("comparison_id", "judge_id").agg(F.count("*").alias("orders"), agrees.alias("agrees"))

@@ -9,7 +9,7 @@ from factloom.functions import intervals, plain, providers, text
 from factloom.operators import claims as truth
 from factloom.operators import context, metrics, retrieval
 from factloom.plans.registry import query
-from factloom.plans.retrieval import candidates, scored, semantic
+from factloom.plans.retrieval import BM25, COSINE, FUSED, channels, lexical, semantic
 from factloom.sources.model import Store
 
 
@@ -17,12 +17,6 @@ def valid():
     return intervals.moment("1997-06-01 00:00:00")
 
 
-@query("J1_hits_memories_health", "select m.memory_id, h.temperature from memories m left join health h using (memory_id) where contains(lower(title), 'tion')")
-def j1(t: Store) -> DataFrame:
-    hits = t.memories.where(F.lower("title").contains("tion")).select("memory_id")
-    return hits.join(t.health.select("memory_id", "temperature"), "memory_id", "left")
-
-
 @query("J5_versions_identities", "select identity_id, count(*) as open_versions from claim_versions where transaction_to is null group by identity_id")
 def j5(t: Store) -> DataFrame:
     return t.claim_versions.where("transaction_to is null").groupBy("identity_id").agg(F.count("*").alias("open_versions"))
@@ -43,11 +37,6 @@ def j10(t: Store) -> DataFrame:
     return rows.groupBy(F.col("c_claim_id").alias("candidate_id")).agg(F.count("*").alias("against"))
 
 
-@query("A9_truth_groups", "select identity_id, count(distinct object_value) as objects, bool_or(status = 'contested') as any_contested from claims where stale_state <> 'stale' group by identity_id")
-def a9(t: Store) -> DataFrame:
-    return t.claims.where("stale_state <> 'stale'").groupBy("identity_id").agg(F.count_distinct("object_value").alias("objects"), F.bool_or(F.col("status") == "contested").alias("any_contested"))
-
-
 @query("A13_cluster_keys", "select subject_entity_id, predicate, count(*) as claims from claims group by subject_entity_id, predicate")
 def a13(t: Store) -> DataFrame:
     return t.claims.groupBy("subject_entity_id", "predicate").agg(F.count("*").alias("claims"))
@@ -60,45 +49,23 @@ def w2(t: Store) -> DataFrame:
     return t.claims.withColumn("n", rank).where("n = 1").select("memory_id", "claim_id")
 
 
-@query("W3_channel_ranks", "select verdict, event_id, row_number() over (partition by verdict order by event_id) as rank from feedback")
-def w3(t: Store) -> DataFrame:
-    return t.feedback.select("verdict", "event_id", F.row_number().over(Window.partitionBy("verdict").orderBy("event_id")).cast("long").alias("rank"))
-
-
 @query("W4_reciprocal_ranks", "select query_id, memory_id, round(1.0 / row_number() over (partition by query_id order by memory_id % 10 desc, memory_id), 6) as value from judged where memory_id % 10 > 0")
 def w4(t: Store) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("memory_id") % 10), "memory_id"))
     return t.judged.where("memory_id % 10 > 0").select("query_id", "memory_id", F.round(1 / rank, 6).alias("value"))
 
 
-@query("W6_nearest_future", "select event_id, lead(event_id) over (partition by memory_id order by ts, event_id) as following from audit_events")
-def w6(t: Store) -> DataFrame:
-    return t.audit_events.select("event_id", F.lead("event_id").over(Window.partitionBy("memory_id").orderBy("ts", "event_id")).alias("following"))
-
-
 @query("K1_filtered_top", "select memory_id from memories where status = 'active' and category = 'decision' order by importance desc, memory_id limit 200")
 def k1(t: Store) -> DataFrame:
     return t.memories.where("status = 'active' and category = 'decision'").orderBy(F.desc("importance"), "memory_id").limit(200).select("memory_id")
 
 
-@query("K4_pool_clamp", "select query_id, count(*) as pool from (select query_id, row_number() over (partition by query_id order by memory_id) as n from judged) where n <= 80 group by query_id")
-def k4(t: Store) -> DataFrame:
-    rows = t.judged.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("memory_id"))).where("n <= 80")
-    return rows.groupBy("query_id").agg(F.count("*").alias("pool"))
-
-
 @query("U1_merged_channels", "select query_id, memory_id, max(score) as score from (select query_id, memory_id, 0.2::double as score from judged where quality = 1 union all select query_id, memory_id, 0.7 from judged where toxic = 1) group by query_id, memory_id")
 def u1(t: Store) -> DataFrame:
     list_of = lambda c, s: t.judged.where(c).select("query_id", "memory_id", F.lit(s).alias("score"))
     return retrieval.merged([list_of("quality = 1", 0.2), list_of("toxic = 1", 0.7)])
 
 
-@query("U3_set_overlaps", "select memory_id, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) as dice, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from (select memory_id, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_.]+')) as x, list_distinct(regexp_extract_all(lower(substr(content, 61, 200)), '[\\p{L}\\p{N}\\p{M}_.]+')) as y from memories) where len(x) + len(y) > 0")
-def u3(t: Store) -> DataFrame:
-    rows = t.memories.select("memory_id", text.tokens(F.col("title")).alias("x"), text.tokens(F.substring("content", 61, 200)).alias("y")).where(F.size("x") + F.size("y") > 0)
-    return rows.select("memory_id", F.round(text.dice(F.col("x"), F.col("y")), 6).alias("dice"), F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
-
-
 @query("R6_ann_recall")
 def r6(t: Store) -> DataFrame:
     """Approximate neighbours by random projections, exactly scored again, against the exact top 5."""
@@ -140,15 +107,6 @@ def c4(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, raw string").select("id", plain.normalized_entity("raw").alias("name"))
 
 
-@query("C7_judged_conflicts", "select count(*) as eligible from claims a join claims b on a.identity_id = b.identity_id and a.scope_type = b.scope_type and a.claim_id < b.claim_id and a.predicate = 'forbidden' where a.polarity = b.polarity and a.object_value <> b.object_value and not contains(a.object_value, b.object_value) and not contains(b.object_value, a.object_value) and greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, timestamp '2200-01-01'), coalesce(b.valid_to, timestamp '2200-01-01'))")
-def c7(t: Store) -> DataFrame:
-    rows = t.claims.where("predicate = 'forbidden'").withColumn("subject", F.lit("x"))
-    pairs = truth.classified_pairs(rows, rows).where("model_eligible")
-    own = t.claims.select("claim_id", "polarity")
-    both = pairs.join(own.select(F.col("claim_id").alias("left_claim_id"), F.col("polarity").alias("p")), "left_claim_id").join(own.select(F.col("claim_id").alias("right_claim_id"), F.col("polarity").alias("q")), "right_claim_id")
-    return both.where("p = q").agg(F.count("*").alias("eligible"))
-
-
 @query("C15_merge_candidates")
 def c15(t: Store) -> DataFrame:
     """Entities whose names are alike but not equal; names are blocked by type and length, so that no whole group is paired."""
@@ -166,11 +124,6 @@ def c21(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, code string").select("id", F.array_join(found, ",").alias("symbols"))
 
 
-@query("D9_relations_of_claims", "select from_id, to_id from claim_relations where from_id % 40 = 0 or to_id % 40 = 0")
-def d9(t: Store) -> DataFrame:
-    return t.claim_relations.where("from_id % 40 = 0 or to_id % 40 = 0")
-
-
 @query("D16_fingerprints", "select query_id, sha256('{\"budget\":2000,\"query\":' || query_id || '}') as fingerprint from asks")
 def d16(t: Store) -> DataFrame:
     body = F.to_json(F.struct(F.col("query_id").alias("query"), F.lit(2000).alias("budget")))
@@ -216,12 +169,6 @@ def f11(t: Store) -> DataFrame:
     return t.memories.select("memory_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.round(intervals.age_days(F.col("created_at"), intervals.moment("2024-06-01 00:00:00")), 6).alias("age"))
 
 
-@query("F13_finite", "select memory_id, isfinite(embedding[1]) as fine from vectors")
-def f13(t: Store) -> DataFrame:
-    first = F.element_at("embedding", 1)
-    return t.vectors.select("memory_id", (~F.isnan(first) & (F.abs(first) < float("inf"))).alias("fine"))
-
-
 @query("F14_sorted_set", "select category, list_aggregate(list_sort(list_distinct(list(scope_type))), 'string_agg', ',') as scopes from memories group by category")
 def f14(t: Store) -> DataFrame:
     return t.memories.groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("scope_type")), ",").alias("scopes"))
@@ -254,13 +201,6 @@ def l2(t: Store) -> DataFrame:
     return t.spark.createDataFrame(folds, "left_out string, importance double, confidence double")
 
 
-@query("L6_silver_relevance", "select a.anchor_id as target, count(*) filter (a.path = b.path) as same_path, count(*) as same_folder from anchors a join anchors b on regexp_extract(a.path, '^(.*)/[^/]*$', 1) = regexp_extract(b.path, '^(.*)/[^/]*$', 1) and a.anchor_id <> b.anchor_id where a.anchor_id <= 20 group by a.anchor_id")
-def l6(t: Store) -> DataFrame:
-    rows = t.anchors.select("anchor_id", "path", text.path_parts(F.col("path"))["parent"].alias("folder"))
-    asked = F.broadcast(rows.where("anchor_id <= 20").select(F.col("anchor_id").alias("target"), F.col("path").alias("wanted"), "folder"))  # twenty rows
-    return rows.join(asked, "folder").where("anchor_id <> target").groupBy("target").agg(F.count_if(F.col("path") == F.col("wanted")).alias("same_path"), F.count("*").alias("same_folder"))
-
-
 @query("L9_visibility_suite", "select (claim_id % 4) as family, count(*) filter (recorded_at <= timestamp '1997-06-01' and valid_from <= timestamp '1997-06-01' and (valid_to is null or timestamp '1997-06-01' < valid_to)) as seen, count(*) as cases from claims group by claim_id % 4")
 def l9(t: Store) -> DataFrame:
     seen = intervals.known_at(F.col("recorded_at"), valid()) & intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid())
@@ -278,11 +218,6 @@ def m3(t: Store) -> DataFrame:
     return t.usage.groupBy("task_id").agg(F.round(F.avg("latency_seconds"), 6).alias("mean"))
 
 
-@query("M4_swap_agreement", "select case_id, min(first_label) = max(first_label) as agrees from reviews group by case_id")
-def m4(t: Store) -> DataFrame:
-    return t.reviews.groupBy("case_id").agg((F.min("first_label") == F.max("first_label")).alias("agrees"))
-
-
 @query("M6_label_distribution", "select first_label, second_label, count(*) as n, round(count(*) / (select count(*) from reviews), 6) as share from reviews group by first_label, second_label")
 def m6(t: Store) -> DataFrame:
     counts = metrics.confusion(t.reviews, "first_label", "second_label")
@@ -341,21 +276,6 @@ def s3(t: Store) -> DataFrame:
     return retrieval.postings(t.memories, weights={"title": 5.0, "content": 2.5}).where("term = 'tion'").select("memory_id", "tf")
 
 
-@query("S12_partitioned_read", "select count(*) as rows, sum(length(content))::bigint as chars from memories")
-def s12(t: Store) -> DataFrame:
-    """Each task counts its own rows batch by batch; only the counts meet."""
-
-    def run(batches):
-        rows = chars = 0
-        for batch in batches:
-            rows, chars = rows + len(batch), chars + int(batch.content.str.len().sum())
-        import pandas as pd
-
-        yield pd.DataFrame({"rows": [rows], "chars": [chars]})
-
-    return t.memories.select("content").mapInPandas(run, "rows long, chars long").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
-
-
 @query("S13_tail_tolerant_lines", "select id from (values (1), (2)) v(id)")
 def s13(t: Store) -> DataFrame:
     lines = t.spark.createDataFrame([('{"id": 1}',), ('{"id": 2}',), ('{"id": 3, "te',)], "value string")
@@ -387,3 +307,61 @@ def st2(t: Store) -> DataFrame:
 def st5(t: Store) -> DataFrame:
     late = F.col("recorded_at") > F.col("valid_from") + F.make_dt_interval(F.lit(2))
     return t.claims.groupBy("identity_id").agg(F.count_if(late).alias("late"))
+
+
+@query("J1_hits_memories_health", f"with {BM25} select query_id, m.memory_id, m.status, h.temperature from fts join memories m on m.memory_id = fts.memory_id left join health h on h.memory_id = m.memory_id where rank <= 20")
+def j1(t: Store) -> DataFrame:
+    hits = lexical(t, 20).select("query_id", "memory_id")
+    return hits.join(t.memories.select("memory_id", "status"), "memory_id").join(t.health.select("memory_id", "temperature"), "memory_id", "left").select("query_id", "memory_id", "status", "temperature")
+
+
+@query("W3_channel_ranks", f"with {BM25}, {COSINE}, {FUSED} select query_id, channel, memory_id, rank from every")
+def w3(t: Store) -> DataFrame:
+    parts = [rows.select("query_id", F.lit(name).alias("channel"), "memory_id", F.col("rank").cast("long").alias("rank")) for name, rows in channels(t).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("U3_set_overlaps", "select memory_id, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) as dice, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from (select memory_id, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}\\p{M}_.]+')) as x, list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}\\p{M}_.]+')) as y from memories) where len(x) + len(y) > 0")
+def u3(t: Store) -> DataFrame:
+    rows = t.memories.select("memory_id", text.tokens(F.col("title")).alias("x"), text.tokens(F.col("content")).alias("y")).where(F.size("x") + F.size("y") > 0)
+    return rows.select("memory_id", F.round(text.dice(F.col("x"), F.col("y")), 6).alias("dice"), F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query("S12_partitioned_read", "select scope_key, count(*) as rows, sum(length(content))::bigint as chars from memories group by scope_key")
+def s12(t: Store) -> DataFrame:
+    return t.memories.groupBy("scope_key").agg(F.count("*").alias("rows"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("L6_silver_relevance", "select anchor_id as target, count(*) over (partition by path) - 1 as same_path, count(*) over (partition by regexp_extract(path, '^(.*)/[^/]*$', 1)) - 1 as same_folder from anchors")
+def l6(t: Store) -> DataFrame:
+    """How many other anchors lie in each one's file and folder: counted by group, without pairs."""
+    rows = t.anchors.select("anchor_id", "path", text.path_parts(F.col("path"))["parent"].alias("folder"))
+    paths = rows.groupBy("path").agg((F.count("*") - 1).alias("same_path"))
+    folders = rows.groupBy("folder").agg((F.count("*") - 1).alias("same_folder"))
+    return rows.join(paths, "path").join(folders, "folder").select(F.col("anchor_id").alias("target"), "same_path", "same_folder")
+
+
+@query("F13_finite", "select memory_id, len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 as fine from vectors")
+def f13(t: Store) -> DataFrame:
+    fine = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return t.vectors.select("memory_id", fine.alias("fine"))
+
+
+@query("K4_pool_clamp", "select query_id, count(*) as pool from (select query_id, row_number() over (partition by query_id order by memory_id) as n, least(1000, greatest(80, query_id * 8)) as most from judged) where n <= most group by query_id")
+def k4(t: Store) -> DataFrame:
+    """Eight times what is asked for, but 80 at least and 1000 at most."""
+    most = F.least(F.lit(1000), F.greatest(F.lit(80), F.col("query_id") * 8))
+    rows = t.judged.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("memory_id"))).where(F.col("n") <= most)
+    return rows.groupBy("query_id").agg(F.count("*").alias("pool"))
+
+
+@query("W6_nearest_future", "select event_id, case when lead(ts) over w <= ts + interval 7 day then lead(event_id) over w end as following, case when lag(ts) over w >= ts - interval 3 day then lag(event_id) over w end as before from audit_events window w as (partition by memory_id order by ts, event_id)")
+def w6(t: Store) -> DataFrame:
+    """The nearest event after each within seven days, and before it within three."""
+    order = Window.partitionBy("memory_id").orderBy("ts", "event_id")
+    days = lambda n: F.make_dt_interval(F.lit(n))
+    soon, late = F.lead("ts").over(order) <= F.col("ts") + days(7), F.lag("ts").over(order) >= F.col("ts") - days(3)
+    return t.audit_events.select("event_id", F.when(soon, F.lead("event_id").over(order)).alias("following"), F.when(late, F.lag("event_id").over(order)).alias("before"))

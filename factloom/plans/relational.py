@@ -46,15 +46,6 @@ def s4(t: Store) -> DataFrame:
     return t.memories.where(hit).select("memory_id")
 
 
-@query("S5_knn_l2", """select memory_id, round(1 / (1 + distance), 6) as score from (select a.memory_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))) as distance
-    from vectors a, (select embedding from vectors where memory_id = 7) b) order by distance, memory_id limit 10""")
-def s5(t: Store) -> DataFrame:
-    asked = t.vectors.where("memory_id = 7").select(F.col("embedding").alias("asked"))
-    square = F.aggregate(F.zip_with("embedding", "asked", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    rows = t.vectors.join(F.broadcast(asked)).withColumn("distance", F.sqrt(square))  # one asked vector
-    return rows.orderBy("distance", "memory_id").limit(10).select("memory_id", F.round(1 / (1 + F.col("distance")), 6).alias("score"))
-
-
 @query("S6_vector_upsert", "select memory_id, case when memory_id % 10 = 0 then 99 else label end as label from vectors union all select max(memory_id) + 1, 99 from vectors")
 def s6(t: Store) -> DataFrame:
     from factloom.sources.tables import upsert
@@ -80,15 +71,6 @@ def s9(t: Store) -> DataFrame:
     return size("memories", t.memories, "content").union(size("claims", t.claims, "object_value")).union(size("sources", t.sources, "source_ref"))
 
 
-@query("S10_import_roundtrip", "select memory_id, title, round(importance, 6) as importance, status from memories where memory_id % 3 = 0")
-def s10(t: Store) -> DataFrame:
-    from factloom.sources.tables import from_json_lines, json_lines
-
-    rows = t.memories.where("memory_id % 3 = 0").select("memory_id", "title", "importance", "status")
-    back = from_json_lines(json_lines(rows, "memory"), {"memory": rows.schema})["memory"]
-    return back.select("memory_id", "title", F.round("importance", 6).alias("importance"), "status")
-
-
 @query("S11_row_validation", """select * from (select 'confidence_bounds' as rule, count(*) filter (confidence < 0.55 or confidence > 1) as violations from claims union all
     select 'interval', count(*) filter (not (valid_to is null or valid_from < valid_to)) from claims union all select 'polarity', count(*) filter (polarity not in ('positive', 'negative')) from claims)""")
 def s11(t: Store) -> DataFrame:
@@ -198,12 +180,6 @@ def p16(t: Store) -> DataFrame:
     return health.due(t.memories, at())
 
 
-@query("P17_current_version", f"select claim_id, version_number from claim_versions where stale_state <> 'stale' and transaction_to is null and valid_from <= timestamp '{VALID}' and (valid_to is null or timestamp '{VALID}' < valid_to)")
-def p17(t: Store) -> DataFrame:
-    rows = t.claim_versions.where("stale_state <> 'stale' and transaction_to is null").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), valid()))
-    return rows.select("claim_id", F.col("version_number").cast("long").alias("version_number"))
-
-
 @query("P18_calibration_guards", "select memory_id from memories where length(title) >= 12 and regexp_extract(lower(title), '^[a-z]+', 0) not in ('the', 'and', 'of', '') and created_at <= timestamp '2024-02-01'")
 def p18(t: Store) -> DataFrame:
     first = F.regexp_extract(F.lower("title"), "^[a-z]+", 0)
@@ -222,11 +198,6 @@ def j3(t: Store) -> DataFrame:
     return rows.groupBy("entity_type").agg(F.count("*").alias("claims"), F.count("has").alias("with_health"))
 
 
-@query("J4_one_hop", "select distinct query_id, claim_id from (select s.claim_id % 3 as query_id, r.to_id as claim_id from claims s join claim_relations r on r.from_id = s.claim_id where s.claim_id < 60 union all select s.claim_id % 3, r.from_id from claims s join claim_relations r on r.to_id = s.claim_id where s.claim_id < 60)")
-def j4(t: Store) -> DataFrame:
-    return truth.one_hop(t.claims.where("claim_id < 60").select((F.col("claim_id") % 3).alias("query_id"), "claim_id"), t.claim_relations)
-
-
 @query("J6_evidence_sources", "select s.source_type, count(*) as n, round(sum(support_weight), 6) as support from claim_evidence e join sources s using (source_id) left join anchors a using (anchor_id) group by s.source_type")
 def j6(t: Store) -> DataFrame:
     rows = t.claim_evidence.join(t.sources, "source_id").join(t.anchors.select("anchor_id"), "anchor_id", "left")
@@ -239,12 +210,6 @@ def j7(t: Store) -> DataFrame:
     return rows.groupBy("memory_id").agg(F.max_by("source_ref", F.struct("captured_at", "evidence_id")).alias("source_ref"))
 
 
-@query("J9_first_evidence_per_anchor", "select anchor_id, claim_id, memory_id from (select e.anchor_id, c.claim_id, c.memory_id, row_number() over (partition by e.anchor_id order by c.recorded_at desc, c.claim_id) as n from claim_evidence e join claims c using (claim_id)) where n = 1")
-def j9(t: Store) -> DataFrame:
-    rows = t.claim_evidence.select("anchor_id", "claim_id").join(t.claims.select("claim_id", "memory_id", "recorded_at"), "claim_id")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("recorded_at"), "claim_id"))).where("n = 1").select("anchor_id", "claim_id", "memory_id")
-
-
 @query("J11_semi_join", "select claim_id from claims where memory_id in (select memory_id from memories where category = 'decision')")
 def j11(t: Store) -> DataFrame:
     return t.claims.join(t.memories.where("category = 'decision'").select("memory_id"), "memory_id", "left_semi").select("claim_id")
@@ -266,12 +231,6 @@ def j14(t: Store) -> DataFrame:
     return side("baseline").join(side("treatment"), ["task_id", "cache_phase"]).select("task_id", "baseline_run", "treatment_run")
 
 
-@query("J16_review_coverage", "select a.case_id, count(*) as matched from reviews a join reviews b on a.case_id = b.case_id and a.candidate_id = b.candidate_id group by a.case_id")
-def j16(t: Store) -> DataFrame:
-    a = t.reviews.select("case_id", "candidate_id", "first_label")
-    return a.join(t.reviews.select("case_id", "candidate_id", "second_label"), ["case_id", "candidate_id"]).groupBy("case_id").agg(F.count("*").alias("matched"))
-
-
 @query("J17_preference_pairs", "select a.query_id, count(*) as pairs from judged a join judged b on a.query_id = b.query_id where a.quality > b.quality group by a.query_id")
 def j17(t: Store) -> DataFrame:
     # Better times worse rows of a query: counted by relevance, without making the pairs.
@@ -286,17 +245,6 @@ def j18(t: Store) -> DataFrame:
     return keyed.groupBy("key_text").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id")).where("n > 1")
 
 
-@query("J20_canary_containment", "select item_id, count(*) as leaks from (select item_id, lower(substr(text, 1, 40)) as seed from benchmark) b join memories m on contains(lower(m.content), seed) group by item_id")
-def j20(t: Store) -> DataFrame:
-    seeds = t.raw("benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("seed"))  # a stated list of canaries
-    return t.memories.join(F.broadcast(seeds), F.contains(F.lower("content"), F.col("seed"))).groupBy("item_id").agg(F.count("*").alias("leaks"))
-
-
-@query("J21_redirects", "with recursive chase as (select entity_id, entity_id // 2 as target_id from entities where entity_id > 1 and entity_id <= 64 union all select c.entity_id, c.target_id // 2 from chase c where c.target_id > 1) select entity_id, min(target_id) as target_id from chase group by entity_id")
-def j21(t: Store) -> DataFrame:
-    return truth.resolved_redirects(t.entities.where("entity_id > 1 and entity_id <= 64").select("entity_id", F.floor(F.col("entity_id") / 2).alias("target_id")))
-
-
 @query("W1_latest_version", f"select identity_id, claim_id, version_number from (select *, row_number() over (partition by identity_id order by transaction_from desc, version_number desc, claim_id) as n from claim_versions where transaction_from <= timestamp '{VALID}') where n = 1")
 def w1(t: Store) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("identity_id").orderBy(F.desc("transaction_from"), F.desc("version_number"), "claim_id"))
@@ -316,13 +264,6 @@ def w7(t: Store) -> DataFrame:
     return placed.withColumn("n", pick).where("n = 1").select("memory_id", "bucket")
 
 
-@query("W8_spread_pick", "select scope_type, memory_id from (select memory_id, scope_type, row_number() over (partition by scope_type order by memory_id) - 1 as place, count(*) over (partition by scope_type) as total from memories) where place in (0, (total - 1) // 4, (total - 1) // 2, total - 1)")
-def w8(t: Store) -> DataFrame:
-    placed = t.memories.select("memory_id", "scope_type", (F.row_number().over(Window.partitionBy("scope_type").orderBy("memory_id")) - 1).alias("place"), (F.count("*").over(Window.partitionBy("scope_type")) - 1).alias("last"))
-    wanted = [F.lit(0).cast("long"), F.floor(F.col("last") / 4), F.floor(F.col("last") / 2), F.col("last")]
-    return placed.where(F.array_contains(F.array(*wanted), F.col("place").cast("long"))).select("scope_type", "memory_id")
-
-
 @query("W9_version_chain", "select claim_id, version_number, transaction_from, transaction_to from claim_versions")
 def w9(t: Store) -> DataFrame:
     return t.claim_versions.select("claim_id", F.col("version_number").cast("long").alias("version_number"), "transaction_from", "transaction_to")
@@ -367,14 +308,6 @@ def u2(t: Store) -> DataFrame:
     return context.delta(old, new, "memory_id", "digest")
 
 
-@query("U4_path_relevance", "select a.anchor_id, case when a.path = b.path then 3 when regexp_extract(a.path, '^(.*)/[^/]*$', 1) = regexp_extract(b.path, '^(.*)/[^/]*$', 1) then 2 when a.symbol_fqn = b.symbol_fqn then 1 else 0 end as relevance from anchors a, (select path, symbol_fqn from anchors where anchor_id = 11) b")
-def u4(t: Store) -> DataFrame:
-    one = t.anchors.where("anchor_id = 11").select(F.col("path").alias("other"), F.col("symbol_fqn").alias("other_symbol"))
-    parent = lambda c: text.path_parts(F.col(c))["parent"]
-    relevance = F.when(F.col("path") == F.col("other"), 3).when(parent("path") == parent("other"), 2).when(F.col("symbol_fqn") == F.col("other_symbol"), 1).otherwise(0)
-    return t.anchors.join(F.broadcast(one)).select("anchor_id", relevance.alias("relevance"))  # one asked path
-
-
 @query("U5_holdout_disjoint", "select count(*) as shared from (select memory_id from judged where query_id < 10 intersect select memory_id from judged where query_id >= 10)")
 def u5(t: Store) -> DataFrame:
     ids = lambda c: t.judged.where(c).select("memory_id")
@@ -385,3 +318,82 @@ def u5(t: Store) -> DataFrame:
 def u6(t: Store) -> DataFrame:
     a, b = t.claims.select("memory_id").distinct(), t.feedback.select("memory_id").distinct().withColumn("f", F.lit(1))
     return a.join(b, "memory_id", "left").agg(F.count("f").alias("both"), F.count_if(F.col("f").isNull()).alias("only_claims"))
+
+
+@query("S5_knn_l2", """select query_id, memory_id, round(1 / (1 + distance), 6) as score from (select *, row_number() over (partition by query_id order by round(distance, 9), memory_id) as place from (select a.memory_id as query_id, b.memory_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))) as distance
+    from vectors a join vectors b on a.memory_id <> b.memory_id where a.memory_id % 20 = 0)) where place <= 10""")
+def s5(t: Store) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 20; the queries are copied to each block of vectors."""
+    blocks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = t.vectors.where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = t.vectors.select("memory_id", "embedding", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)).cast("int").alias("block"))
+    square = F.aggregate(F.zip_with("embedding", "asked", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    found = asked.join(rows, "block").where("memory_id <> query_id").select("query_id", "memory_id", (-F.round(F.sqrt(square), 9)).alias("score"))
+    return retrieval.best(found, 10).select("query_id", "memory_id", F.round(1 / (1 - F.col("score")), 6).alias("score"))
+
+
+@query("S10_import_roundtrip", "select memory_id, title, round(importance, 6) as importance, status from memories")
+def s10(t: Store) -> DataFrame:
+    from factloom.sources.tables import from_json_lines, json_lines
+
+    rows = t.memories.select("memory_id", "title", "importance", "status")
+    back = from_json_lines(json_lines(rows, "memory"), {"memory": rows.schema})["memory"]
+    return back.select("memory_id", "title", F.round("importance", 6).alias("importance"), "status")
+
+
+@query("J4_one_hop", "select distinct query_id, claim_id from (select s.claim_id % 3 as query_id, r.to_id as claim_id from claims s join claim_relations r on r.from_id = s.claim_id union all select s.claim_id % 3, r.from_id from claims s join claim_relations r on r.to_id = s.claim_id)")
+def j4(t: Store) -> DataFrame:
+    return truth.one_hop(t.claims.select((F.col("claim_id") % 3).alias("query_id"), "claim_id"), t.claim_relations)
+
+
+@query("J9_first_evidence_per_anchor", "select anchor_id, path, claim_id, memory_id from (select a.anchor_id, a.path, c.claim_id, c.memory_id, row_number() over (partition by a.anchor_id order by c.recorded_at desc, c.claim_id) as n from anchors a join claim_evidence e using (anchor_id) join claims c using (claim_id) join memories m using (memory_id) where m.status = 'active') where n = 1")
+def j9(t: Store) -> DataFrame:
+    live = t.memories.where("status = 'active'").select("memory_id")
+    claims = t.claims.select("claim_id", "memory_id", "recorded_at").join(live, "memory_id", "left_semi")
+    first = F.min_by(F.struct("claim_id", "memory_id"), F.struct(-F.unix_micros(F.col("recorded_at").cast("timestamp")), F.col("claim_id"))).alias("first")
+    rows = t.claim_evidence.select("anchor_id", "claim_id").join(claims, "claim_id").groupBy("anchor_id").agg(first)
+    return t.anchors.select("anchor_id", "path").join(rows, "anchor_id").select("anchor_id", "path", "first.claim_id", "first.memory_id")
+
+
+@query("J16_review_coverage", "with a as (select case_id, candidate_id from reviews where (case_id + candidate_id) % 9 <> 0), b as (select case_id, candidate_id from reviews where candidate_id % 7 <> 6) select coalesce(a.case_id, b.case_id) as case_id, count(*) filter (a.case_id is not null and b.case_id is not null) as matched, count(*) filter (b.case_id is null) as first_only, count(*) filter (a.case_id is null) as second_only from a full join b on a.case_id = b.case_id and a.candidate_id = b.candidate_id group by 1")
+def j16(t: Store) -> DataFrame:
+    """Two reviewers, each with gaps: what both saw, and what only one did."""
+    one = t.reviews.where("(case_id + candidate_id) % 9 <> 0").select("case_id", "candidate_id", F.lit(True).alias("first"))
+    other = t.reviews.where("candidate_id % 7 <> 6").select("case_id", "candidate_id", F.lit(True).alias("second"))
+    both = one.join(other, ["case_id", "candidate_id"], "full")
+    return both.groupBy("case_id").agg(F.count_if(F.col("first") & F.col("second")).alias("matched"), F.count_if(F.col("second").isNull()).alias("first_only"), F.count_if(F.col("first").isNull()).alias("second_only"))
+
+
+@query("J20_canary_containment", "select item_id, count(*) as leaks from benchmark b join memories m on contains(lower(m.content), lower(b.text)) where b.text <> '' group by item_id")
+def j20(t: Store) -> DataFrame:
+    """Whole canaries in whole contents; containment has no key, so that a stated list of canaries meets every content."""
+    seeds = t.raw("benchmark").where("text <> ''").select("item_id", F.lower("text").alias("seed"))
+    return t.memories.select(F.lower("content").alias("content")).join(seeds, F.contains(F.col("content"), F.col("seed"))).groupBy("item_id").agg(F.count("*").alias("leaks"))
+
+
+@query("J21_redirects", "with recursive chase as (select entity_id, entity_id // 2 as target_id from entities where entity_id > 1 union all select c.entity_id, c.target_id // 2 from chase c where c.target_id > 1) select entity_id, min(target_id) as target_id from chase group by entity_id")
+def j21(t: Store) -> DataFrame:
+    return truth.resolved_redirects(t.entities.where("entity_id > 1").select("entity_id", F.floor(F.col("entity_id") / 2).alias("target_id")))
+
+
+@query("U4_path_relevance", "select a.anchor_id, case when a.path = b.path then 3 when regexp_extract(a.path, '^(.*)/[^/]*$', 1) = regexp_extract(b.path, '^(.*)/[^/]*$', 1) then 2 when a.symbol_fqn = b.symbol_fqn then 1 else 0 end as relevance from anchors a join anchors b on b.anchor_id = a.anchor_id // 10 * 10")
+def u4(t: Store) -> DataFrame:
+    """Every anchor against the one that its ten start with."""
+    other = t.anchors.select(F.col("anchor_id").alias("asked"), F.col("path").alias("other"), F.col("symbol_fqn").alias("other_symbol"))
+    parent = lambda c: text.path_parts(F.col(c))["parent"]
+    relevance = F.when(F.col("path") == F.col("other"), 3).when(parent("path") == parent("other"), 2).when(F.col("symbol_fqn") == F.col("other_symbol"), 1).otherwise(0)
+    return t.anchors.withColumn("asked", F.floor(F.col("anchor_id") / 10) * 10).join(other, "asked").select("anchor_id", relevance.alias("relevance"))
+
+
+@query("W8_spread_pick", "with placed as (select memory_id, scope_type, row_number() over (partition by scope_type order by memory_id) - 1 as place, count(*) over (partition by scope_type) - 1 as last from memories) select distinct scope_type, memory_id from placed, (select unnest([0, 1, 2, 3]) as i) where place = round_even(i * last / 3.0::double, 0)")
+def w8(t: Store) -> DataFrame:
+    """Four of each scope, evenly spread; positions are rounded half to even."""
+    placed = t.memories.select("memory_id", "scope_type", (F.row_number().over(Window.partitionBy("scope_type").orderBy("memory_id")) - 1).alias("place"), (F.count("*").over(Window.partitionBy("scope_type")) - 1).alias("last"))
+    wanted = F.array(*[F.bround(F.lit(float(i)) * F.col("last") / 3, 0).cast("long") for i in range(4)])
+    return placed.where(F.array_contains(wanted, F.col("place").cast("long"))).select("scope_type", "memory_id")
+
+
+@query("P17_current_version", "select claim_id, version_number from claim_versions where stale_state <> 'stale' and transaction_to is null and valid_from <= timestamp '2001-07-20' and (valid_to is null or timestamp '2001-07-20' < valid_to)")
+def p17(t: Store) -> DataFrame:
+    rows = t.claim_versions.where("stale_state <> 'stale' and transaction_to is null").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), intervals.moment("2001-07-20 00:00:00")))
+    return rows.select("claim_id", F.col("version_number").cast("long").alias("version_number"))

@@ -41,11 +41,6 @@ def f5(t: Store) -> DataFrame:
     return t.memories.select("memory_id", text.semantic_key(F.col("title")).alias("key_text"))
 
 
-@query("F6_url_parts", "select page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host from pages")
-def f6(t: Store) -> DataFrame:
-    return t.raw("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"))
-
-
 @query("F7_path_parts", "select anchor_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as parent, regexp_extract(path, '([^/]*)$', 1) as base, regexp_extract(path, '(\\.[^./]*)$', 1) as suffix from anchors")
 def f7(t: Store) -> DataFrame:
     return t.anchors.select("anchor_id", text.path_parts(F.col("path")).alias("p")).select("anchor_id", "p.*")
@@ -63,18 +58,30 @@ def f10(t: Store) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(lines, 1)), "id int, line string").select("id", text.sentence_category(F.col("line")).alias("category"))
 
 
-@query("F12_math", "select memory_id, round(exp(-importance), 6) as decay, round(ln(1 + confidence), 6) as log1p, round(1 / (1 + exp(-importance)), 6) as sigmoid, round(least(1, greatest(0, importance * 2 - 0.5)), 6) as clamped from memories")
+@query("C2_evidence_spans", "select memory_id, substr(content, 11, 20) = quote as exact from (select memory_id, content, case when memory_id % 4 = 0 then 'x' || substr(content, 12, 19) else substr(content, 11, 20) end as quote from memories)")
+def c2(t: Store) -> DataFrame:
+    quote = F.when(F.col("memory_id") % 4 == 0, F.concat(F.lit("x"), F.substring("content", 12, 19))).otherwise(F.substring("content", 11, 20))
+    return t.memories.select("memory_id", (F.substring("content", 11, 20) == quote).alias("exact"))
+
+
+@query("F6_url_parts", "select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) as host, regexp_replace(regexp_replace(url, '^([a-zA-Z]+://)[^/@]*@', '\\1'), '[?#].*$', '') as clean from (select page_id, case when page_id % 3 = 0 then replace(url, '://', '://user:secret@') || '?token=1#x' else url end as url from pages)")
+def f6(t: Store) -> DataFrame:
+    """Host, and the address without user, password, query and fragment."""
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.replace(F.col("url"), F.lit("://"), F.lit("://user:secret@")), F.lit("?token=1#x"))).otherwise(F.col("url"))
+    return t.raw("pages").select("page_id", text.url_host(url).alias("host"), text.clean_url(url).alias("clean"))
+
+
+@query("F12_math", "select memory_id, round(exp(-importance), 6) as decay, round(ln(1 + confidence), 6) as log1p, round(1 / (1 + exp(-importance)), 6) as sigmoid, round(least(1, greatest(0, importance * 2 - 0.5)), 6) as clamped, round(log2(1 + importance), 6) as log2, round(sqrt(importance), 6) as root, round(case when confidence <= 0 or confidence >= 1 then 0 else -confidence * log2(confidence) - (1 - confidence) * log2(1 - confidence) end, 6) as entropy from memories")
 def f12(t: Store) -> DataFrame:
     i, c = F.col("importance"), F.col("confidence")
-    return t.memories.select("memory_id", F.round(F.exp(-i), 6).alias("decay"), F.round(F.log1p(c), 6).alias("log1p"), F.round(1 / (1 + F.exp(-i)), 6).alias("sigmoid"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), i * 2 - 0.5)), 6).alias("clamped"))
+    entropy = F.when((c <= 0) | (c >= 1), 0.0).otherwise(-c * F.log2(c) - (1 - c) * F.log2(1 - c))
+    rows = {"decay": F.exp(-i), "log1p": F.log1p(c), "sigmoid": 1 / (1 + F.exp(-i)), "clamped": F.least(F.lit(1.0), F.greatest(F.lit(0.0), i * 2 - 0.5)), "log2": F.log2(1 + i), "root": F.sqrt(i), "entropy": entropy}
+    return t.memories.select("memory_id", *[F.round(v, 6).alias(k) for k, v in rows.items()])
 
 
-@query("F17_stable_sample", "select memory_id, substr(sha256('seed:' || memory_id), 1, 8) as head from memories")
+@query("F17_stable_sample", "select memory_id, ('0x' || substr(d, 1, 15))::bigint as sample, 1 + 2 * (('0x' || substr(d, 16, 6))::bigint % 500) as step, substr(d, 1, 8) as head from (select memory_id, sha256('seed:' || memory_id) as d from memories)")
 def f17(t: Store) -> DataFrame:
-    return t.memories.select("memory_id", F.substring(F.sha2(F.concat(F.lit("seed:"), F.col("memory_id").cast("string")), 256), 1, 8).alias("head"))
-
-
-@query("C2_evidence_spans", "select memory_id, substr(content, 11, 20) = quote as exact from (select memory_id, content, case when memory_id % 4 = 0 then 'x' || substr(content, 12, 19) else substr(content, 11, 20) end as quote from memories)")
-def c2(t: Store) -> DataFrame:
-    quote = F.when(F.col("memory_id") % 4 == 0, F.concat(F.lit("x"), F.substring("content", 12, 19))).otherwise(F.substring("content", 11, 20))
-    return t.memories.select("memory_id", (F.substring("content", 11, 20) == quote).alias("exact"))
+    """A stable number of sixty bits from each digest, and an odd step, which has no factor in common with a power of two."""
+    digest = F.sha2(F.concat(F.lit("seed:"), F.col("memory_id").cast("string")), 256)
+    number = lambda start, length: F.conv(F.substring(digest, start, length), 16, 10).cast("long")
+    return t.memories.select("memory_id", number(1, 15).alias("sample"), (1 + 2 * (number(16, 6) % 500)).alias("step"), F.substring(digest, 1, 8).alias("head"))
