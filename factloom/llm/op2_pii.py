@@ -50,6 +50,7 @@ _NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})
 _CALL = re.compile(r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _SET = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}([\"']?)([A-Za-z0-9+/_=.~-]{12,512})(?![A-Za-z0-9+/_=.~-])")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9+/_=-])")
+_HINT = re.compile(r"[0-9a-f]{32}|[0-9A-F]{32}|AKIA|ASIA|gh[opsu]_|sk-|xox|eyJ")
 _NAMED = re.compile(r"AKIA|ASIA|gh[opsu]_|sk-|xox[abp]-|eyJ")
 
 #: Fixed values of the gazetteers.
@@ -202,7 +203,7 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             taken.append((a, b))
     secrets: list[tuple[int, int]] = []
     settings = [(m.start(3), m.end(3), m[1].lower()) for m in _SET.finditer(text)] if "=" in text or ":" in text else []
-    for a, b, setting in [*settings, *((m.start(), m.end(), "") for m in _RUN.finditer(text))]:
+    for a, b, setting in [*settings, *((m.start(), m.end(), "") for m in (_RUN.finditer(text) if _HINT.search(text) else ()))]:
         if not any(a < y and x < b for x, y in secrets):
             secrets.append((a, b))
             out.append(("secret", a, b, pattern("secret", text, a, b, False, setting)))
