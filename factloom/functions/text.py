@@ -99,12 +99,6 @@ def sentence_category(sentence: Column) -> Column:
     return out
 
 
-def sentences(text: Column) -> Column:
-    """Trimmed sentences of 8 characters or more."""
-    cut = F.split(text, r"(?<=[.!?。！？])\s+|[\r\n]+")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"^[ \t-]+|[ \t-]+$", "")), lambda s: F.length(s) >= 8)
-
-
 def semantic_key(text: Column) -> Column:
     """Lower case, white space as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -126,9 +120,20 @@ def path_parts(path: Column) -> Column:
     return F.struct(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("parent"), base.alias("base"), F.regexp_extract(base, r"(\.[^.]*)$", 1).alias("suffix"))
 
 
+#: Predicates by another name.
+PREDICATES = {
+    "use": "uses", "using": "uses", "adopt": "uses", "adopts": "uses", "database": "uses", "decision": "uses", "forbid": "forbidden", "forbids": "forbidden", "constraint": "forbidden",
+    "prefer": "prefers", "preference": "prefers", "failure": "failed_because", "implemented": "implemented_in", "implementation": "implemented_in",
+}
+
+
 def canonical_predicate(predicate: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.lower(predicate), r"[^a-z0-9_]+", "_"), r"^_+|_+$", "")
-    return F.when(out == "", F.lit("states")).otherwise(out)
+    """Lower case with single underscores, by its common name; `states` if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(predicate), r"[^a-z0-9_]+", "_"), r"^_+|_+$", "")
+    out = F.when(bare == "", F.lit("states")).otherwise(bare)
+    for other, name in PREDICATES.items():
+        out = F.when(bare == other, F.lit(name)).otherwise(out)
+    return out
 
 
 #: The patterns of code terms, each with its group.

@@ -161,3 +161,10 @@ def grounded(episodes: DataFrame, proposals: DataFrame, minimum_sources: int = 3
         .when(F.col("against") | F.col("divided"), "contested").otherwise("candidate")
     )
     return out.select(*slot, verdict.alias("verdict"))
+
+
+def refused(claims: DataFrame) -> DataFrame:
+    """claims (source, start, end, quote, predicate) with the first reason against each, or null."""
+    exact = F.substring(F.col("source"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quote")
+    reason = F.when(F.col("end") > F.length("source"), "evidence_out_of_bounds").when(~exact, "evidence_quote_mismatch").when(F.trim("predicate") == "", "empty_predicate")
+    return claims.withColumn("reason", reason)

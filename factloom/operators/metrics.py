@@ -91,30 +91,33 @@ def paired(rows: DataFrame, task: str, arm: str, value: str, baseline: str, trea
     return out.where("baseline is not null and treatment is not null").withColumn("difference", F.col("treatment") - F.col("baseline"))
 
 
-def bootstrap(pairs: DataFrame, by: list[str], seed: int, rounds: int = 1000) -> DataFrame:
-    """Per group: mean difference with a 95 % interval by seeded resampling. pairs: task, difference and the group columns.
+#: Modulus and factors of the numbers that resampling draws, and the cumulative Poisson probabilities (mean one) of 0, 1, 2, ...
+PRIME, FACTORS = (1 << 31) - 1, (48271, 69621, 16807)
+POISSON = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182)
 
-    A group's differences are first summed up by value, so that a task holds distinct values and not all rows.
-    """
-    values = pairs.groupBy(*by, F.round("difference", 9).alias("value")).agg(F.count("*").alias("n"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("value")
-        rng = np.random.default_rng(seed)
-        n, value = frame.n.to_numpy(), frame.value.to_numpy()
-        means = np.sort(rng.multinomial(n.sum(), n / n.sum(), rounds) @ value / n.sum())
-        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in by}, "difference": [float((n * value).sum() / n.sum())], "low": [means[int(rounds * 0.025)]], "high": [means[min(rounds - 1, int(rounds * 0.975))]]})
-
-    kinds = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in by)
-    return values.groupBy(*by).applyInPandas(run, f"{kinds}, difference double, low double, high double")
-
-
-def bootstrap_exact(baseline: list[float], treatment: list[float], seed: int, rounds: int = 4000) -> dict[str, float]:
-    """The small-sample form with the standard library's generator, for a report's few pairs."""
-    rng, n = random.Random(seed), len(baseline)
-    gaps = [b - a for a, b in zip(baseline, treatment, strict=True)]
-    means = sorted(math.fsum(gaps[rng.randrange(n)] for _ in range(n)) / n for _ in range(rounds))
-    return {"difference": sum(treatment) / n - sum(baseline) / n, "ci95_low": means[int(rounds * 0.025)], "ci95_high": means[min(rounds - 1, int(rounds * 0.975))]}
+def weight(task: Column, number: Column, seed: int) -> Column:
+    """How often a task is drawn in a round of resampling: Poisson with mean one, by numbers that any engine can make again."""
+    a, b, c = FACTORS
+    first = (task * a + number * b + seed) % PRIME
+    second = (first * c + number * a) % PRIME
+    share = ((second * a + F.floor(second / 127773) * c) % PRIME) / PRIME
+    return sum((F.when(share >= edge, 1).otherwise(0) for edge in POISSON), F.lit(0))
+
+
+def resampled(pairs: DataFrame, task: str, stratum: str | None, seed: int, rounds: int = 200) -> DataFrame:
+    """One row: the mean difference and its 95 % interval, by `rounds` rounds of resampling. pairs: task (long), difference.
+
+    With a stratum, each round and the mean itself are means over strata of the means within them, so that every stratum counts
+    the same. Rounds are sums by (round, stratum), made where the rows lie: no group is held by one task.
+    """
+    rows = pairs.select(F.col(task).cast("long").alias("task"), F.col("difference"), (F.col(stratum) if stratum else F.lit(0)).alias("stratum"))
+    drawn = rows.select("task", "difference", "stratum", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("number")).withColumn("w", weight(F.col("task"), F.col("number"), seed))
+    within = drawn.groupBy("number", "stratum").agg(F.sum(F.col("w") * F.col("difference")).alias("s"), F.sum("w").alias("w")).where("w > 0")
+    means = within.groupBy("number").agg(F.avg(F.col("s") / F.col("w")).alias("mean"))
+    interval = means.agg(F.expr("percentile_disc(0.025) within group (order by mean)").alias("low"), F.expr("percentile_disc(0.975) within group (order by mean)").alias("high"))
+    whole = rows.groupBy("stratum").agg(F.avg("difference").alias("mean")).agg(F.avg("mean").alias("difference"))
+    return whole.join(interval)  # one row each
 
 
 def sample_size(effect: float, deviation: float, alpha: float = 0.05, power: float = 0.8) -> int:

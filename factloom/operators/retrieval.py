@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ INTENTS = [
     ("current_decision", "current_decision_keyword", ["current", "decision", "choose", "architecture", "当前", "决定", "架构"]),
     ("task_state", "task_state_keyword", ["task", "working", "branch", "任务", "分支"]),
 ]
+#: Words that ask for a time, and words that ask for a relation.
 TEMPORAL = r"(?i)(?:as of|at the time|before|after|historical|history|timeline|when did|当时|截至|之前|之后|历史|时间线|何时)"
 RELATIONAL = r"(?i)(?:depends? on|dependency|relationship|related to|calls?|imports?|impact|affected by|依赖|关系|调用|引用|影响|关联)"
 
@@ -145,16 +147,34 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == F.size(right)) & (norms > 0), dot(left, right) / norms)
 
 
+#: Rows of a block that meet the queries in one matrix product.
+PRODUCT_ROWS = 4096
+
+
 def cosine_top(vectors: DataFrame, asked: DataFrame, k: int, key: str = "memory_id", blocks: int | None = None) -> DataFrame:
-    """(query_id, key, score): the k best by cosine, mapped to 0..1.
+    """(query_id, key, score): the k best by cosine, mapped to 0..1. Vectors of another size than a query's are not its rows.
 
-    A stated query set meets all vectors block by block: the queries are copied to each block of vectors by an equi-join.
+    A stated query set meets all vectors block by block: the queries are copied to each block of vectors, which gives the k
+    best of each by matrix products. Scores are rounded to twelve places before they are compared.
     """
     blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = asked.select("query_id", unit(F.col("embedding")).alias("asked")).where("asked is not null").select("query_id", "asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = vectors.select(key, unit(F.col("embedding")).alias("vector"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    # Lengths are one, so that a pair costs one product.
-    scored = left.join(right.where("vector is not null"), "block").where(F.size("asked") == F.size("vector")).select("query_id", key, ((dot(F.col("asked"), F.col("vector")) + 1) / 2).alias("score"))
+    right = vectors.select(F.col(key).alias("key"), unit(F.col("embedding")).alias("vector"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).where("vector is not null")
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64"})]
+        for size, own in queries.groupby(queries.asked.map(len)):
+            fit = rows[rows.vector.map(len) == size].sort_values("key")
+            if not len(fit):
+                continue
+            ids, names = fit.key.to_numpy(), own.query_id.to_numpy()
+            parts = [np.stack(own.asked.to_numpy()) @ np.stack(fit.vector.iloc[i : i + PRODUCT_ROWS].to_numpy()).T for i in range(0, len(fit), PRODUCT_ROWS)]
+            scores = np.round((np.concatenate(parts, axis=1) + 1) / 2, 12)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ties go to the smaller key
+            found.append(pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "key": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+        return pd.concat(found, ignore_index=True)
+
+    scored = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, "query_id long, key long, score double").withColumnRenamed("key", key)
     return best(scored, k, key).select("query_id", key, "score")
 
 

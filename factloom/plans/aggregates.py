@@ -140,11 +140,6 @@ def a36(t: Store) -> DataFrame:
     return t.usage.groupBy("condition").agg(F.round(F.try_divide(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.count_if("success")), 6).alias("tokens_per_success"))
 
 
-@query("A37_threshold_grid", "select condition, threshold, count(*) filter (latency_seconds < threshold) as below from usage, (select unnest([50.0, 100.0, 200.0, 400.0])::double as threshold) group by condition, threshold")
-def a37(t: Store) -> DataFrame:
-    return t.usage.select("condition", "latency_seconds", F.explode(F.array(*[F.lit(x) for x in (50.0, 100.0, 200.0, 400.0)])).alias("threshold")).groupBy("condition", "threshold").agg(F.count_if(F.col("latency_seconds") < F.col("threshold")).alias("below"))
-
-
 @query("A38_best_evidence", "select source_id, arg_max(evidence_id, (support_weight, captured_at, evidence_id)) as evidence_id from claim_evidence group by source_id")
 def a38(t: Store) -> DataFrame:
     return t.claim_evidence.groupBy("source_id").agg(F.max_by("evidence_id", F.struct("support_weight", "captured_at", "evidence_id")).alias("evidence_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import intervals, text
+from factloom.functions import intervals, plain, text
 from factloom.operators import claims as truth
 from factloom.plans.registry import query, sql_of
 from factloom.sources.model import Store
@@ -22,11 +22,6 @@ VISIBLE = f"""visible as (select * from (select *, row_number() over (partition
 SINGLE = "(predicate = 'prefers' or (predicate = 'uses' and regexp_matches(subject, 'database|framework|package_manager|current|primary')))"
 
 
-@query("C3_canonical_predicate", "select anchor_id, case when p = '' then 'states' else p end as predicate from (select anchor_id, regexp_replace(regexp_replace(lower(symbol_fqn), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') as p from anchors)")
-def c3(t: Store) -> DataFrame:
-    return t.anchors.select("anchor_id", text.canonical_predicate(F.col("symbol_fqn")).alias("predicate"))
-
-
 @query("C5_claim_pairs", f"""select a.claim_id as left_claim_id, b.claim_id as right_claim_id, case when a.object_value = b.object_value and a.polarity = b.polarity then 'equivalent' when a.polarity = b.polarity and (contains(a.object_value, b.object_value) or contains(b.object_value, a.object_value)) then 'supports'
     when a.object_value = b.object_value then 'contradicts' when {SINGLE.replace('predicate', 'a.predicate').replace('subject', 'e.normalized_name')} then 'contradicts' else 'uncertain' end as relationship from claims a join claims b on a.scope_type = b.scope_type and a.scope_key = b.scope_key and a.subject_entity_id = b.subject_entity_id and a.predicate = b.predicate and a.claim_id < b.claim_id
     join entities e on e.entity_id = a.subject_entity_id where greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, timestamp '2200-01-01'), coalesce(b.valid_to, timestamp '2200-01-01'))""")
@@ -69,11 +64,6 @@ def c11(t: Store) -> DataFrame:
     return truth.current_truth(rows.join(gone, "memory_id", "left_anti"), t.entities, none, at(), at()).select("identity_id", "versions", "live", "objects", "state")
 
 
-@query("C14_alias_union", "select entity_type, list_aggregate(list_sort(list_distinct(list(c_nationkey))), 'string_agg', ',') as aliases from entities group by entity_type")
-def c14(t: Store) -> DataFrame:
-    return t.entities.groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_set("c_nationkey")), ",").alias("aliases"))
-
-
 @query("C16_archive_guard", "select distinct memory_id from (select identity_id, min(memory_id) as memory_id, max(memory_id) as other from claim_versions where status = 'accepted' and transaction_to is null group by identity_id) where memory_id = other")
 def c16(t: Store) -> DataFrame:
     return truth.sole_support(t.claim_versions)
@@ -215,3 +205,19 @@ def d9(t: Store) -> DataFrame:
     known = t.claim_versions.where(F.col("transaction_from") <= at()).groupBy("claim_id").agg(F.count("*").alias("known"))
     out = t.claims.select("claim_id").join(ends("from_id", "leaving"), "claim_id", "left").join(ends("to_id", "arriving"), "claim_id", "left").join(known, "claim_id", "left")
     return out.na.fill(0, ["leaving", "arriving", "known"])
+
+
+@query("C3_canonical_predicate", "select memory_id, p as predicate, lower(subject) || '|' || p || '|postgresql|' || case when memory_id % 5 = 0 then 'negative' else 'positive' end as claim_key from (select memory_id, subject, case category when 'decision' then 'uses' when 'constraint' then 'forbidden' when 'preference' then 'prefers' when 'failure' then 'failed_because' else category end as p from memories)")
+def c3(t: Store) -> DataFrame:
+    """A predicate's normal form, and the key of a claim: subject, predicate, object and polarity in theirs."""
+    polarity = F.when(F.col("memory_id") % 5 == 0, "negative").otherwise("positive")
+    predicate = text.canonical_predicate(F.upper("category"))
+    key = F.concat_ws("|", plain.normalized_entity("subject"), predicate, plain.normalized_entity(F.lit(" PostgreSQL  DB ")), polarity)
+    return t.memories.select("memory_id", predicate.alias("predicate"), key.alias("claim_key"))
+
+
+@query("C14_alias_union", "select entity_id % 100 as target_id, string_agg(distinct alias, ',' order by alias) as aliases, count(distinct entity_id) - 1 as merged from (select entity_id, unnest([normalized_name, entity_type]) as alias from entities) group by entity_id % 100")
+def c14(t: Store) -> DataFrame:
+    """Entities merged into one: all names of all of them, and how many redirect to it."""
+    merged = t.entities.select(F.col("entity_id").alias("entity_id"), (F.col("entity_id") % 100).alias("target_id"), F.explode(F.array("normalized_name", "entity_type")).alias("alias"))
+    return merged.groupBy("target_id").agg(F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("aliases"), (F.count_distinct("entity_id") - 1).alias("merged"))

@@ -63,18 +63,6 @@ def a30(t: Store) -> DataFrame:
     return metrics.confusion(t.reviews, "first_relevance", "second_relevance")
 
 
-@query("A31_paired_bootstrap")
-def a31(t: Store) -> DataFrame:
-    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment").withColumn("arm", F.lit("all"))
-    return metrics.bootstrap(pairs, ["arm"], 7)
-
-
-@query("A32_stratified_bootstrap")
-def a32(t: Store) -> DataFrame:
-    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment").withColumn("provider", F.col("task_id") % 3)
-    return metrics.bootstrap(pairs, ["provider"], 7)
-
-
 @query("A33_sample_size", "select id, n from (values (1, 63), (2, 16), (3, 393)) v(id, n)")
 def a33(t: Store) -> DataFrame:
     cases = [(1, 0.5, 1.414213562), (2, 0.5, 0.7), (3, 0.2, 1.414213562)]
@@ -127,12 +115,6 @@ def l3(t: Store) -> DataFrame:
     return metrics.probability_losses(rows, "p", "quality", "w", ["query_id"]).select("query_id", *[F.round(c, 6).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 
-@query("L5_gates", "select provider, concat_ws(',', case when runs < 100 then 'enough_runs' end, case when rate < 0.3 then 'success_rate' end) as failed from (select provider, count(*) as runs, avg(success::int) as rate from usage group by provider)")
-def l5(t: Store) -> DataFrame:
-    rows = t.usage.groupBy("provider").agg(F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("rate"))
-    return metrics.gate(rows, {"enough_runs": F.col("runs") >= 100, "success_rate": F.col("rate") >= 0.3}).select("provider", "failed")
-
-
 @query("L10_usage_guard", "select task_id, alpha > 1.3 * greatest(beta, gamma) as over from (select task_id % 50 as task_id, sum(input_tokens) filter (provider = 'alpha') as alpha, sum(input_tokens) filter (provider = 'beta') as beta, sum(input_tokens) filter (provider = 'gamma') as gamma from usage group by task_id % 50) where alpha is not null and beta is not null and gamma is not null")
 def l10(t: Store) -> DataFrame:
     arm = lambda p: F.sum(F.when(F.col("provider") == p, F.col("input_tokens"))).alias(p)
@@ -151,13 +133,6 @@ def m9(t: Store) -> DataFrame:
     return t.usage.groupBy("task_id").agg((F.count_distinct("condition") == 2).alias("complete"), (F.count_distinct("provider") == 1).alias("one_provider"))
 
 
-@query("M12_before_after", "select cache_phase, cast(sum(input_tokens) filter (condition = 'baseline') as bigint) as before, cast(sum(input_tokens) filter (condition = 'treatment') as bigint) as after, round(sum(input_tokens) filter (condition = 'treatment') / sum(input_tokens) filter (condition = 'baseline') - 1, 6) as change from usage group by cache_phase")
-def m12(t: Store) -> DataFrame:
-    side = lambda c: F.sum(F.when(F.col("condition") == c, F.col("input_tokens")))
-    out = t.usage.groupBy("cache_phase").agg(side("baseline").alias("before"), side("treatment").alias("after"))
-    return out.withColumn("change", F.round(F.try_divide("after", "before") - 1, 6))
-
-
 @query("M13_usage_mapping", "select id, hit::bigint as hit, miss::bigint as miss from (values (1, 40, 60), (2, null, null), (3, 10, 90)) v(id, hit, miss)")
 def m13(t: Store) -> DataFrame:
     rows = [(1, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40, "prompt_cache_miss_tokens": 60}'), (2, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40}'), (3, '{"input_tokens": 100, "cache_read": 10, "prompt_cache_miss_tokens": 90}')]
@@ -167,11 +142,6 @@ def m13(t: Store) -> DataFrame:
     return out.select("id", F.when(fits, F.col("hit")).alias("hit"), F.when(fits, F.col("miss")).alias("miss"))
 
 
-@query("M14_rank_direction", f"with {RANKED} select query_id, memory_id, cast(sign(rank - memory_id % 10) as int) as direction from ranked where toxic = 1")
-def m14(t: Store) -> DataFrame:
-    return ranked(t).where("toxic = 1").select("query_id", "memory_id", F.signum(F.col("rank") - F.col("memory_id") % 10).cast("int").alias("direction"))
-
-
 @query("L4_bradley_terry")
 def l4(t: Store) -> DataFrame:
     results = t.claims.select((F.col("claim_id") % 5).alias("query_id"), (F.col("claim_id") % 7).alias("a_id"), ((F.col("claim_id") * 3 + 1) % 7).alias("b_id"), (F.col("confidence") - 0.2).alias("p_a"), F.lit(1.0).alias("weight")).where("a_id <> b_id")
@@ -212,3 +182,74 @@ def m4(t: Store) -> DataFrame:
     """A judge agrees with itself if it prefers the same when the two are shown the other way round."""
     agrees = (F.count_distinct("presentation") == 2) & (F.min("preference") == F.max("preference"))
     return votes(t).groupBy("comparison_id", "judge_id").agg(F.count("*").alias("orders"), agrees.alias("agrees"))
+
+
+@query("L5_gates", "select provider, concat_ws(',', case when runs < 100 then 'enough_runs' end, case when rate < 0.3 then 'success_rate' end, case when missing > 0.2 then 'missing_share' end, case when slow > 100 then 'latency' end, case when phases < 2 then 'both_phases' end) as failed from (select provider, count(*) as runs, avg(success::int) as rate, avg((cache_hit_tokens is null)::int) as missing, quantile_disc(latency_seconds, 0.5) as slow, count(distinct cache_phase) as phases from usage group by provider)")
+def l5(t: Store) -> DataFrame:
+    rows = t.usage.groupBy("provider").agg(
+        F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("rate"), F.avg(F.col("cache_hit_tokens").isNull().cast("int")).alias("missing"), F.expr("percentile_disc(0.5) within group (order by latency_seconds)").alias("slow"), F.count_distinct("cache_phase").alias("phases")
+    )
+    rules = {"enough_runs": F.col("runs") >= 100, "success_rate": F.col("rate") >= 0.3, "missing_share": F.col("missing") <= 0.2, "latency": F.col("slow") <= 100, "both_phases": F.col("phases") >= 2}
+    return metrics.gate(rows, rules).select("provider", "failed")
+
+
+@query("M12_before_after", "select cache_phase, provider, count(*) filter (condition = 'baseline') as runs_before, count(*) filter (condition = 'treatment') as runs_after, count(*) filter (cache_hit_tokens is null) as missing, cast(sum(input_tokens) filter (condition = 'baseline') as bigint) as before, cast(sum(input_tokens) filter (condition = 'treatment') as bigint) as after, round(sum(input_tokens) filter (condition = 'treatment') / sum(input_tokens) filter (condition = 'baseline') - 1, 6) as change from usage group by cache_phase, provider")
+def m12(t: Store) -> DataFrame:
+    """Tokens before and after for each phase and provider, with how many runs each side has and how many lack a figure."""
+    side = lambda c: F.sum(F.when(F.col("condition") == c, F.col("input_tokens")))
+    runs = lambda c: F.count_if(F.col("condition") == c)
+    out = t.usage.groupBy("cache_phase", "provider").agg(runs("baseline").alias("runs_before"), runs("treatment").alias("runs_after"), F.count_if(F.col("cache_hit_tokens").isNull()).alias("missing"), side("baseline").alias("before"), side("treatment").alias("after"))
+    return out.withColumn("change", F.round(F.try_divide("after", "before") - 1, 6))
+
+
+@query("M14_rank_direction", f"with {RANKED}, other as (select query_id, memory_id, row_number() over (partition by query_id order by sha256('new:' || memory_id), memory_id) as place from judged) select r.query_id, r.memory_id, cast(sign(rank - place) as int) as direction from ranked r join other o on o.query_id = r.query_id and o.memory_id = r.memory_id where toxic = 1")
+def m14(t: Store) -> DataFrame:
+    """Whether a marked row rises (1), falls (-1) or stays from one ranking of its query to another."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.sha2(F.concat(F.lit("new:"), F.col("memory_id").cast("string")), 256), "memory_id"))
+    other = t.judged.select("query_id", "memory_id", place.alias("place"))
+    return ranked(t).where("toxic = 1").join(other, ["query_id", "memory_id"]).select("query_id", "memory_id", F.signum(F.col("rank") - F.col("place")).cast("int").alias("direction"))
+
+
+def resampling_sql(stratum: str) -> str:
+    a, b, c = metrics.FACTORS
+    drawn = ' + '.join(f"(share >= {edge})::int" for edge in metrics.POISSON)
+    return f"""with pairs as (select task_id, {stratum} as stratum, t - b as difference from (select task_id, avg(latency_seconds) filter (condition = 'baseline') as b, avg(latency_seconds) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null),
+    numbers as (select *, (task_id * {a} + number * {b} + 7) % {metrics.PRIME} as x from pairs, (select unnest(range(1, 201)) as number)), seconds as (select *, (x * {c} + number * {a}) % {metrics.PRIME} as y from numbers),
+    shares as (select *, ((y * {a} + (y // 127773) * {c}) % {metrics.PRIME}) / {metrics.PRIME}::double as share from seconds), drawn as (select *, {drawn} as w from shares),
+    means as (select number, avg(m) as mean from (select number, stratum, sum(w * difference) / sum(w) as m from drawn group by number, stratum having sum(w) > 0) group by number)
+    select round((select avg(m) from (select avg(difference) as m from pairs group by stratum)), 6) as difference, round(quantile_disc(mean, 0.025), 6) as low, round(quantile_disc(mean, 0.975), 6) as high from means"""
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
+
+
+@query("A31_paired_bootstrap", resampling_sql("0"))
+def a31(t: Store) -> DataFrame:
+    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment")
+    return rounded(metrics.resampled(pairs, "task_id", None, 7))
+
+
+@query("A32_stratified_bootstrap", resampling_sql("task_id % 3"))
+def a32(t: Store) -> DataFrame:
+    """One interval of the mean over providers."""
+    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment").withColumn("provider", F.col("task_id") % 3)
+    return rounded(metrics.resampled(pairs, "task_id", "provider", 7))
+
+
+@query("M11_complete_pairs", resampling_sql("0").replace("latency_seconds", "cache_hit_tokens").replace("select round((select", "select (select count(*) from pairs) as pairs, round((select"))
+def m11(t: Store) -> DataFrame:
+    """Tasks whose both arms have the figure, with the interval of their difference."""
+    pairs = metrics.paired(t.usage, "task_id", "condition", "cache_hit_tokens", "baseline", "treatment")
+    return rounded(metrics.resampled(pairs, "task_id", None, 7)).join(pairs.agg(F.count("*").alias("pairs")))
+
+
+@query("A37_threshold_grid", "with pairs as (select task_id, t - b as difference from (select task_id, avg(latency_seconds) filter (condition = 'baseline') as b, avg(latency_seconds) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null) select threshold, count(*) as pairs, count(*) filter (difference <= threshold) as within_threshold, round(avg((difference <= threshold)::int), 6) as share from pairs, (select unnest([-100.0, -20.0, 0.0, 20.0, 100.0])::double as threshold) group by threshold")
+def a37(t: Store) -> DataFrame:
+    """How many pairs stay within each threshold of the difference."""
+    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment")
+    grid = pairs.select("difference", F.explode(F.array(*[F.lit(x) for x in (-100.0, -20.0, 0.0, 20.0, 100.0)])).alias("threshold"))
+    within = F.col("difference") <= F.col("threshold")
+    return grid.groupBy("threshold").agg(F.count("*").alias("pairs"), F.count_if(within).alias("within_threshold"), F.round(F.avg(within.cast("int")), 6).alias("share"))

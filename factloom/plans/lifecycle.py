@@ -161,3 +161,26 @@ def m16(t: Store) -> DataFrame:
     out = marked.groupBy("query_id").agg(F.count("place").alias("retrieved"), F.count_if(hit).alias("hits"), F.count_if(F.col("quality") == 1).alias("gold"))
     share = lambda c: F.round(F.try_divide(F.col("hits"), F.col(c)), 6)
     return out.select("query_id", "retrieved", "hits", share("retrieved").alias("precision"), share("gold").alias("recall"), F.lit(leaks).alias("leaks"))
+
+
+@query("C2_evidence_spans", f"with {NOTE_SQL} select memory_id, predicate, object, case when memory_id % 5 = 0 then 'evidence_out_of_bounds' when memory_id % 5 = 1 then 'evidence_quote_mismatch' when memory_id % 5 = 2 then 'empty_predicate' end as reason from extracted")
+def c2(t: Store) -> DataFrame:
+    """Claims whose span, quote or predicate was spoilt are refused, with the first reason."""
+    texts = notes(t)
+    case = F.col("memory_id") % 5
+    rows = lifecycle.extracted(texts).join(texts.select("memory_id", F.trim("text").alias("source")), "memory_id").withColumn("said", F.col("predicate"))
+    quote = F.substring(F.col("source"), F.col("start") + 1, F.col("end") - F.col("start"))
+    rows = rows.withColumn("quote", F.when(case == 1, F.concat(F.lit("#"), quote)).otherwise(quote)).withColumn("end", F.when(case == 0, F.col("end") + 100_000).otherwise(F.col("end"))).withColumn("predicate", F.when(case == 2, " ").otherwise(F.col("predicate")))
+    return lifecycle.refused(rows).select("memory_id", F.col("said").alias("predicate"), "object", "reason")
+
+
+@query("ST5_late_knowledge", """with at_once as (select claim_id, status from claim_versions where transaction_from <= timestamp '1997-06-01' and (transaction_to is null or timestamp '1997-06-01' < transaction_to) and valid_from <= timestamp '1997-06-01' and (valid_to is null or timestamp '1997-06-01' < valid_to)),
+    later as (select claim_id, status from claim_versions where transaction_from <= timestamp '1997-06-05' and (transaction_to is null or timestamp '1997-06-05' < transaction_to) and valid_from <= timestamp '1997-06-01' and (valid_to is null or timestamp '1997-06-01' < valid_to))
+    select coalesce(a.claim_id, l.claim_id) as claim_id, case when a.claim_id is null then 'learned' when l.claim_id is null then 'corrected' when a.status <> l.status then 'changed' else 'same' end as knowledge from at_once a full join later l using (claim_id)""")
+def st5(t: Store) -> DataFrame:
+    """What was true at a moment, as known then and four days later: late rows correct the past, they are not dropped."""
+    moment = lambda text: intervals.moment(f"{text} 00:00:00")
+    then = truth.visible_versions(t.claim_versions, moment("1997-06-01"), moment("1997-06-01")).select("claim_id", F.col("status").alias("then"))
+    later = truth.visible_versions(t.claim_versions, moment("1997-06-01"), moment("1997-06-05")).select("claim_id", F.col("status").alias("later"))
+    knowledge = F.when(F.col("then").isNull(), "learned").when(F.col("later").isNull(), "corrected").when(F.col("then") != F.col("later"), "changed").otherwise("same")
+    return then.join(later, "claim_id", "full").select("claim_id", knowledge.alias("knowledge"))

@@ -9,7 +9,7 @@ from factloom.functions import intervals, plain, providers, text
 from factloom.operators import claims as truth
 from factloom.operators import context, metrics, retrieval
 from factloom.plans.registry import query
-from factloom.plans.retrieval import BM25, COSINE, FUSED, channels, lexical, semantic
+from factloom.plans.retrieval import BM25, COSINE, FUSED, channels, eligible, lexical, semantic
 from factloom.sources.model import Store
 
 
@@ -60,12 +60,6 @@ def k1(t: Store) -> DataFrame:
     return t.memories.where("status = 'active' and category = 'decision'").orderBy(F.desc("importance"), "memory_id").limit(200).select("memory_id")
 
 
-@query("U1_merged_channels", "select query_id, memory_id, max(score) as score from (select query_id, memory_id, 0.2::double as score from judged where quality = 1 union all select query_id, memory_id, 0.7 from judged where toxic = 1) group by query_id, memory_id")
-def u1(t: Store) -> DataFrame:
-    list_of = lambda c, s: t.judged.where(c).select("query_id", "memory_id", F.lit(s).alias("score"))
-    return retrieval.merged([list_of("quality = 1", 0.2), list_of("toxic = 1", 0.7)])
-
-
 @query("R6_ann_recall")
 def r6(t: Store) -> DataFrame:
     """Approximate neighbours by random projections, exactly scored again, against the exact top 5."""
@@ -124,12 +118,6 @@ def c21(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, code string").select("id", F.array_join(found, ",").alias("symbols"))
 
 
-@query("D16_fingerprints", "select query_id, sha256('{\"budget\":2000,\"query\":' || query_id || '}') as fingerprint from asks")
-def d16(t: Store) -> DataFrame:
-    body = F.to_json(F.struct(F.col("query_id").alias("query"), F.lit(2000).alias("budget")))
-    return t.asks.select("query_id", F.sha2(plain.canonical_json(body), 256).alias("fingerprint"))
-
-
 @query("D18_run_lookup", "select run_id, condition, input_tokens from usage where run_id in (7, 8, 9)")
 def d18(t: Store) -> DataFrame:
     return t.usage.where(F.col("run_id").isin(7, 8, 9)).select("run_id", "condition", "input_tokens")
@@ -141,17 +129,6 @@ def d20(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, line string").select("id", F.from_json("line", "value int")["value"].alias("value"))
 
 
-@query("X2_contested_components")
-def x2(t: Store) -> DataFrame:
-    """Contested memories that share an identity, directly or through others."""
-    from factloom.operators.graph import components
-
-    own = t.claims.where("status = 'contested'").select("memory_id", "identity_id").distinct()
-    first = own.groupBy("identity_id").agg(F.min("memory_id").alias("b"))
-    edges = own.join(first, "identity_id").select(F.col("memory_id").alias("a"), "b").distinct()
-    return components(edges).groupBy("root").agg(F.count("*").alias("members"))
-
-
 @query("X13_delta_choice", "select query_id, changed < 0.8 * total as send_delta from (select query_id, sum(case when memory_id % 3 = 0 then length(title) else 0 end) as changed, sum(length(title)) as total from judged join memories using (memory_id) group by query_id)")
 def x13(t: Store) -> DataFrame:
     rows = t.judged.join(t.memories.select("memory_id", "title"), "memory_id").withColumn("size", F.length("title"))
@@ -234,11 +211,6 @@ def m10(t: Store) -> DataFrame:
     return t.usage.groupBy("condition", "provider").agg(F.count("*").alias("runs"), F.round(F.sum("latency_seconds"), 6).alias("latency"))
 
 
-@query("M11_complete_pairs", "select count(*) as pairs, round(avg(t - b), 6) as difference from (select task_id, avg(cache_hit_tokens) filter (condition = 'baseline') as b, avg(cache_hit_tokens) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null")
-def m11(t: Store) -> DataFrame:
-    return metrics.paired(t.usage, "task_id", "condition", "cache_hit_tokens", "baseline", "treatment").agg(F.count("*").alias("pairs"), F.round(F.avg("difference"), 6).alias("difference"))
-
-
 @query("M15_pool_cosine", "select j.query_id, count(*) as pool, round(max(list_cosine_similarity(v.embedding::double[], w.embedding::double[])), 6) as best from judged j join vectors v using (memory_id) join vectors w on w.memory_id = j.query_id where j.memory_id <> j.query_id group by j.query_id")
 def m15(t: Store) -> DataFrame:
     asked = t.vectors.select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("asked"))
@@ -271,17 +243,6 @@ def x11(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, used int")
 
 
-@query("S3_index_scan", "select memory_id, sum(weight) as tf from (select memory_id, unnest([5.0, 2.5])::double as weight, unnest([regexp_extract_all(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+'), regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')]) as words from memories), lateral (select unnest(words) as term) where term = 'tion' group by memory_id")
-def s3(t: Store) -> DataFrame:
-    return retrieval.postings(t.memories, weights={"title": 5.0, "content": 2.5}).where("term = 'tion'").select("memory_id", "tf")
-
-
-@query("S13_tail_tolerant_lines", "select id from (values (1), (2)) v(id)")
-def s13(t: Store) -> DataFrame:
-    lines = t.spark.createDataFrame([('{"id": 1}',), ('{"id": 2}',), ('{"id": 3, "te',)], "value string")
-    return lines.select(F.try_variant_get(F.try_parse_json("value"), "$.id", "int").alias("id")).where("id is not null")
-
-
 @query("S17_task_adapter", "select item_id as task_id, regexp_extract(text, '^[^\\s]+', 0) as repository, length(text) as size from benchmark")
 def s17(t: Store) -> DataFrame:
     return t.raw("benchmark").select(F.col("item_id").alias("task_id"), F.regexp_extract("text", r"^[^\s]+", 0).alias("repository"), F.length("text").cast("long").alias("size"))
@@ -303,12 +264,6 @@ def st2(t: Store) -> DataFrame:
     return t.memories.where("ttl_seconds is not null").where(~intervals.lives(F.col("created_at"), F.col("ttl_seconds"), intervals.moment("2024-06-01 00:00:00"))).select("memory_id")
 
 
-@query("ST5_late_knowledge", "select identity_id, count(*) filter (recorded_at > valid_from + interval 2 day) as late from claims group by identity_id")
-def st5(t: Store) -> DataFrame:
-    late = F.col("recorded_at") > F.col("valid_from") + F.make_dt_interval(F.lit(2))
-    return t.claims.groupBy("identity_id").agg(F.count_if(late).alias("late"))
-
-
 @query("J1_hits_memories_health", f"with {BM25} select query_id, m.memory_id, m.status, h.temperature from fts join memories m on m.memory_id = fts.memory_id left join health h on h.memory_id = m.memory_id where rank <= 20")
 def j1(t: Store) -> DataFrame:
     hits = lexical(t, 20).select("query_id", "memory_id")
@@ -365,3 +320,44 @@ def w6(t: Store) -> DataFrame:
     days = lambda n: F.make_dt_interval(F.lit(n))
     soon, late = F.lead("ts").over(order) <= F.col("ts") + days(7), F.lag("ts").over(order) >= F.col("ts") - days(3)
     return t.audit_events.select("event_id", F.when(soon, F.lead("event_id").over(order)).alias("following"), F.when(late, F.lag("event_id").over(order)).alias("before"))
+
+
+@query("U1_merged_channels", f"with {BM25}, {COSINE} select query_id, memory_id, round(max(score), 6) as score from (select query_id, memory_id, score from fts where rank <= 50 union all select query_id, memory_id, score from vec where rank <= 50) group by query_id, memory_id")
+def u1(t: Store) -> DataFrame:
+    return retrieval.merged([lexical(t, 50), semantic(t, 50, eligible(t))]).withColumn("score", F.round("score", 6))
+
+
+@query("X2_contested_components", "with recursive own as (select distinct memory_id, identity_id from claims where status = 'contested'), firsts as (select identity_id, min(memory_id) as b from own group by identity_id), edges as (select distinct memory_id as x, b as y from own join firsts using (identity_id) where memory_id <> b union select distinct b, memory_id from own join firsts using (identity_id) where memory_id <> b), reach as (select x as node, least(x, y) as root from edges union select e.y, r.root from reach r join edges e on e.x = r.node where r.root < e.y) select root, count(*) as members from (select node, min(root) as root from reach group by node) group by root")
+def x2(t: Store) -> DataFrame:
+    """Contested memories that share an identity, directly or through others."""
+    from factloom.operators.graph import components
+
+    own = t.claims.where("status = 'contested'").select("memory_id", "identity_id").distinct()
+    first = own.groupBy("identity_id").agg(F.min("memory_id").alias("b"))
+    edges = own.join(first, "identity_id").select(F.col("memory_id").alias("a"), "b").where("a <> b").distinct()
+    return components(edges).groupBy("root").agg(F.count("*").alias("members"))
+
+
+@query("S3_index_scan", f"with {BM25} select query_id, memory_id, round(score, 6) as score, matched, rank from (select f.query_id, f.memory_id, f.score, b.matched, rank from fts f join bm25 b on b.query_id = f.query_id and b.memory_id = f.memory_id) where rank <= 20")
+def s3(t: Store) -> DataFrame:
+    """The index in order of BM25, over all weighted fields."""
+    return lexical(t, 20).select("query_id", "memory_id", F.round("exact", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
+
+
+@query("S13_tail_tolerant_lines", "select file, id from (values ('a', 1), ('a', 2), ('b', 1)) v(file, id)")
+def s13(t: Store) -> DataFrame:
+    """An incomplete last line of a file is dropped; any other broken line is an error."""
+    from factloom.sources.tables import complete_lines
+
+    lines = [("a", 1, '{"id": 1}'), ("a", 2, '{"id": 2}'), ("a", 3, '{"id": 3, "te'), ("b", 1, '{"id": 1}')]
+    rows = complete_lines(t.spark.createDataFrame(lines, "file string, place long, value string"), "file", "place")
+    return rows.select("file", F.try_variant_get(F.parse_json("value"), "$.id", "int").alias("id"))
+
+
+@query("D16_fingerprints", "select query_id, sha256('{\"budget\":2000,\"query\":\"q' || query_id || '\",\"scope\":\"' || sha256('[\"branch:b' || (query_id % 3) || '\",\"repository:r\"]') || '\"}') as fingerprint from asks")
+def d16(t: Store) -> DataFrame:
+    """The digest of a request, which holds that of its scopes in order: what differs in either is another request."""
+    scopes = F.array_sort(F.array(F.lit("repository:r"), F.concat(F.lit("branch:b"), (F.col("query_id") % 3).cast("string"))))
+    scope = F.sha2(plain.canonical_json(F.to_json(scopes)), 256)
+    body = F.to_json(F.struct(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"), F.lit(2000).alias("budget"), scope.alias("scope")))
+    return t.asks.select("query_id", F.sha2(plain.canonical_json(body), 256).alias("fingerprint"))

@@ -65,12 +65,6 @@ def s8(t: Store) -> DataFrame:
     return t.memories.select("memory_id").join(t.vectors.select("memory_id"), "memory_id", "left_anti")
 
 
-@query("S9_export_manifest", "select 'memories' as kind, count(*) as rows, sum(length(content))::bigint as chars from memories union all select 'claims', count(*), sum(length(object_value))::bigint from claims union all select 'sources', count(*), sum(length(source_ref))::bigint from sources")
-def s9(t: Store) -> DataFrame:
-    size = lambda kind, df, c: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.length(c)).alias("chars"))
-    return size("memories", t.memories, "content").union(size("claims", t.claims, "object_value")).union(size("sources", t.sources, "source_ref"))
-
-
 @query("S11_row_validation", """select * from (select 'confidence_bounds' as rule, count(*) filter (confidence < 0.55 or confidence > 1) as violations from claims union all
     select 'interval', count(*) filter (not (valid_to is null or valid_from < valid_to)) from claims union all select 'polarity', count(*) filter (polarity not in ('positive', 'negative')) from claims)""")
 def s11(t: Store) -> DataFrame:
@@ -180,12 +174,6 @@ def p16(t: Store) -> DataFrame:
     return health.due(t.memories, at())
 
 
-@query("P18_calibration_guards", "select memory_id from memories where length(title) >= 12 and regexp_extract(lower(title), '^[a-z]+', 0) not in ('the', 'and', 'of', '') and created_at <= timestamp '2024-02-01'")
-def p18(t: Store) -> DataFrame:
-    first = F.regexp_extract(F.lower("title"), "^[a-z]+", 0)
-    return t.memories.where((F.length("title") >= 12) & ~first.isin("the", "and", "of", "") & (F.col("created_at") <= known())).select("memory_id")
-
-
 @query("J2_claims_evidence_anchors", "select c.memory_id, count(*) as n, min(a.path) as first_path from claims c join claim_evidence e using (claim_id) join anchors a using (anchor_id) where a.freshness_state = 'fresh' group by c.memory_id")
 def j2(t: Store) -> DataFrame:
     fresh = t.anchors.where("freshness_state = 'fresh'").select("anchor_id", "path")
@@ -231,14 +219,6 @@ def j14(t: Store) -> DataFrame:
     return side("baseline").join(side("treatment"), ["task_id", "cache_phase"]).select("task_id", "baseline_run", "treatment_run")
 
 
-@query("J17_preference_pairs", "select a.query_id, count(*) as pairs from judged a join judged b on a.query_id = b.query_id where a.quality > b.quality group by a.query_id")
-def j17(t: Store) -> DataFrame:
-    # Better times worse rows of a query: counted by relevance, without making the pairs.
-    counts = t.judged.groupBy("query_id", "quality").agg(F.count("*").alias("n"))
-    worse = counts.select("query_id", F.col("quality").alias("low"), F.col("n").alias("m"))
-    return counts.join(worse, "query_id").where("quality > low").groupBy("query_id").agg(F.sum(F.col("n") * F.col("m")).cast("long").alias("pairs"))
-
-
 @query("J18_semantic_key", "select key_text, count(*) as n, min(memory_id) as first_id from (select memory_id, trim(regexp_replace(lower(coalesce(memory_key, subject, title)), '\\s+', ' ', 'g')) as key_text from memories) group by key_text having count(*) > 1")
 def j18(t: Store) -> DataFrame:
     keyed = t.memories.select("memory_id", text.semantic_key(F.coalesce("memory_key", "subject", "title")).alias("key_text"))
@@ -301,13 +281,6 @@ def k9(t: Store) -> DataFrame:
     return t.memories.where(F.lower("content").contains("er")).orderBy(F.desc("importance"), F.desc("confidence"), F.desc("created_at"), "memory_id").limit(40).select("memory_id")
 
 
-@query("U2_snapshot_delta", "select coalesce(a.memory_id, b.memory_id) as memory_id, case when a.memory_id is null then 'added' when b.memory_id is null then 'removed' when a.d <> b.d then 'changed' else 'kept' end as change from (select memory_id, sha256(title) as d from memories where memory_id % 4 <> 0) a full join (select memory_id, sha256(case when memory_id % 6 = 1 then upper(title) else title end) as d from memories where memory_id % 5 <> 0) b on a.memory_id = b.memory_id")
-def u2(t: Store) -> DataFrame:
-    old = t.memories.where("memory_id % 4 <> 0").select("memory_id", F.sha2("title", 256).alias("digest"))
-    new = t.memories.where("memory_id % 5 <> 0").select("memory_id", F.sha2(F.when(F.col("memory_id") % 6 == 1, F.upper("title")).otherwise(F.col("title")), 256).alias("digest"))
-    return context.delta(old, new, "memory_id", "digest")
-
-
 @query("U5_holdout_disjoint", "select count(*) as shared from (select memory_id from judged where query_id < 10 intersect select memory_id from judged where query_id >= 10)")
 def u5(t: Store) -> DataFrame:
     ids = lambda c: t.judged.where(c).select("memory_id")
@@ -397,3 +370,42 @@ def w8(t: Store) -> DataFrame:
 def p17(t: Store) -> DataFrame:
     rows = t.claim_versions.where("stale_state <> 'stale' and transaction_to is null").where(intervals.holds_at(F.col("valid_from"), F.col("valid_to"), intervals.moment("2001-07-20 00:00:00")))
     return rows.select("claim_id", F.col("version_number").cast("long").alias("version_number"))
+
+
+@query("J17_preference_pairs", """with better as (select query_id, memory_id, quality from judged where quality = 1), worse as (select query_id, memory_id, row_number() over (partition by query_id order by memory_id) - 1 as place, count(*) over (partition by query_id) as n from judged where quality = 0)
+    select b.query_id, b.memory_id as better_id, w.memory_id as worse_id, w.n as choices from better b join worse w on w.query_id = b.query_id and w.place = ('0x' || substr(sha256('pair:' || b.memory_id), 1, 8))::bigint % w.n""")
+def j17(t: Store) -> DataFrame:
+    """Every better row with one worse row of its query, by a stable number: as many pairs as better rows, never all."""
+    worse = t.judged.where("quality = 0").select("query_id", F.col("memory_id").alias("worse_id"), (F.row_number().over(Window.partitionBy("query_id").orderBy("memory_id")) - 1).alias("place"))
+    sizes = worse.groupBy("query_id").agg(F.count("*").alias("choices"))
+    number = F.conv(F.substring(F.sha2(F.concat(F.lit("pair:"), F.col("better_id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    better = t.judged.where("quality = 1").select("query_id", F.col("memory_id").alias("better_id")).join(sizes, "query_id").withColumn("place", number % F.col("choices"))
+    return better.join(worse, ["query_id", "place"]).select("query_id", "better_id", "worse_id", "choices")
+
+
+@query("U2_snapshot_delta", """with d as (select coalesce(a.memory_id, b.memory_id) as memory_id, case when a.memory_id is null then 'added' when b.memory_id is null then 'removed' when a.d <> b.d then 'changed' else 'kept' end as change from (select memory_id, sha256(title) as d from memories where memory_id % 4 <> 0) a full join (select memory_id, sha256(case when memory_id % 6 = 1 then upper(title) else title end) as d from memories where memory_id % 5 <> 0) b on a.memory_id = b.memory_id),
+    safe as (select distinct memory_id // 5 as bundle from d join memories using (memory_id) where category = 'constraint' and change <> 'kept') select memory_id, change, change in ('added', 'changed') or (change = 'kept' and memory_id // 5 in (select bundle from safe)) as sent from d""")
+def u2(t: Store) -> DataFrame:
+    """What changed between two snapshots; a bundle with a changed constraint is sent whole."""
+    old = t.memories.where("memory_id % 4 <> 0").select("memory_id", F.sha2("title", 256).alias("digest"))
+    new = t.memories.where("memory_id % 5 <> 0").select("memory_id", F.sha2(F.when(F.col("memory_id") % 6 == 1, F.upper("title")).otherwise(F.col("title")), 256).alias("digest"))
+    changes = context.delta(old, new, "memory_id", "digest")
+    bundles = t.memories.select("memory_id", F.floor(F.col("memory_id") / 5).alias("bundle"), (F.col("category") == "constraint").alias("safety"))
+    return context.expanded(changes, bundles, "memory_id")
+
+
+@query("P18_calibration_guards", "select memory_id, case when created_at > timestamp '2024-02-01' then 'future' when scope_type = 'user' and scope_key <> 'en' then 'cross_scope' when length(title) < 12 or regexp_extract(lower(title), '^[a-z]+', 0) in ('the', 'and', 'of', '') then 'unusable_subject' end as refused from memories")
+def p18(t: Store) -> DataFrame:
+    """The first guard that refuses a memory as a case: from the future, from another scope, or with a subject that says nothing."""
+    first = F.regexp_extract(F.lower("title"), "^[a-z]+", 0)
+    refused = F.when(F.col("created_at") > known(), "future").when((F.col("scope_type") == "user") & (F.col("scope_key") != "en"), "cross_scope").when((F.length("title") < 12) | first.isin("the", "and", "of", ""), "unusable_subject")
+    return t.memories.select("memory_id", refused.alias("refused"))
+
+
+@query("S9_export_manifest", """with lines as (select 'memory' as kind, '{"memory_id":' || memory_id || ',"status":"' || status || '"}' as line from memories union all select 'claim', '{"claim_id":' || claim_id || ',"status":"' || status || '"}' from claims union all select 'source', '{"source_id":' || source_id || ',"source_ref":"' || source_ref || '"}' from sources)
+    select kind, count(*) as rows, sum(octet_length(encode(line)))::bigint as bytes, bit_xor(('0x' || substr(sha256(line), 1, 15))::bigint) as digest from lines group by kind""")
+def s9(t: Store) -> DataFrame:
+    """A manifest of JSON lines: rows, bytes and a digest of each kind that doesn't depend on the order of lines."""
+    from factloom.sources.tables import manifest
+
+    return manifest({"memory": t.memories.select("memory_id", "status"), "claim": t.claims.select("claim_id", "status"), "source": t.sources.select("source_id", "source_ref")})

@@ -196,12 +196,6 @@ def r14(t: Store) -> DataFrame:
     return retrieval.reranked(rows, (F.col("memory_id") % 10) / 10).select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"))
 
 
-@query("R15_mmr")
-def r15(t: Store) -> DataFrame:
-    rows = governed(t).withColumn("tokens", text.tokens(F.concat_ws(" ", "title", "content")))
-    return retrieval.diversified(rows, 8).withColumn("mmr_score", F.round("mmr_score", 6))
-
-
 @query("R16_channel_telemetry", f"""with {BM25}, {COSINE}, {FUSED}, slots as (select query_id, query, channel from asks, (select unnest({CHANNELS}) as channel)), found as (select query_id, channel, count(*) as eligible from every group by query_id, channel)
     select s.query_id, s.channel, coalesce(eligible, 0) as eligible, case when s.query_id % 10 = 0 and s.channel not in ('fts', 'vector') then 'not_requested' when s.channel = 'source_anchor' and s.query_id not in (select query_id from named) or s.channel = 'graph' and s.query_id not in (select query_id from topics) then 'not_applicable'
     when s.channel = 'vector' and s.query_id not in (select memory_id from vectors) then 'unavailable' when s.channel = 'vector' and s.query_id % 7 = 0 then 'provider_fallback' when coalesce(eligible, 0) = 0 then 'executed_empty' else 'executed' end as status
@@ -237,12 +231,6 @@ def r19(t: Store) -> DataFrame:
     return shared.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("share"), F.desc("importance"), "memory_id"))).where("n <= 5").select("query_id", "memory_id", F.round("share", 6).alias("share"))
 
 
-@query("M17_redundancy")
-def m17(t: Store) -> DataFrame:
-    rows = lexical(t, 10).join(t.memories.select("memory_id", "content"), "memory_id").withColumn("tokens", F.array_distinct(text.tokens(F.col("content"))))
-    return retrieval.redundancy(rows).withColumn("redundancy", F.round("redundancy", 6))
-
-
 def candidates(t: Store) -> DataFrame:
     best = retrieval.best(governed(t).withColumn("score", F.round("final_score", 9)), 30)
     counts = retrieval.evidence_counts(t.claims, t.claim_evidence)
@@ -272,3 +260,18 @@ def x10(t: Store) -> DataFrame:
 def x12(t: Store) -> DataFrame:
     rows = t.memories.select("memory_id", (F.col("created_at") + F.make_dt_interval(F.lit(30))).alias("expires_at"), F.col("scope_type").alias("scope"), F.col("scope_key").alias("tokenizer"), F.lit("p").alias("policy"))
     return context.snapshot_state(rows, at(), "task", "en", "p").select("memory_id", "fallback_reason")
+
+
+@query("R15_mmr")
+def r15(t: Store) -> DataFrame:
+    """Contents are read, cut into words and hashed once for each memory that any query found."""
+    rows = governed(t).select("query_id", "memory_id", "final_score")
+    found = t.memories.join(rows.select("memory_id").distinct(), "memory_id", "left_semi")
+    words = F.array_distinct(F.transform(text.tokens(F.concat_ws(" ", "title", "content")), lambda w: F.xxhash64(w)))
+    return retrieval.diversified(rows.join(found.select("memory_id", words.alias("tokens")), "memory_id"), 8).withColumn("mmr_score", F.round("mmr_score", 6))
+
+
+@query("M17_redundancy", f"with {BM25}, picked as (select query_id, f.memory_id, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}\\p{{M}}_.]+')) as w from fts f join memories m on m.memory_id = f.memory_id where rank <= 10), pairs as (select a.query_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8 as near from picked a join picked b on a.query_id = b.query_id and a.memory_id < b.memory_id) select query_id, count(*) as pairs, count(*) filter (near) as near_pairs, round(avg(near::int), 6) as redundancy from pairs group by query_id")
+def m17(t: Store) -> DataFrame:
+    rows = lexical(t, 10).join(t.memories.select("memory_id", "content"), "memory_id").withColumn("tokens", F.array_distinct(text.tokens(F.col("content"))))
+    return retrieval.redundancy(rows).withColumn("redundancy", F.round("redundancy", 6))

@@ -58,12 +58,6 @@ def f10(t: Store) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(lines, 1)), "id int, line string").select("id", text.sentence_category(F.col("line")).alias("category"))
 
 
-@query("C2_evidence_spans", "select memory_id, substr(content, 11, 20) = quote as exact from (select memory_id, content, case when memory_id % 4 = 0 then 'x' || substr(content, 12, 19) else substr(content, 11, 20) end as quote from memories)")
-def c2(t: Store) -> DataFrame:
-    quote = F.when(F.col("memory_id") % 4 == 0, F.concat(F.lit("x"), F.substring("content", 12, 19))).otherwise(F.substring("content", 11, 20))
-    return t.memories.select("memory_id", (F.substring("content", 11, 20) == quote).alias("exact"))
-
-
 @query("F6_url_parts", "select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) as host, regexp_replace(regexp_replace(url, '^([a-zA-Z]+://)[^/@]*@', '\\1'), '[?#].*$', '') as clean from (select page_id, case when page_id % 3 = 0 then replace(url, '://', '://user:secret@') || '?token=1#x' else url end as url from pages)")
 def f6(t: Store) -> DataFrame:
     """Host, and the address without user, password, query and fragment."""

@@ -66,3 +66,21 @@ def restore(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) ->
             raise ValueError(f"{name}: the backup has another schema")
         out[name] = rows
     return out
+
+
+def manifest(kinds: dict[str, DataFrame]) -> DataFrame:
+    """(kind, rows, bytes, digest) of each kind's rows as JSON lines. The digest is the same in whatever order the lines come."""
+    out = None
+    for kind, rows in kinds.items():
+        line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        number = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
+        part = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.octet_length(line)).alias("bytes"), F.bit_xor(number).alias("digest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def complete_lines(lines: DataFrame, file: str, place: str, value: str = "value") -> DataFrame:
+    """Lines of JSON without an incomplete last line of a file; a broken line elsewhere is an error when it is read."""
+    last = lines.groupBy(file).agg(F.max(place).alias("last_place"))
+    broken = F.try_parse_json(value).isNull()
+    return lines.join(last, file).where(~((F.col(place) == F.col("last_place")) & broken)).drop("last_place")
