@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    """Sees to a checkpoint folder: the one that the session names. Only a session on one machine that names none gets its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="factloom-")
+        spark.sparkContext.setCheckpointDir(named)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
