@@ -76,9 +76,8 @@ def survive(left: np.ndarray, right: np.ndarray, percent: int, miss: float = MIS
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, number: int) -> DataFrame:
     """doc_id, text_key (a hash of the text, as rows of one id may differ), n (shingles), node (digest of the set; null if empty) and signature."""
-    number = BANDS * WIDE
 
     def run(frames):
         for frame in parts(frames):
@@ -215,24 +214,24 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return by_text(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def by_text(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def by_text(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, wide: int = WIDE) -> DataFrame:
     """As `groups`, with text_key (xxhash64 of the text), and least: whether no row of the group has a smaller (doc_id, text_key).
 
-    Each group whose rows have ids so has a least text, though its id may have others. Rows without an id are never least
+    Signatures have so many bands of so many hash functions each. Each group whose rows have ids so has a least text, though its id may have others. Rows without an id are never least
     among rows with one; texts without a word are least of their own.
     """
     tune(docs.sparkSession)
     with Scratch(docs.sparkSession) as held:
-        made = held.stored(_sets(docs, size), "sets")
+        made = held.stored(_sets(docs, size, bands * wide), "sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n", "signature")).alias("first")
         known = held.stored(made.where("node is not null").groupBy("node").agg(first).select("node", "first.*"), "nodes")
         # Bands: two nodes of sizes below percent of each other can't be similar.
-        width = 2 * WIDE
-        bands = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(BANDS)])).alias("key"))
+        width = 2 * wide
+        banded = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(bands)])).alias("key"))
         near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-        heads = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
+        heads = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
         fits = near(F.col("n"), F.col("head.n"))
-        met = bands.join(heads, "key").where(F.col("node") != F.col("head.node")).where(fits | (F.col("members") > 2))
+        met = banded.join(heads, "key").where(F.col("node") != F.col("head.node")).where(fits | (F.col("members") > 2))
         star = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max(F.col("members") > 2).alias("more"), F.max(fits).alias("fits"))
         star = held.stored(star, "pairs")
         close = held.stored(_kept_by_signature(star.where("fits"), known, percent), "close")

@@ -1,15 +1,19 @@
 """MinHash fingerprints of documents.
 
 A fingerprint is the MinHash signature of a text's five-word shingles under PERMUTATIONS universal hash functions; the share of
-equal entries estimates the Jaccard similarity of the shingle sets. `near_pairs` joins bands of signatures in Spark and verifies
-the Jaccard similarity on the full sets. `edited` also fingerprints each text with its second half taken from its successor.
+equal entries estimates the Jaccard similarity of the shingle sets. Bands of signatures are joined in Spark, and the Jaccard
+similarity of those that meet is verified on the full sets: near_class is the smallest doc_id that such links reach. Texts of
+equal sets are one node, and nodes that meet one head are compared with each other too, as near-duplicate groups are (op3). A
+pair at the threshold itself shares no band with a probability of (1 - 0.8**5)**25, about 5e-5. `edited` also fingerprints each
+text with its second half taken from its successor.
 
 Successors are found without a global sort in one task: documents are dealt in ranges of doc_id, and the first document of every
-range is also sent to the range before it.
+range is also sent to the range before it. A document's class travels to the same range as a row of its own, right before it.
 
 Defined results: a null text counts as empty; all texts without a word share one fingerprint, and likeness is the share of equal
-entries, so it is 1 between them; rows of one doc_id follow one another in order of their texts, and null ids come last; a single
-document is its own successor; an empty table gives an empty result; other columns are ignored.
+entries, so it is 1 between them, though they are linked with nothing and are classes of their own; rows of one doc_id follow
+one another in order of a hash of their texts, and null ids come last (their near_class is null unless linked with others); a
+single document is its own successor; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, partitions, stored, tune
-from factloom.llm.shingles import distinct_shingles, shingle_hashes, signatures
+from factloom.llm.common import Marks, documents, partitions, tune
+from factloom.llm.op3_near_dedup import by_text
+from factloom.llm.shingles import shingle_hashes, signatures
 
 SHINGLE, PERMUTATIONS = 5, 128
-BANDS = 16
-SIMILAR = 0.8
+#: Bands and hash functions in each, and the percentage of Jaccard similarity from which texts are linked.
+BANDS, WIDE = 25, 5
+SIMILAR = 80
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 3
 WINDOW_CHARS = 500_000
@@ -41,29 +47,45 @@ def _hex(signature: np.ndarray) -> list[str]:
     return [spelled[i : i + width] for i in range(0, len(spelled), width)]
 
 
-def _windows(frames):
+def _classed(frames):
+    """The rows with a text as doc_id, halo, text, near_class: the class is that of the row without a text before."""
+    near = None
+    for frame in frames:
+        classes = frame.near_class.astype(object).where(frame.near_class.notna(), None)
+        for doc, halo, text, found in zip(frame.doc_id, frame.halo, frame.text, classes, strict=True):
+            if text is None:
+                near = found
+            else:
+                yield doc, halo, text, near
+
+
+def _windows(rows):
     """Rows in order, in groups of about WINDOW_CHARS code points, each with the first row of the next at its end."""
     held: list[tuple] = []
     chars = 0
-    for frame in frames:
-        for row in frame.itertuples(index=False, name=None):
-            held.append(row)
-            chars += len(row[2])
-            if chars > WINDOW_CHARS and len(held) > 1:
-                yield held
-                held, chars = [row], len(row[2])
+    for row in rows:
+        held.append(row)
+        chars += len(row[2])
+        if chars > WINDOW_CHARS and len(held) > 1:
+            yield held
+            held, chars = [row], len(row[2])
     if len(held) > 1:
         yield held
 
 
+def near_classes(docs: DataFrame, percent: int = SIMILAR, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text) and near_class of every row: bands joined, similarities verified."""
+    return by_text(docs, size, percent, BANDS, WIDE).select("doc_id", "text_key", F.col("component_id").alias("near_class"))
+
+
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, digest of the edited text, both fingerprints, and likeness to the edited text and to the successor."""
+    """doc_id, n_chars, digest of the edited text, both fingerprints, likeness to the edited text and to the successor, near_class."""
     spark = docs.sparkSession
     tune(spark)
-    rows = documents(docs)
     low = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(low))
-    ids = rows.select(key.alias("key"))
+    rows = documents(docs).select(key.alias("key"), "doc_id", Marks.key().alias("text_key"), "text")
+    ids = rows.select("key")
     ranges = RANGES * partitions(spark)
     # As many bounds as there are ranges, whatever the input.
     bounds = np.unique(np.array(ids.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) or [0.0]))
@@ -78,20 +100,23 @@ def edited(docs: DataFrame) -> DataFrame:
     before = {order[i]: order[i - 1] for i in range(len(order))}
     first = spark.createDataFrame([(h, before[r]) for r, h in heads.items()], "head long, to_range int")
     own, halo = (F.struct(F.lit(again).alias("halo"), F.col(column).alias("range")) for again, column in ((False, "range"), (True, "to_range")))
-    dealt = (
-        rows.withColumn("key", key)
-        .withColumn("range", placed("key"))
+    whole = (
+        rows.withColumn("range", placed("key"))
         .join(F.broadcast(first), F.col("key") == F.col("head"), "left")
         .withColumn("to", F.when(F.col("to_range").isNull(), F.array(own)).otherwise(F.array(own, halo)))
-        .select("doc_id", "text", "key", F.inline("to"))
+        .select("doc_id", "text", "key", "text_key", F.lit(None).cast("long").alias("near_class"), F.inline("to"))
+    )
+    classes = near_classes(docs).select("doc_id", F.lit(None).cast("string").alias("text"), key.alias("key"), "text_key", "near_class", F.lit(False).alias("halo"))
+    dealt = (
+        whole.unionByName(classes.withColumn("range", placed("key")))
         .repartition(partitions(spark), "range")
-        .sortWithinPartitions("range", "halo", F.desc("key"), "text")
-        .select("doc_id", "halo", "text")
+        .sortWithinPartitions("range", "halo", F.desc("key"), "text_key", F.asc_nulls_first("text"))
+        .select("doc_id", "halo", "text", "near_class")
     )
 
     def run(frames):
-        for window in _windows(frames):
-            ids, halo, texts = zip(*window, strict=True)
+        for window in _windows(_classed(frames)):
+            ids, halo, texts, near = zip(*window, strict=True)
             made = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:], strict=False)]
             own, new = fingerprints(list(texts)), fingerprints(made)
             out = pd.DataFrame({
@@ -102,30 +127,8 @@ def edited(docs: DataFrame) -> DataFrame:
                 "edited_fingerprint": _hex(new),
                 "near_edited": (own[:-1] == new).mean(axis=1),
                 "near_next": (own[:-1] == own[1:]).mean(axis=1),
+                "near_class": pd.array(near[:-1], dtype="Int64"),
             })
             yield out[~np.array(halo[:-1])]
 
-    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def near_pairs(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, number: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """Links between documents of which bands agree, verified on the full sets: doc_id, to_id (the smaller), jaccard.
-
-    Equal sets are one class; each class is linked with the least class of each bucket, never all pairs of a bucket.
-    """
-    wide = number // bands
-
-    def run(frames):
-        for frame in frames:
-            hashes, at = distinct_shingles(frame.text.tolist(), size)
-            signature = signatures(hashes, at, number)
-            yield pd.DataFrame({"doc_id": frame.doc_id, "shingles": np.split(hashes.view(np.int64), at[1:-1]), "signature": [s.tobytes() for s in signature]})
-
-    tune(docs.sparkSession)
-    made = stored(documents(docs).where("doc_id is not null").mapInPandas(run, "doc_id long, shingles array<long>, signature binary").where(F.size("shingles") > 0), "fingerprints")
-    buckets = made.select("doc_id", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 2 * wide * b + 1, 2 * wide)) for b in range(bands)])).alias("band", "key"))
-    heads = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("to_id"), F.count("*").alias("n")).where("n > 1")
-    links = buckets.join(heads, ["band", "key"]).where("doc_id <> to_id").select("doc_id", "to_id").distinct()
-    left, right = made.select("doc_id", "shingles"), made.select(F.col("doc_id").alias("to_id"), F.col("shingles").alias("others"))
-    both = F.size(F.array_intersect("shingles", "others"))
-    return links.join(left, "doc_id").join(right, "to_id").select("doc_id", "to_id", (both / (F.size("shingles") + F.size("others") - both)).alias("jaccard")).where(F.col("jaccard") >= similar)
+    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long")

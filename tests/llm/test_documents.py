@@ -233,8 +233,15 @@ def test_fingerprints(spark):
     by = {r["doc_id"]: r["fingerprint"] for r in out}
     assert by[1] == by[7] and by[10] == by[13] != by[16]
     assert op8_fingerprint.edited(cases.frame(spark, [])).count() == 0
-    pairs = {(r["doc_id"], r["to_id"]): r["jaccard"] for r in op8_fingerprint.near_pairs(docs).collect()}
-    assert pairs[(4, 1)] == len(shingles(cases.rows()[0][1], 5) & shingles(cases.rows()[1][1], 5)) / len(shingles(cases.rows()[0][1], 5) | shingles(cases.rows()[1][1], 5)) and pairs[(7, 1)] == 1.0
+    wanted = components_of({i: shingles(t or "", 5) for i, t, *_ in cases.rows() if i is not None})
+    assert wanted[7] == wanted[4] == 1 and all(r["near_class"] == wanted.get(r["doc_id"]) for r in out)
+
+
+def test_every_document_finds_its_class_in_its_range(spark):
+    base = [cases.words(seed, 60) for seed in range(40)]
+    given = [(k, " ".join(base[k % 40][: 60 - k // 40])) for k in range(200)]
+    out = {r["doc_id"]: r["near_class"] for r in op8_fingerprint.edited(cases.texts(spark, given)).collect()}
+    assert out == components_of({k: shingles(t, 5) for k, t in given})
 
 
 def test_cross_entropy_difference_equals_brute_force(spark):
