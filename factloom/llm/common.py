@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,12 @@ def clear(spark: SparkSession) -> int:
     return made
 
 
+def swept(spark: SparkSession) -> None:
+    """Frees the disk of finished steps: Spark keeps their shuffle files until the driver has collected the plans that wrote them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Stored tables that go at the end of a with block, or before by `drop`; nothing returned may read them."""
 
@@ -98,6 +105,7 @@ class Scratch:
         for _, path in self.paths.values():
             _deleted(self.spark, path)
         self.paths = {}
+        swept(self.spark)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:

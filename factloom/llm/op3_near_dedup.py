@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Marks, Scratch, documents, mixed, parts, ragged, salted_left_join, stored, tune
+from factloom.llm.common import Marks, Scratch, documents, mixed, parts, ragged, salted_left_join, stored, swept, tune
 from factloom.llm.components import components
 from factloom.llm.shingles import distinct_shingles, signatures
 
@@ -234,10 +234,12 @@ def by_text(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BAND
         met = banded.join(heads, "key").where(F.col("node") != F.col("head.node")).where(fits | (F.col("members") > 2))
         star = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.max(F.col("members") > 2).alias("more"), F.max(fits).alias("fits"))
         star = held.stored(star, "pairs")
+        swept(docs.sparkSession)
         close = held.stored(_kept_by_signature(star.where("fits"), known, percent), "close")
         ends = star.where("more").select("a", "b").union(close.select("a", "b"))
         sets = held.stored(_full_sets(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct(), known, docs, size), "sets")
         links = held.stored(_confirmed(close, sets, percent), "links")
+        swept(docs.sparkSession)
         roots = components(links)
         more = held.stored(_around_heads(star.where("more"), links, roots, sets, known, percent), "links")
         if not more.isEmpty():
