@@ -8,7 +8,8 @@ pair at the threshold itself shares no band with a probability of (1 - 0.8**5)**
 text with its second half taken from its successor.
 
 Successors are found without a global sort in one task: documents are dealt in ranges of doc_id, and the first document of every
-range is also sent to the range before it. A document's class travels to the same range as a row of its own, right before it.
+range is also sent to the range before it. Texts travel deflated, as they are most of what this moves. A document's class
+travels to the same range as a row of its own, right before it.
 
 Defined results: a null text counts as empty; all texts without a word share one fingerprint, and likeness is the share of equal
 entries, so it is 1 between them, though they are linked with nothing and are classes of their own; rows of one doc_id follow
@@ -19,11 +20,13 @@ single document is its own successor; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from factloom.llm.common import Marks, documents, partitions, tune
 from factloom.llm.op3_near_dedup import by_text
@@ -52,11 +55,11 @@ def _classed(frames):
     near = None
     for frame in frames:
         classes = frame.near_class.astype(object).where(frame.near_class.notna(), None)
-        for doc, halo, text, found in zip(frame.doc_id, frame.halo, frame.text, classes, strict=True):
-            if text is None:
+        for doc, halo, packed, found in zip(frame.doc_id, frame.halo, frame.packed, classes, strict=True):
+            if packed is None:
                 near = found
             else:
-                yield doc, halo, text, near
+                yield doc, halo, zlib.decompress(packed).decode("utf-8", "surrogatepass"), near
 
 
 def _windows(rows):
@@ -73,6 +76,11 @@ def _windows(rows):
         yield held
 
 
+@F.pandas_udf(BinaryType())
+def _deflated(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: zlib.compress(t.encode("utf-8", "surrogatepass"), 1))
+
+
 def near_classes(docs: DataFrame, percent: int = SIMILAR, size: int = SHINGLE) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and near_class of every row: bands joined, similarities verified."""
     return by_text(docs, size, percent, BANDS, WIDE).select("doc_id", "text_key", F.col("component_id").alias("near_class"))
@@ -104,14 +112,14 @@ def edited(docs: DataFrame) -> DataFrame:
         rows.withColumn("range", placed("key"))
         .join(F.broadcast(first), F.col("key") == F.col("head"), "left")
         .withColumn("to", F.when(F.col("to_range").isNull(), F.array(own)).otherwise(F.array(own, halo)))
-        .select("doc_id", "text", "key", "text_key", F.lit(None).cast("long").alias("near_class"), F.inline("to"))
+        .select("doc_id", _deflated("text").alias("packed"), "key", "text_key", F.lit(None).cast("long").alias("near_class"), F.inline("to"))
     )
-    classes = near_classes(docs).select("doc_id", F.lit(None).cast("string").alias("text"), key.alias("key"), "text_key", "near_class", F.lit(False).alias("halo"))
+    classes = near_classes(docs).select("doc_id", F.lit(None).cast("binary").alias("packed"), key.alias("key"), "text_key", "near_class", F.lit(False).alias("halo"))
     dealt = (
         whole.unionByName(classes.withColumn("range", placed("key")))
         .repartition(partitions(spark), "range")
-        .sortWithinPartitions("range", "halo", F.desc("key"), "text_key", F.asc_nulls_first("text"))
-        .select("doc_id", "halo", "text", "near_class")
+        .sortWithinPartitions("range", "halo", F.desc("key"), "text_key", F.asc_nulls_first("packed"))
+        .select("doc_id", "halo", "packed", "near_class")
     )
 
     def run(frames):
