@@ -158,7 +158,7 @@ class Marks:
         bit = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(MARK_BITS)).alias("bit"))
         pages = bit.groupBy((F.col("bit") / 32768).cast("long").alias("page")).agg(F.expr("bitmap_construct_agg(cast(bit % 32768 as int))").alias("bits"))
         held = np.zeros(MARK_BITS // 8, np.uint8)
-        for row in pages.toLocalIterator():  # at most MARK_BITS / 8 bytes, whatever the input
+        for row in pages.collect():  # at most MARK_BITS / 8 bytes, whatever the input
             held[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(row["bits"], np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(held)
 
