@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op5_bpe, op6_lm_score, op7_topk, op8_fingerprint, op9_quality, op10_language
+from factloom.llm import op1_substring_dedup, op2_pii, op3_near_dedup, op4_packing, op5_bpe, op6_lm_score, op7_topk, op8_fingerprint, op9_quality, op10_language, op11_whitening, op12_filter_audit, op13_chat_format
 from factloom.llm.common import table
 
 def vocabulary(name: str) -> str:
@@ -64,6 +64,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.cross_entropy", "language.accepted")
 
 
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_bitmap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_grammar_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return op13_chat_format.digests(chats.unionByName(op13_chat_format.hostile(spark)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
@@ -120,7 +133,65 @@ select s.doc_id, cast(s.n as bigint) as n_shingles, coalesce(r.root, s.doc_id) a
 from sized s left join nodes k on k.content = s.content and s.n > 0 left join roots r on r.node = k.node
 """
 
+#: The 120 orders are all permutations; a step's counts come from the rows' failures, bit by bit.
+AUDIT_SQL = r"""
+with recursive texts as (
+  select cast(doc_id as bigint) as doc_id, coalesce(text, '') as text, coalesce(source, '') as part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') as words
+  from documents
+), firsts as (
+  select text, min(doc_id) as first from texts group by text
+), marks as (
+  select cast(doc_id as bigint) as doc_id, coalesce(max(cast(quality = 1 as int)), 0) as good, coalesce(max(cast(toxic = 1 as int)), 0) as toxic from labels where doc_id is not null group by 1
+), rows as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    cast(len(words) < 50 as int) + 2 * cast(100 * len(list_distinct(words)) < 65 * len(words) as int)
+    + 4 * cast(100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 5 * length(t.text) as int)
+    + 8 * cast(regexp_matches(t.text, '[#$%&*|]') as int) + 16 * cast(coalesce(t.doc_id > first, false) as int) as fails
+  from texts t left join firsts using (text) left join marks m on m.doc_id = t.doc_id
+), seen as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from rows group by 1, 2
+), filters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as letter, unnest([1, 2, 4, 8, 16]) as bit
+), orders as (
+  select letter as filter_order, bit as used, 1 as step, 0 as prefix, bit from filters
+  union all
+  select o.filter_order || f.letter, o.used + f.bit, o.step + 1, o.used, f.bit from orders o join filters f on o.used & f.bit = 0
+), steps as (
+  select w.filter_order, o.step, o.prefix, o.bit from orders w join orders o on starts_with(w.filter_order, o.filter_order) where w.step = 5
+), counted as (
+  select part, filter_order, step, bit,
+    sum(case when fails & (prefix | bit) = 0 then n else 0 end) as kept,
+    sum(case when fails & bit > 0 and fails & prefix = 0 then n else 0 end) as removed,
+    sum(case when fails & bit > 0 and fails & prefix > 0 then n else 0 end) as redundant,
+    sum(case when fails = bit then n else 0 end) as unique_fails,
+    sum(case when fails & bit > 0 and fails & prefix = 0 then good else 0 end) as good_lost,
+    sum(case when fails & bit > 0 and fails & prefix = 0 then toxic else 0 end) as toxic_lost
+  from seen cross join steps group by 1, 2, 3, 4
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from counted
+"""
+
+CHAT_SQL = r"""
+with turns as (
+  select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, i, case i when 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) r(i)
+), written as (
+  select *, replace(regexp_replace(role, '<(\\*)\|(im_start|im_end|nl)\|>', '<\\\1|\2|>', 'g'), chr(10), '<|nl|>') as head,
+    case when regexp_matches(text, '<\|(im_start|im_end)\|>|<\\+\|(im_start|im_end|nl)\|>') then regexp_replace(text, '<(\\*)\|(im_start|im_end|nl)\|>', '<\\\1|\2|>', 'g') else text end as body
+  from turns
+), chats as (
+  select conv_id, cast(count(*) as bigint) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    cast(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) as bigint) as formatted_chars
+  from written group by conv_id
+)
+select conv_id, n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from chats
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the other operators are tested against brute force or held-out accuracy."""
-    return {"op3_bayes_minhash_dedup": GROUPS_SQL, "op7_mtree_topk": TOP_K_SQL}
+    return {"op3_bayes_minhash_dedup": GROUPS_SQL, "op7_mtree_topk": TOP_K_SQL, "op12_filter_bitmap_audit": AUDIT_SQL, "op13_grammar_chat_format": CHAT_SQL}
