@@ -5,7 +5,8 @@ Texts become token ids, and only texts beyond the capacity are cut. What is pack
 the first incumbent. Branch and bound then looks for one sequence less: around the largest length left it enumerates
 undominated fillings, least waste first, applies one as often as the counts allow or once, and prunes when the waste so far
 exceeds what one sequence less leaves. A search that ends without a packing goes on with more fillings at each node. It ends
-at the lower bound (of all partial sums of large lengths), or after NODES nodes with the incumbent: that is its only limit.
+at the lower bound, or after WORK steps with the incumbent: that is its only limit, whatever the lengths and their counts.
+Fillings are lengths with counts, so that a thousand equal pieces are one choice.
 
 Each piece then finds its place by its rank among the pieces of its length: ranks come from counts by task, without a
 shuffle of a length to one task.
@@ -17,8 +18,9 @@ and repeated ids keep all their pieces; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -34,11 +36,20 @@ CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
-#: Nodes of the search for one packing less; fillings of a node and steps to find them in the first search (later ones have more).
-NODES, FILLINGS, STEPS = 20_000, 4, 400
+#: Steps of all searches for one packing less: states of fillings, tests of dominance, nodes. Less than twenty seconds of one core.
+WORK = 2_000_000
+#: Fillings of a node and steps to find them in the first search (later ones have more).
+FILLINGS, STEPS = 4, 400
+#: Counts of one length below the most that fit, which a filling tries.
+MULTIPLES = 64
 Run = tuple[tuple[int, ...], int]
 
 
+@dataclass
+class Budget:
+    steps: int
+
+
 # --- the packing of counts -------------------------------------------------------------------------------------------
 
 
@@ -75,87 +86,111 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     return [(items, bins) for group in open_bins.values() for items, bins in group.items()]
 
 
-def fillings(counts: dict[int, int], space: int, most_waste: int, steps: int, keep: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of the space, least waste first: no one or two lengths of one can make room for a longer one."""
-    lengths = sorted((x for x, n in counts.items() if n and x <= space), reverse=True)
-    rising = lengths[::-1]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = [steps]
+Filling = tuple[tuple[int, int], ...]
+
+
+def fillings(counts: dict[int, int], space: int, most_waste: int, budget: Budget, steps: int, keep: int) -> list[tuple[int, Filling]]:
+    """Undominated fillings of the space as (length, count), least waste first, at most keep, found within so many steps.
+
+    A filling is dominated if its waste has room for a length left, or lets one or two of its lengths be put out for a longer one.
+    """
+    rising = sorted(x for x, n in counts.items() if n and x <= space)
+    lengths = rising[::-1]
+    found: list[tuple[int, Filling]] = []
+    steps = min(steps, budget.steps)
+    spent = len(lengths) // 8  # for the list itself
+
+    def dominated(items: Filling, waste: int) -> bool:
+        nonlocal spent
+        used = dict(items)
 
-    def dominated(items: tuple[int, ...], waste: int) -> bool:
-        used = Counter(items)
-        free = lambda low, high: any(counts[x] > used.get(x, 0) for x in rising[bisect_left(rising, low) : bisect_right(rising, high)])
-        return any(free(a + 1, a + waste) for a in set(items)) or any(free(a + b, a + b + waste) for a, b in set(combinations(items, 2)))
+        def free(above: int) -> bool:
+            nonlocal spent
+            spent += 1
+            return any(counts[x] > used.get(x, 0) for x in rising[bisect_right(rising, above) : bisect_right(rising, above + waste)])
 
-    def grow(at: int, room: int, items: tuple[int, ...]) -> bool:
-        left[0] -= 1
+        twice = (2 * x for x, n in items if n > 1)
+        return waste > 0 and (free(0) or any(free(x) for x in used) or any(free(x) for x in twice) or any(free(x + y) for x, y in combinations(used, 2)))
+
+    # A state: where to go on among the lengths, room left, what is in. The last is taken first: longest lengths, as often as fits.
+    stack: list[tuple[int, int, Filling]] = [(0, space, ())]
+    while stack and spent < steps:
+        at, room, items = stack.pop()
+        spent += 1
         if room <= most_waste and not dominated(items, room):
             found.append((room, items))
             if not room or len(found) >= 4 * keep:
-                return True
-        if not room or not left[0]:
-            return not left[0]
+                break
         at = max(at, len(lengths) - bisect_right(rising, room))
-        if counts.get(room, 0) > items.count(room) and lengths[at] == room:  # one length fills the rest
-            return grow(at, 0, (*items, room))
-        for i in range(at, len(lengths)):
-            if counts[lengths[i]] > items.count(lengths[i]) and grow(i, room - lengths[i], (*items, lengths[i])):
-                return True
-        return False
-
-    grow(0, space, ())
+        if not room or at >= len(lengths):
+            continue
+        if lengths[at] == room:  # one length fills the rest
+            stack.append((at + 1, 0, (*items, (room, 1))))
+            continue
+        # Another length in place of this one comes after all that hold it.
+        stack.append((at + 1, room, items)) if at + 1 < len(lengths) else None
+        x = lengths[at]
+        stack.extend((at + 1, room - x * n, (*items, (x, n))) for n in range(max(1, min(counts[x], room // x) - MULTIPLES), min(counts[x], room // x) + 1))
+    budget.steps -= spent
     return sorted(set(found))[:keep]
 
 
-def complete(counts: dict[int, int], capacity: int, most_waste: int, nodes: int, keep: int = FILLINGS, steps: int = STEPS) -> tuple[list[Run] | None, int]:
-    """Bin completion with at most so much waste in all (None if none was found), and the nodes that are left."""
+def complete(counts: dict[int, int], capacity: int, most_waste: int, budget: Budget, keep: int = FILLINGS, steps: int = STEPS) -> list[Run] | None:
+    """Bin completion with at most so much waste in all; None if none was found."""
     counts = dict(counts)
 
-    def options(waste: int) -> list[tuple[int, tuple[int, ...], bool]]:
+    def options(waste: int) -> list[tuple[int, Filling, bool]]:
         """Fillings, the best last; each as often as the counts allow (True) before once (False)."""
         largest = max(x for x, n in counts.items() if n)
         counts[largest] -= 1
-        out = [(w, (largest, *items)) for w, items in fillings(counts, capacity - largest, most_waste - waste, steps, keep)]
+        out = []
+        for w, items in fillings(counts, capacity - largest, most_waste - waste, budget, steps, keep):
+            more = dict(items)
+            out.append((w, ((largest, 1 + more.pop(largest, 0)), *more.items())))
         counts[largest] += 1
         return [(w, items, often) for w, items in out[::-1] for often in (False, True)]
 
     total = sum(counts.values())
     if not total:
-        return [], nodes
-    path: list[Run] = []
+        return []
+    path: list[tuple[Filling, int]] = []
     stack = [(options(0), 0)]
-    while stack and nodes:
+    while stack and budget.steps > 0:
         choices, waste = stack[-1]
         if not choices:
             stack.pop()
             if path:
                 items, times = path.pop()
-                for x in items:
-                    counts[x] += times
-                total += times * len(items)
+                for x, n in items:
+                    counts[x] += times * n
+                    total += times * n
             continue
-        nodes -= 1
+        budget.steps -= 1
         w, items, often = choices.pop()
-        times = min(counts[x] // n for x, n in Counter(items).items())
+        times = min(counts[x] // n for x, n in items)
         if w:
             times = min(times, (most_waste - waste) // w)
         if not often:
             if times == 1:  # tried already
                 continue
             times = 1
-        for x in items:
-            counts[x] -= times
-        total -= times * len(items)
+        for x, n in items:
+            counts[x] -= times * n
+            total -= times * n
         path.append((items, times))
         if not total:
-            return path, nodes
+            return [(tuple(x for x, n in items for _ in range(n)), times) for items, times in path]
         stack.append((options(waste + w * times), waste + w * times))
-    return None, nodes
+    return None
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound: for every k, lengths beyond capacity - k stand alone among those of k or more, and the others of more than
-    half need a bin each, whose room the lengths from k to half may not exceed."""
+    """A lower bound, the best of two kinds.
+
+    For every k, lengths beyond capacity - k stand alone among those of k or more, and the others of more than half need a bin
+    each, whose room the lengths from k to half may not exceed. And for the k of every length (as many as fit), lengths rounded down to capacity / k where
+    k + 1 of them don't fill it whole: k such pieces fit into no bin with a k + 1st, so that their sum still needs the bins.
+    """
     number = np.zeros(capacity + 2, np.int64)
     for x, n in counts.items():
         number[x] += n
@@ -166,18 +201,25 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
         room = large * capacity - int(weight[capacity - k] - weight[half])
         small = int(weight[half] - (weight[k - 1] if k else 0))
         best = max(best, alone + large + max(0, -(-(small - room) // capacity)))
+    lengths = np.array(sorted(counts), np.int64)
+    each = [counts[x] for x in lengths.tolist()]
+    for k in sorted({*range(1, 65), *(capacity // lengths).tolist()}):
+        shares, whole = np.divmod((k + 1) * lengths, capacity)
+        # In units of 1 / (k * capacity) of a bin.
+        units = np.where(whole == 0, k * lengths, shares * capacity).tolist()
+        best = max(best, -(-sum(u * n for u, n in zip(units, each, strict=True)) // (k * capacity)))
     return best
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Run]:
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, steps: int = WORK) -> list[Run]:
     """As few bins as found for so many pieces of each length."""
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
-    best, lower = best_fit(counts, capacity), least_bins(counts, capacity)
+    best, lower, budget = best_fit(counts, capacity), least_bins(counts, capacity), Budget(steps)
     while (bins := sum(n for _, n in best)) > lower:
-        better, left, keep = None, nodes, FILLINGS
-        while better is None and left:
-            better, left = complete(counts, capacity, (bins - 1) * capacity - total, left, keep, STEPS * keep // FILLINGS)
+        better, keep = None, FILLINGS
+        while better is None and budget.steps > 0:
+            better = complete(counts, capacity, (bins - 1) * capacity - total, budget, keep, STEPS * keep // FILLINGS)
             if better is None and keep > capacity:
                 break
             keep *= 4

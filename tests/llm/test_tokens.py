@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -9,6 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import bpe, op4_packing, op5_bpe
@@ -107,6 +109,33 @@ def fewest(items, capacity):
     return best[0]
 
 
+@pytest.mark.parametrize(("counts", "bins"), [({3: 6825000}, 5000), ({3: 6825000, 2000: 2}, 5001), ({2: 5000, 1367: 300, 5: 1000}, 150), ({2: 100000, 1367: 3000, 5: 20000}, 1500), ({1: 10**9}, 244141), ({1: 3}, 1), ({}, 0)])
+def test_short_pieces_in_plenty_are_packed_at_once(counts, bins):
+    began = time.process_time()
+    runs = op4_packing.pack_counts(counts)
+    assert time.process_time() - began < 5 and sum(n for _, n in runs) == bins
+    packed = Counter()
+    for items, n in runs:
+        assert sum(items) <= 4096
+        packed.update({x: k * n for x, k in Counter(items).items()})
+    assert packed == Counter(counts)
+
+
+def test_a_search_ends_with_its_steps():
+    rng = random.Random(3)
+    counts = {1000 + 7 * i: rng.randrange(1, 500) for i in range(200)}
+    began = time.process_time()
+    runs = op4_packing.pack_counts(counts, steps=50_000)
+    assert time.process_time() - began < 5 and op4_packing.least_bins(counts, 4096) <= sum(n for _, n in runs) <= sum(n for _, n in op4_packing.best_fit(counts, 4096))
+
+
+def test_a_table_of_one_word_documents_is_packed(spark):
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'word' as text")
+    out = op4_packing.pack(docs, WORDS)
+    found = out.agg(F.count("*").alias("n"), F.max("length").alias("each"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("sequence_id").alias("bins")).first()
+    assert found["n"] == 100_000 and found["end"] <= 4096 and found["bins"] == -(-100_000 // (4096 // found["each"]))
+
+
 def test_bin_completion_is_as_good_as_brute_force():
     rng = random.Random(2)
     for _ in range(60):
