@@ -122,7 +122,7 @@ def path_parts(path: Column) -> Column:
 
 #: Predicates by another name.
 PREDICATES = {
-    "use": "uses", "using": "uses", "adopt": "uses", "adopts": "uses", "database": "uses", "decision": "uses", "forbid": "forbidden", "forbids": "forbidden", "constraint": "forbidden",
+    "use": "uses", "uses": "uses", "adopts": "uses", "database": "uses", "decision": "uses", "forbid": "forbidden", "forbids": "forbidden", "constraint": "forbidden",
     "prefer": "prefers", "preference": "prefers", "failure": "failed_because", "implemented": "implemented_in", "implementation": "implemented_in",
 }
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import intervals, text
+from factloom.functions import intervals, plain, text
+from factloom.operators import joins
 from factloom.operators.graph import with_checkpoints
 
 #: Predicates that hold one value for any subject, and subjects for which `uses` holds one.
@@ -64,27 +65,56 @@ def current_truth(versions: DataFrame, entities: DataFrame, events: DataFrame, v
     return grouped.withColumn("state", state).drop("any_contested")
 
 
-def classified_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of claims of one scope, subject and predicate whose validity overlaps, with their relationship.
+#: What a slot of claims is, and what a pair keeps of each claim.
+SLOT = ["scope_type", "scope_key", "subject_entity_id", "predicate", "subject"]
+OF_CLAIM = ["claim_id", "object_value", "polarity", "valid_from", "valid_to"]
+
+
+def relation_of(left: Column, right: Column, predicate: Column, subject: Column, comparable: Column) -> Column:
+    """struct(relationship, certainty) of two claims (structs with object_value, canonical, polarity): of five outcomes.
 
-    Both sides: claim_id, scope_type, scope_key, subject_entity_id, predicate, object_value, polarity, valid_from, valid_to, subject.
+    comparable: whether slot and time agree; claims that aren't comparable are independent. Objects are compared in normal form.
     """
-    slot = ["scope_type", "scope_key", "subject_entity_id", "predicate", "subject"]
-    own = ["claim_id", "object_value", "polarity", "valid_from", "valid_to"]
-    a = left.select(*slot, *[F.col(c).alias(f"left_{c}") for c in own])
-    b = right.select(*slot, *[F.col(c).alias(f"right_{c}") for c in own])
-    pairs = a.join(b, slot).where("left_claim_id < right_claim_id").where(intervals.overlaps(F.col("left_valid_from"), F.col("left_valid_to"), F.col("right_valid_from"), F.col("right_valid_to")))
-    same_object, same_polarity = F.col("left_object_value") == F.col("right_object_value"), F.col("left_polarity") == F.col("right_polarity")
-    within = F.contains(F.col("right_object_value"), F.col("left_object_value")) | F.contains(F.col("left_object_value"), F.col("right_object_value"))
+    same_object, same_polarity = left["canonical"] == right["canonical"], left["polarity"] == right["polarity"]
+    within = F.contains(right["canonical"], left["canonical"]) | F.contains(left["canonical"], right["canonical"])
     verdict = lambda name, certainty: F.struct(F.lit(name).alias("relationship"), F.lit(certainty).alias("certainty"))
-    relation = (
-        F.when(same_object & same_polarity, verdict("equivalent", 1.0))
+    return (
+        F.when(~F.coalesce(comparable, F.lit(False)), verdict("independent", 1.0))
+        .when(same_object & same_polarity, verdict("equivalent", 1.0))
         .when(same_polarity & within, verdict("supports", 0.88))
         .when(same_object, verdict("contradicts", 1.0))
-        .when(single_valued(F.col("predicate"), F.col("subject")), verdict("contradicts", 0.97))
+        .when(single_valued(predicate, subject), verdict("contradicts", 0.97))
         .otherwise(verdict("uncertain", 0.5))
     )
-    return pairs.withColumn("relation", relation).select("left_claim_id", "right_claim_id", "relation.relationship", "relation.certainty", (F.col("relation.relationship") == "uncertain").alias("model_eligible"))
+
+
+def _canonical(rows: DataFrame) -> DataFrame:
+    """rows with canonical: objects in normal form, made once for each distinct one."""
+    forms = rows.select("object_value").distinct().withColumn("canonical", plain.normalized_entity("object_value"))
+    return rows.join(forms, "object_value", "left")
+
+
+def classified_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of claims of one scope, subject and predicate whose validity overlaps, with their relationship.
+
+    rows: claim_id, scope_type, scope_key, subject_entity_id, predicate, object_value, polarity, valid_from, valid_to, subject.
+    Only overlapping intervals of a slot are paired, by joins.overlapping_within.
+    """
+    own = _canonical(rows.select(*SLOT, *OF_CLAIM)).select(*SLOT, *OF_CLAIM, "canonical")
+    pairs = joins.overlapping_within(own, SLOT, "claim_id")
+    pairs = pairs.withColumn("relation", relation_of(F.col("left"), F.col("right"), F.col("predicate"), F.col("subject"), F.lit(True)))
+    return pairs.select(F.col("left.claim_id").alias("left_claim_id"), F.col("right.claim_id").alias("right_claim_id"), "relation.relationship", "relation.certainty", (F.col("relation.relationship") == "uncertain").alias("model_eligible"))
+
+
+def compared(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Named pairs (left_claim_id, right_claim_id) with their relationship; those of different slots or times are independent."""
+    own = _canonical(rows.select(*SLOT, *OF_CLAIM)).withColumn("slot", F.struct(*SLOT[:4]))
+    side = lambda name: own.select(F.col("claim_id").alias(f"{name}_claim_id"), F.struct("*").alias(name))
+    both = pairs.join(side("left"), "left_claim_id").join(side("right"), "right_claim_id")
+    one = lambda c: (F.col(f"left.{c}"), F.col(f"right.{c}"))
+    comparable = (one("slot")[0] == one("slot")[1]) & intervals.overlaps(F.col("left.valid_from"), F.col("left.valid_to"), F.col("right.valid_from"), F.col("right.valid_to"))
+    relation = relation_of(F.col("left"), F.col("right"), F.col("left.predicate"), F.col("left.subject"), comparable)
+    return both.withColumn("relation", relation).select("left_claim_id", "right_claim_id", "relation.relationship", "relation.certainty")
 
 
 def judged_conflicts(pairs: DataFrame, conflict: Column, confidence: Column, least: float = 0.7) -> DataFrame:
@@ -177,17 +207,30 @@ def mutation_state(exists: Column, same_blob: Column, moved: Column, symbol: Col
 
 
 def anchor_matches(claims: DataFrame, evidence: DataFrame, anchors: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, memory_id, rank) by the best match of a term: exact symbol, exact path, symbol end, path end, containment. wanted: query_id, term.
+    """(query_id, memory_id, rank) by the best match of a term. wanted: query_id, term (lower case, with slashes).
 
-    Terms meet the anchors, as containment has no key; only anchors that match one are joined with evidence and claims.
+    A match says whether the term is the symbol or its last part, is the path or its last part, lies in the symbol, lies in the
+    path, and whether the term's last part is the symbol's or path's; the first that differ decide, then path, symbol and memory.
+    Terms find paths and symbols by joins.containing; only anchors that match are joined with evidence and claims.
     """
-    own = anchors.select("anchor_id", F.lower("path").alias("path"), F.lower("symbol_fqn").alias("symbol"))
-    hit = own.join(wanted.select("query_id", "term").distinct(), F.contains(F.col("path"), F.col("term")) | F.contains(F.col("symbol"), F.col("term")))
+    last = lambda c, mark: F.element_at(F.split(c, mark), -1)
+    own = anchors.select("anchor_id", F.translate(F.lower("path"), "\\", "/").alias("path"), F.lower(F.coalesce("symbol_fqn", F.lit(""))).alias("symbol"))
+    asked = wanted.select("query_id", "term").distinct().withColumn("tail", last(F.col("term"), "/"))
+    names = own.select(F.explode(F.array("path", "symbol")).alias("text_id")).distinct().withColumn("text", F.col("text_id"))
+    held = joins.containing(names, asked.select(F.explode(F.array("term", "tail")).alias("term")))
+    # By path and by symbol: which anchors each needle names.
+    named = own.select("anchor_id", "path", "symbol", F.explode(F.array_distinct(F.array("path", "symbol"))).alias("text_id")).join(held, "text_id").select("anchor_id", "path", "symbol", F.col("term").alias("needle")).distinct()
+    terms = asked.select("query_id", "term", "tail", F.explode(F.array_distinct(F.array("term", "tail"))).alias("needle"))
+    hit = named.join(terms, "needle")
     flag = lambda c: c.cast("int")
-    match = F.struct(flag(F.col("symbol") == F.col("term")), flag(F.col("path") == F.col("term")), flag(F.endswith(F.col("symbol"), F.col("term"))), flag(F.endswith(F.col("path"), F.col("term"))))
-    best = hit.groupBy("query_id", "anchor_id").agg(F.max(match).alias("match")).join(evidence.select("anchor_id", "claim_id"), "anchor_id").join(claims.select("claim_id", "memory_id"), "claim_id")
-    best = best.groupBy("query_id", "memory_id").agg(F.max("match").alias("match"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("match"), "memory_id"))).select("query_id", "memory_id", "rank")
+    base, end = last(F.col("path"), "/"), last(F.col("symbol"), r"\.")
+    has, is_, tail = F.col("symbol") != "", F.col("term"), F.col("tail")
+    match = F.array(flag(has & ((is_ == F.col("symbol")) | (is_ == end))), flag((is_ == F.col("path")) | (is_ == base)), flag(has & F.contains(F.col("symbol"), is_)), flag(F.contains(F.col("path"), is_)), flag((tail == end) | (tail == base)))
+    hit = hit.withColumn("match", F.transform(match, lambda m: -m)).where(F.exists("match", lambda m: m < 0))
+    best = hit.groupBy("query_id", "anchor_id", "path", "symbol").agg(F.min("match").alias("match"))
+    best = best.join(evidence.select("anchor_id", "claim_id"), "anchor_id").join(claims.select("claim_id", "memory_id"), "claim_id")
+    best = best.groupBy("query_id", "memory_id").agg(F.min(F.struct("match", "path", "symbol")).alias("best"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "memory_id"))).select("query_id", "memory_id", "rank")
 
 
 def sole_support(versions: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ SINGLE = "(predicate = 'prefers' or (predicate = 'uses' and regexp_matches(subje
     join entities e on e.entity_id = a.subject_entity_id where greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, timestamp '2200-01-01'), coalesce(b.valid_to, timestamp '2200-01-01'))""")
 def c5(t: Store) -> DataFrame:
     rows = t.claims.join(t.entities.select(F.col("entity_id").alias("subject_entity_id"), F.col("normalized_name").alias("subject")), "subject_entity_id")
-    return truth.classified_pairs(rows, rows).select("left_claim_id", "right_claim_id", "relationship")
+    return truth.classified_pairs(rows).select("left_claim_id", "right_claim_id", "relationship")
 
 
 @query("C6_cardinality", f"select entity_id, predicate, {SINGLE.replace('subject', 'normalized_name')} as single from (select entity_id, normalized_name, unnest(['uses', 'prefers', 'forbidden']) as predicate from (select entity_id, case when entity_id % 5 = 0 then 'primary ' else '' end || normalized_name as normalized_name from entities))")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import intervals, plain, providers, text
 from factloom.operators import claims as truth
-from factloom.operators import context, metrics, retrieval
+from factloom.operators import context, joins, metrics, retrieval
 from factloom.plans.registry import query
 from factloom.plans.retrieval import BM25, COSINE, FUSED, channels, eligible, lexical, semantic
 from factloom.sources.model import Store
@@ -32,9 +32,9 @@ def j8(t: Store) -> DataFrame:
 @query("J10_candidate_conflicts", "select c.claim_id as candidate_id, count(*) as against from claims c join claims a on c.scope_type = a.scope_type and c.scope_key = a.scope_key and c.subject_entity_id = a.subject_entity_id and c.predicate = a.predicate where c.status = 'contested' and a.status = 'accepted' and c.object_value <> a.object_value and greatest(c.valid_from, a.valid_from) < least(coalesce(c.valid_to, timestamp '2200-01-01'), coalesce(a.valid_to, timestamp '2200-01-01')) group by c.claim_id")
 def j10(t: Store) -> DataFrame:
     slot = ["scope_type", "scope_key", "subject_entity_id", "predicate"]
-    own = lambda status, side: t.claims.where(F.col("status") == status).select(*slot, *[F.col(c).alias(f"{side}_{c}") for c in ("claim_id", "object_value", "valid_from", "valid_to")])
-    rows = own("contested", "c").join(own("accepted", "a"), slot).where("c_object_value <> a_object_value").where(intervals.overlaps(F.col("c_valid_from"), F.col("c_valid_to"), F.col("a_valid_from"), F.col("a_valid_to")))
-    return rows.groupBy(F.col("c_claim_id").alias("candidate_id")).agg(F.count("*").alias("against"))
+    own = lambda status: t.claims.where(F.col("status") == status).select(*slot, "claim_id", "object_value", "valid_from", "valid_to")
+    rows = joins.overlapping(own("contested"), own("accepted"), slot).where("left.object_value <> right.object_value")
+    return rows.groupBy(F.col("left.claim_id").alias("candidate_id")).agg(F.count("*").alias("against"))
 
 
 @query("A13_cluster_keys", "select subject_entity_id, predicate, count(*) as claims from claims group by subject_entity_id, predicate")
@@ -101,14 +101,20 @@ def c4(t: Store) -> DataFrame:
     return t.spark.createDataFrame(rows, "id int, raw string").select("id", plain.normalized_entity("raw").alias("name"))
 
 
-@query("C15_merge_candidates")
+#: The ratio by its definition: the longest common run (the first of those as long), then what lies left of it and right of it.
+ALIKE = r"""with recursive own as (select distinct symbol_fqn, regexp_extract(path, '([^/]*)$', 1) as name from anchors), named as (select distinct name from own),
+    runs(a, b, x, y, k) as (select l.name, r.name, l.name, r.name, 0 from named l join named r on l.name < r.name
+    union all select a, b, unnest([x[:best.i - 1], x[best.i + best.k:]]), unnest([y[:best.j - 1], y[best.j + best.k:]]), unnest([best.k, 0]) from (select a, b, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j:
+        {'k': len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda n: substr(x, i, n) = substr(y, j, n))), 'back_i': -i, 'back_j': -j, 'i': i, 'j': j})))) as best from runs where length(x) > 0 and length(y) > 0) where best.k > 0),
+    ratios as (select a, b, 2.0 * sum(k) / (length(a) + length(b)) as similarity from runs group by a, b)
+    select l.symbol_fqn, l.name as a, r.name as b, round(similarity, 6) as similarity from own l join own r on l.symbol_fqn = r.symbol_fqn join ratios on a = l.name and b = r.name where similarity >= 0.65 and similarity < 1"""
+
+
+@query("C15_merge_candidates", ALIKE)
 def c15(t: Store) -> DataFrame:
-    """Entities whose names are alike but not equal; names are blocked by type and length, so that no whole group is paired."""
-    own = t.anchors.select("anchor_id", "symbol_fqn", F.element_at(F.split("path", "/"), -1).alias("name"), F.length("path").alias("size"))
-    left = own.select("symbol_fqn", F.substring("name", 1, 6).alias("block"), F.col("anchor_id").alias("a"), F.col("name").alias("x"))
-    right = own.select("symbol_fqn", F.substring("name", 1, 6).alias("block"), F.col("anchor_id").alias("b"), F.col("name").alias("y"))
-    pairs = left.join(right, ["symbol_fqn", "block"]).where("a < b").withColumn("similarity", plain.sequence_ratio("x", "y"))
-    return pairs.where("similarity >= 0.65 and similarity < 1").groupBy("symbol_fqn").agg(F.count("*").alias("candidates"))
+    """Names of one type that are alike but not equal: every pair of distinct names, however they begin."""
+    names = t.anchors.select("symbol_fqn", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return joins.alike(names, ["symbol_fqn"]).select("symbol_fqn", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("C21_symbols", "select id, symbols from (values (1, 'alpha,Beta'), (2, ''), (3, 'go')) v(id, symbols)")
@@ -329,13 +335,18 @@ def u1(t: Store) -> DataFrame:
 
 @query("X2_contested_components", "with recursive own as (select distinct memory_id, identity_id from claims where status = 'contested'), firsts as (select identity_id, min(memory_id) as b from own group by identity_id), edges as (select distinct memory_id as x, b as y from own join firsts using (identity_id) where memory_id <> b union select distinct b, memory_id from own join firsts using (identity_id) where memory_id <> b), reach as (select x as node, least(x, y) as root from edges union select e.y, r.root from reach r join edges e on e.x = r.node where r.root < e.y) select root, count(*) as members from (select node, min(root) as root from reach group by node) group by root")
 def x2(t: Store) -> DataFrame:
-    """Contested memories that share an identity, directly or through others."""
+    """How many contested memories are in each component."""
+    return contested_components(t).groupBy("root").agg(F.count("*").alias("members"))
+
+
+def contested_components(t: Store) -> DataFrame:
+    """(memory_id, root): contested memories that share an identity with another, directly or through others."""
     from factloom.operators.graph import components
 
     own = t.claims.where("status = 'contested'").select("memory_id", "identity_id").distinct()
     first = own.groupBy("identity_id").agg(F.min("memory_id").alias("b"))
     edges = own.join(first, "identity_id").select(F.col("memory_id").alias("a"), "b").where("a <> b").distinct()
-    return components(edges).groupBy("root").agg(F.count("*").alias("members"))
+    return components(edges).select(F.col("node").alias("memory_id"), "root")
 
 
 @query("S3_index_scan", f"with {BM25} select query_id, memory_id, round(score, 6) as score, matched, rank from (select f.query_id, f.memory_id, f.score, b.matched, rank from fts f join bm25 b on b.query_id = f.query_id and b.memory_id = f.memory_id) where rank <= 20")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import intervals, text
 from factloom.operators import claims as truth
-from factloom.operators import context, health, retrieval
+from factloom.operators import context, health, joins, retrieval
 from factloom.plans.registry import query
 from factloom.sources.model import Store
 
@@ -112,9 +112,9 @@ def p5(t: Store) -> DataFrame:
 @query("P6_interval_overlap", """select a.identity_id, count(*) as overlapping from claims a join claims b on a.identity_id = b.identity_id and a.claim_id < b.claim_id
     where greatest(a.valid_from, b.valid_from) < least(coalesce(a.valid_to, timestamp '2200-01-01'), coalesce(b.valid_to, timestamp '2200-01-01')) group by a.identity_id""")
 def p6(t: Store) -> DataFrame:
-    a, b = (t.claims.select("identity_id", *[F.col(c).alias(f"{c}_{x}") for c in ("claim_id", "valid_from", "valid_to")]) for x in "ab")
-    both = a.join(b, "identity_id").where("claim_id_a < claim_id_b").where(intervals.overlaps(F.col("valid_from_a"), F.col("valid_to_a"), F.col("valid_from_b"), F.col("valid_to_b")))
-    return both.groupBy("identity_id").agg(F.count("*").alias("overlapping"))
+    """Each pair once, where its later interval starts: intervals of an identity meet by nodes over time, not all with all."""
+    pairs = joins.overlapping_within(t.claims.select("identity_id", "claim_id", "valid_from", "valid_to"), ["identity_id"], "claim_id")
+    return pairs.groupBy("identity_id").agg(F.count("*").alias("overlapping"))
 
 
 @query("P7_allowed_scopes", f"select memory_id from memories m where {ALIVE} and created_at <= timestamp '{KNOWN}' and ((scope_type = 'user') or (scope_type = 'task' and scope_key = 'en')) and status = 'active' and memory_id not in (select memory_id from health where temperature = 'archived')")
@@ -339,9 +339,10 @@ def j16(t: Store) -> DataFrame:
 
 @query("J20_canary_containment", "select item_id, count(*) as leaks from benchmark b join memories m on contains(lower(m.content), lower(b.text)) where b.text <> '' group by item_id")
 def j20(t: Store) -> DataFrame:
-    """Whole canaries in whole contents; containment has no key, so that a stated list of canaries meets every content."""
-    seeds = t.raw("benchmark").where("text <> ''").select("item_id", F.lower("text").alias("seed"))
-    return t.memories.select(F.lower("content").alias("content")).join(seeds, F.contains(F.col("content"), F.col("seed"))).groupBy("item_id").agg(F.count("*").alias("leaks"))
+    """Whole canaries in whole contents: a canary meets the contents that hold its rarest word."""
+    seeds = t.raw("benchmark").where("text <> ''").select("item_id", F.lower("text").alias("term"))
+    found = joins.containing(t.memories.select(F.col("memory_id").alias("text_id"), F.lower("content").alias("text")), seeds)
+    return seeds.join(found.groupBy("term").agg(F.count("*").alias("leaks")), "term").groupBy("item_id").agg(F.sum("leaks").alias("leaks"))
 
 
 @query("J21_redirects", "with recursive chase as (select entity_id, entity_id // 2 as target_id from entities where entity_id > 1 union all select c.entity_id, c.target_id // 2 from chase c where c.target_id > 1) select entity_id, min(target_id) as target_id from chase group by entity_id")

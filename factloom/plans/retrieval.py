@@ -17,6 +17,17 @@ def at():
 
 
 AT = "timestamp '2024-06-01'"
+#: Rows that the channels of words and vectors give at least, and that any channel gives at most.
+POOL_LEAST, POOL_MOST = 80, 1000
+#: Rows that a context is made of.
+CONTEXT_ROWS = 80
+
+
+def pool(limit: int, offset: int = 0) -> int:
+    """Rows that the channels of words and vectors give for a page of so many."""
+    return min(POOL_MOST, max(POOL_LEAST, offset + limit))
+
+
 #: Memories that a search may return.
 ELIGIBLE = f"""elig as (select memory_id from memories where status = 'active' and (valid_from is null or valid_from <= {AT}) and (valid_to is null or {AT} < valid_to) and (ttl_seconds is null or {AT} < created_at + to_seconds(ttl_seconds))
     and memory_id not in (select memory_id from health where temperature = 'archived'))"""
@@ -56,11 +67,12 @@ def semantic(t: Store, k: int, only: DataFrame | None = None) -> DataFrame:
 
 
 def recent_claims(t: Store, k: int) -> DataFrame:
-    """The temporal channel: newest claims' memories, the same list for every query."""
+    """The temporal channel: newest claims' memories, the same list for every query that asks for the past."""
     newest = t.claims.where("status in ('accepted', 'superseded')").join(eligible(t), "memory_id", "left_semi").groupBy("memory_id").agg(F.max("recorded_at").alias("recorded_at"))
     ranked = newest.orderBy(F.desc("recorded_at"), "memory_id").limit(k)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("recorded_at"), "memory_id")))  # at most k rows
-    return t.asks.select("query_id").join(F.broadcast(ranked.select("memory_id", "rank")))
+    asked = retrieval.planned(t.asks).where("intent = 'historical_as_of'").select("query_id")
+    return asked.join(F.broadcast(ranked.select("memory_id", "rank")))
 
 
 def source_anchors(t: Store, k: int) -> DataFrame:
@@ -77,23 +89,28 @@ def graph(t: Store, k: int) -> DataFrame:
     return truth.graph_channel(claims, t.entities, t.claim_relations, words, k)
 
 
-TEMPORAL = f"temporal as (select query_id, memory_id, rank from asks, (select memory_id, row_number() over (order by recorded_at desc, memory_id) as rank from (select memory_id, max(recorded_at) as recorded_at from claims join elig using (memory_id) where status in ('accepted', 'superseded') group by memory_id)) where rank <= 30)"
-ANCHORED = """named as (select distinct query_id, term from (select query_id, unnest(list_concat(regexp_extract_all(query, '`([^`]+)`', 1), regexp_extract_all(query, '[a-z_]+[.]py'))) as term from asks)),
-    code as (select query_id, memory_id, max((symbol = term)::int * 8 + (path = term)::int * 4 + ends_with(symbol, term)::int * 2 + ends_with(path, term)::int) as m from (select c.memory_id, lower(a.path) as path, lower(a.symbol_fqn) as symbol from claims c join elig using (memory_id) join claim_evidence e using (claim_id) join anchors a using (anchor_id)) r
-        join named on contains(path, term) or contains(symbol, term) group by query_id, memory_id), anchored as (select * from (select query_id, memory_id, row_number() over (partition by query_id order by m desc, memory_id) as rank from code) where rank <= 50)"""
+INTENT = f"case {' '.join(f"when {' or '.join(f"contains(lower(query), '{w}')" for w in words)} then '{name}'" for name, _, words in retrieval.INTENTS)} else 'broad_search' end"
+TEMPORAL = f"temporal as (select query_id, memory_id, rank from (select query_id from asks where {INTENT} = 'historical_as_of'), (select memory_id, row_number() over (order by recorded_at desc, memory_id) as rank from (select memory_id, max(recorded_at) as recorded_at from claims join elig using (memory_id) where status in ('accepted', 'superseded') group by memory_id)) where rank <= 1000)"
+ANCHORED = """named as (select distinct query_id, term, regexp_extract(term, '([^/]*)$', 1) as tail from (select query_id, unnest(list_concat(regexp_extract_all(query, '`([^`]+)`', 1), regexp_extract_all(query, '[a-z_]+[.]py'))) as term from asks)),
+    places as (select anchor_id, lower(path) as path, lower(symbol_fqn) as symbol, regexp_extract(lower(path), '([^/]*)$', 1) as base, regexp_extract(lower(symbol_fqn), '([^.]*)$', 1) as final from anchors),
+    hits as (select query_id, anchor_id, path, symbol, max((term in (symbol, final))::int * 16 + (term in (path, base))::int * 8 + contains(symbol, term)::int * 4 + contains(path, term)::int * 2 + (tail in (final, base))::int) as m from places, named group by query_id, anchor_id, path, symbol),
+    code as (select *, row_number() over (partition by query_id, memory_id order by m desc, path, symbol) as n from (select query_id, c.memory_id, path, symbol, m from hits join claim_evidence e using (anchor_id) join claims c using (claim_id) join elig on elig.memory_id = c.memory_id where m > 0)),
+    anchored as (select * from (select query_id, memory_id, row_number() over (partition by query_id order by m desc, path, symbol, memory_id) as rank from code where n = 1) where rank <= 1000)"""
 GRAPH = """topic_words as (select query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_.+#/-]+'))) as word from asks), usable as (select c.* from claims c join elig using (memory_id) where status in ('accepted', 'contested')),
     topics as (select query_id, entity_id, max(case when normalized_name = word then 2 else 1 end) as priority from topic_words join entities on normalized_name = word or entity_type = word group by query_id, entity_id),
-    seeds as (select * from (select *, row_number() over (partition by query_id order by priority desc, recorded_at desc, claim_id) as rank from (select query_id, u.memory_id, claim_id, recorded_at, priority, row_number() over (partition by query_id, u.memory_id order by priority desc, recorded_at desc, claim_id) as n from usable u join topics on entity_id = subject_entity_id) where n = 1) where rank <= 30),
+    seeds as (select * from (select *, row_number() over (partition by query_id order by priority desc, recorded_at desc, claim_id) as rank from (select query_id, u.memory_id, claim_id, recorded_at, priority, row_number() over (partition by query_id, u.memory_id order by priority desc, recorded_at desc, claim_id) as n from usable u join topics on entity_id = subject_entity_id) where n = 1) where rank <= 1000),
     hops as (select query_id, u.memory_id, min(u.claim_id) as claim_id from (select query_id, to_id as claim_id from seeds join claim_relations on from_id = claim_id union select query_id, from_id from seeds join claim_relations on to_id = claim_id) h join usable u using (claim_id) where not exists (select 1 from seeds s where s.query_id = h.query_id and s.memory_id = u.memory_id) group by query_id, u.memory_id),
-    graph as (select query_id, memory_id, rank from seeds union all select * from (select query_id, memory_id, (select count(*) from seeds s where s.query_id = hops.query_id) + row_number() over (partition by query_id order by claim_id) as rank from hops) where rank <= 30)"""
+    graph as (select query_id, memory_id, rank from seeds union all select * from (select query_id, memory_id, (select count(*) from seeds s where s.query_id = hops.query_id) + row_number() over (partition by query_id order by claim_id) as rank from hops) where rank <= 1000)"""
 CHANNELS = ["fts", "vector", "source_anchor", "graph", "temporal"]
-FUSED = f"""{TEMPORAL}, {ANCHORED}, {GRAPH}, every as (select query_id, memory_id, 'fts' as channel, rank, 1.0::double as weight from fts where rank <= 50 union all select query_id, memory_id, 'vector', rank, 1.0 from vec where rank <= 50 union all select query_id, memory_id, 'source_anchor', rank, 1.0 from anchored
+FUSED = f"""{TEMPORAL}, {ANCHORED}, {GRAPH}, every as (select query_id, memory_id, 'fts' as channel, rank, 1.0::double as weight from fts where rank <= 80 union all select query_id, memory_id, 'vector', rank, 1.0 from vec where rank <= 80 union all select query_id, memory_id, 'source_anchor', rank, 1.0 from anchored
     union all select query_id, memory_id, 'graph', rank, 0.82 from graph union all select query_id, memory_id, 'temporal', rank, 0.9 from temporal),
     fused as (select query_id, memory_id, sum(weight / (60 + rank)) as score, {', '.join(f"min(case when channel = '{c}' then rank end) as {c}_rank" for c in CHANNELS)} from every group by query_id, memory_id)"""
 
 
-def channels(t: Store) -> dict[str, DataFrame]:
-    return {"fts": lexical(t, 50), "vector": semantic(t, 50, eligible(t)), "source_anchor": source_anchors(t, 50), "graph": graph(t, 30), "temporal": recent_claims(t, 30)}
+def channels(t: Store, limit: int = 10) -> dict[str, DataFrame]:
+    """The ranked lists that a page of so many rows is fused from."""
+    own = pool(limit)
+    return {"fts": lexical(t, own), "vector": semantic(t, own, eligible(t)), "source_anchor": source_anchors(t, POOL_MOST), "graph": graph(t, POOL_MOST), "temporal": recent_claims(t, POOL_MOST)}
 
 
 def fused(t: Store) -> DataFrame:
@@ -145,17 +162,17 @@ def r7(t: Store) -> DataFrame:
 
 @query("R8_source_anchor_channel", f"with {ELIGIBLE}, {ANCHORED} select query_id, memory_id, rank from anchored")
 def r8(t: Store) -> DataFrame:
-    return source_anchors(t, 50).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+    return source_anchors(t, POOL_MOST).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("R9_graph_channel", f"with {ELIGIBLE}, {GRAPH} select query_id, memory_id, rank from graph")
 def r9(t: Store) -> DataFrame:
-    return graph(t, 30)
+    return graph(t, POOL_MOST)
 
 
 @query("R9b_temporal_channel", f"with {ELIGIBLE}, {TEMPORAL} select query_id, memory_id, rank from temporal")
 def r9b(t: Store) -> DataFrame:
-    return recent_claims(t, 30).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+    return recent_claims(t, POOL_MOST).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("R10_weighted_rrf", f"with {BM25}, {COSINE}, {FUSED} select query_id, memory_id, round(score, 6) as score, fts_rank, vector_rank, source_anchor_rank, graph_rank, temporal_rank from fused")
@@ -197,7 +214,7 @@ def r14(t: Store) -> DataFrame:
 
 
 @query("R16_channel_telemetry", f"""with {BM25}, {COSINE}, {FUSED}, slots as (select query_id, query, channel from asks, (select unnest({CHANNELS}) as channel)), found as (select query_id, channel, count(*) as eligible from every group by query_id, channel)
-    select s.query_id, s.channel, coalesce(eligible, 0) as eligible, case when s.query_id % 10 = 0 and s.channel not in ('fts', 'vector') then 'not_requested' when s.channel = 'source_anchor' and s.query_id not in (select query_id from named) or s.channel = 'graph' and s.query_id not in (select query_id from topics) then 'not_applicable'
+    select s.query_id, s.channel, coalesce(eligible, 0) as eligible, case when s.query_id % 10 = 0 and s.channel not in ('fts', 'vector') then 'not_requested' when s.channel = 'source_anchor' and s.query_id not in (select query_id from named) or s.channel = 'graph' and s.query_id not in (select query_id from topics) or s.channel = 'temporal' and {INTENT} <> 'historical_as_of' then 'not_applicable'
     when s.channel = 'vector' and s.query_id not in (select memory_id from vectors) then 'unavailable' when s.channel = 'vector' and s.query_id % 7 = 0 then 'provider_fallback' when coalesce(eligible, 0) = 0 then 'executed_empty' else 'executed' end as status
     from slots s left join found f on f.query_id = s.query_id and f.channel = s.channel""")
 def r16(t: Store) -> DataFrame:
@@ -207,12 +224,12 @@ def r16(t: Store) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     topics = t.asks.select("query_id", F.explode(text.entity_words(F.col("query"))).alias("word"))
     names = t.entities.select(F.explode(F.array("normalized_name", "entity_type")).alias("word")).distinct()
-    slots = t.asks.select("query_id", (F.size(text.exact_terms(F.col("query"))) > 0).alias("named"), F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
+    slots = retrieval.planned(t.asks).select("query_id", (F.size("exact") > 0).alias("named"), (F.col("intent") == "historical_as_of").alias("historical"), F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
     slots = slots.join(topics.join(names, "word", "left_semi").select("query_id").distinct().withColumn("topical", F.lit(True)), "query_id", "left")
     slots = slots.join(t.vectors.select(F.col("memory_id").alias("query_id"), F.lit(True).alias("embedded")), "query_id", "left")
     counts = slots.join(found, ["query_id", "channel"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
     is_ = lambda name: F.col("channel") == name
-    applicable = F.when(is_("source_anchor"), F.col("named")).when(is_("graph"), F.coalesce("topical", F.lit(False))).otherwise(True)
+    applicable = F.when(is_("source_anchor"), F.col("named")).when(is_("graph"), F.coalesce("topical", F.lit(False))).when(is_("temporal"), F.col("historical")).otherwise(True)
     out = retrieval.channel_status(counts, (F.col("query_id") % 10 != 0) | F.col("channel").isin("fts", "vector"), applicable, ~is_("vector") | F.coalesce("embedded", F.lit(False)), is_("vector") & (F.col("query_id") % 7 == 0))
     return out.select("query_id", "channel", "eligible", "status")
 
@@ -232,7 +249,7 @@ def r19(t: Store) -> DataFrame:
 
 
 def candidates(t: Store) -> DataFrame:
-    best = retrieval.best(governed(t).withColumn("score", F.round("final_score", 9)), 30)
+    best = retrieval.best(governed(t).withColumn("score", F.round("final_score", 9)), CONTEXT_ROWS)
     counts = retrieval.evidence_counts(t.claims, t.claim_evidence)
     rows = best.join(counts, "memory_id", "left").withColumns({"evidence_count": F.coalesce("evidence_count", F.lit(0)), "source_ref": F.col("subject"), "final_score": F.round("final_score", 9)})
     return context.prepared(rows)
@@ -240,7 +257,7 @@ def candidates(t: Store) -> DataFrame:
 
 @query("X1_utility_and_cost", f"""with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed),
     ev as (select memory_id, count(*) as n from claims join claim_evidence using (claim_id) group by memory_id)
-    select query_id, p.memory_id, round(greatest(round(final_score, 9), 1e-6) * confidence * (1 + 0.05 * least(coalesce(n, 0), 3)) * case freshness when 'fresh' then 1.0 when 'unknown' then 0.82 when 'suspect' then 0.3 else 0 end, 6) as utility from placed p join memories m on m.memory_id = p.memory_id left join ev on ev.memory_id = p.memory_id where rank <= 30""")
+    select query_id, p.memory_id, round(greatest(round(final_score, 9), 1e-6) * confidence * (1 + 0.05 * least(coalesce(n, 0), 3)) * case freshness when 'fresh' then 1.0 when 'unknown' then 0.82 when 'suspect' then 0.3 else 0 end, 6) as utility from placed p join memories m on m.memory_id = p.memory_id left join ev on ev.memory_id = p.memory_id where rank <= 80""")
 def x1(t: Store) -> DataFrame:
     return candidates(t).select("query_id", "memory_id", F.round("utility", 6).alias("utility"))
 

@@ -13,7 +13,8 @@ _CATEGORY = "case doc_id % 6 when 0 then 'decision' when 1 then 'constraint' whe
 _TYPE = "case doc_id % 4 when 0 then 'episodic' when 1 then 'project' when 2 then 'procedural' else 'preference' end"
 _STATUS = "case when doc_id % 11 = 0 then 'superseded' when doc_id % 17 = 0 then 'candidate' else 'active' end"
 _PREDICATE = "case o_custkey % 6 when 0 then 'uses' when 1 then 'forbidden' when 2 then 'implemented_in' when 3 then 'prefers' when 4 then 'failed_because' else 'states' end"
-_CLAIM_STATUS = "case o_orderstatus when 'F' then 'accepted' when 'P' then 'contested' else 'superseded' end"
+#: Contests are rare, so that memories with and without one are met.
+_CLAIM_STATUS = "case when o_orderstatus = 'O' then 'superseded' when o_orderstatus = 'P' and o_orderkey % 16 = 0 then 'contested' else 'accepted' end"
 _STALE = "case o_orderkey % 4 when 0 then 'fresh' when 1 then 'unknown' when 2 then 'suspect' else 'stale' end"
 #: What a query names besides its words: code, an entity, a type of entities and a time, or nothing.
 _SUFFIX = "case item_id % 4 when 1 then ' see `economy` and red_widget.py' when 2 then ' for customer#00000' || lpad({0}, 4, '0') when 3 then ' about machinery as of then' else '' end"

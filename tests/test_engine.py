@@ -34,7 +34,7 @@ def test_versions_that_meet_are_not_both_visible(spark):
 def test_containment_comes_before_contradiction(spark):
     row = "select {0}L as claim_id, 'user' as scope_type, 'k' as scope_key, 1L as subject_entity_id, 'prefers' as predicate, 'current database' as subject, '{1}' as object_value, '{2}' as polarity, timestamp_ntz'2024-01-01' as valid_from, cast(null as timestamp_ntz) as valid_to"
     rows = spark.sql(" union all ".join(row.format(i, *v) for i, v in enumerate([("postgresql", "positive"), ("postgresql version 17", "positive"), ("mysql", "positive"), ("postgresql", "negative")])))
-    found = {(r[0], r[1]): r[2] for r in claims.classified_pairs(rows, rows).collect()}
+    found = {(r[0], r[1]): r[2] for r in claims.classified_pairs(rows).collect()}
     assert found == {(0, 1): "supports", (0, 2): "contradicts", (0, 3): "contradicts", (1, 2): "contradicts", (1, 3): "contradicts", (2, 3): "contradicts"}
 
 
