@@ -108,12 +108,14 @@ def query_terms(queries: DataFrame, most: int = QUERY_TOKENS) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.slice(text.terms(F.col("query")), 1, most))).alias("term"))
 
 
-def bm25(index: DataFrame, whole: DataFrame, asked: DataFrame, key: str = "memory_id") -> DataFrame:
+def bm25(index: DataFrame, whole: DataFrame, asked: DataFrame, key: str = "memory_id", df: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, matched): OR over the query's terms; the plan joins terms, never documents with queries.
 
-    whole: the row of `collection`. Inverse document frequency is at least 1e-6.
+    whole: the row of `collection`. df: term, df, where they are kept; else they are counted. Inverse document frequency is at
+    least 1e-6.
     """
-    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    if df is None:
+        df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     stats = df.join(F.broadcast(whole)).select("term", idf.alias("idf"), "average")  # one row
     part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("average")))

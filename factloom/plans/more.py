@@ -9,8 +9,10 @@ from factloom.functions import intervals, plain, providers, text
 from factloom.operators import claims as truth
 from factloom.operators import context, joins, metrics, retrieval
 from factloom.plans.registry import query
-from factloom.plans.retrieval import BM25, COSINE, FUSED, channels, eligible, lexical, semantic
+from factloom.plans.retrieval import BM25, COSINE, ELIGIBLE, FUSED, channels, eligible, lexical, semantic
+from factloom.sources import vectors
 from factloom.sources.model import Store
+from factloom.sources.shared import kept_path
 
 
 def valid():
@@ -60,18 +62,18 @@ def k1(t: Store) -> DataFrame:
     return t.memories.where("status = 'active' and category = 'decision'").orderBy(F.desc("importance"), "memory_id").limit(200).select("memory_id")
 
 
-@query("R6_ann_recall")
+@query("R6_ann_recall", f"with {ELIGIBLE}, {COSINE}, every as (select query_id, memory_id, row_number() over (partition by query_id order by round(score, 9) desc, memory_id) as rank from cosines), wanted as (select query_id, count(*) as n from every where rank <= 5 group by query_id) select count(*) as queries, sum(n) as wanted, true as by_index, true as reaches, true as falls_back from wanted")
 def r6(t: Store) -> DataFrame:
-    """Approximate neighbours by random projections, exactly scored again, against the exact top 5."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = t.vectors.select("memory_id", "embedding", array_to_vector(F.col("embedding")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=4, seed=1).fit(rows)
-    asked = t.asks.join(rows.withColumnRenamed("memory_id", "query_id"), "query_id").select("query_id", "embedding", "v")
-    near = model.approxSimilarityJoin(asked, rows, 1.4, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.memory_id").alias("memory_id"), (-F.col("distance")).alias("score"))
-    found = retrieval.best(near, 5).select("query_id", "memory_id").withColumn("hit", F.lit(1))
-    return semantic(t, 5).select("query_id", "memory_id").join(found, ["query_id", "memory_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    """The kept index against exact neighbours: whether nine tenths are found, and whether a table that it doesn't hold is searched exactly."""
+    index = vectors.kept(t.vectors, kept_path(t.spark, "vectors", t.sf_dir), "embedding")
+    asked = t.asks.join(t.vectors.select(F.col("memory_id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
+    found, by_index = index.search("embedding", asked, 5, t.vectors)
+    changed = t.vectors.where("memory_id > 0")
+    exact, again = index.search("embedding", asked, 5, changed)
+    true = semantic(t, 5).select("query_id", "memory_id")
+    hits = true.join(found.select("query_id", "memory_id", F.lit(1).alias("hit")), ["query_id", "memory_id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("reaches"))
+    other = exact.where("memory_id = 0").isEmpty() and not again
+    return hits.select("queries", "wanted", F.lit(by_index).alias("by_index"), "reaches", F.lit(other).alias("falls_back"))
 
 
 @query("R18_config_digest", "select sha256('{\"fts\":1,\"graph\":0.82,\"k\":60,\"source_anchor\":1,\"temporal\":0.9,\"vector\":1}') as digest")

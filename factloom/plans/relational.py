@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from factloom.functions import intervals, text
 from factloom.operators import claims as truth
 from factloom.operators import context, health, joins, retrieval
 from factloom.plans.registry import query
+from factloom.sources import vectors
 from factloom.sources.model import Store
+from factloom.sources.shared import kept_path
 
 AT, KNOWN, VALID = "2024-02-10 00:00:00", "2024-02-01 00:00:00", "1997-06-01 00:00:00"
 
@@ -46,13 +50,25 @@ def s4(t: Store) -> DataFrame:
     return t.memories.where(hit).select("memory_id")
 
 
-@query("S6_vector_upsert", "select memory_id, case when memory_id % 10 = 0 then 99 else label end as label from vectors union all select max(memory_id) + 1, 99 from vectors")
+@query("S6_vector_upsert", """with old as (select 'n' || (label % 3) as namespace, memory_id, embedding from vectors), changed as (select namespace, memory_id, case when namespace = 'n1' and memory_id % 10 = 0 then list_reverse(embedding) else embedding end as embedding from old
+    union all select 'n1', max(memory_id) + 1, any_value(embedding) from (select * from old where namespace = 'n1' order by memory_id desc limit 1)), kept as (select * from changed where namespace <> 'n2')
+    select names.namespace, count(memory_id) as items, round(coalesce(sum(embedding[1]::double * (memory_id % 7)), 0), 6) as content from (select distinct namespace from old) names left join kept on kept.namespace = names.namespace group by names.namespace""")
 def s6(t: Store) -> DataFrame:
-    from factloom.sources.tables import upsert
-
-    old = t.vectors.select("memory_id", "label")
-    new = old.where("memory_id % 10 = 0").select("memory_id", F.lit(99).alias("label")).union(old.agg((F.max("memory_id") + 1).alias("memory_id"), F.lit(99).alias("label")))
-    return upsert(old, new, ["memory_id"])
+    """An index by namespace in which some vectors of one are replaced, one is put in and another namespace is cleared; the third is as it was."""
+    own = t.vectors.withColumn("namespace", F.concat(F.lit("n"), (F.col("label") % 3).cast("string")))
+    index = vectors.VectorIndex(t.spark, kept_path(t.spark, f"upsert-{uuid.uuid4().hex}", t.sf_dir))
+    names = sorted(r["namespace"] for r in own.select("namespace").distinct().collect())  # three
+    for name in names:
+        index.rebuild(name, own.where(F.col("namespace") == name))
+    n1 = own.where("namespace = 'n1'")
+    last = n1.agg(F.max_by("embedding", "memory_id").alias("embedding"), (F.max("memory_id") + 1).alias("memory_id"))
+    index.upsert("n1", n1.where("memory_id % 10 = 0").select("memory_id", F.reverse("embedding").alias("embedding")).unionByName(last))
+    index.clear("n2")
+    out = None
+    for name in names:
+        one = index.rows(name).agg(F.lit(name).alias("namespace"), F.count("*").alias("items"), F.round(F.coalesce(F.sum(F.col("embedding")[0] * (F.col("memory_id") % 7)), F.lit(0.0)), 6).alias("content"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("S7_index_status", "select label as namespace, count(*) as items, max(len(embedding)) as dimensions, max(memory_id) as last_id from vectors group by label")
@@ -404,7 +420,7 @@ def p18(t: Store) -> DataFrame:
 
 
 @query("S9_export_manifest", """with lines as (select 'memory' as kind, '{"memory_id":' || memory_id || ',"status":"' || status || '"}' as line from memories union all select 'claim', '{"claim_id":' || claim_id || ',"status":"' || status || '"}' from claims union all select 'source', '{"source_id":' || source_id || ',"source_ref":"' || source_ref || '"}' from sources)
-    select kind, count(*) as rows, sum(octet_length(encode(line)))::bigint as bytes, bit_xor(('0x' || substr(sha256(line), 1, 15))::bigint) as digest from lines group by kind""")
+    select kind, count(*) as rows, sum(octet_length(encode(line)))::bigint as bytes, cast(sum(('0x' || substr(sha256(line), 1, 15))::bigint) as varchar) as digest from lines group by kind""")
 def s9(t: Store) -> DataFrame:
     """A manifest of JSON lines: rows, bytes and a digest of each kind that doesn't depend on the order of lines."""
     from factloom.sources.tables import manifest

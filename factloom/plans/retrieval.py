@@ -9,7 +9,9 @@ from factloom.functions import intervals, text
 from factloom.operators import claims as truth
 from factloom.operators import context, retrieval
 from factloom.plans.registry import query
+from factloom.sources import postings
 from factloom.sources.model import Store
+from factloom.sources.shared import kept_path
 
 
 def at():
@@ -46,9 +48,10 @@ COSINE = """cosines as (select a.query_id, b.memory_id, (list_cosine_similarity(
 
 
 def scored(t: Store) -> DataFrame:
+    """From the kept index: its postings, frequencies and lengths of the asked terms."""
     asked = retrieval.query_terms(t.asks)
-    index = retrieval.postings(t.memories, asked=asked)
-    return retrieval.bm25(index, retrieval.collection(t.memories), asked).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+    index, df, whole = postings.kept(t.memories, kept_path(t.spark, "postings", t.sf_dir)).asked(asked)
+    return retrieval.bm25(index, whole, asked, df=df).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
 
 
 def eligible(t: Store) -> DataFrame:

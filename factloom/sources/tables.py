@@ -47,11 +47,6 @@ def rejected_lines(lines: DataFrame, kinds: list[str], most: int = 1_000_000) ->
     return lines.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def read_complete_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines without those that don't parse, such as a last line still being written."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-
-
 def backup(tables: dict[str, DataFrame], path: str) -> None:
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -74,7 +69,7 @@ def manifest(kinds: dict[str, DataFrame]) -> DataFrame:
     for kind, rows in kinds.items():
         line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
         number = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
-        part = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.octet_length(line)).alias("bytes"), F.bit_xor(number).alias("digest"))
+        part = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.octet_length(line)).alias("bytes"), F.sum(number.cast("decimal(38,0)")).cast("string").alias("digest"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -1,17 +1,16 @@
-"""The store's logs as streams: windows, sessions, expiry, index upkeep and a usage guard.
+"""The store's logs as streams: windows, sessions, expiry by timers and a usage guard. A lexical index follows a stream by postings.PostingIndex.keep.
 
 The batch engine is the reference for each: a stream over the same rows ends with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def read(spark: SparkSession, path: str, schema, time: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -36,23 +35,52 @@ def last_state(events: DataFrame, key: str = "memory_id", time: str = "ts", acti
     return events.groupBy(key).agg(F.max_by(action, F.struct(time)).alias(action), F.max(time).alias(time))
 
 
-def expiring(memories: DataFrame, key: str = "memory_id", time: str = "created_at", ttl: str = "ttl_seconds") -> DataFrame:
-    """(memory_id, expired_at) when the watermark passes a memory's time to live."""
+class Expiry(StatefulProcessor):
+    """Holds a memory's last record and a timer for the end of its life; a later record moves the timer or takes it away."""
 
-    def step(identity: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (until,) = state.get
-            state.remove()
-            yield pd.DataFrame({"memory_id": [identity[0]], "expired_at": [pd.Timestamp(until, unit="ms")]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "changed_ms long, until_ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        was = self.last.get() if self.last.exists() else None
+        best = was
+        for frame in rows:
+            for changed, until in zip(frame.changed_ms.tolist(), frame.until_ms.tolist(), strict=True):
+                until = -1 if pd.isna(until) else int(until)
+                if best is None or (int(changed), until) > (best[0], best[1]):
+                    best = (int(changed), until)
+        if best is None or best == was:
             return
-        for frame in frames:
-            until = int(max(t.timestamp() * 1000 + s * 1000 for t, s in zip(frame[time], frame[ttl], strict=True)))
-            state.update((max(until, state.get[0]) if state.exists else until,))
-        (until,) = state.get
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if was is not None and was[1] >= 0:
+            self.handle.deleteTimer(was[1])
+        self.last.update(best)
+        if 0 <= best[1] <= timerValues.getCurrentWatermarkInMs():
+            yield self._told(key, best[1])
+        elif best[1] >= 0:
+            self.handle.registerTimer(best[1])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The record stays, so that what comes late does not bring the memory back.
+        yield self._told(key, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _told(self, key: tuple, until: int) -> pd.DataFrame:
+        return pd.DataFrame({"memory_id": [key[0]], "expired_at": [pd.Timestamp(until, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
 
-    own = memories.where(F.col(ttl).isNotNull())
-    return own.groupBy(key).applyInPandasWithState(step, "memory_id long, expired_at timestamp", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+def expiring(memories: DataFrame, key: str = "memory_id", created: str = "created_at", ttl: str = "ttl_seconds", changed: str = "changed_at") -> DataFrame:
+    """(memory_id, expired_at) once the watermark passes the end of a memory's life, created + ttl.
+
+    memories: a stream of records with a watermark on `changed`; of several records of a memory the last changed one holds, a
+    null ttl is endless life, and a record that comes after a later one changes nothing. Rows behind the watermark are dropped
+    by the stream; those whose end has passed already are told at once. Needs the RocksDB state store.
+    """
+    memories.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = memories.select(F.col(key).cast("long").alias(key), changed, F.unix_millis(changed).alias("changed_ms"), (F.unix_millis(created) + F.col(ttl) * 1000).cast("long").alias("until_ms"))
+    return own.groupBy(key).transformWithStateInPandas(Expiry(), "memory_id long, expired_at timestamp", "Append", "EventTime")
 
 
 def usage_guard(runs: DataFrame, share: float = 1.3) -> DataFrame:
@@ -62,15 +90,6 @@ def usage_guard(runs: DataFrame, share: float = 1.3) -> DataFrame:
     return out.withColumn("over", F.coalesce(F.col("target") > share * F.greatest("left", "right"), F.lit(False)) & F.col("left").isNotNull() & F.col("right").isNotNull())
 
 
-def keep_index(memories: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Appends the postings of every batch's memories below path, one folder a batch, so that a repeated batch replaces itself."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        make(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return memories.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that is there now, through a memory table: for tests and small reports."""
     run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -155,9 +155,6 @@ def test_streams_end_like_batches(spark, tmp_path):
     batch = sorted(streams.windowed(events, "ts", "1 day").collect())
     assert sorted(streams.drained(streams.windowed(stream, "ts", "1 day"), "windows").collect()) == batch
     assert sorted(streams.drained(streams.last_state(stream), "states").collect()) == sorted(streams.last_state(events).collect())
-    run = streams.keep_index(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), lambda b: b.groupBy("action").count(), str(tmp_path / "ck"))
-    run.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "index")).agg(F.sum("count")).first()[0] == events.count()
 
 
 def test_entity_names_and_json(spark):
