@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -180,9 +181,27 @@ def pattern(kind: str, text: str, a: int, b: int, base: bool, setting: str = "")
     return "|".join(map(str, (kind, *votes, 2 * base + (not value.isalnum()))))
 
 
+class _Union:
+    """Spans as disjoint ones in order, so that a span is held against all of them by bisection."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_right(self.starts, a)
+        return at > 0 and self.ends[at - 1] > a or at < len(self.starts) and self.starts[at] < b
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pattern) of what may be more, apart from the base spans and each other. Secrets may hold base spans."""
-    taken = sorted(s for spans in base.values() for s in spans)
+    held = _Union(s for spans in base.values() for s in spans)
     raw: list[tuple[str, int, int, str]] = []
     for m in _SPELLED.finditer(text) if "at" in text or "AT" in text or "@" in text else ():
         raw.append(("email", m.start(), m.end(), ""))
@@ -197,16 +216,16 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             plus = offset + m.start() > 0 and text[offset + m.start() - 1] == "+"
             raw.append(("phone", offset + m.start() - plus, offset + m.end(), ""))
     out: list[tuple[str, int, int, str]] = []
+    end = 0  # of the last span added: spans come by their start
     for kind, a, b, setting in sorted(raw, key=lambda r: (r[1], -r[2])):
-        if not any(a < y and x < b for x, y in taken):
+        if a >= end and not held.meets(a, b):
             out.append((kind, a, b, pattern(kind, text, a, b, False, setting)))
-            taken.append((a, b))
-    secrets: list[tuple[int, int]] = []
+            end = b
     settings = [(m.start(3), m.end(3), m[1].lower()) for m in _SET.finditer(text)] if "=" in text or ":" in text else []
-    for a, b, setting in [*settings, *((m.start(), m.end(), "") for m in (_RUN.finditer(text) if _HINT.search(text) else ()))]:
-        if not any(a < y and x < b for x, y in secrets):
-            secrets.append((a, b))
-            out.append(("secret", a, b, pattern("secret", text, a, b, False, setting)))
+    # Matches of one pattern never overlap each other, so runs are compared with settings alone.
+    named = _Union((a, b) for a, b, _ in settings)
+    runs = ((m.start(), m.end(), "") for m in (_RUN.finditer(text) if _HINT.search(text) else ()))
+    out += [("secret", a, b, pattern("secret", text, a, b, False, setting)) for a, b, setting in [*settings, *(r for r in runs if not named.meets(*r[:2]))]]
     return out
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -205,6 +206,15 @@ def test_long_numbers_and_texts_are_searched():
     assert op2_pii.base_spans("0" * 5000 + "1.2.3.4")["ip"] == [(0, 5007)]
 
 
+def test_texts_of_many_spans_take_time_in_proportion():
+    for one in ("call +1 514 555 8389, ", "4111 1111 1111 1111 x ", "a at b dot com, ", "key=abcDEF123456789xyz ", "ring 514-555-8389 or "):
+        text = one * 20_000
+        began = time.process_time()
+        found = op2_pii.base_spans(text)
+        more = op2_pii.candidates(text, found)
+        assert time.process_time() - began < 4 and sum(map(len, found.values())) + len(more) >= 0
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.3
