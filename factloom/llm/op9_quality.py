@@ -30,7 +30,7 @@ ROWS = 1500
 #: Features of a line itself; lines of a chain that are worked off one after another.
 OWN, SEGMENT = 13, 64
 #: Steps of training in each round, between which lines are labelled anew, and the penalty on weights.
-STEPS, PENALTY = (150, 60, 60), 1e-3
+STEPS, PENALTY = (150, 150, 150), 1e-3
 GOOD = 1
 #: Code points' worth of belief in the share of good rows that every document starts with, so that a few characters decide nothing.
 PRIOR = 12
