@@ -284,7 +284,7 @@ def score(texts: list[str], field: Field) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Field:
-    """The field learned from at most about so many rows of each label. labels: doc_id, quality."""
+    """The field learned from at most about so many rows of each label, one text of an id. labels: doc_id, quality."""
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     kinds = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -298,6 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Field:
             yield pd.DataFrame({"doc_id": frame.doc_id, "text_key": frame.text_key, "quality": frame.quality, "own": [o.tobytes() for o in np.split(own, cut)], "length": [x.tobytes() for x in np.split(length, cut)]})
 
     rows_ = documents(docs).withColumn("text_key", F.xxhash64("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text_key", "quality", "text")
+    # One text of an id, so that what comes back is bounded by the ids.
+    first = rows_.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    rows_ = rows_.join(F.broadcast(first), ["doc_id", "text_key"]).dropDuplicates(["doc_id"])
     sample = rows_.mapInPandas(run, "doc_id long, text_key long, quality int, own binary, length binary").toPandas().sort_values(["doc_id", "text_key"], kind="stable")  # about 2 * rows rows
     length = np.frombuffer(b"".join(sample.length), np.float64)
     own = np.frombuffer(b"".join(sample.own), np.float64).reshape(len(length), OWN)
