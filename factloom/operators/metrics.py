@@ -126,6 +126,12 @@ def sample_size(effect: float, deviation: float, alpha: float = 0.05, power: flo
     return math.ceil(((z(1 - alpha / 2) + z(power)) * deviation / effect) ** 2)
 
 
+def sample_sizes(effect: Column, deviation: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """As sample_size, of columns; rounded to six places before it is rounded up."""
+    z = NormalDist().inv_cdf
+    return F.ceil(F.round(F.pow((z(1 - alpha / 2) + z(power)) * deviation / effect, 2), 6))
+
+
 def nearest_rank(values: DataFrame, by: list[str], column: str, share: float) -> DataFrame:
     """The value at place ceil(share * n) of each group."""
     return values.groupBy(*by).agg(F.expr(f"percentile_disc({share}) within group (order by {column})").alias("value"))

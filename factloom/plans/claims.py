@@ -102,11 +102,13 @@ def d10(t: Store) -> DataFrame:
     return t.claim_relations.union(new.join(t.claim_relations, ["from_id", "to_id"], "left_anti").dropDuplicates())
 
 
-@query("D13_rename_detection", "select id, old_path, new_path from (values (1, 'a.py', 'b.py')) v(id, old_path, new_path)")
+@query("D13_rename_detection", "select anchor_id, path as old_path, replace(path, '.py', '_new.py') as new_path from anchors where freshness_state = 'moved'")
 def d13(t: Store) -> DataFrame:
-    lines = t.spark.createDataFrame([(1, "R096\ta.py\tb.py"), (2, "M\tc.py"), (3, "D\td.py")], "id int, line string")
+    """Lines of a change log, of which renames have a score, the old and the new path."""
+    moved = F.concat_ws("\t", F.concat(F.lit("R0"), (F.col("anchor_id") % 90 + 10).cast("string")), "path", F.replace(F.col("path"), F.lit(".py"), F.lit("_new.py")))
+    line = F.when(F.col("freshness_state") == "moved", moved).when(F.col("freshness_state") == "stale", F.concat_ws("\t", F.lit("D"), "path")).otherwise(F.concat_ws("\t", F.lit("M"), "path"))
     part = F.split("line", "\t")
-    return lines.where(part[0].startswith("R")).select("id", part[1].alias("old_path"), part[2].alias("new_path"))
+    return t.anchors.select("anchor_id", line.alias("line")).where(part[0].rlike("^R[0-9]{3}$")).select("anchor_id", part[1].alias("old_path"), part[2].alias("new_path"))
 
 
 @query("D19_version_backfill", "select identity_id, count(*) as versions, max(version_number) as last from claim_versions group by identity_id")

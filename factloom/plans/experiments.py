@@ -63,10 +63,12 @@ def a30(t: Store) -> DataFrame:
     return metrics.confusion(t.reviews, "first_relevance", "second_relevance")
 
 
-@query("A33_sample_size", "select id, n from (values (1, 63), (2, 16), (3, 393)) v(id, n)")
+@query("A33_sample_size", "select cache_phase, provider, case when abs(effect) > 0 then cast(ceil(round(pow(2.8015852189 * spread / effect, 2), 6)) as bigint) end as n from (select cache_phase, provider, avg(latency_seconds) filter (condition = 'treatment') - avg(latency_seconds) filter (condition = 'baseline') as effect, stddev_samp(latency_seconds) as spread from usage group by cache_phase, provider)")
 def a33(t: Store) -> DataFrame:
-    cases = [(1, 0.5, 1.414213562), (2, 0.5, 0.7), (3, 0.2, 1.414213562)]
-    return t.spark.createDataFrame([(i, metrics.sample_size(e, d)) for i, e, d in cases], "id int, n int")
+    """Pairs needed to see each group's difference of means, from its own spread."""
+    mean = lambda c: F.avg(F.when(F.col("condition") == c, F.col("latency_seconds")))
+    found = t.usage.groupBy("cache_phase", "provider").agg((mean("treatment") - mean("baseline")).alias("effect"), F.stddev_samp("latency_seconds").alias("spread"))
+    return found.select("cache_phase", "provider", F.when(F.abs("effect") > 0, metrics.sample_sizes(F.col("effect"), F.col("spread"))).alias("n"))
 
 
 JUDGES = "votes as (select l_orderkey as comparison_id, l_linenumber % 3 as judge_id, case l_linenumber % 3 when 0 then 'f1' when 1 then 'f2' else 'f2' end as family, l_linenumber // 3 % 2 as presentation, case l_partkey % 4 when 0 then 'a' when 1 then 'b' when 2 then 'tie' else 'abstain' end as preference, l_discount * 5 as confidence from lineitem)"
@@ -133,13 +135,17 @@ def m9(t: Store) -> DataFrame:
     return t.usage.groupBy("task_id").agg((F.count_distinct("condition") == 2).alias("complete"), (F.count_distinct("provider") == 1).alias("one_provider"))
 
 
-@query("M13_usage_mapping", "select id, hit::bigint as hit, miss::bigint as miss from (values (1, 40, 60), (2, null, null), (3, 10, 90)) v(id, hit, miss)")
+@query("M13_usage_mapping", "select run_id, case when hit + miss = input_tokens then hit end as hit, case when hit + miss = input_tokens then miss end as miss from (select run_id, input_tokens, cache_hit_tokens as hit, case when run_id % 4 <> 1 then input_tokens - cache_hit_tokens end as miss from usage)")
 def m13(t: Store) -> DataFrame:
-    rows = [(1, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40, "prompt_cache_miss_tokens": 60}'), (2, '{"prompt_tokens": 100, "prompt_cache_hit_tokens": 40}'), (3, '{"input_tokens": 100, "cache_read": 10, "prompt_cache_miss_tokens": 90}')]
+    """Providers' payloads under either name of a figure; cache figures count where they add up to the whole."""
+    miss = F.when(F.col("run_id") % 4 != 1, F.col("input_tokens") - F.col("cache_hit_tokens"))
+    one = F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("cache_hit_tokens").alias("prompt_cache_hit_tokens"), miss.alias("prompt_cache_miss_tokens"))
+    other = F.struct("input_tokens", F.col("cache_hit_tokens").alias("cache_read"), miss.alias("prompt_cache_miss_tokens"))
+    rows = t.usage.select("run_id", F.when(F.col("provider") == "alpha", F.to_json(one)).otherwise(F.to_json(other)).alias("payload"))
     number = lambda *names: F.coalesce(*[F.get_json_object("payload", f"$.{n}").cast("long") for n in names])
-    out = t.spark.createDataFrame(rows, "id int, payload string").withColumns({"total": number("prompt_tokens", "input_tokens"), "hit": number("prompt_cache_hit_tokens", "cache_read"), "miss": number("prompt_cache_miss_tokens")})
+    out = rows.withColumns({"total": number("prompt_tokens", "input_tokens"), "hit": number("prompt_cache_hit_tokens", "cache_read"), "miss": number("prompt_cache_miss_tokens")})
     fits = (F.col("hit") + F.col("miss")) == F.col("total")
-    return out.select("id", F.when(fits, F.col("hit")).alias("hit"), F.when(fits, F.col("miss")).alias("miss"))
+    return out.select("run_id", F.when(fits, F.col("hit")).alias("hit"), F.when(fits, F.col("miss")).alias("miss"))
 
 
 @query("L4_bradley_terry")

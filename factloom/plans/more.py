@@ -76,10 +76,11 @@ def r6(t: Store) -> DataFrame:
     return hits.select("queries", "wanted", F.lit(by_index).alias("by_index"), "reaches", F.lit(other).alias("falls_back"))
 
 
-@query("R18_config_digest", "select sha256('{\"fts\":1,\"graph\":0.82,\"k\":60,\"source_anchor\":1,\"temporal\":0.9,\"vector\":1}') as digest")
+@query("R18_config_digest", "select provider, sha256('{\"arms\":' || count(distinct condition) || ',\"provider\":\"' || provider || '\",\"runs\":' || count(*) || '}') as digest from usage group by provider")
 def r18(t: Store) -> DataFrame:
-    one = t.spark.createDataFrame([('{"k": 60, "vector": 1, "fts": 1, "temporal": 0.9, "graph": 0.82, "source_anchor": 1}',)], "config string")
-    return one.select(F.sha2(plain.canonical_json("config"), 256).alias("digest"))
+    """The digest of a configuration's canonical form, however its keys are ordered."""
+    rows = t.usage.groupBy("provider").agg(F.to_json(F.struct(F.count("*").alias("runs"), F.first("provider").alias("provider"), F.count_distinct("condition").alias("arms"))).alias("config"))
+    return rows.select("provider", F.sha2(plain.canonical_json("config"), 256).alias("digest"))
 
 
 POOL = "pool as (select query_id, memory_id, list_filter(regexp_extract_all(lower(regexp_replace(title, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\p{L}\\p{N}\\p{M}_.]+'), lambda x: length(x) > 1) as w from judged join memories using (memory_id))"
@@ -97,10 +98,12 @@ def r20(t: Store) -> DataFrame:
     return rows.groupBy("query_id", "memory_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-@query("C4_entity_names", "select id, name from (values (1, 'postgresql'), (2, 'src/app.py'), (3, 'café au lait'), (4, 'node.js')) v(id, name)")
+@query("C4_entity_names", "select anchor_id, array_to_string(regexp_extract_all(lower(trim(path)), '[a-z0-9_./:+#-]+'), ' ') as place, array_to_string(regexp_extract_all(lower(trim(p_name || ',  ' || p_brand || '!')), '[a-z0-9_./:+#-]+'), ' ') as name from anchors join part on p_partkey = anchor_id")
 def c4(t: Store) -> DataFrame:
-    rows = [(1, " Postgres "), (2, "src\\app.py"), (3, "Café   au, lait!"), (4, "NodeJS")]
-    return t.spark.createDataFrame(rows, "id int, raw string").select("id", plain.normalized_entity("raw").alias("name"))
+    """Entity names in their normal form: a path written with backslashes and dots, and a name with marks around it."""
+    rows = t.anchors.join(t.raw("part").select(F.col("p_partkey").alias("anchor_id"), "p_name", "p_brand"), "anchor_id")
+    said, windows = F.concat(F.lit(" "), F.upper("p_name"), F.lit(",  "), F.col("p_brand"), F.lit("!")), F.concat(F.lit(".\\"), F.translate("path", "/", "\\"))
+    return rows.select("anchor_id", plain.normalized_entity(windows).alias("place"), plain.normalized_entity(said).alias("name"))
 
 
 #: The ratio by its definition: the longest common run (the first of those as long), then what lies left of it and right of it.
@@ -119,11 +122,13 @@ def c15(t: Store) -> DataFrame:
     return joins.alike(names, ["symbol_fqn"]).select("symbol_fqn", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("C21_symbols", "select id, symbols from (values (1, 'alpha,Beta'), (2, ''), (3, 'go')) v(id, symbols)")
+@query("C21_symbols", "select anchor_id, 'f_' || anchor_id || ',C' || anchor_id || case when anchor_id % 3 = 0 then ',later' else '' end as symbols from anchors")
 def c21(t: Store) -> DataFrame:
-    rows = [(1, "def alpha(x):\n    pass\nclass Beta:\n    pass"), (2, "no code"), (3, "async def go():\n    pass")]
+    """Functions and classes that a source text declares."""
+    number = F.col("anchor_id").cast("string")
+    code = F.concat(F.lit("# "), "path", F.lit("\ndef f_"), number, F.lit("(x):\n    pass\n\nclass C"), number, F.lit(":\n    name = 'def '\n"), F.when(F.col("anchor_id") % 3 == 0, "    async def later(self): ...\n").otherwise(""))
     found = F.regexp_extract_all("code", F.lit(r"(?m)^\s*(?:async\s+def|def|class)\s+(\w+)"), F.lit(1))
-    return t.spark.createDataFrame(rows, "id int, code string").select("id", F.array_join(found, ",").alias("symbols"))
+    return t.anchors.select("anchor_id", code.alias("code")).select("anchor_id", F.array_join(found, ",").alias("symbols"))
 
 
 @query("D18_run_lookup", "select run_id, condition, input_tokens from usage where run_id in (7, 8, 9)")
@@ -131,10 +136,12 @@ def d18(t: Store) -> DataFrame:
     return t.usage.where(F.col("run_id").isin(7, 8, 9)).select("run_id", "condition", "input_tokens")
 
 
-@query("D20_row_coercion", "select id, value from (values (1, 5), (2, null), (3, 7)) v(id, value)")
+@query("D20_row_coercion", "select event_id, case when event_id % 5 <> 0 then cast(json_extract_string(props, '$.k') as int) end as value from events")
 def d20(t: Store) -> DataFrame:
-    rows = [(1, '{"value": 5}'), (2, '{"value": "x"}'), (3, '{"value": 7, "extra": 1}')]
-    return t.spark.createDataFrame(rows, "id int, line string").select("id", F.from_json("line", "value int")["value"].alias("value"))
+    """A field of the wanted kind, or null: every fifth line holds a text there, and all hold more than is asked for."""
+    wrong = F.replace(F.col("props"), F.lit("}"), F.lit('x", "extra": 1}'))
+    line = F.when(F.col("event_id") % 5 == 0, F.regexp_replace(wrong, '"k": ', '"k": "')).otherwise(F.col("props"))
+    return t.raw("events").select("event_id", F.from_json(line, "k int")["k"].alias("value"))
 
 
 @query("X13_delta_choice", "select query_id, changed < 0.8 * total as send_delta from (select query_id, sum(case when memory_id % 3 = 0 then length(title) else 0 end) as changed, sum(length(title)) as total from judged join memories using (memory_id) group by query_id)")
@@ -168,9 +175,12 @@ def f15(t: Store) -> DataFrame:
     return dots.join(norms, "memory_id").join(norms.select((F.col("memory_id") - 1).alias("memory_id"), F.col("norm").alias("other")), "memory_id").select("memory_id", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6).alias("cosine"))
 
 
-@query("F16_canonical_json", "select id, canonical from (values (1, '{\"a\":1,\"b\":[2,3]}'), (2, null)) v(id, canonical)")
+@query("F16_canonical_json", "select event_id, case when event_id % 7 <> 0 then '{\"a\":[' || user_id || ',2],\"k\":' || json_extract_string(props, '$.k') || '}' end as canonical from events")
 def f16(t: Store) -> DataFrame:
-    return t.spark.createDataFrame([(1, '{ "b": [2, 3], "a": 1 }'), (2, "{broken")], "id int, line string").select("id", plain.canonical_json("line").alias("canonical"))
+    """Keys in order and no blanks; null for a line that is broken off."""
+    whole = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "a": [ '), F.col("user_id").cast("string"), F.lit(", 2 ] }"))
+    line = F.when(F.col("event_id") % 7 == 0, F.regexp_replace(whole, r"\}$", "")).otherwise(whole)
+    return t.raw("events").select("event_id", plain.canonical_json(line).alias("canonical"))
 
 
 @query("F18_defaults", "select memory_id, coalesce(memory_key, subject, 'none') as label, coalesce(ttl_seconds, 0) as ttl from memories")
@@ -226,11 +236,14 @@ def m15(t: Store) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("pool"), F.round(F.max(retrieval.cosine(F.col("embedding"), F.col("asked"))), 6).alias("best"))
 
 
-@query("S15_history_records", "select id, subject, files from (values (1, 'fix parser', 2), (2, 'add docs', 0)) v(id, subject, files)")
+@query("S15_history_records", "select o_orderkey as id, o_orderpriority as subject, count(l_linenumber) as files from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderpriority")
 def s15(t: Store) -> DataFrame:
-    rows = [(1, "abc\x1f2024-01-01\x1ffix parser\na.py\nb.py"), (2, "def\x1f2024-01-02\x1fadd docs")]
+    """Records of a history: fields by unit separators on the first line, then a line for each file."""
+    files = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("src/"), n.cast("string"), F.lit(".py"))), "\n").alias("files"))
+    record = F.concat_ws("\n", F.concat_ws("\x1f", F.sha2(F.col("o_orderkey").cast("string"), 256), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority"), "files")
+    rows = t.raw("orders").join(files, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), record.alias("record"))
     lines, head = F.split("record", "\n"), F.split(F.split("record", "\n")[0], "\x1f")
-    return t.spark.createDataFrame(rows, "id int, record string").select("id", head[2].alias("subject"), (F.size(lines) - 1).alias("files"))
+    return rows.select("id", head[2].alias("subject"), (F.size(lines) - 1).cast("long").alias("files"))
 
 
 @query("S16_dataset_counts", "select 'judged' as dataset, count(*) as rows, count(distinct memory_id) as ids from judged union all select 'asks', count(*), count(distinct query_id) from asks")
@@ -245,10 +258,12 @@ def s19(t: Store) -> DataFrame:
     return rows.agg(F.count_if(F.size("v") == 64).alias("vectors"))
 
 
-@query("X11_payload_fixed_point", "select id, used from (values (1, 35), (2, 1036)) v(id, used)")
+@query("X11_payload_fixed_point", "select memory_id, case when bare + 1 < 10 then bare + 1 when bare + 2 < 100 then bare + 2 when bare + 3 < 1000 then bare + 3 when bare + 4 < 10000 then bare + 4 else bare + 5 end as used from (select memory_id, length('{\"budget\":10,\"text\":\"' || repeat('x', (memory_id * 37 % 12000)::int) || '\",\"used\":}') as bare from memories)")
 def x11(t: Store) -> DataFrame:
-    rows = [(i, plain.settled_payload("x" * n, 10)["used"]) for i, n in ((1, 2), (2, 1001))]
-    return t.spark.createDataFrame(rows, "id int, used int")
+    """What a payload uses when its own figure counts itself: the least number of digits that comes out right."""
+    body = F.repeat(F.lit("x"), (F.col("memory_id") * 37 % 12000).cast("int"))
+    bare = F.length(F.concat(F.lit('{"budget":10,"text":"'), body, F.lit('","used":}')))
+    return t.memories.select("memory_id", context.settled(bare).cast("long").alias("used"))
 
 
 @query("S17_task_adapter", "select item_id as task_id, regexp_extract(text, '^[^\\s]+', 0) as repository, length(text) as size from benchmark")
@@ -357,14 +372,16 @@ def s3(t: Store) -> DataFrame:
     return lexical(t, 20).select("query_id", "memory_id", F.round("exact", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
 
 
-@query("S13_tail_tolerant_lines", "select file, id from (values ('a', 1), ('a', 2), ('b', 1)) v(file, id)")
+@query("S13_tail_tolerant_lines", "select file, count(*) as lines, sum(k)::bigint as content from (select user_id % 50 as file, cast(json_extract_string(props, '$.k') as int) as k, row_number() over (partition by user_id % 50 order by event_id desc) as back from events) where back > 1 group by file")
 def s13(t: Store) -> DataFrame:
-    """An incomplete last line of a file is dropped; any other broken line is an error."""
+    """Files of lines whose last line is cut off: that one is dropped; any other broken line is an error."""
     from factloom.sources.tables import complete_lines
 
-    lines = [("a", 1, '{"id": 1}'), ("a", 2, '{"id": 2}'), ("a", 3, '{"id": 3, "te'), ("b", 1, '{"id": 1}')]
-    rows = complete_lines(t.spark.createDataFrame(lines, "file string, place long, value string"), "file", "place")
-    return rows.select("file", F.try_variant_get(F.parse_json("value"), "$.id", "int").alias("id"))
+    rows = t.raw("events").select((F.col("user_id") % 50).alias("file"), F.col("event_id").alias("place"), "props")
+    last = rows.groupBy("file").agg(F.max("place").alias("place"), F.lit(True).alias("cut"))
+    lines = rows.join(last, ["file", "place"], "left").select("file", "place", F.when(F.col("cut"), F.substring("props", 1, 5)).otherwise(F.col("props")).alias("value"))
+    whole = complete_lines(lines, "file", "place").select("file", F.variant_get(F.parse_json("value"), "$.k", "int").alias("k"))
+    return whole.groupBy("file").agg(F.count("*").alias("lines"), F.sum("k").alias("content"))
 
 
 @query("D16_fingerprints", "select query_id, sha256('{\"budget\":2000,\"query\":\"q' || query_id || '\",\"scope\":\"' || sha256('[\"branch:b' || (query_id % 3) || '\",\"repository:r\"]') || '\"}') as fingerprint from asks")

@@ -9,6 +9,7 @@ from factloom.functions import intervals, text
 from factloom.operators import claims as truth
 from factloom.operators import context, retrieval
 from factloom.plans.registry import query
+from factloom.plans.texts import IN_SIGNS, in_signs
 from factloom.sources import postings
 from factloom.sources.model import Store
 from factloom.sources.shared import kept_path
@@ -126,11 +127,14 @@ def r1(t: Store) -> DataFrame:
     return retrieval.planned(t.asks).select("query_id", "intent", F.col("clauses").cast("long").alias("clauses"))
 
 
-@query("R2_recipe_router", """select id, recipe from (values (1, 'temporal-as-of-v1'), (2, 'relational-graph-v1'), (3, 'exact-symbol-v1'), (4, 'safe-hybrid-v1'), (5, 'complex-hybrid-v1'), (6, 'semantic-hybrid-v1')) v(id, recipe)""")
+ROUTES = f"""routed as (select query_id, intent, exact, {"{0}"} as clauses, exact > 0 or intent = 'implementation_location' as has_exact, intent = 'historical_as_of' or regexp_matches(trim(query), '{retrieval.TEMPORAL}') as has_temporal, intent = 'why_decision' or regexp_matches(trim(query), '{retrieval.RELATIONAL}') as has_relational
+    from (select *, {INTENT} as intent, len(list_concat(regexp_extract_all(query, '`([^`]+)`', 1), regexp_extract_all(query, '[a-z_]+[.]py'))) as exact from asks))""".replace("{0}", "greatest(1, length(regexp_replace(trim(query), '[^?？]', '', 'g')), length(regexp_replace(trim(query), '[^;；\n]', '', 'g')) + 1)")
+
+
+@query("R2_recipe_router", f"""with {ROUTES}, signalled as (select *, has_exact::int + has_temporal::int + has_relational::int as signals from routed)
+    select query_id, case when intent = 'broad_search' and signals = 0 then 'safe-hybrid-v1' when clauses > 1 or signals > 1 then 'complex-hybrid-v1' when has_temporal then 'temporal-as-of-v1' when has_exact then 'exact-symbol-v1' when has_relational then 'relational-graph-v1' else 'semantic-hybrid-v1' end as recipe from signalled""")
 def r2(t: Store) -> DataFrame:
-    rows = ["what was the database as of march", "why did we pick redis", "open `src/app.py` please", "something plain", "why did calls fail before; open SRC", "current architecture of the store"]
-    asked = t.spark.createDataFrame(list(enumerate(rows, 1)), "id int, query string")
-    return retrieval.planned(asked).select("id", "recipe")
+    return retrieval.planned(t.asks).select("query_id", "recipe")
 
 
 @query("R3_bm25", f"with {BM25} select query_id, memory_id, round(score, 6) as score, rank from fts where rank <= 10")
@@ -143,11 +147,13 @@ def k2(t: Store) -> DataFrame:
     return retrieval.relaxed(scored(t), retrieval.query_terms(t.asks), 3).groupBy("query_id").agg(F.count("*").alias("rows"))
 
 
-@query("R4_cjk_similarity", "select id, score from (values (1, 1.0::double), (2, 0.5), (3, 0.0), (4, 0.0)) v(id, score)")
+@query("R4_cjk_similarity", f"""with signs as (select memory_id, list_filter(list_transform(regexp_extract_all({IN_SIGNS}, '[㐀-䶿一-鿿豈-﫿]+'), lambda r: list_distinct(list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))), lambda g: len(g) > 0) as grams from memories)
+    select a.memory_id, round(coalesce(list_max(flatten(list_transform(a.grams, lambda x: list_transform(b.grams, lambda y: 2.0::double * len(list_intersect(x, y)) / (len(x) + len(y)))))), 0), 6) as score from signs a join signs b on b.memory_id = a.memory_id + 1""")
 def r4(t: Store) -> DataFrame:
-    rows = [(1, "使用 数据库", "我们 数据库 好"), (2, "数据库", "数据表 x 据库存"), (3, "plain words", "数据库"), (4, "数", "数")]
-    pairs = t.spark.createDataFrame(rows, "id int, query string, document string")
-    return pairs.select("id", F.round(text.cjk_similarity(F.col("query"), F.col("document")), 6).alias("score"))
+    """The best overlap of signs of each memory's title with the next one's."""
+    own = t.memories.select("memory_id", in_signs().alias("signs"))
+    after = own.select((F.col("memory_id") - 1).alias("memory_id"), F.col("signs").alias("others"))
+    return own.join(after, "memory_id").select("memory_id", F.round(text.cjk_similarity(F.col("signs"), F.col("others")), 6).alias("score"))
 
 
 @query("R5_cosine_top", f"with {ELIGIBLE}, {COSINE} select query_id, memory_id, round(score, 6) as score, rank from vec where rank <= 5")

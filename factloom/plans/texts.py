@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text
@@ -18,11 +18,18 @@ def f1(t: Store) -> DataFrame:
     return t.memories.select("memory_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("kinds"))
 
 
-@query("F2_cjk_ngrams", "select id, grams from (values (1, '数据,据库,库表'), (2, '')) v(id, grams)")
+#: A table's words in another script: every title's words by their length, each as that many signs.
+IN_SIGNS = "array_to_string(list_transform(string_split(title, ' '), lambda w: substr('使用数据库表和文字的长句子', 1, 1 + length(w) % 11)), ' ok ')"
+
+
+def in_signs() -> Column:
+    return F.array_join(F.transform(F.split("title", " "), lambda w: F.substring(F.lit("使用数据库表和文字的长句子"), F.lit(1), 1 + F.length(w) % 11)), " ok ")
+
+
+@query("F2_cjk_ngrams", f"select memory_id, array_to_string(flatten(list_transform(regexp_extract_all({IN_SIGNS}, '[㐀-䶿一-鿿豈-﫿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))), ',') as grams from memories")
 def f2(t: Store) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "使用数据库表 ok"), (2, "none")], "id int, line string")
-    runs = F.transform(text.cjk_runs(F.regexp_replace("line", "使用", "")), lambda r: text.ngrams(r, 2))
-    return rows.select("id", F.array_join(F.flatten(runs), ",").alias("grams"))
+    runs = F.transform(text.cjk_runs(in_signs()), lambda r: text.ngrams(r, 2))
+    return t.memories.select("memory_id", F.array_join(F.flatten(runs), ",").alias("grams"))
 
 
 @query("F3_camel_case", "select anchor_id, len(regexp_extract_all(lower(regexp_replace(symbol_fqn || 'CamelCaseName', '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\p{L}\\p{N}\\p{M}_.]+')) as parts from anchors")
@@ -46,16 +53,22 @@ def f7(t: Store) -> DataFrame:
     return t.anchors.select("anchor_id", text.path_parts(F.col("path")).alias("p")).select("anchor_id", "p.*")
 
 
-@query("F8_exact_terms", "select id, terms from (values (1, 'handler,src/app.py'), (2, 'ttl_max'), (3, '')) v(id, terms)")
+@query("F8_exact_terms", "select query_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(query, '`([^`]+)`', 1), regexp_extract_all(query, '[a-z_]+[.]py')))), ',') as terms from asks")
 def f8(t: Store) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "see src/app.py and handler()"), (2, "raise TTL_MAX"), (3, "nothing here")], "id int, line string")
-    return rows.select("id", F.array_join(text.exact_terms(F.col("line")), ",").alias("terms"))
+    return t.asks.select("query_id", F.array_join(text.exact_terms(F.col("query")), ",").alias("terms"))
+
+
+#: What a memory's category would say, before its title; notes say nothing.
+SAYS = {"decision": "We decided: ", "constraint": "You must not: ", "failure": "The build failed: ", "preference": "I prefer: ", "state": "Working on: "}
+SAID = f"case category {' '.join(f"when '{c}' then '{s}'" for c, s in SAYS.items())} else '' end || title"
 
 
-@query("F10_sentence_rules", "select id, category from (values (1, 'preference'), (2, 'decision'), (3, 'constraint'), (4, 'failure'), (5, 'state'), (6, null)) v(id, category)")
+@query("F10_sentence_rules", f"select memory_id, case {' '.join(f"when regexp_matches(line, '{p}') then '{c}'" for p, c in ((p.replace(chr(92) + 'b', '(?:^|' + chr(92) + 'b)'), c) for p, c, _, _ in text.SENTENCE_RULES))} end as category from (select memory_id, {SAID} as line from memories)")
 def f10(t: Store) -> DataFrame:
-    lines = ["I prefer tabs", "We decided on it", "You must not push", "The build failed", "working on the parser", "plain words"]
-    return t.spark.createDataFrame(list(enumerate(lines, 1)), "id int, line string").select("id", text.sentence_category(F.col("line")).alias("category"))
+    said = F.lit("")
+    for category, says in SAYS.items():
+        said = F.when(F.col("category") == category, F.lit(says)).otherwise(said)
+    return t.memories.select("memory_id", text.sentence_category(F.concat(said, "title")).alias("category"))
 
 
 @query("F6_url_parts", "select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) as host, regexp_replace(regexp_replace(url, '^([a-zA-Z]+://)[^/@]*@', '\\1'), '[?#].*$', '') as clean from (select page_id, case when page_id % 3 = 0 then replace(url, '://', '://user:secret@') || '?token=1#x' else url end as url from pages)")
