@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import with_checkpoints
+
 log2 = lambda c: F.log(c) / math.log(2)
 
 
@@ -184,26 +186,86 @@ def bradley_terry(results: DataFrame, rounds: int = 200) -> DataFrame:
     return pairs.groupBy("query_id").applyInPandas(run, "query_id long, candidate_id long, utility double")
 
 
-def pairwise_fit(pairs: DataFrame, features: list[str], penalty: float = 0.1, signs: list[int] | None = None, rounds: int = 25) -> list[float]:
-    """Weights of a logistic model of feature differences (label 1 if the left one is preferred), by Newton's steps on sums made in Spark."""
-    beta = np.zeros(len(features))
-    names = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    for _ in range(rounds):
-        z = sum((F.col(f) * float(w) for f, w in zip(features, beta, strict=True)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-z))
-        row = pairs.agg(*[F.sum(F.col(f) * (F.col("label") - p)) for f in features], *[F.sum(F.col(features[i]) * F.col(features[j]) * p * (1 - p)) for i, j in names]).first()
-        slope = np.array(row[: len(features)]) - penalty * beta
-        curve = penalty * np.eye(len(features))
-        for (i, j), v in zip(names, row[len(features) :], strict=True):
-            curve[i, j] += v
-            curve[j, i] = curve[i, j]
-        step = np.linalg.solve(curve, slope)
-        beta = beta + step
-        if signs is not None:
-            beta = np.where(np.sign(beta) * np.array(signs) < 0, 0.0, beta)
-        if np.abs(step).max() < 1e-9:
+#: Penalties that a fit tries; steps of all its models together, each of which is one pass over the pairs.
+PENALTIES, STEPS = (0.01, 0.1, 1.0, 10.0), 20
+
+
+def fold_fits(pairs: DataFrame, features: list[str], fold: str | None = None, dev: Column | None = None, penalties: tuple[float, ...] = PENALTIES, signs: list[int] | None = None, steps: int = STEPS) -> list[dict]:
+    """Logistic models of feature differences (label 1 if the left one is preferred): for each fold left out, the weights at the
+    penalty of least log loss on its dev rows (column dev; none: on its own rows). One dict each: left_out, penalty, weights, loss.
+
+    Newton's steps are taken for all folds and penalties together: every pass makes the sums of each fold for all models, and a
+    model adds up the folds that it doesn't leave out. So the number of jobs is that of steps, not of models. A weight with a sign
+    is kept at zero while its slope points the wrong way (an active set). Folds are few: their sums come to the driver. Rows with a
+    null feature, label or fold take no part; without rows there is no model.
+    """
+    with_checkpoints(pairs.sparkSession)
+    key = F.col(fold).cast("string") if fold else F.lit("all")
+    rows = pairs.select(key.alias("fold"), F.col("label").cast("double").alias("label"), F.coalesce(dev, F.lit(False)).alias("dev") if dev is not None else F.lit(False).alias("dev"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).where(" and ".join(f"x{i} is not null" for i in range(len(features))) + " and label is not null").checkpoint()
+    folds = sorted(r["fold"] for r in rows.select("fold").where("fold is not null").distinct().collect())
+    models = [(f, p) for f in (folds if fold else [None]) for p in penalties]
+    d, m, split = len(features), len(models), dev is not None
+    upper = np.triu_indices(d)
+    beta, free = np.zeros((m, d)), np.ones((m, d), bool)
+
+    def passed(weights: np.ndarray, losses: bool) -> dict[str, np.ndarray]:
+        """By fold, for every model: slopes and curvatures of training rows, or summed log loss and number of dev rows."""
+
+        def gather(frames):
+            held: dict[str, np.ndarray] = {}
+            for frame in frames:
+                for name, own in frame.groupby("fold"):
+                    own = own[own.dev == losses] if split else own
+                    x, y = own[[f"x{i}" for i in range(d)]].to_numpy(), own.label.to_numpy()[:, None]
+                    z = x @ weights.T
+                    if losses:
+                        total = np.stack((np.logaddexp(0, np.where(y > 0.5, -z, z)).sum(axis=0), np.full(m, float(len(own)))), axis=1)
+                    else:
+                        q = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                        curve = np.stack([((x[:, i] * x[:, j])[:, None] * q * (1 - q)).sum(axis=0) for i, j in zip(*upper, strict=True)], axis=1)
+                        total = np.concatenate(((y - q).T @ x, curve), axis=1)
+                    held[name] = held.get(name, 0) + total
+            yield pd.DataFrame([(name, place, value) for name, total in held.items() for place, value in enumerate(total.ravel().tolist())], columns=["fold", "place", "value"]).astype({"place": "int32", "value": "float64"})
+
+        out = {name: np.zeros(m * (2 if losses else d + len(upper[0]))) for name in folds}
+        for r in rows.mapInPandas(gather, "fold string, place int, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).collect():  # folds x models x sums
+            if r["fold"] in out:
+                out[r["fold"]][r["place"]] = r["value"]
+        return {name: total.reshape(m, -1) for name, total in out.items()}
+
+    def kept(sums: dict[str, np.ndarray], k: int) -> np.ndarray:
+        return sum((total[k] for name, total in sums.items() if name != models[k][0]), np.zeros(next(iter(sums.values())).shape[1])) if sums else np.zeros(0)
+
+    open_ = set(range(m)) if folds else set()
+    for _ in range(steps):
+        if not open_:
             break
-    return beta.tolist()
+        sums = passed(beta, False)
+        for k in sorted(open_):
+            values, penalty = kept(sums, k), models[k][1]
+            slope = values[:d] - penalty * beta[k]
+            curve = penalty * np.eye(d)
+            curve[upper] += values[d:]
+            curve = np.triu(curve) + np.triu(curve, 1).T
+            if signs is not None:  # what is held at zero goes on once its slope points the right way
+                free[k] |= slope * np.array(signs) > 1e-9
+            step = np.zeros(d)
+            if free[k].any():
+                step[free[k]] = np.linalg.solve(curve[np.ix_(free[k], free[k])], slope[free[k]])
+            now = beta[k] + step
+            if signs is not None:
+                wrong = now * np.array(signs) < 0
+                now[wrong], free[k] = 0.0, free[k] & ~wrong
+            if np.abs(now - beta[k]).max(initial=0) < 1e-10:
+                open_.discard(k)
+            beta[k] = now
+    sums, best = passed(beta, True) if folds else {}, {}
+    for k, (left_out, penalty) in enumerate(models if folds else []):
+        loss, n = kept(sums, k)
+        found = {"left_out": left_out, "penalty": penalty, "weights": beta[k].tolist(), "loss": loss / n if n else float("inf")}
+        if left_out not in best or found["loss"] < best[left_out]["loss"] - 1e-12:
+            best[left_out] = found
+    return list(best.values())
 
 
 def probability_losses(rows: DataFrame, p: str, label: str, weight: str, by: list[str]) -> DataFrame:

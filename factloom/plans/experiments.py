@@ -104,11 +104,18 @@ def j15(t: Store) -> DataFrame:
     return both.groupBy("provider").agg(F.count("*").alias("pairs"))
 
 
+def preferences(t: Store) -> DataFrame:
+    """Judged rows as differences from a middling memory, with a split by hash."""
+    rows = t.judged.join(t.memories, "memory_id").select("memory_id", "scope_type", (F.col("importance") - 0.45).alias("importance"), (F.col("confidence") - 0.7).alias("confidence"), F.col("quality").alias("label"))
+    return metrics.hash_split(rows, "memory_id", "fit")
+
+
 @query("L1_pairwise_fit")
 def l1(t: Store) -> DataFrame:
-    pairs = t.judged.join(t.memories, "memory_id").select((F.col("importance") - 0.45).alias("importance"), (F.col("confidence") - 0.7).alias("confidence"), F.col("quality").alias("label"))
-    weights = metrics.pairwise_fit(pairs, ["importance", "confidence"])
-    return t.spark.createDataFrame([("importance", weights[0]), ("confidence", weights[1])], "feature string, weight double")
+    """Weights at the penalty that serves the dev rows best."""
+    best = metrics.fold_fits(preferences(t), ["importance", "confidence"], dev=F.col("split") != "train")
+    rows = [(f, b["penalty"], w) for b in best for f, w in zip(("importance", "confidence"), b["weights"], strict=True)]
+    return t.spark.createDataFrame(rows, "feature string, penalty double, weight double")
 
 
 @query("L3_losses", "with r as (select query_id, quality, greatest(1e-12, least(1 - 1e-12, 0.05 + 0.9 * (memory_id % 10) / 10.0::double)) as p, 1 + memory_id % 3 as w from judged) select query_id, round(sum(w * -(quality * ln(p) + (1 - quality) * ln(1 - p))) / sum(w), 6) as log_loss, round(sum(w * pow(p - quality, 2)) / sum(w), 6) as brier, round(sum(w * ((p >= 0.5)::int = quality)::int) / sum(w), 6) as accuracy from r group by query_id")

@@ -190,10 +190,11 @@ def f18(t: Store) -> DataFrame:
 
 @query("L2_fold_ranges")
 def l2(t: Store) -> DataFrame:
-    """Weights of a two-feature fit with each scope left out in turn."""
-    rows = t.judged.join(t.memories, "memory_id").select("scope_type", (F.col("importance") - 0.45).alias("importance"), (F.col("confidence") - 0.7).alias("confidence"), F.col("quality").alias("label"))
-    folds = [(s, *metrics.pairwise_fit(rows.where(F.col("scope_type") != s), ["importance", "confidence"], signs=[1, 1])) for s in retrieval.SCOPE_WEIGHTS]
-    return t.spark.createDataFrame(folds, "left_out string, importance double, confidence double")
+    """Weights, none below zero, with each scope left out in turn, all fitted together."""
+    from factloom.plans.experiments import preferences
+
+    best = metrics.fold_fits(preferences(t), ["importance", "confidence"], "scope_type", F.col("split") != "train", signs=[1, 1])
+    return t.spark.createDataFrame([(b["left_out"], b["penalty"], *b["weights"]) for b in best], "left_out string, penalty double, importance double, confidence double")
 
 
 @query("L9_visibility_suite", "select (claim_id % 4) as family, count(*) filter (recorded_at <= timestamp '1997-06-01' and valid_from <= timestamp '1997-06-01' and (valid_to is null or timestamp '1997-06-01' < valid_to)) as seen, count(*) as cases from claims group by claim_id % 4")

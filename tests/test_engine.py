@@ -117,7 +117,8 @@ def test_redirect_cycles_are_errors(spark):
 
 def test_fits_and_juries(spark):
     rows = spark.createDataFrame([(float(x), int(x > 0)) for x in (-3, -2, -1, 1, 2, 3)], "f double, label int")
-    assert metrics.pairwise_fit(rows, ["f"])[0] > 0.5 and metrics.pairwise_fit(rows, ["f"], signs=[-1])[0] == 0
+    fit = lambda **more: metrics.fold_fits(rows, ["f"], **more)[0]["weights"][0]
+    assert fit() > 0.5 and fit(signs=[-1]) == 0
     results = spark.createDataFrame([(1, 1, 2, 0.9, 1.0), (1, 2, 3, 0.8, 1.0)], "query_id long, a_id long, b_id long, p_a double, weight double")
     order = [r["candidate_id"] for r in metrics.bradley_terry(results).orderBy(F.desc("utility")).collect()]
     assert order == [1, 2, 3]
