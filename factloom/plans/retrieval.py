@@ -271,10 +271,16 @@ def x1(t: Store) -> DataFrame:
     return candidates(t).select("query_id", "memory_id", F.round("utility", 6).alias("utility"))
 
 
-@query("X7_exact_dedup", "select category, memory_type, arg_max(memory_id, (importance, -memory_id)) as memory_id, count(*) as merged from memories group by category, memory_type")
+@query("X7_exact_dedup", """with atoms as (select memory_id, subject, importance, sha256('{"category":"' || category || '","fact":"' || trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) || '","scope":"' || scope_key || '","valid_from":"' || coalesce(strftime(valid_from, '%Y-%m-%d %H:%M:%S'), '') || '"}') as content_key from memories)
+    select content_key, arg_max(memory_id, (importance, -memory_id)) as memory_id, string_agg(distinct subject, ',' order by subject) as sources, count(*) as merged from atoms group by content_key""")
 def x7(t: Store) -> DataFrame:
-    atoms = t.memories.select("category", "memory_type", "memory_id", F.col("importance").alias("score"), F.col("subject").alias("source_ref"))
-    return context.deduplicated(atoms, ["category", "memory_type"]).select("category", "memory_type", "memory_id", "merged")
+    """Atoms that say the same of the same scope, category and time are one: that of most importance, with the sources of all."""
+    fact = F.concat(
+        F.lit('{"category":"'), F.col("category"), F.lit('","fact":"'), text.semantic_key(F.col("content")), F.lit('","scope":"'), F.col("scope_key"),
+        F.lit('","valid_from":"'), F.coalesce(F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit('"}'),
+    )
+    atoms = t.memories.select(F.sha2(fact, 256).alias("content_key"), "memory_id", F.col("importance").alias("score"), F.col("subject").alias("source_ref"))
+    return context.deduplicated(atoms, ["content_key"]).select("content_key", "memory_id", "sources", "merged")
 
 
 @query("X10_token_estimate", "select memory_id, cast(ceil(octet_length(encode(content)) / 4.0) as bigint) as tokens from memories")
