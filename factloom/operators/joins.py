@@ -14,8 +14,8 @@ from factloom.functions import plain
 
 # --- intervals -------------------------------------------------------------------------------------------------------
 
-#: Children of a node, points of one slot in one block.
-FAN, SLOT_POINTS = 16, 50_000
+#: Children of a node, points of one slot in one block, and points up to which a slot is one node: its pairs cost less than nodes do.
+FAN, SLOT_POINTS, SMALL_SLOT = 16, 50_000, 64
 
 
 def _micros(column: str) -> Column:
@@ -71,9 +71,11 @@ def met(outer: DataFrame, inner: DataFrame, slot: list[str], tree: Tree) -> Data
 
     A start before the first is in the first leaf. What met is checked by the caller; only a first or last leaf may hold more.
     """
-    sizes = inner.groupBy(*slot).agg(F.ceil(F.count("*") / SLOT_POINTS).cast("int").alias("blocks"))
-    points = inner.join(sizes, slot).select(*slot, F.col("row").alias("inner"), F.col("start_us").alias("inner_start"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.inline(tree.above(F.col("start_us"))))
-    spans = outer.join(sizes, slot).select(*slot, F.col("row").alias("outer"), F.col("start_us").alias("outer_start"), F.col("end_us").alias("outer_end"), "blocks", F.inline(tree.cover(F.col("start_us"), F.col("end_us"))))
+    sizes = inner.groupBy(*slot).agg(F.ceil(F.count("*") / SLOT_POINTS).cast("int").alias("blocks"), (F.count("*") <= SMALL_SLOT).alias("small"))
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("node")))
+    nodes = lambda own: F.inline(F.when(F.col("small"), whole).otherwise(own))
+    points = inner.join(sizes, slot).select(*slot, F.col("row").alias("inner"), F.col("start_us").alias("inner_start"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), nodes(tree.above(F.col("start_us"))))
+    spans = outer.join(sizes, slot).select(*slot, F.col("row").alias("outer"), F.col("start_us").alias("outer_start"), F.col("end_us").alias("outer_end"), "blocks", nodes(tree.cover(F.col("start_us"), F.col("end_us"))))
     spans = spans.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     return spans.join(points, [*slot, "level", "node", "block"])
 

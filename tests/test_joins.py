@@ -27,9 +27,10 @@ def meets(a, b):
     return not empty(a) and not empty(b) and (low is None or high is None or low < high)
 
 
-@pytest.mark.parametrize("block", [50_000, 20])
-def test_overlaps_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(50_000, 64), (20, 0)])
+def test_overlaps_equal_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(joins, "SLOT_POINTS", block)
+    monkeypatch.setattr(joins, "SMALL_SLOT", small)
     a, b = spans(1, 160, "xyz", 500, 40_000), spans(2, 120, "xyw", 3000, 40_000)
     left, right = spark.createDataFrame(a, NTZ), spark.createDataFrame(b, NTZ)
     found = sorted((r["left"]["id"], r["right"]["id"]) for r in joins.overlapping(left, right, ["slot"]).collect())
