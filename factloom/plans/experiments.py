@@ -225,34 +225,37 @@ def m14(t: Store) -> DataFrame:
     return ranked(t).where("toxic = 1").join(other, ["query_id", "memory_id"]).select("query_id", "memory_id", F.signum(F.col("rank") - F.col("place")).cast("int").alias("direction"))
 
 
-def resampling_sql(stratum: str) -> str:
-    a, b, c = metrics.FACTORS
-    drawn = ' + '.join(f"(share >= {edge})::int" for edge in metrics.POISSON)
-    return f"""with pairs as (select task_id, {stratum} as stratum, t - b as difference from (select task_id, avg(latency_seconds) filter (condition = 'baseline') as b, avg(latency_seconds) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null),
-    numbers as (select *, (task_id * {a} + number * {b} + 7) % {metrics.PRIME} as x from pairs, (select unnest(range(1, 201)) as number)), seconds as (select *, (x * {c} + number * {a}) % {metrics.PRIME} as y from numbers),
-    shares as (select *, ((y * {a} + (y // 127773) * {c}) % {metrics.PRIME}) / {metrics.PRIME}::double as share from seconds), drawn as (select *, {drawn} as w from shares),
-    means as (select number, avg(m) as mean from (select number, stratum, sum(w * difference) / sum(w) as m from drawn group by number, stratum having sum(w) > 0) group by number)
-    select round((select avg(m) from (select avg(difference) as m from pairs group by stratum)), 6) as difference, round(quantile_disc(mean, 0.025), 6) as low, round(quantile_disc(mean, 0.975), 6) as high from means"""
+def resampling_sql(stratum: str, value: str = "latency_seconds") -> str:
+    """Resampling of strata that are one block: at most metrics.BLOCK pairs."""
+    p, (a, b, c, _) = metrics.PRIME, metrics.FACTORS
+    fifth = lambda x: f"((({x} * {x}) % {p}) * (({x} * {x}) % {p}) % {p} * {x} % {p})"
+    return f"""with pairs as (select task_id, {stratum} as stratum, t - b as difference from (select task_id, min(provider) as provider, avg({value}) filter (condition = 'baseline') as b, avg({value}) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null),
+    places as (select stratum, difference, row_number() over (partition by stratum order by task_id) - 1 as place, count(*) over (partition by stratum) as n, ('0x' || substr(md5(stratum), 1, 7))::bigint as salt from pairs),
+    keys as (select stratum, n, (place * {a} + salt * {c} + 7) % {p} as x from places), numbers as (select stratum, n, number, ({fifth('x')} + number * {b}) % {p} as y from keys, (select unnest(range(1, 4001)) as number)),
+    drawn as (select stratum, number, {fifth('y')} % n as place from numbers),
+    means as (select number, avg(m) as mean from (select d.number, d.stratum, avg(difference) as m from drawn d join places p on p.stratum = d.stratum and p.place = d.place group by d.number, d.stratum) group by number),
+    ordered as (select list_sort(list(mean)) as means, avg((mean > 0)::int) as improvement from means)
+    select round((select avg(m) from (select avg(difference) as m from pairs group by stratum)), 6) as difference, round(means[101], 6) as low, round(means[3901], 6) as high, round(means[201], 6) as one_sided_low, round(improvement, 6) as improvement from ordered"""
 
 
 def rounded(rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
+    return rows.select(*[F.round(c, 6).alias(c) for c in ("difference", "low", "high", "one_sided_low", "improvement")])
 
 
-@query("A31_paired_bootstrap", resampling_sql("0"))
+@query("A31_paired_bootstrap", resampling_sql("''"))
 def a31(t: Store) -> DataFrame:
     pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment")
     return rounded(metrics.resampled(pairs, "task_id", None, 7))
 
 
-@query("A32_stratified_bootstrap", resampling_sql("task_id % 3"))
+@query("A32_stratified_bootstrap", resampling_sql("provider"))
 def a32(t: Store) -> DataFrame:
     """One interval of the mean over providers."""
-    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment").withColumn("provider", F.col("task_id") % 3)
+    pairs = metrics.paired(t.usage, "task_id", "condition", "latency_seconds", "baseline", "treatment", "provider")
     return rounded(metrics.resampled(pairs, "task_id", "provider", 7))
 
 
-@query("M11_complete_pairs", resampling_sql("0").replace("latency_seconds", "cache_hit_tokens").replace("select round((select", "select (select count(*) from pairs) as pairs, round((select"))
+@query("M11_complete_pairs", resampling_sql("''", "cache_hit_tokens").replace("select round((select", "select (select count(*) from pairs) as pairs, round((select"))
 def m11(t: Store) -> DataFrame:
     """Tasks whose both arms have the figure, with the interval of their difference."""
     pairs = metrics.paired(t.usage, "task_id", "condition", "cache_hit_tokens", "baseline", "treatment")
