@@ -157,7 +157,12 @@ def m13(t: Store) -> DataFrame:
 
 @query("L4_bradley_terry")
 def l4(t: Store) -> DataFrame:
-    results = t.claims.select((F.col("claim_id") % 5).alias("query_id"), (F.col("claim_id") % 7).alias("a_id"), ((F.col("claim_id") * 3 + 1) % 7).alias("b_id"), (F.col("confidence") - 0.2).alias("p_a"), F.lit(1.0).alias("weight")).where("a_id <> b_id")
+    """Utilities of each reviewed case's candidates, from both reviewers' relevance of every two of them: a tie is half a win."""
+    seen = t.reviews.select("case_id", "candidate_id", F.explode(F.array(F.struct(F.lit(1).alias("judge"), F.col("first_relevance").alias("relevance")), F.struct(F.lit(2).alias("judge"), F.col("second_relevance").alias("relevance")))).alias("v")).select("case_id", "candidate_id", "v.*")
+    other = seen.select("case_id", "judge", F.col("candidate_id").alias("b_id"), F.col("relevance").alias("b"))
+    met = seen.join(other, ["case_id", "judge"]).where("candidate_id < b_id and relevance is not null and b is not null")  # a case has few candidates
+    a, b = F.col("relevance"), F.col("b")
+    results = met.select(F.col("case_id").alias("query_id"), F.col("candidate_id").alias("a_id"), "b_id", F.when(a > b, 1.0).otherwise(0.0).alias("p_a"), F.when(a == b, 1.0).otherwise(0.0).alias("p_tie"), F.lit(1.0).alias("weight"))
     return metrics.bradley_terry(results).withColumn("utility", F.round("utility", 6))
 
 
