@@ -50,10 +50,18 @@ def single_valued(predicate: Column, subject: Column) -> Column:
     return predicate.isin(SINGLE) | (predicate.isin(CONDITIONAL) & marked)
 
 
-def current_truth(versions: DataFrame, entities: DataFrame, events: DataFrame, valid: Column, known: Column) -> DataFrame:
-    """Per identity: state, accepted claims, distinct current objects and evidence freshness at the two moments."""
-    rows = visible_versions(versions, valid, known).join(archived_at(events, known), "memory_id", "left_anti")
-    rows = rows.join(entities.select(F.col("entity_id").alias("subject_entity_id"), "normalized_name"), "subject_entity_id")
+def standing_versions(versions: DataFrame, entities: DataFrame, events: DataFrame, valid: Column, known: Column, archived: Column | None = None, health: DataFrame | None = None) -> DataFrame:
+    """Visible versions of memories that were not archived, with their subject's name. `archived` is the moment on the events' clock
+    (none: `known`). With health (memory_id, temperature), memories without any archive or restore event go by their temperature."""
+    rows = visible_versions(versions, valid, known).join(archived_at(events, known if archived is None else archived), "memory_id", "left_anti")
+    if health is not None:
+        told = events.where(F.col("action").isin("health_archive", "health_restore")).select("memory_id")
+        rows = rows.join(health.where("temperature = 'archived'").select("memory_id").join(told, "memory_id", "left_anti"), "memory_id", "left_anti")
+    return rows.join(entities.select(F.col("entity_id").alias("subject_entity_id"), "normalized_name"), "subject_entity_id")
+
+
+def truth_states(rows: DataFrame) -> DataFrame:
+    """Per identity of standing versions: state, accepted claims, distinct current objects and evidence freshness."""
     live = F.col("status").isin("accepted", "contested") & (F.col("stale_state") != "stale")
     grouped = rows.groupBy("identity_id", "predicate", "normalized_name").agg(
         F.count("*").alias("versions"), F.count_if(live).alias("live"), F.count_if(F.col("status").isin("accepted", "contested")).alias("accepted"),
@@ -65,6 +73,74 @@ def current_truth(versions: DataFrame, entities: DataFrame, events: DataFrame, v
     return grouped.withColumn("state", state).drop("any_contested")
 
 
+def current_truth(versions: DataFrame, entities: DataFrame, events: DataFrame, valid: Column, known: Column, archived: Column | None = None, health: DataFrame | None = None) -> DataFrame:
+    """Per identity: state, accepted claims, distinct current objects and evidence freshness at the two moments."""
+    return truth_states(standing_versions(versions, entities, events, valid, known, archived, health))
+
+
+#: Columns of what a claim is told with: a section, the claim, the item in it, and what the item says.
+ITEM = ["section", "claim_id", "item_id", "detail"]
+
+
+def evidence_items(claims: DataFrame, evidence: DataFrame, sources: DataFrame, anchors: DataFrame) -> DataFrame:
+    """claims (claim_id, ...) with one row for each evidence of a known source: its source, and its place in the code if it has one."""
+    found = claims.join(evidence.select("claim_id", "evidence_id", "source_id", "anchor_id"), "claim_id").join(sources.select("source_id", "source_ref"), "source_id").join(anchors.select("anchor_id", "path"), "anchor_id", "left")
+    return found.select(*claims.columns, F.lit("evidence").alias("section"), F.col("evidence_id").alias("item_id"), F.concat_ws(" ", "source_ref", "path").alias("detail"))
+
+
+def history_items(claims: DataFrame, versions: DataFrame, known: Column) -> DataFrame:
+    """claims with one row for each of their versions recorded by `known`, whether or not it still held."""
+    own = versions.where(F.col("transaction_from") <= known).select("claim_id", F.col("version_number").cast("long").alias("item_id"), F.concat_ws(" ", "status", "stale_state").alias("detail"))
+    return claims.join(own, "claim_id").select(*claims.columns, F.lit("history").alias("section"), "item_id", "detail")
+
+
+def relation_items(claims: DataFrame, relations: DataFrame) -> DataFrame:
+    """claims with one row for each relation at either end: the other end, and which end the claim is. A claim's own loop is one row."""
+    leaving = relations.select(F.col("from_id").alias("claim_id"), F.col("to_id").alias("item_id"), F.lit("from").alias("detail"))
+    arriving = relations.where("from_id <> to_id").select(F.col("to_id").alias("claim_id"), F.col("from_id").alias("item_id"), F.lit("to").alias("detail"))
+    return claims.join(leaving.union(arriving), "claim_id").select(*claims.columns, F.lit("relation").alias("section"), "item_id", "detail")
+
+
+def told_truth(rows: DataFrame, evidence: DataFrame, sources: DataFrame, anchors: DataFrame, versions: DataFrame, relations: DataFrame, known: Column) -> DataFrame:
+    """(identity_id, state, section, claim_id, item_id, detail): each identity of standing versions with all that its truth rests on.
+
+    Sections: accepted claims, conflicting ones (all of a contested identity), evidence, history and relations. They are rows, not
+    lists: an identity may have any number. A relation between two claims of one identity is told once, from its start.
+    """
+    stood = rows.select("claim_id", "identity_id", "status", "object_value").join(truth_states(rows).select("identity_id", "state"), "identity_id")
+    claim = lambda section, of: of.select("claim_id", "identity_id", "state", F.lit(section).alias("section"), F.col("claim_id").alias("item_id"), F.concat_ws(" ", "status", "object_value").alias("detail"))
+    claims = stood.select("claim_id", "identity_id", "state")
+    related = relation_items(claims, relations)
+    both = related.where("detail = 'to'").join(claims.select(F.col("claim_id").alias("item_id"), "identity_id"), ["item_id", "identity_id"], "left_semi")
+    related = related.join(both.select("claim_id", "item_id", "detail"), ["claim_id", "item_id", "detail"], "left_anti")
+    parts = [claim("accepted", stood.where("status in ('accepted', 'contested')")), claim("conflicting", stood.where("state = 'contested'")), evidence_items(claims, evidence, sources, anchors), history_items(claims, versions, known), related]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("identity_id", "state", *ITEM)
+
+
+def explained(memories: DataFrame, claims: DataFrame, evidence: DataFrame, sources: DataFrame, anchors: DataFrame, versions: DataFrame, relations: DataFrame, events: DataFrame, known: Column) -> DataFrame:
+    """(memory_id, section, claim_id, item_id, detail): every memory explained, in rows. The fact is the digest of its content, with
+    truth and freshness from its claims; then evidence, relations and versions of its claims, and its own audit events."""
+    state = lambda column, *names: F.coalesce(*[F.when(F.bool_or(F.col(column) == n), n) for n in names])
+    stale = F.bool_or((F.col("status") == "stale") | (F.col("stale_state") == "stale"))
+    of = claims.groupBy("memory_id").agg(
+        F.when(F.bool_or(F.col("status") == "contested"), "contested").when(stale, "stale").when(F.bool_or(F.col("status") == "accepted"), "resolved").otherwise("unknown").alias("truth"),
+        state("stale_state", "stale", "suspect", "fresh").alias("freshness"),
+    )
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    none = F.lit(None).cast("long")
+    fact = memories.select("memory_id", F.sha2("content", 256).alias("digest")).join(of, "memory_id", "left")
+    fact = fact.select("memory_id", F.lit("fact").alias("section"), none.alias("claim_id"), F.col("memory_id").alias("item_id"), F.concat_ws(" ", "digest", unknown(F.col("truth")), unknown(F.col("freshness"))).alias("detail"))
+    audit = events.join(memories.select("memory_id"), "memory_id", "left_semi").select("memory_id", F.lit("audit").alias("section"), none.alias("claim_id"), F.col("event_id").alias("item_id"), F.col("action").alias("detail"))
+    own = claims.select("claim_id", "memory_id").join(memories.select("memory_id"), "memory_id", "left_semi")
+    out = fact.unionByName(audit)
+    for part in (evidence_items(own, evidence, sources, anchors), history_items(own, versions, known), relation_items(own, relations)):
+        out = out.unionByName(part)
+    return out.select("memory_id", *ITEM)
+
+
 #: What a slot of claims is, and what a pair keeps of each claim.
 SLOT = ["scope_type", "scope_key", "subject_entity_id", "predicate", "subject"]
 OF_CLAIM = ["claim_id", "object_value", "polarity", "valid_from", "valid_to"]

@@ -53,15 +53,33 @@ def c10(t: Store) -> DataFrame:
     return truth.visible_versions(t.claim_versions, at(), at()).select("claim_id", "identity_id", "status")
 
 
-@query("C11_current_truth", f"""with {VISIBLE}, gone as (select memory_id from (select memory_id, arg_max(action, (ts, event_id)) as action from audit_events where action <> 'other' and ts <= timestamp '{EVENTS}' group by memory_id) where action = 'health_archive'),
-    grouped as (select identity_id, predicate, normalized_name as subject, count(*) as versions, count(*) filter (status in ('accepted', 'contested') and stale_state <> 'stale') as live, count(distinct case when status in ('accepted', 'contested') and stale_state <> 'stale' then object_value end) as objects, bool_or(status = 'contested') as c from visible v join entities e on e.entity_id = v.subject_entity_id
-    where memory_id not in (select memory_id from gone) group by identity_id, predicate, normalized_name) select identity_id, versions, live, objects, case when c or ({SINGLE} and objects > 1) then 'contested' when live = 0 then 'stale' else 'resolved' end as state from grouped""")
+EVIDENCE = "select {0}, claim_id, 'evidence' as section, evidence_id as item_id, concat_ws(' ', source_ref, path) as detail from {1} join claim_evidence using (claim_id) join sources using (source_id) left join anchors using (anchor_id)"
+HISTORY = f"select {{0}}, claim_id, 'history' as section, version_number as item_id, v.status || ' ' || v.stale_state as detail from {{1}} join claim_versions v using (claim_id) where v.transaction_from <= timestamp '{MOMENT}'"
+RELATION = "select {0}, claim_id, 'relation' as section, to_id as item_id, 'from' as detail from {1} join claim_relations on from_id = claim_id union all select {0}, claim_id, 'relation', from_id, 'to' from {1} join claim_relations on to_id = claim_id where from_id <> to_id"
+STOOD = f"""{VISIBLE}, gone as (select memory_id from (select memory_id, arg_max(action, (ts, event_id)) as action from audit_events where action <> 'other' and ts <= timestamp '{EVENTS}' group by memory_id) where action = 'health_archive'
+    union select memory_id from health where temperature = 'archived' and memory_id not in (select memory_id from audit_events where action <> 'other')),
+    standing as (select v.*, normalized_name as subject from visible v join entities e on e.entity_id = v.subject_entity_id where memory_id not in (select memory_id from gone)),
+    grouped as (select identity_id, predicate, subject, count(*) as versions, count(*) filter (status in ('accepted', 'contested') and stale_state <> 'stale') as live, count(distinct case when status in ('accepted', 'contested') and stale_state <> 'stale' then object_value end) as objects, bool_or(status = 'contested') as c from standing group by identity_id, predicate, subject),
+    states as (select *, case when c or ({SINGLE} and objects > 1) then 'contested' when live = 0 then 'stale' else 'resolved' end as state from grouped),
+    stood as (select claim_id, identity_id, status, object_value, state from standing join states using (identity_id))"""
+
+
+def standing(t: Store) -> DataFrame:
+    """Events have a clock of their own here, so archived memories are taken at the events' moment."""
+    return truth.standing_versions(t.claim_versions, t.entities, t.audit_events, at(), at(), intervals.moment(EVENTS), t.health)
+
+
+@query("C11_current_truth", f"""with {STOOD}, related as ({RELATION.format('identity_id, state', 'stood')}), told as (select identity_id, state, claim_id, 'accepted' as section, claim_id as item_id, status || ' ' || object_value as detail from stood where status in ('accepted', 'contested')
+    union all select identity_id, state, claim_id, 'conflicting', claim_id, status || ' ' || object_value from stood where state = 'contested' union all {EVIDENCE.format('identity_id, state', 'stood')} union all {HISTORY.format('s.identity_id, state', 'stood s')}
+    union all select r.* from related r where detail = 'from' or not exists (select 1 from stood s where s.claim_id = r.item_id and s.identity_id = r.identity_id))
+    select identity_id, state, section, claim_id, item_id, detail from told""")
 def c11(t: Store) -> DataFrame:
-    rows = truth.visible_versions(t.claim_versions, at(), at())
-    # Events have a clock of their own here, so archived memories are taken at the events' moment.
-    gone = truth.archived_at(t.audit_events, intervals.moment(EVENTS))
-    none = t.audit_events.limit(0)
-    return truth.current_truth(rows.join(gone, "memory_id", "left_anti"), t.entities, none, at(), at()).select("identity_id", "versions", "live", "objects", "state")
+    return truth.told_truth(standing(t), t.claim_evidence, t.sources, t.anchors, t.claim_versions, t.claim_relations, at())
+
+
+@query("C11_truth_states", f"with {STOOD} select identity_id, versions, live, objects, state from states")
+def c11_states(t: Store) -> DataFrame:
+    return truth.truth_states(standing(t)).select("identity_id", "versions", "live", "objects", "state")
 
 
 @query("C16_archive_guard", "select distinct memory_id from (select identity_id, min(memory_id) as memory_id, max(memory_id) as other from claim_versions where status = 'accepted' and transaction_to is null group by identity_id) where memory_id = other")
@@ -138,13 +156,13 @@ def c22(t: Store) -> DataFrame:
     return out.select("scope_type", "part", "members", F.sha2(F.array_join(F.transform("titles", lambda x: x["title"]), "\n"), 256).alias("digest"))
 
 
-@query("C23_explain", "select c.claim_id, coalesce(evidence, 0) as evidence, coalesce(related, 0) as related, versions, history from claims c left join (select claim_id, count(distinct evidence_id) as evidence from claim_evidence group by claim_id) e using (claim_id) left join (select from_id as claim_id, count(distinct to_id) as related from claim_relations group by from_id) r using (claim_id) left join (select claim_id, count(*) as versions, max(version_number) as history from claim_versions group by claim_id) v using (claim_id)")
+@query("C23_explain", f"""with held as (select memory_id, case when bool_or(status = 'contested') then 'contested' when bool_or(status = 'stale' or stale_state = 'stale') then 'stale' when bool_or(status = 'accepted') then 'resolved' else 'unknown' end as truth,
+    case when bool_or(stale_state = 'stale') then 'stale' when bool_or(stale_state = 'suspect') then 'suspect' when bool_or(stale_state = 'fresh') then 'fresh' else 'unknown' end as freshness from claims group by memory_id), own as (select claim_id, memory_id from claims semi join memories using (memory_id)),
+    told as (select memory_id, null::bigint as claim_id, 'fact' as section, memory_id as item_id, sha256(content) || ' ' || coalesce(truth, 'unknown') || ' ' || coalesce(freshness, 'unknown') as detail from memories left join held using (memory_id)
+    union all select memory_id, null, 'audit', event_id, action from audit_events semi join memories using (memory_id) union all {EVIDENCE.format('memory_id', 'own')} union all {HISTORY.format('own.memory_id', 'own')} union all {RELATION.format('memory_id', 'own')})
+    select memory_id, section, claim_id, item_id, detail from told""")
 def c23(t: Store) -> DataFrame:
-    """Every claim with how much evidence, how many relations and what history it has."""
-    evidence = t.claim_evidence.groupBy("claim_id").agg(F.count_distinct("evidence_id").alias("evidence"))
-    related = t.claim_relations.groupBy(F.col("from_id").alias("claim_id")).agg(F.count_distinct("to_id").alias("related"))
-    versions = t.claim_versions.groupBy("claim_id").agg(F.count("*").alias("versions"), F.max("version_number").cast("long").alias("history"))
-    return t.claims.select("claim_id").join(evidence, "claim_id", "left").join(related, "claim_id", "left").join(versions, "claim_id", "left").na.fill(0, ["evidence", "related"])
+    return truth.explained(t.memories, t.claims, t.claim_evidence, t.sources, t.anchors, t.claim_versions, t.claim_relations, t.audit_events, at())
 
 
 @query("D2_archive_restore", "select event_id, memory_id, action, lag(action) over w as previous, ts + to_microseconds(row_number() over (partition by memory_id, ts order by event_id) - 1) as at from audit_events where action <> 'other' window w as (partition by memory_id order by ts, event_id)")
@@ -200,13 +218,12 @@ def a9(t: Store) -> DataFrame:
     return grouped.select("identity_id", "predicate", "objects", (F.col("any") | single).alias("contested"))
 
 
-@query("D9_relations_of_claims", f"select c.claim_id, coalesce(leaving, 0) as leaving, coalesce(arriving, 0) as arriving, coalesce(known, 0) as known from claims c left join (select from_id as claim_id, count(*) as leaving from claim_relations group by 1) using (claim_id) left join (select to_id as claim_id, count(*) as arriving from claim_relations group by 1) using (claim_id) left join (select claim_id, count(*) as known from claim_versions where transaction_from <= timestamp '{MOMENT}' group by 1) using (claim_id)")
+@query("D9_relations_of_claims", f"with {STOOD}, asked as (select claim_id from stood where state = 'contested') {RELATION.format('1 as one', 'asked').replace('1 as one, ', '')} union all {HISTORY.format('1', 'asked').replace('select 1, ', 'select ')}")
 def d9(t: Store) -> DataFrame:
-    """Every claim's relations at either end, and its versions that were known at a moment."""
-    ends = lambda end, name: t.claim_relations.groupBy(F.col(end).alias("claim_id")).agg(F.count("*").alias(name))
-    known = t.claim_versions.where(F.col("transaction_from") <= at()).groupBy("claim_id").agg(F.count("*").alias("known"))
-    out = t.claims.select("claim_id").join(ends("from_id", "leaving"), "claim_id", "left").join(ends("to_id", "arriving"), "claim_id", "left").join(known, "claim_id", "left")
-    return out.na.fill(0, ["leaving", "arriving", "known"])
+    """Relations at either end, and the history up to a moment, of the claims whose truth is contested."""
+    rows = standing(t)
+    asked = rows.join(truth.truth_states(rows).where("state = 'contested'").select("identity_id"), "identity_id", "left_semi").select("claim_id")
+    return truth.relation_items(asked, t.claim_relations).unionByName(truth.history_items(asked, t.claim_versions, at()))
 
 
 @query("C3_canonical_predicate", "select memory_id, p as predicate, lower(subject) || '|' || p || '|postgresql|' || case when memory_id % 5 = 0 then 'negative' else 'positive' end as claim_key from (select memory_id, subject, case category when 'decision' then 'uses' when 'constraint' then 'forbidden' when 'preference' then 'prefers' when 'failure' then 'failed_because' else category end as p from memories)")
