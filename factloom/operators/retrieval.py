@@ -268,7 +268,36 @@ def governed(fused: DataFrame, memories: DataFrame, claims: DataFrame, feedback:
     if not with_history:
         out = out.where("freshness <> 'stale'")
     factor = choose("freshness", FRESHNESS_FACTORS, 1.0) * F.col("feedback_factor") * choose("scope_type", SCOPE_FACTORS, 0.6)
-    return out.withColumn("final_score", F.col("score") * factor)
+    return out.withColumn("factor", factor).withColumn("final_score", F.col("score") * F.col("factor"))
+
+
+#: What a shadow profile weighs.
+FEATURES = (
+    "fts_reciprocal_rank", "vector_reciprocal_rank", "graph_reciprocal_rank", "temporal_reciprocal_rank", "freshness_fresh", "freshness_suspect", "scope_task", "scope_branch", "scope_repository", "scope_workspace",
+    "scope_user", "truth_resolved", "truth_contested", "evidence_log1p", "helpful_feedback_log1p", "unhelpful_feedback_log1p", "memory_confidence", "memory_importance", "reranker_score",
+)
+
+
+def shadow_features(rows: DataFrame) -> DataFrame:
+    """rows with the features of a shadow profile as columns. rows: *_rank, freshness, truth_state, scope_type, evidence_count,
+    helpful, unhelpful, confidence, importance, reranker_score.
+
+    A rank, count or reranker's score that is missing is 0. Stale rows, unknown freshness, ranks below 1, negative counts, shares
+    outside 0 to 1 and scores that are not finite are errors.
+    """
+    refused = lambda wrong, value, said: F.when(wrong, F.raise_error(F.lit(said)).cast("double")).otherwise(value)
+    rank = lambda c: refused(F.col(c) < 1, F.coalesce(1 / F.col(c), F.lit(0.0)), f"{c} must be a positive integer")
+    counted = lambda c: refused(F.col(c) < 0, F.log1p(F.coalesce(c, F.lit(0)).cast("double")), f"{c} must not be negative")
+    share = lambda c: refused(~F.coalesce(F.col(c).between(0, 1), F.lit(False)), F.col(c), f"{c} must be within 0 and 1")
+    is_ = lambda c, value: F.coalesce(F.col(c) == value, F.lit(False)).cast("double")
+    own = F.col("reranker_score")
+    fresh = refused(~F.coalesce(F.col("freshness").isin("fresh", "unknown", "suspect"), F.lit(False)), is_("freshness", "fresh"), "stale rows have no features")
+    values = [
+        *[rank(f"{c}_rank") for c in ("fts", "vector", "graph", "temporal")], fresh, is_("freshness", "suspect"), *[is_("scope_type", c) for c in ("task", "branch", "repository", "workspace", "user")],
+        is_("truth_state", "resolved"), is_("truth_state", "contested"), counted("evidence_count"), counted("helpful"), counted("unhelpful"), share("confidence"), share("importance"),
+        refused(F.isnan(own) | (F.abs(own) == float("inf")), F.coalesce(own, F.lit(0.0)), "reranker_score must be finite"),
+    ]
+    return rows.withColumns(dict(zip(FEATURES, values, strict=True)))
 
 
 def logistic_score(features: DataFrame, weights: dict[str, float], bias: float = 0.0) -> DataFrame:
@@ -285,6 +314,20 @@ def reranked(candidates: DataFrame, reranker: Column, pool: int = 40) -> DataFra
     return ranked.withColumn("final_score", F.when(fine & (F.col("rank") <= pool), 0.7 * F.col("final_score") + 0.3 * F.col("reranker_score")).otherwise(F.col("final_score")))
 
 
+def rerouted(candidates: DataFrame, reranker: Column, pool: int = 40) -> DataFrame:
+    """candidates with rank and final_score of a routed reranker, whose score times the factors replaces that of each query's first
+    `pool` rows; the rest follow in their order. A query whose first rows don't all have a score within 0..1 stays as it was.
+    """
+    fused = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "memory_id")
+    ranked = candidates.withColumn("rank", F.row_number().over(fused)).withColumn("reranker_score", F.when(F.col("rank") <= pool, reranker))
+    first = F.col("rank") <= pool
+    fine = F.min(F.when(first, F.coalesce(F.col("reranker_score").between(0, 1), F.lit(False))).otherwise(F.lit(True))).over(Window.partitionBy("query_id"))
+    scored = ranked.withColumn("routed", fine).withColumn("final_score", F.when(F.col("routed") & first, F.round(F.col("reranker_score") * F.col("factor"), 9)).otherwise(F.col("final_score")))
+    behind = (F.col("routed") & ~first).cast("int")
+    moved = F.when(F.col("routed") & first, -F.col("final_score")).otherwise(F.col("rank").cast("double"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(behind, moved, "rank")))
+
+
 def diversified(candidates: DataFrame, limit: int, weight: float = MMR_LAMBDA) -> DataFrame:
     """Maximal marginal relevance: (query_id, position, memory_id, mmr_score). candidates: query_id, memory_id, final_score, tokens."""
 

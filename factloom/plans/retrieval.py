@@ -210,16 +210,50 @@ def r12(t: Store) -> DataFrame:
     return retrieval.best(rows, 10).select("query_id", "memory_id", "freshness", F.round("final_score", 6).alias("final_score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("R13_shadow_score", "select memory_id, round(1 / (1 + exp(-(-0.4 + 1.2 * importance + 0.8 * confidence))), 6) as shadow_score from memories where status = 'active'")
+#: A profile of the shadow score, and the features as SQL.
+PROFILE = {name: round(0.15 * (i % 6) - 0.25, 2) for i, name in enumerate(retrieval.FEATURES)}
+FEATURE_SQL = [
+    *[f"coalesce(1.0::double / {c}_rank, 0)" for c in ("fts", "vector", "graph", "temporal")], "(freshness = 'fresh')::int", "(freshness = 'suspect')::int", *[f"(scope_type = '{c}')::int" for c in ("task", "branch", "repository", "workspace", "user")],
+    "(truth = 'resolved')::int", "(truth = 'contested')::int", "ln(1 + coalesce(evidence, 0))", "ln(1 + coalesce(helpful, 0))", "ln(1 + coalesce(unhelpful, 0))", "confidence", "importance", "coalesce(rr, 0)",
+]
+#: Stands in for a reranker: the share of a query's words that a memory's title has.
+WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}\\p{{M}}_.]+'))"
+SHARE = f"len(list_intersect({WORDS.format('query')}, {WORDS.format('title')})) / greatest(1, len({WORDS.format('query')}))::double"
+JUDGED = f"""placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed),
+    states as (select memory_id, case when bool_or(status = 'contested') then 'contested' when bool_or(status = 'stale' or stale_state = 'stale') then 'stale' when bool_or(status = 'accepted') then 'resolved' else 'unknown' end as truth from claims group by memory_id),
+    counted as (select memory_id, count(*) filter (verdict = 'yes') as helpful, count(*) filter (verdict = 'no') as unhelpful from feedback group by memory_id), shown as (select memory_id, count(*) as evidence from claims join claim_evidence using (claim_id) group by memory_id),
+    seen as (select p.query_id, p.memory_id, p.freshness, p.final_score, p.rank, f.score, {', '.join(f'{c}_rank' for c in CHANNELS)}, m.scope_type, m.confidence, m.importance, truth, helpful, unhelpful, evidence, case when p.rank <= 40 then {SHARE} end as rr
+    from placed p join fused f on f.query_id = p.query_id and f.memory_id = p.memory_id join memories m on m.memory_id = p.memory_id join asks a on a.query_id = p.query_id left join states s on s.memory_id = p.memory_id left join counted c on c.memory_id = p.memory_id left join shown e on e.memory_id = p.memory_id)"""
+
+
+def judged_by_title(t: Store) -> DataFrame:
+    """Governed rows with the words' share that stands in for a reranker."""
+    words = lambda c: F.array_distinct(text.tokens(F.col(c)))
+    asked = t.asks.select("query_id", words("query").alias("asked"))
+    rows = governed(t).withColumn("final_score", F.round("final_score", 9)).join(asked, "query_id")
+    return rows.withColumn("share", F.size(F.array_intersect("asked", words("title"))) / F.greatest(F.lit(1), F.size("asked"))).drop("asked")
+
+
+@query("R13_shadow_score", f"with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, {JUDGED} select query_id, memory_id, round(1 / (1 + exp(-(-0.4 + {' + '.join(f'{w} * ({x})' for w, x in zip(PROFILE.values(), FEATURE_SQL, strict=True))}))), 6) as shadow_score from seen")
 def r13(t: Store) -> DataFrame:
-    rows = t.memories.where("status = 'active'").withColumn("freshness", F.lit("fresh"))
-    return retrieval.logistic_score(rows, {"importance": 1.2, "confidence": 0.8}, -0.4).select("memory_id", F.round("shadow_score", 6).alias("shadow_score"))
+    placed = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "memory_id")
+    rows = judged_by_title(t).withColumn("reranker_score", F.when(F.row_number().over(placed) <= 40, F.col("share")))
+    rows = rows.join(retrieval.evidence_counts(t.claims, t.claim_evidence), "memory_id", "left")
+    return retrieval.logistic_score(retrieval.shadow_features(rows), PROFILE, -0.4).select("query_id", "memory_id", F.round("shadow_score", 6).alias("shadow_score"))
 
 
-@query("R14_rerank", f"with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, placed as (select *, row_number() over (partition by query_id order by round(final_score, 9) desc, memory_id) as rank from governed) select query_id, memory_id, round(case when rank <= 40 then 0.7 * round(final_score, 9) + 0.3 * ((memory_id % 10) / 10.0::double) else round(final_score, 9) end, 6) as final_score from placed")
+@query("R14_rerank", f"with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, {JUDGED} select query_id, memory_id, round(case when rank <= 40 then 0.7 * round(final_score, 9) + 0.3 * rr else round(final_score, 9) end, 6) as final_score from seen")
 def r14(t: Store) -> DataFrame:
-    rows = governed(t).withColumn("final_score", F.round("final_score", 9))
-    return retrieval.reranked(rows, (F.col("memory_id") % 10) / 10).select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"))
+    return retrieval.reranked(judged_by_title(t), F.col("share")).select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"))
+
+
+@query("R14_routed_rerank", f"""with {BM25}, {COSINE}, {FUSED}, {GOVERNED}, {JUDGED}, given as (select *, case when query_id % 10 = 3 and memory_id % 7 = 0 then null else rr end as own from seen), whole as (select *, bool_and(rank > 40 or coalesce(own between 0 and 1, false)) over (partition by query_id) as fine from given),
+    scored as (select *, case when fine and rank <= 40 then round(own * (final_score / score), 9) else round(final_score, 9) end as new_score from whole)
+    select query_id, memory_id, round(new_score, 6) as final_score, row_number() over (partition by query_id order by case when fine and rank > 40 then 1 else 0 end, case when fine and rank <= 40 then -new_score else rank end, rank) as rank from scored""")
+def r14_routed(t: Store) -> DataFrame:
+    """A reranker that leaves out a row of some queries is not followed in those."""
+    given = F.when((F.col("query_id") % 10 == 3) & (F.col("memory_id") % 7 == 0), None).otherwise(F.col("share"))
+    return retrieval.rerouted(judged_by_title(t), given).select("query_id", "memory_id", F.round("final_score", 6).alias("final_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("R16_channel_telemetry", f"""with {BM25}, {COSINE}, {FUSED}, slots as (select query_id, query, channel from asks, (select unnest({CHANNELS}) as channel)), found as (select query_id, channel, count(*) as eligible from every group by query_id, channel)
