@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import intervals, plain, text
 from factloom.operators import joins
 from factloom.operators.graph import with_checkpoints
+from factloom.operators.retrieval import freshness_of
 
 #: Predicates that hold one value for any subject, and subjects for which `uses` holds one.
 SINGLE = ["prefers"]
@@ -123,16 +124,10 @@ def told_truth(rows: DataFrame, evidence: DataFrame, sources: DataFrame, anchors
 def explained(memories: DataFrame, claims: DataFrame, evidence: DataFrame, sources: DataFrame, anchors: DataFrame, versions: DataFrame, relations: DataFrame, events: DataFrame, known: Column) -> DataFrame:
     """(memory_id, section, claim_id, item_id, detail): every memory explained, in rows. The fact is the digest of its content, with
     truth and freshness from its claims; then evidence, relations and versions of its claims, and its own audit events."""
-    state = lambda column, *names: F.coalesce(*[F.when(F.bool_or(F.col(column) == n), n) for n in names])
-    stale = F.bool_or((F.col("status") == "stale") | (F.col("stale_state") == "stale"))
-    of = claims.groupBy("memory_id").agg(
-        F.when(F.bool_or(F.col("status") == "contested"), "contested").when(stale, "stale").when(F.bool_or(F.col("status") == "accepted"), "resolved").otherwise("unknown").alias("truth"),
-        state("stale_state", "stale", "suspect", "fresh").alias("freshness"),
-    )
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
     none = F.lit(None).cast("long")
-    fact = memories.select("memory_id", F.sha2("content", 256).alias("digest")).join(of, "memory_id", "left")
-    fact = fact.select("memory_id", F.lit("fact").alias("section"), none.alias("claim_id"), F.col("memory_id").alias("item_id"), F.concat_ws(" ", "digest", unknown(F.col("truth")), unknown(F.col("freshness"))).alias("detail"))
+    fact = memories.select("memory_id", F.sha2("content", 256).alias("digest")).join(freshness_of(claims), "memory_id", "left")
+    fact = fact.select("memory_id", F.lit("fact").alias("section"), none.alias("claim_id"), F.col("memory_id").alias("item_id"), F.concat_ws(" ", "digest", unknown(F.col("truth_state")), unknown(F.col("freshness"))).alias("detail"))
     audit = events.join(memories.select("memory_id"), "memory_id", "left_semi").select("memory_id", F.lit("audit").alias("section"), none.alias("claim_id"), F.col("event_id").alias("item_id"), F.col("action").alias("detail"))
     own = claims.select("claim_id", "memory_id").join(memories.select("memory_id"), "memory_id", "left_semi")
     out = fact.unionByName(audit)
