@@ -128,9 +128,10 @@ def _full_sets(ends: DataFrame, known: DataFrame, docs: DataFrame, size: int) ->
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar. A head b of many pairs is repeated once for each STAR of them."""
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies"))
-    dealt = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy"))
-    heads = copies.join(sets, copies["b"] == sets["node"]).select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("others"))
-    own = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
+    dealt = pairs.join(copies, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy"))
+    # Both sides join sets by the same column, so that Spark deals the sets by it only once.
+    heads = copies.withColumnRenamed("b", "node").join(sets, "node").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("others"))
+    own = dealt.join(sets, "node").select(F.col("node").alias("a"), "b", "copy", F.col("shingles").alias("own"))
     both = F.size(F.array_intersect("own", "others")).cast("long")
     found = own.join(heads, ["b", "copy"]).select("a", "b", F.size("own").alias("n"), F.size("others").alias("m"), both.alias("both"))
     return found.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
@@ -225,6 +226,9 @@ def by_text(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BAND
         made = held.stored(_sets(docs, size, bands * wide), "sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n", "signature")).alias("first")
         known = held.stored(made.where("node is not null").groupBy("node").agg(first).select("node", "first.*"), "nodes")
+        # From here on nodes alone need signatures, which are most of what a row holds.
+        rows = held.stored(made.select("doc_id", "text_key", "n", "node"), "rows")
+        held.drop(made)
         # Bands: two nodes of sizes below percent of each other can't be similar.
         width = 2 * wide
         banded = known.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("signature", width * b + 1, width)) for b in range(bands)])).alias("key"))
@@ -248,7 +252,7 @@ def by_text(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BAND
         labels = roots.join(known.select("node", own_row.alias("own_row")), "node")
         labels = labels.join(labels.groupBy("root").agg(F.min("own_row").alias("least_row")), "root").select("node", "least_row")
         own = known.select("node", own_row.alias("own_row")).join(labels, "node", "left").select("node", F.coalesce("least_row", "own_row").alias("least_row"))
-        out = salted_left_join(made.select("doc_id", "text_key", "n", "node"), own, ["node"]).select(
+        out = salted_left_join(rows, own, ["node"]).select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_row.doc_id")).alias("component_id"), "text_key",
             F.coalesce((F.col("doc_id") == F.col("least_row.doc_id")) & (F.col("text_key") == F.col("least_row.text_key")), F.col("least_row").isNull()).alias("least"),
         )

@@ -1,4 +1,8 @@
+import re
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from factloom.llm import common
 from factloom.llm.components import components
@@ -36,3 +40,24 @@ def test_components_equal_brute_force(spark):
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert out == {x: root[x] for x in touched}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        return set(re.findall(r"shuffle_(\d+)_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    def written():
+        with common.Scratch(spark) as held:
+            once = held.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+            yield once
+            yield common.stored(once.join(once.groupBy("k").agg(F.sum("count").alias("s")).hint("merge"), "k"), "joined")
+
+    before, setting = shuffles(), spark.conf.get(common.CLEANUP)
+    for table in written():
+        # Nothing collects garbage here: the files go when the write ends, some moments later.
+        for _ in range(100):
+            if not (left := shuffles() - before):
+                break
+            time.sleep(0.1)
+        assert not left and table.count() == 7 and spark.conf.get(common.CLEANUP) == setting
+        before = shuffles()
