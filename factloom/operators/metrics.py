@@ -96,8 +96,9 @@ def paired(rows: DataFrame, task: str, arm: str, value: str, baseline: str, trea
 
 #: Modulus and factors of the numbers that resampling draws: the fifth power is a permutation modulo this prime.
 PRIME, FACTORS = (1 << 31) - 1, (48271, 69621, 16807, 39373)
-#: Pairs of a block, at which an interval of one block is met again by plain SQL, and numbers drawn at a time.
-BLOCK, DRAWN = 65536, 1 << 20
+#: Pairs of a slice of draws and how many slices there are at most, pairs of a row and of a table that a task looks up, and numbers
+#: drawn at a time, which a processor's cache holds.
+BLOCK, SLICES, PACK, HELD, DRAWN = 65536, 32, 1 << 16, 1 << 23, 1 << 16
 
 
 def _fifth(x: np.ndarray) -> np.ndarray:
@@ -107,7 +108,8 @@ def _fifth(x: np.ndarray) -> np.ndarray:
 
 def _splits(path: list[int], name: str, rounds: int, seed: int, block: int) -> np.ndarray:
     """How many of its stratum's draws a block has in each round. path: pairs of its ancestors in the tree of blocks and of itself,
-    the whole first. Each node deals its draws to its two children by a binomial number, which both make alike from the node's seed."""
+    the whole first. Each node deals its draws to its two children by a binomial number, which both make alike from the node's seed.
+    `resampled` draws by place instead, which SQL can state for any number of pairs."""
     counts = np.full(rounds, path[0], dtype=np.int64)
     depth = len(path) - 1
     for level in range(depth):
@@ -118,62 +120,65 @@ def _splits(path: list[int], name: str, rounds: int, seed: int, block: int) -> n
     return counts
 
 
-def resampled(pairs: DataFrame, task: str, stratum: str | None, seed: int, rounds: int = 4000, block: int = BLOCK) -> DataFrame:
+def resampled(pairs: DataFrame, task: str, stratum: str | None, seed: int, rounds: int = 4000, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """One row by resampling with replacement: difference (the mean), low and high (its 95 % interval), one_sided_low (5 %) and
     improvement (the share of rounds above zero). pairs: task (long, one row each), difference; null differences take no part.
 
     Each round draws as many pairs as a stratum has; with strata, a round and the mean itself are means over strata of the means
-    within them. Pairs lie in blocks of about `block` by a hash of the task; a round's draws are dealt down a binary tree over the
-    blocks by seeded binomial numbers, so that together they are the multinomial counts of drawing from all pairs, and no task holds
-    a stratum. A block draws its own by numbers of (stratum, block, draw, round), and gives one sum a round: lost tasks draw the same
-    again. Of nothing, all columns are null.
+    within them. A draw takes the pair at a place, in order of tasks, that follows from stratum, draw and round alone: lost tasks
+    draw the same again, and neither `block` nor `held` changes a result. Draws of all rounds are dealt to slices of about `block`
+    pairs, SLICES at most, and pairs to tables of at most `held`; a task draws one slice, looks up what lies in one table and gives
+    one sum a round. So the pairs are copied once a slice, and beyond `held` pairs each table draws again. Of nothing, all columns
+    are null.
     """
+    with_checkpoints(pairs.sparkSession)
     rows = pairs.select(F.col(task).cast("long").alias("task"), F.col("difference").cast("double").alias("difference"), (F.col(stratum).cast("string") if stratum else F.lit("")).alias("stratum")).where("difference is not null")
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("difference").alias("mean"))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / block))).cast("int").alias("depth")
-    placed = _with_depth(rows, sizes.select("stratum", depth)).withColumn("block", F.expr("pmod(xxhash64(task), shiftleft(1L, depth))"))
-    blocks = placed.groupBy("stratum", "depth", "block").agg(F.count("*").alias("own"))
-    # Ancestors of a block are its number without its last bits: as many as the tree is deep.
-    above = blocks.select("stratum", "block", "own", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"), (F.col("depth") - F.col("level")).alias("up")).withColumn("node", F.expr("shiftright(block, up)"))
-    nodes = above.groupBy("stratum", "level", "node").agg(F.sum("own").alias("under"))
-    paths = above.join(nodes, ["stratum", "level", "node"]).groupBy(F.col("stratum").alias("whose"), F.col("block").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "under"))), lambda x: x["under"]).alias("path"))
-
-    def draw(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"number": [], "total": []})
-        name, own = key[0], int(key[1])
-        values = left.sort_values(["task", "difference"]).difference.to_numpy()
-        counts = _splits([int(x) for x in right.path.iloc[0]], name, rounds, seed, own)
-        a, b, c, d = FACTORS
+    # Sorted by all tasks and kept, so that the numbers below are those of one order.
+    ordered = rows.orderBy("stratum", "task", "difference").select("stratum", "difference", F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33)).checkpoint()
+    sizes = ordered.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("difference").alias("mean"))
+    # A row for each stratum of a partition: where it begins, and how many of the stratum come before.
+    whole = Window.partitionBy("stratum")
+    starts = ordered.groupBy("stratum", "part").agg(F.min("id").alias("first"), F.count("*").alias("own"))
+    starts = starts.select("stratum", "part", (F.sum("own").over(whole.orderBy("part")) - F.col("own") - F.col("first")).alias("shift"), F.sum("own").over(whole).alias("n"))
+    placed = ordered.join(starts, ["stratum", "part"]).select("stratum", "n", "difference", (F.col("id") + F.col("shift")).alias("place"))
+    size = min(PACK, held)
+    packs = placed.groupBy("stratum", "n", F.floor(F.col("place") / size).alias("pack")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "difference"))), lambda x: x["difference"]).alias("values"))
+    slices = F.least(F.lit(SLICES), F.ceil(F.col("n") / block)).cast("int")
+    dealt = packs.withColumns({"slices": slices, "table": F.floor(F.col("pack") / (held // size))}).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+
+    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        name, own = key[0], int(key[2])
+        frame = frame.sort_values("pack")
+        values, low, n, parts = np.concatenate(frame["values"].to_numpy()), int(frame.pack.iloc[0]) * size, int(frame.n.iloc[0]), int(frame.slices.iloc[0])
+        a, b, c, _ = FACTORS
         salt = int(hashlib.md5(name.encode()).hexdigest()[:7], 16)
-        most = int(counts.max(initial=0))
-        places = _fifth((np.arange(most, dtype=np.int64) * a + salt * c + own * d + seed) % PRIME)
+        draws = _fifth((np.arange(n * own // parts, n * (own + 1) // parts, dtype=np.int64) * a + salt * c + seed) % PRIME)
         sums = np.zeros(rounds)
-        for first in range(0, most, DRAWN):
-            part = places[first : first + DRAWN]
+        for first in range(0, len(draws), DRAWN):
+            part = draws[first : first + DRAWN]
             step = max(1, DRAWN // len(part))
             for start in range(0, rounds, step):
                 number = np.arange(start + 1, min(rounds, start + step) + 1, dtype=np.int64)[:, None]
-                taken = values[_fifth((part + number * b) % PRIME) % len(values)]
-                drawn = np.arange(first, first + len(part)) < counts[start : start + step, None]
-                sums[start : start + step] += np.where(drawn, taken, 0.0).sum(axis=1)
-        return pd.DataFrame({"number": np.arange(1, rounds + 1), "total": sums})
-
-    drawn = placed.groupBy("stratum", "block").cogroup(paths.groupBy("whose", "place")).applyInPandas(lambda key, left, right: draw(key, left, right).assign(stratum=key[0]), "number long, total double, stratum string")
+                places = _fifth((part + number * b) % PRIME) % n - low
+                if len(values) < n:
+                    here = (places >= 0) & (places < len(values))
+                    taken = np.where(here, values[np.where(here, places, 0)], 0.0)
+                else:
+                    taken = values[places]
+                sums[start : start + step] += taken.sum(axis=1)
+        return pd.DataFrame({"stratum": name, "number": np.arange(1, rounds + 1), "total": sums})
+
+    # As many tasks as the session shuffles to: the tables are small, what is drawn from them is not.
+    cell = ["stratum", "table", "slice"]
+    drawn = dealt.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell).groupBy(*cell).applyInPandas(draw, "stratum string, number long, total double")
     within = drawn.groupBy("number", "stratum").agg(F.sum("total").alias("total"))
     means = within.join(sizes.select("stratum", "n"), "stratum").groupBy("number").agg(F.avg(F.col("total") / F.col("n")).alias("mean"))
-    ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("means"), F.avg((F.col("mean") > 0).cast("int")).alias("improvement"))  # as many as rounds
+    ordered_means = means.agg(F.array_sort(F.collect_list("mean")).alias("means"), F.avg((F.col("mean") > 0).cast("int")).alias("improvement"))  # as many as rounds
     at = lambda place, name: F.try_element_at("means", F.lit(place + 1)).alias(name)
-    interval = ordered.select(at(int(rounds * 0.025), "low"), at(min(rounds - 1, int(rounds * 0.975)), "high"), at(int(rounds * 0.05), "one_sided_low"), "improvement")
+    interval = ordered_means.select(at(int(rounds * 0.025), "low"), at(min(rounds - 1, int(rounds * 0.975)), "high"), at(int(rounds * 0.05), "one_sided_low"), "improvement")
     return sizes.agg(F.avg("mean").alias("difference")).join(interval)  # one row each
 
 
-def _with_depth(rows: DataFrame, depths: DataFrame, deals: int = 16) -> DataFrame:
-    """rows with the depth of their stratum, each dealt to some tasks: a stratum may hold most rows."""
-    dealt = depths.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    return rows.withColumn("deal", F.pmod(F.hash("task"), F.lit(deals))).join(dealt, ["stratum", "deal"]).drop("deal")
-
-
 def sample_size(effect: float, deviation: float, alpha: float = 0.05, power: float = 0.8) -> int:
     """Pairs needed to see such an effect."""
     z = NormalDist().inv_cdf

@@ -231,7 +231,7 @@ def m14(t: Store) -> DataFrame:
 
 
 def resampling_sql(stratum: str, value: str = "latency_seconds") -> str:
-    """Resampling of strata that are one block: at most metrics.BLOCK pairs."""
+    """Resampling by places that follow from stratum, draw and round, as metrics.resampled does: for any number of pairs."""
     p, (a, b, c, _) = metrics.PRIME, metrics.FACTORS
     fifth = lambda x: f"((({x} * {x}) % {p}) * (({x} * {x}) % {p}) % {p} * {x} % {p})"
     return f"""with pairs as (select task_id, {stratum} as stratum, t - b as difference from (select task_id, min(provider) as provider, avg({value}) filter (condition = 'baseline') as b, avg({value}) filter (condition = 'treatment') as t from usage group by task_id) where b is not null and t is not null),
